@@ -2,8 +2,9 @@
 
 Spark's ``levenshtein`` gives a distance only, and it fills the whole table cell by cell. Scoring
 also needs substitutions, deletions, insertions and hits, so this is one Arrow UDF per unit. It
-uses the bit-vector recurrence of Myers (1999) in Hyyrö's form (2003) on Python integers, which is
-over ten times faster than the built-in on long texts and needs one column of bits at a time.
+runs the bit-vector recurrence of Myers (1999), in the banded form of Hyyrö (2003), on Python
+integers: one step per hypothesis unit, whatever the length of the reference, and only as many
+diagonals as the pair has edits. On long texts that is over ten times faster than the built-in.
 """
 
 from __future__ import annotations
@@ -17,14 +18,46 @@ from pyspark.sql import types as T
 
 COUNTS = ["subs", "dels", "ins", "hits"]
 EDIT_TYPE = T.StructType([T.StructField(name, T.LongType()) for name in COUNTS])
-_STRIDE = 512
+_FIRST_MARGIN = 64
+_KEPT_BITS = 1 << 28
 
 
-def _advance(vp: int, vn: int, seen: int, full: int) -> tuple[int, int]:
-    diagonal = (((seen & vp) + vp) ^ vp) | seen | vn
-    up = ((vn | (full & ~(diagonal | vp))) << 1) | 1
-    down = (diagonal & vp) << 1
-    return (down | ~(diagonal | up)) & full, up & diagonal & full
+class _Band:
+    """The diagonals ``low .. low + width - 1`` (row minus column) of the edit table.
+
+    A column is a pair of bit vectors, the rows where the cost rises and falls by one against the
+    row above. Bit 0 of the vectors after column ``j`` belongs to row ``j + 1 + low``.
+    """
+
+    def __init__(self, ref: Sequence, hyp: Sequence, margin: int) -> None:
+        self.hyp = hyp
+        skew = len(ref) - len(hyp)
+        self.low = min(0, skew) - margin
+        self.width = abs(skew) + 2 * margin + 1
+        self.full = (1 << self.width) - 1
+        self.corner = 1 << (skew - self.low)
+        self.first = (self.full >> -self.low << -self.low, 0)
+        self.where: dict = {}
+        for at, unit in enumerate(ref, -self.low):
+            self.where[unit] = self.where.get(unit, 0) | (1 << at)
+
+    def run(self, start: int, stop: int, column: tuple[int, int]) -> tuple[list, int]:
+        """The columns after ``start`` up to ``stop``, and the cost added on the corner's diagonal."""
+        full, corner, seen = self.full, self.corner, self.where.get
+        rise, fall = column
+        columns, cost = [], 0
+        for shift in range(start, stop):
+            same = seen(self.hyp[shift], 0) >> shift & full
+            flat = ((((same & rise) + rise) ^ rise) | same | fall) & full
+            right_up = fall | (full ^ (flat | rise))
+            right_down = flat & rise
+            if not flat & corner:
+                cost += 1
+            flat >>= 1
+            rise = right_down | (full ^ (flat | right_up))
+            fall = flat & right_up
+            columns.append((rise, fall))
+        return columns, cost
 
 
 def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
@@ -40,39 +73,38 @@ def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
     while tail < shorter - head and ref[-1 - tail] == hyp[-1 - tail]:
         tail += 1
     ref, hyp = ref[head : len(ref) - tail], hyp[head : len(hyp) - tail]
-    same, rows, columns = head + tail, len(ref), len(hyp)
-    if not rows or not columns:
-        return 0, rows, columns, same
-
-    where: dict = {}
-    for i, unit in enumerate(ref):
-        where[unit] = where.get(unit, 0) | (1 << i)
-    full = (1 << rows) - 1
-
-    # Forward pass keeps the bit columns at every stride; the walk back rebuilds one stride at a
-    # time, so memory is the square root of the table.
-    vp, vn, saved = full, 0, []
-    for j, unit in enumerate(hyp):
-        if j % _STRIDE == 0:
-            saved.append((vp, vn))
-        vp, vn = _advance(vp, vn, where.get(unit, 0), full)
+    kept, rows, cols = head + tail, len(ref), len(hyp)
+    if not rows or not cols:
+        return 0, rows, cols, kept
+
+    # An alignment that leaves the band has at least two more edits than |skew| + 2 margin, so a
+    # cost up to one more is exact and all shortest alignments are inside. A higher cost is still
+    # an upper bound and tells how wide the band has to be at most.
+    skew, margin = rows - cols, _FIRST_MARGIN
+    while True:
+        band = _Band(ref, hyp, margin)
+        stride = max(1, _KEPT_BITS // band.width)
+        saved, cost, column = [], max(skew, 0), band.first
+        for start in range(0, cols, stride):
+            saved.append(column)
+            columns, added = band.run(start, min(start + stride, cols), column)
+            column, cost = columns[-1], cost + added
+        if cost <= abs(skew) + 2 * margin + 1:
+            break
+        margin = min(4 * margin, (cost - abs(skew) + 1) // 2)
 
     subs = dels = ins = hits = 0
-    i, j = rows, columns
-    while i and j:
-        first = (j - 1) // _STRIDE * _STRIDE
-        vp, vn = saved[first // _STRIDE]
-        ups, downs = [vp], [vn]
-        for unit in hyp[first:j]:
-            vp, vn = _advance(vp, vn, where.get(unit, 0), full)
-            ups.append(vp)
-            downs.append(vn)
-        while i and j > first:
-            bit = i - 1
-            if ups[j - first] >> bit & 1:
+    i, j = rows, cols
+    for start in reversed(range(0, cols, stride)):
+        if start + stride < cols:
+            columns, _ = band.run(start, start + stride, saved[start // stride])
+        while i and j > start:
+            bit = i - j - 1 - band.low
+            left = columns[j - start - 2] if j - start > 1 else saved[start // stride]
+            if bit >= 0 and columns[j - start - 1][0] >> bit & 1:
                 dels += 1
                 i -= 1
-            elif downs[j - first - 1] >> bit & 1:
+            elif left[1] >> (bit + 1) & 1:
                 ins += 1
                 j -= 1
             else:
@@ -82,7 +114,7 @@ def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
                     subs += 1
                 i -= 1
                 j -= 1
-    return subs, dels + i, ins + j, hits + same
+    return subs, dels + i, ins + j, hits + kept
 
 
 def _frame(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:

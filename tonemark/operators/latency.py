@@ -7,12 +7,13 @@ median for repeated runs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemark.plans.blocks import null_safe_join
+from tonemark.plans.melt import MEASURE, VALUE, melt, widen
 from tonemark.plans.order_stats import order_statistics, usable
 
 
@@ -79,23 +80,32 @@ def interpolated(
     )
 
 
+SUMMARY = ["n", "median_s", "p90_s", "p99_s", "mean_s", "min_s", "max_s"]
+
+
 def summarize(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """LAT2: n, median, p90, p99, mean, min, max. NaN is dropped; no values leave only ``n = 0``."""
     quantiles = interpolated(df, keys, value, {"median_s": 0.5, "p90_s": 0.9, "p99_s": 0.99})
     kept = F.when(usable(value), value)
     plain = df.groupBy(*keys).agg(
-        F.avg(kept).alias("mean_s"), F.min(kept).alias("min_s"), F.max(kept).alias("max_s")
+        F.avg(kept).alias("mean_s"),
+        F.min(kept).alias("min_s"),
+        F.max(kept).alias("max_s"),
+        F.count(value).alias("n_present"),
     )
-    return _join_back(quantiles, plain, keys)
+    return _join_back(quantiles, plain, keys).select(*keys, *SUMMARY, "n_present")
 
 
-def summarize_present(df: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
-    """LAT6: LAT2 over non-null values as one struct, null as a whole where a group has none."""
-    flat = summarize(df, keys, value)
-    names = ["n", "median_s", "p90_s", "p99_s", "mean_s", "min_s", "max_s"]
-    present = df.groupBy(*keys).agg(F.count(value).alias("_present"))
-    joined = _join_back(flat, present, keys)
-    return joined.select(*keys, F.when(F.col("_present") > 0, F.struct(*names)).alias(out))
+def summaries(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], optional: Sequence[str] = ()
+) -> DataFrame:
+    """LAT2, LAT6: one summary struct per value, all in one pass.
+
+    The struct of an optional value is null as a whole where a group has nothing but nulls.
+    """
+    long = summarize(melt(df, keys, values), [*keys, MEASURE], F.col(VALUE))
+    shown = ~F.col(MEASURE).isin(*optional) | (F.col("n_present") > 0) if optional else F.lit(True)
+    return widen(long, keys, list(values), F.when(shown, F.struct(*SUMMARY)))
 
 
 def nearest_rank(
@@ -120,11 +130,9 @@ def floor_rank(
 
 def run_medians(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """LAT5: textbook median of every latency field over the runs of a group."""
-    table = df.select(*keys).distinct()
-    for field in fields:
-        medians = interpolated(df, keys, F.col(field), {field: 0.5}).drop("n")
-        table = _join_back(table, medians, keys)
-    return table
+    long = melt(df, keys, {field: F.col(field) for field in fields})
+    medians = interpolated(long, [*keys, MEASURE], F.col(VALUE), {"_median": 0.5})
+    return widen(medians, keys, fields, F.col("_median"))
 
 
 def totals(

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from tonemark.functions.vectors import cosine
 from tonemark.operators.accuracy import View, pooled_rate, with_edits
-from tonemark.operators.latency import summarize, summarize_present
-from tonemark.operators.stats import ci_struct
+from tonemark.operators.latency import summaries
+from tonemark.operators.stats import intervals
 from tonemark.plans.blocks import null_safe_join
 
-LATENCY_FIELDS = ["n", "median_s", "p90_s", "p99_s", "mean_s", "min_s", "max_s"]
-
 
 def synthesis_input(source: Column, ref: Column, first_pass: Column) -> Column:
     """REC2: what is synthesised, the reference text or the first transcript."""
@@ -96,21 +94,22 @@ def report(
     )
     table = table.withColumn("keep_tone", F.lit(keep_tone))
     table = table.withColumn("delta_wer", F.col("rt_wer") - F.col("asr_wer"))
-    for name, field in {
-        "asr_latency": "asr_latency.total_s",
-        "asr_rtf": "asr_latency.rtf",
-        "tts_latency": "tts_latency.total_s",
-        "tts_rtf": "tts_latency.rtf",
-    }.items():
-        flat = summarize(records, keys, F.col(field))
-        block = flat.select(*keys, F.struct(*LATENCY_FIELDS).alias(name))
-        table = null_safe_join(table, block, keys, "left")
-    ttfa = summarize_present(records, keys, F.col("tts_latency.ttfa_s"), "tts_ttfa")
-    table = null_safe_join(table, ttfa, keys, "left")
-    for score in ("speaker_sim", "mos"):
-        block = ci_struct(records, keys, F.col(score), score, **ci_options)
-        table = null_safe_join(table, block, keys, "left")
-    return table
+    speed = summaries(
+        records,
+        keys,
+        {
+            "asr_latency": F.col("asr_latency.total_s"),
+            "asr_rtf": F.col("asr_latency.rtf"),
+            "tts_latency": F.col("tts_latency.total_s"),
+            "tts_rtf": F.col("tts_latency.rtf"),
+            "tts_ttfa": F.col("tts_latency.ttfa_s"),
+        },
+        optional=["tts_ttfa"],
+    )
+    scores = {name: F.col(name) for name in ("speaker_sim", "mos")}
+    fidelity = intervals(records, keys, scores, **ci_options)
+    table = null_safe_join(table, speed, keys, "left")
+    return null_safe_join(table, fidelity, keys, "left")
 
 
 def report_rows(aggregate: DataFrame, keys: Sequence[str]) -> DataFrame:

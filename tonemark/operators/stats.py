@@ -8,7 +8,7 @@ are seeded by the seed, the group and the replicate block or value, so a lost ta
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonemark.plans.blocks import null_safe_join
+from tonemark.plans.melt import MEASURE, VALUE, melt, widen
 from tonemark.plans.order_stats import usable
 
 EXACT_ROWS = 20_000
@@ -210,11 +211,15 @@ def bca_ci(
     return result if keys else result.drop("_all")
 
 
-def ci_struct(df: DataFrame, keys: Sequence[str], value: Column, out: str, **options) -> DataFrame:
-    """STAT4: mean and interval of the values present as one struct per group.
+def intervals(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], **options
+) -> DataFrame:
+    """STAT4: mean and interval of every value as a struct, all in one pass.
 
-    A group without values has no row here; a left join makes its block null as a whole.
+    Nulls are left out; a struct is null as a whole where a group has no value. A group without any
+    of the values has no row, so the result belongs on the right of a left join.
     """
-    flat = bca_ci(df.where(value.isNotNull()), keys, value, **options)
+    long = melt(df, keys, values).where(F.col(VALUE).isNotNull())
+    flat = bca_ci(long, [*keys, MEASURE], F.col(VALUE), **options)
     block = F.struct("point", "low", "high", "cl", "n", "degenerate")
-    return flat.select(*keys, block.alias(out))
+    return widen(flat, keys, list(values), block)

@@ -1,9 +1,10 @@
 """Exact order statistics of groups of any size.
 
 The built-in ``percentile`` merges all distinct values of a group into one map in one task. Here
-the values are counted first, a histogram of equal-width cells finds the cell of every wanted rank,
-a second histogram cuts that cell again, and only the values of the final cells are sorted. The
-answer is exact whatever the distribution; the cells decide only how many values are left to sort.
+equal values are counted first. A histogram over fixed logarithmic cells shows which cell of the
+group holds each wanted rank; the values of that cell alone are cut once more into equal-width
+cells, and only the values of the last cell are sorted. The answer is exact whatever the
+distribution; the cells decide only how few values are left to sort.
 """
 
 from __future__ import annotations
@@ -15,27 +16,38 @@ from pyspark.sql import functions as F
 
 from tonemark.plans.blocks import null_safe_join
 
-CELLS = 4096
+CELLS_PER_OCTAVE = 256
+SMALLEST = 2.0**20
+WIDTHS = 4096
 
 
 def usable(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 
 
-def _running(keys: Sequence[str], order: str, amount: str) -> Column:
-    window = Window.partitionBy(*keys).orderBy(order)
-    before = F.sum(amount).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    return F.coalesce(before, F.lit(0))
+def _log_cell(value: Column) -> Column:
+    """A whole number that never falls while the value rises, fine near zero."""
+    octave = F.least(F.log2(F.abs(value) * SMALLEST + 1), F.lit(2000.0))
+    return (F.signum(value) * F.floor(octave * CELLS_PER_OCTAVE)).cast("int")
+
 
+def _width_cell(value: Column, lo: Column, hi: Column) -> Column:
+    share = F.nanvl((value - lo) / (hi - lo), F.lit(1.0))
+    inside = F.least(F.floor(share * WIDTHS), F.lit(WIDTHS - 1))
+    return F.when(hi > lo, inside).otherwise(0).cast("int")
 
-def _cell(lo: Column, hi: Column, cells: int) -> Column:
-    share = F.nanvl((F.col("_v") - lo) / (hi - lo), F.lit(1.0))
-    return F.when(hi > lo, F.least(F.floor(share * cells), F.lit(cells - 1))).otherwise(0)
+
+def _running(keys: Sequence[str], order: str) -> Column:
+    window = Window.partitionBy(*keys).orderBy(order)
+    before = F.sum("_c").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(before, F.lit(0))
 
 
-def _holds_rank(width: str) -> Column:
-    rank, before = F.col("_rank"), F.col("_before")
-    return (rank >= before) & (rank < before + F.col(width))
+def _held(wants: Column) -> Column:
+    """The wanted ranks that fall on this row, counted from its first copy."""
+    before = F.col("_before")
+    here = F.filter(wants, lambda w: (w["at"] >= before) & (w["at"] < before + F.col("_c")))
+    return F.transform(here, lambda w: F.struct(w["name"].alias("name"), (w["at"] - before).alias("at")))
 
 
 def order_statistics(
@@ -43,8 +55,6 @@ def order_statistics(
     keys: Sequence[str],
     value: Column,
     ranks: Mapping[str, Callable[[Column], Column]],
-    levels: int = 2,
-    cells: int = CELLS,
 ) -> DataFrame:
     """One row per group with the values at the wanted ranks.
 
@@ -55,46 +65,38 @@ def order_statistics(
     if not keys:
         df = df.withColumn("_all", F.lit(0))
     counts = (
-        df.withColumn("_v", value.cast("double"))
+        df.select(*group, value.cast("double").alias("_v"))
         .where(usable(F.col("_v")))
         .groupBy(*group, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_cell", _log_cell(F.col("_v")))
     )
-    span = counts.groupBy(*group).agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    ends = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+
+    coarse = counts.groupBy(*group, "_cell").agg(F.sum("_c").alias("_c"), *ends)
+    coarse = coarse.withColumn("_before", _running(group, "_cell"))
+    total = F.sum("_c").over(Window.partitionBy(*group))
+    wants = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("at"))
+            for name, rank in ranks.items()
+        ]
     )
-    wanted = span.select(
-        *group,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("at"))
-                    for name, rank in ranks.items()
-                ]
-            )
-        ).alias("_want"),
-    ).select(*group, F.col("_want.name").alias("_name"), F.col("_want.at").alias("_rank"))
-
-    parts = list(group)
-    bounds = span.select(*group, "_lo", "_hi")
-    for level in range(levels):
-        step = f"_cell{level}"
-        counts = null_safe_join(counts, bounds, parts, "inner")
-        counts = counts.withColumn(step, _cell(F.col("_lo"), F.col("_hi"), cells)).drop("_lo", "_hi")
-        cut = counts.groupBy(*parts, step).agg(
-            F.sum("_c").alias("_cc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-        )
-        cut = cut.withColumn("_before", _running(parts, step, "_cc"))
-        wanted = null_safe_join(wanted, cut, parts, "inner").where(_holds_rank("_cc"))
-        wanted = wanted.withColumn("_rank", F.col("_rank") - F.col("_before"))
-        parts = [*parts, step]
-        bounds = wanted.select(*parts, "_lo", "_hi").distinct()
-        wanted = wanted.select(*parts, "_name", "_rank")
-
-    left = null_safe_join(counts, bounds.drop("_lo", "_hi"), parts, "left_semi")
-    left = left.withColumn("_before", _running(parts, "_v", "_c"))
-    found = null_safe_join(wanted, left, parts, "inner").where(_holds_rank("_c"))
+    coarse = coarse.withColumn("_n", total).withColumn("_w", _held(wants)).where(F.size("_w") > 0)
+
+    parts = [*group, "_cell"]
+    near = null_safe_join(counts, coarse.select(*parts, "_lo", "_hi", "_w"), parts, "inner")
+    near = near.withColumn("_sub", _width_cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    fine = near.groupBy(*parts, "_sub").agg(F.sum("_c").alias("_c"), F.first("_w").alias("_w"))
+    fine = fine.withColumn("_before", _running(parts, "_sub"))
+    fine = fine.withColumn("_w", _held(F.col("_w"))).where(F.size("_w") > 0)
+
+    parts = [*parts, "_sub"]
+    last = near.select(*parts, "_v", "_c")
+    last = null_safe_join(last, fine.select(*parts, "_w"), parts, "inner")
+    last = last.withColumn("_before", _running(parts, "_v"))
+    found = last.select(*group, "_v", F.explode(_held(F.col("_w"))).alias("_hit"))
     result = found.groupBy(*group).agg(
-        *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks]
+        *[F.max(F.when(F.col("_hit.name") == name, F.col("_v"))).alias(name) for name in ranks]
     )
     return result if keys else result.drop("_all")

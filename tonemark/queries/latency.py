@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonemark.functions.vectors import cosine
 from tonemark.operators import latency as lat
-from tonemark.operators.stats import bca_ci, ci_struct
+from tonemark.operators.stats import bca_ci, intervals
 from tonemark.queries.base import SQL_LATENCY, Check, latency, table
 
 _STATS = ["median_s", "p90_s", "p99_s", "mean_s", "min_s", "max_s"]
@@ -24,7 +24,7 @@ def _lat1(spark, sf):
 
 
 def _lat2(spark, sf):
-    return _rounded(lat.summarize(latency(spark, sf), ["model"], F.col("rtf")), _STATS)
+    return _rounded(lat.summarize(latency(spark, sf), ["model"], F.col("rtf")), _STATS).drop("n_present")
 
 
 def _sql_summary(value: str) -> str:
@@ -69,7 +69,7 @@ def _lat5(spark, sf):
 def _lat6(spark, sf):
     first = F.when(F.col("model") != "view", F.col("total_s") / 8)
     rows = latency(spark, sf).withColumn("ttfa_s", first)
-    blocks = lat.summarize_present(rows, ["model"], F.col("ttfa_s"), "ttfa")
+    blocks = lat.summaries(rows, ["model"], {"ttfa": F.col("ttfa_s")}, optional=["ttfa"])
     return blocks.select(
         "model",
         F.col("ttfa").isNotNull().alias("has_block"),
@@ -173,7 +173,7 @@ def _stat4(spark, sf):
     sim = F.when(~F.col("label").isin(3, 6), cosine(F.col("embedding"), F.col("other")))
     rows = neighbours(spark, sf).select("label", sim.alias("sim"))
     groups = rows.select("label").distinct()
-    joined = groups.join(ci_struct(rows, ["label"], F.col("sim"), "ci", n_resamples=2000), "label", "left")
+    joined = groups.join(intervals(rows, ["label"], {"ci": F.col("sim")}, n_resamples=2000), "label", "left")
     return joined.select(
         "label",
         F.col("ci").isNotNull().alias("has_block"),
