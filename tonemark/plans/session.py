@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +29,13 @@ def local_session(app: str = "tonemark", cpus: int | str = 8, **conf: str) -> Sp
     return spark
 
 
+def ship_package() -> None:
+    """Send this package's functions along with each task, so executors need no copy of it."""
+    import tonemark
+
+    cloudpickle.register_pickle_by_value(tonemark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder of ``spark.checkpoint.dir``.
 

@@ -13,6 +13,8 @@ from tonemark.operators.accuracy import (
     folded_report,
     pair_up,
     pairing_counts,
+    pooled_parts,
+    pooled_rate,
     row_rate,
     synthesis_delta,
     tone_report,
@@ -137,7 +139,26 @@ def _acc12(spark, sf):
     return blanked(spark, sf).groupBy("role").agg(empty_count(F.col("text")).alias("n_empty"))
 
 
+def flagship(spark, sf):
+    """Pooled WER and CER of both hypotheses by language, with the word breakdown, in one pass."""
+    rows = pairs(spark, sf).select("lang", "model", "ref", "hyp")
+    hyp = F.col("hyp")
+    scored = with_edits(rows, F.col("ref"), {"_w": (hyp, View()), "_c": (hyp, View("char"))})
+    return scored.groupBy("lang", "model").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        *pooled_parts(F.col("_w")),
+        pooled_rate(F.col("_c")).alias("cer"),
+    )
+
+
 QUERIES = {
+    "flagship": Check(
+        flagship,
+        sql_pooled(
+            "lang, model",
+            f"count(*) AS n_pairs, {_WORDS}, sum(cs + cd + ci) / sum(chars)::DOUBLE AS cer",
+        ),
+    ),
     "ACC1": Check(
         _row("word", "wer"),
         f"WITH {SQL_PAIRS} SELECT doc_id, model, (s + d + i) / n::DOUBLE AS wer FROM scored",
