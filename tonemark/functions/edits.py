@@ -16,8 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COUNTS = ["subs", "dels", "ins", "hits"]
-EDIT_TYPE = T.StructType([T.StructField(name, T.LongType()) for name in COUNTS])
+COST = ["errors", "units"]
+COUNTS = ["subs", "dels", "ins", "hits", *COST]
 _FIRST_MARGIN = 64
 _KEPT_BITS = 1 << 28
 
@@ -41,8 +41,10 @@ class _Band:
         for at, unit in enumerate(ref, -self.low):
             self.where[unit] = self.where.get(unit, 0) | (1 << at)
 
-    def run(self, start: int, stop: int, column: tuple[int, int]) -> tuple[list, int]:
-        """The columns after ``start`` up to ``stop``, and the cost added on the corner's diagonal."""
+    def run(
+        self, start: int, stop: int, column: tuple[int, int], keep: bool
+    ) -> tuple[list, tuple[int, int], int]:
+        """The columns after ``start`` up to ``stop``, the last one, and the corner's added cost."""
         full, corner, seen = self.full, self.corner, self.where.get
         rise, fall = column
         columns, cost = [], 0
@@ -56,48 +58,65 @@ class _Band:
             flat >>= 1
             rise = right_down | (full ^ (flat | right_up))
             fall = flat & right_up
-            columns.append((rise, fall))
-        return columns, cost
+            if keep:
+                columns.append((rise, fall))
+        return columns, (rise, fall), cost
 
 
-def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
-    """Substitutions, deletions, insertions and hits of one shortest alignment.
-
-    Among equally short alignments the walk back takes a deletion first, then an insertion when the
-    cell to the left is smaller than the diagonal one, else the diagonal.
-    """
+def _trim(ref: Sequence, hyp: Sequence) -> tuple[Sequence, Sequence, int]:
+    """Both sides without their common head and tail, and how many units those hold."""
     head, shorter = 0, min(len(ref), len(hyp))
     while head < shorter and ref[head] == hyp[head]:
         head += 1
     tail = 0
     while tail < shorter - head and ref[-1 - tail] == hyp[-1 - tail]:
         tail += 1
-    ref, hyp = ref[head : len(ref) - tail], hyp[head : len(hyp) - tail]
-    kept, rows, cols = head + tail, len(ref), len(hyp)
-    if not rows or not cols:
-        return 0, rows, cols, kept
+    return ref[head : len(ref) - tail], hyp[head : len(hyp) - tail], head + tail
+
+
+def _sweep(ref: Sequence, hyp: Sequence, keep: bool) -> tuple[int, _Band, list, list, int]:
+    """The edit cost and the band that proves it; columns only with ``keep``.
 
-    # An alignment that leaves the band has at least two more edits than |skew| + 2 margin, so a
-    # cost up to one more is exact and all shortest alignments are inside. A higher cost is still
-    # an upper bound and tells how wide the band has to be at most.
-    skew, margin = rows - cols, _FIRST_MARGIN
+    An alignment that leaves the band has at least two more edits than |skew| + 2 margin, so a cost
+    up to one more is exact and all shortest alignments are inside. A higher cost is still an upper
+    bound and tells how wide the band has to be at most.
+    """
+    cols, skew, margin = len(hyp), len(ref) - len(hyp), _FIRST_MARGIN
     while True:
         band = _Band(ref, hyp, margin)
         stride = max(1, _KEPT_BITS // band.width)
-        saved, cost, column = [], max(skew, 0), band.first
+        saved, columns, cost, column = [], [], max(skew, 0), band.first
         for start in range(0, cols, stride):
             saved.append(column)
-            columns, added = band.run(start, min(start + stride, cols), column)
-            column, cost = columns[-1], cost + added
+            columns, column, added = band.run(start, min(start + stride, cols), column, keep)
+            cost += added
         if cost <= abs(skew) + 2 * margin + 1:
-            break
+            return cost, band, saved, columns, stride
         margin = min(4 * margin, (cost - abs(skew) + 1) // 2)
 
+
+def edit_cost(ref: Sequence, hyp: Sequence) -> int:
+    """Edits of a shortest alignment."""
+    ref, hyp, _ = _trim(ref, hyp)
+    return _sweep(ref, hyp, keep=False)[0] if ref and hyp else len(ref) + len(hyp)
+
+
+def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
+    """Substitutions, deletions, insertions and hits of one shortest alignment.
+
+    Among equally short alignments the walk back takes a deletion first, then an insertion when the
+    cell to the left is smaller than the diagonal one, else the diagonal.
+    """
+    ref, hyp, kept = _trim(ref, hyp)
+    rows, cols = len(ref), len(hyp)
+    if not rows or not cols:
+        return 0, rows, cols, kept
+    _, band, saved, columns, stride = _sweep(ref, hyp, keep=True)
     subs = dels = ins = hits = 0
     i, j = rows, cols
     for start in reversed(range(0, cols, stride)):
         if start + stride < cols:
-            columns, _ = band.run(start, start + stride, saved[start // stride])
+            columns, _, _ = band.run(start, start + stride, saved[start // stride], keep=True)
         while i and j > start:
             bit = i - j - 1 - band.low
             left = columns[j - start - 2] if j - start > 1 else saved[start // stride]
@@ -117,37 +136,40 @@ def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
     return subs, dels + i, ins + j, hits + kept
 
 
-def _frame(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=COUNTS, dtype="int64")
+def _struct(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.LongType()) for name in names])
 
 
-@F.pandas_udf(EDIT_TYPE)
-def _words(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    return _frame([count_edits(r.split(), h.split()) for r, h in zip(ref, hyp)])
+def _counts(ref: Sequence, hyp: Sequence) -> tuple[int, ...]:
+    subs, dels, ins, hits = count_edits(ref, hyp)
+    return subs, dels, ins, hits, subs + dels + ins, subs + dels + hits
 
 
-@F.pandas_udf(EDIT_TYPE)
-def _chars(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    return _frame([count_edits(r, h) for r, h in zip(ref, hyp)])
+def _cost(ref: Sequence, hyp: Sequence) -> tuple[int, ...]:
+    return edit_cost(ref, hyp), len(ref)
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Edits between texts already normalised, by word."""
-    return _words(ref, hyp)
+def _udf(score, split, names: list[str]):
+    @F.pandas_udf(_struct(names))
+    def scored(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+        rows = [score(split(r), split(h)) for r, h in zip(ref, hyp)]
+        return pd.DataFrame(rows, columns=names, dtype="int64")
 
+    return scored
 
-def char_edits(ref: Column, hyp: Column) -> Column:
-    """Edits between texts already normalised, by character; spaces count."""
-    return _chars(ref, hyp)
 
+_UDFS = {
+    ("word", True): _udf(_counts, str.split, COUNTS),
+    ("word", False): _udf(_cost, str.split, COST),
+    ("char", True): _udf(_counts, str, COUNTS),
+    ("char", False): _udf(_cost, str, COST),
+}
 
-def edits(ref: Column, hyp: Column, unit: str) -> Column:
-    return {"word": word_edits, "char": char_edits}[unit](ref, hyp)
 
+def edits(ref: Column, hyp: Column, unit: str, parts: bool = True) -> Column:
+    """Edits between texts already normalised, by word or by character; spaces are characters.
 
-def total_edits(counts: Column) -> Column:
-    return counts["subs"] + counts["dels"] + counts["ins"]
-
-
-def ref_units(counts: Column) -> Column:
-    return counts["subs"] + counts["dels"] + counts["hits"]
+    The struct holds ``errors`` and ``units`` (of the reference), and with ``parts`` also ``subs``,
+    ``dels``, ``ins`` and ``hits``.
+    """
+    return _UDFS[unit, parts](ref, hyp)

@@ -33,9 +33,19 @@ ALPHABET = (
 # Duration buckets in seconds, lower bound inclusive, upper exclusive.
 BUCKETS = {"short": (0.0, 3.0), "medium": (3.0, 10.0), "long": (10.0, 30.0)}
 
-# Code points that every string may hold and still be in composed form: Latin up to the spacing
-# modifiers, precomposed Vietnamese, and general punctuation. Anything else goes to the UDF.
-_MAYBE_UNCOMPOSED = "[^\\x{0}-\\x{2ff}\\x{1ea0}-\\x{1ef9}\\x{2010}-\\x{2027}]"
+# Java tests the parts of a character class one after another, so on long texts the form of a class
+# decides the run time. These put the common case first: a look-ahead that turns ordinary
+# characters away at once, or a positive class that starts with the printable ASCII range.
+_PLAIN_AHEAD = "(?![!-~])"
+SPACES = f"{_PLAIN_AHEAD}[{SPACE}]+"
+NON_SPACE = (
+    "[!-~\\x{0}-\\x{8}\\x{e}-\\x{1b}\\x{7f}-\\x{84}\\x{86}-\\x{9f}\\x{a1}-\\x{167f}"
+    "\\x{1681}-\\x{1fff}\\x{200b}-\\x{2027}\\x{202a}-\\x{202e}\\x{2030}-\\x{205e}"
+    "\\x{2060}-\\x{2fff}\\x{3001}-\\x{10ffff}]"
+)
+# Only these can be in a string that is not composed: everything but Latin up to the spacing
+# modifiers, precomposed Vietnamese, and general punctuation. Such strings go to the UDF.
+_MAYBE_UNCOMPOSED = "[\\x{300}-\\x{1e9f}\\x{1efa}-\\x{200f}\\x{2028}-\\x{10ffff}]"
 _NOT_WORD_BEFORE = "(?<![\\p{L}\\p{N}_])"
 _NOT_WORD_AFTER = "(?![\\p{L}\\p{N}_])"
 
@@ -53,16 +63,21 @@ def nfc(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
+
+
+def is_blank(text: Column) -> Column:
+    """Null, empty, or white space only."""
+    return ~F.coalesce(text.rlike(NON_SPACE), F.lit(False))
 
 
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def word_count(text: Column) -> Column:
     """TXT8: words separated by white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(f"{NON_SPACE}+")), F.lit(0)).cast("bigint")
 
 
 @lru_cache
@@ -129,7 +144,7 @@ def fold_spelling(text: Column) -> Column:
 def match_key(text: Column) -> Column:
     """TXT4: form for finding equal texts; punctuation is deleted, not turned into a space."""
     lowered = F.lower(nfc(F.coalesce(text, F.lit(""))))
-    return collapse_space(F.regexp_replace(lowered, PUNCT_CLASS, ""))
+    return collapse_space(F.regexp_replace(lowered, f"(?![a-z ]){PUNCT_CLASS}", ""))
 
 
 def ingest_form(text: Column) -> Column:
@@ -175,7 +190,7 @@ def preview(text: Column, length: int = 60) -> Column:
 
 def repair_for_training(text: Column) -> Column:
     """TXT11: the only repairs a training text may get: composition, case, white space."""
-    spaced = F.regexp_replace(F.lower(nfc(text)), f"[{SPACE}\\x{{200b}}\\x{{200c}}]+", " ")
+    spaced = F.regexp_replace(F.lower(nfc(text)), f"{_PLAIN_AHEAD}[{SPACE}\\x{{200b}}\\x{{200c}}]+", " ")
     return F.trim(spaced)
 
 
@@ -200,3 +215,9 @@ def digit_class() -> str:
 def outside_alphabet_class() -> str:
     """Characters a lower-case transcript must not hold."""
     return f"[^{ALPHABET}{PUNCT_CLASS[1:-1]}{digit_class()}]"
+
+
+def outside_alphabet() -> str:
+    """The same as a pattern, with the ASCII characters that may occur turned away first."""
+    common = "".join(f"\\{c}" for c in string.punctuation) + string.ascii_lowercase + string.digits
+    return f"(?![{common} ]){outside_alphabet_class()}"

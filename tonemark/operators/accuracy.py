@@ -8,19 +8,27 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonemark.functions.edits import edits, ref_units, total_edits
-from tonemark.functions.text import normalize, strip
+from tonemark.functions.edits import edits
+from tonemark.functions.text import is_blank, normalize
 
 RATE = {"word": "wer", "char": "cer"}
 UNITS = {"word": "ref_words", "char": "ref_chars"}
 
 
 class View(NamedTuple):
-    """How pairs are scored: by word or character, with or without tones, folded or not."""
+    """How pairs are scored: by word or character, with or without tones, folded or not.
+
+    ``parts`` asks for substitutions, deletions, insertions and hits; a rate alone is cheaper.
+    """
 
     unit: str = "word"
     keep_tone: bool = True
     fold: bool = False
+    parts: bool = True
+
+
+RATE_ONLY = View(parts=False)
+CHAR_RATE = View("char", parts=False)
 
 
 def pair_up(refs: DataFrame, hyps: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
@@ -66,22 +74,25 @@ def with_edits(
         return F.col(name)
 
     for name, (hyp, view) in targets.items():
-        scored[name] = edits(form(ref, view), form(hyp, view), view.unit)
+        scored[name] = edits(form(ref, view), form(hyp, view), view.unit, view.parts)
     return pairs.withColumns(columns).withColumns(scored).drop(*columns)
 
 
 def row_rate(counts: Column) -> Column:
     """ACC1, ACC2: rate of one pair. Without reference units it is 0 or, with a hypothesis, 1."""
-    empty = F.when(counts["ins"] > 0, 1.0).otherwise(0.0)
-    return F.when(ref_units(counts) == 0, empty).otherwise(total_edits(counts) / ref_units(counts))
+    errors, units = counts["errors"], counts["units"]
+    return F.when(units == 0, F.when(errors > 0, 1.0).otherwise(0.0)).otherwise(errors / units)
 
 
 def pooled_rate(counts: Column) -> Column:
-    """ACC3-ACC5: all edits over all reference units of a group; an aggregate column."""
-    units, errors = F.sum(ref_units(counts)), F.sum(total_edits(counts))
+    """ACC3-ACC5: all edits over all reference units of a group; an aggregate column.
+
+    Without reference units every edit is an insertion, which makes the group an error.
+    """
+    units, errors = F.sum(counts["units"]), F.sum(counts["errors"])
     broken = F.raise_error(F.lit("no reference units, but the hypotheses hold some")).cast("double")
     return (
-        F.when((units == 0) & (F.sum(counts["ins"]) > 0), broken)
+        F.when((units == 0) & (errors > 0), broken)
         .when(units == 0, F.lit(0.0))
         .otherwise(errors / units)
     )
@@ -95,7 +106,7 @@ def pooled_parts(counts: Column, unit: str = "word", prefix: str = "") -> list[C
         F.sum(counts["dels"]).alias(prefix + "deletions"),
         F.sum(counts["ins"]).alias(prefix + "insertions"),
         F.sum(counts["hits"]).alias(prefix + "hits"),
-        F.sum(ref_units(counts)).alias(prefix + UNITS[unit]),
+        F.sum(counts["units"]).alias(prefix + UNITS[unit]),
     ]
 
 
@@ -111,9 +122,9 @@ def tone_report(pairs: DataFrame, keys: Sequence[str], ref: Column, hyp: Column)
     """ACC8: rates with and without tones in one pass, and the share of the WER due to tones."""
     targets = {
         "_w": (hyp, View("word")),
-        "_c": (hyp, View("char")),
-        "_wn": (hyp, View("word", keep_tone=False)),
-        "_cn": (hyp, View("char", keep_tone=False)),
+        "_c": (hyp, CHAR_RATE),
+        "_wn": (hyp, RATE_ONLY._replace(keep_tone=False)),
+        "_cn": (hyp, CHAR_RATE._replace(keep_tone=False)),
     }
     scored = with_edits(pairs, ref, targets)
     rates = scored.groupBy(*keys).agg(
@@ -127,7 +138,7 @@ def tone_report(pairs: DataFrame, keys: Sequence[str], ref: Column, hyp: Column)
 
 def folded_report(pairs: DataFrame, keys: Sequence[str], ref: Column, hyp: Column) -> DataFrame:
     """ACC9: the main WER with the folded WER next to it."""
-    scored = with_edits(pairs, ref, {"_w": (hyp, View()), "_f": (hyp, View(fold=True))})
+    scored = with_edits(pairs, ref, {"_w": (hyp, RATE_ONLY), "_f": (hyp, RATE_ONLY._replace(fold=True))})
     return scored.groupBy(*keys).agg(
         pooled_rate(F.col("_w")).alias("wer"), pooled_rate(F.col("_f")).alias("wer_folded")
     )
@@ -137,7 +148,7 @@ def synthesis_delta(
     triples: DataFrame, keys: Sequence[str], ref: Column, first: Column, second: Column
 ) -> DataFrame:
     """ACC10: WER of the first pass and of the round trip, and their difference."""
-    scored = with_edits(triples, ref, {"_first": (first, View()), "_second": (second, View())})
+    scored = with_edits(triples, ref, {"_first": (first, RATE_ONLY), "_second": (second, RATE_ONLY)})
     rates = scored.groupBy(*keys).agg(
         pooled_rate(F.col("_first")).alias("asr_wer"), pooled_rate(F.col("_second")).alias("rt_wer")
     )
@@ -151,4 +162,4 @@ def bad_row_pct(counts: Column, limit: float = 0.5) -> Column:
 
 def empty_count(hyp: Column) -> Column:
     """ACC12: hypotheses that are blank; an aggregate column."""
-    return F.count_if(F.coalesce(strip(hyp), F.lit("")) == "")
+    return F.count_if(is_blank(hyp))

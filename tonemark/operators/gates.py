@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tonemark.functions.text import normalize
 from tonemark.operators.accuracy import (
+    CHAR_RATE,
+    RATE_ONLY,
     View,
     bad_row_pct,
     empty_count,
@@ -91,7 +93,7 @@ def benchmark_measures(
     results: DataFrame, keys: Sequence[str], ref: Column, hyp: Column, infer_s: Column
 ) -> DataFrame:
     """GATE4: the per-utterance measurements, named like their gates."""
-    scored = with_edits(results, ref, {"_w": (hyp, View()), "_c": (hyp, View("char"))})
+    scored = with_edits(results, ref, {"_w": (hyp, RATE_ONLY), "_c": (hyp, CHAR_RATE)})
     rates = scored.groupBy(*keys).agg(
         pooled_rate(F.col("_w")).alias("wer_max"),
         pooled_rate(F.col("_c")).alias("cer_max"),
@@ -105,7 +107,7 @@ def longform_measures(
     results: DataFrame, keys: Sequence[str], ref: Column, hyp: Column, rtf: Column
 ) -> DataFrame:
     """GATE4: WER and real-time factor of long recordings."""
-    scored = with_edits(results, ref, {"_w": (hyp, View())})
+    scored = with_edits(results, ref, {"_w": (hyp, RATE_ONLY)})
     return scored.groupBy(*keys).agg(
         pooled_rate(F.col("_w")).alias("wer_max"), F.max(rtf).alias("rtf_max")
     )
@@ -129,7 +131,7 @@ def unstable_runs(runs: DataFrame, key: str, run: str, text: str) -> DataFrame:
 
 def qc_measures(checked: DataFrame, keys: Sequence[str], ref: Column, hyp: Column) -> DataFrame:
     """GATE7: rows checked, pooled WER and bad rows; too few rows leave only the row count."""
-    scored = with_edits(checked, ref, {"_w": (hyp, View())})
+    scored = with_edits(checked, ref, {"_w": (hyp, RATE_ONLY)})
     flat = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("DST-qc-n"),
         pooled_rate(F.col("_w")).alias("DST-qc-wer"),
@@ -149,7 +151,7 @@ def compare_models(
     scored = with_edits(
         results,
         ref,
-        {"_w": (hyp, View()), "_f": (hyp, View(fold=True)), "_c": (hyp, View("char"))},
+        {"_w": (hyp, View()), "_f": (hyp, RATE_ONLY._replace(fold=True)), "_c": (hyp, CHAR_RATE)},
     )
     table = scored.groupBy(model).agg(
         *pooled_parts(F.col("_w")),
@@ -185,5 +187,5 @@ def compare_settings(table: DataFrame, setting: str, order: str) -> DataFrame:
 
 def flag_rows(results: DataFrame, ref: Column, hyp: Column, out: str = "wer") -> DataFrame:
     """Row-level WER next to the pair, as the quality check of a set keeps it."""
-    scored = with_edits(results, ref, {"_w": (hyp, View())})
+    scored = with_edits(results, ref, {"_w": (hyp, RATE_ONLY)})
     return scored.withColumn(out, row_rate(F.col("_w"))).drop("_w")

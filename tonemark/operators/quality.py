@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from tonemark.functions.text import (
     ODD_SPACE_CLASS,
     PUNCT_CLASS,
+    is_blank,
     match_key,
     nfc,
-    outside_alphabet_class,
+    outside_alphabet,
     repair_for_training,
-    strip,
     word_count,
 )
 
@@ -55,14 +55,14 @@ def text_flags(df: DataFrame, text: Column, min_words: int = MIN_WORDS) -> DataF
     df = df.withColumn("_text", F.coalesce(text, F.lit("")))
     df = df.withColumn("_composed", nfc(F.col("_text")))
     raw, composed = F.col("_text"), F.col("_composed")
-    blank = strip(raw) == ""
+    blank = is_blank(raw)
     flags = {
         "has_upper": raw.rlike("\\p{Lu}"),
         "has_punct": raw.rlike(PUNCT_CLASS),
         "has_digit": raw.rlike("[0-9]"),
         "not_composed": raw != composed,
         "has_odd_space": raw.rlike(ODD_SPACE_CLASS),
-        "outside_alphabet": F.lower(composed).rlike(outside_alphabet_class()),
+        "outside_alphabet": F.lower(composed).rlike(outside_alphabet()),
         "too_short": word_count(composed) < min_words,
     }
     columns = {"is_empty": blank, **{name: ~blank & flag for name, flag in flags.items()}}
@@ -90,8 +90,8 @@ def text_percentages(
 def offending_characters(df: DataFrame, text: Column, top: int = 5) -> DataFrame:
     """TQ7: the most frequent characters outside the alphabet, each counted once per row."""
     lowered = F.lower(nfc(text))
-    found = F.regexp_extract_all(lowered, F.lit(outside_alphabet_class()), F.lit(0))
-    rows = df.where(strip(text) != "").select(F.explode(F.array_distinct(found)).alias("char"))
+    found = F.regexp_extract_all(lowered, F.lit(outside_alphabet()), F.lit(0))
+    rows = df.where(~is_blank(text)).select(F.explode(F.array_distinct(found)).alias("char"))
     counts = rows.groupBy("char").agg(F.count(F.lit(1)).alias("n_rows"))
     return counts.orderBy(F.desc("n_rows"), "char").limit(top)
 

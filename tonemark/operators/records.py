@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemark.functions.vectors import cosine
-from tonemark.operators.accuracy import View, pooled_rate, with_edits
+from tonemark.operators.accuracy import CHAR_RATE, View, pooled_rate, with_edits
 from tonemark.operators.latency import summaries
 from tonemark.operators.stats import intervals
 from tonemark.plans.blocks import null_safe_join
@@ -76,11 +76,12 @@ def report(
     """REC5: accuracy, latency and fidelity of each run, one row per key."""
     ref = F.col("ref_text")
     asr, rt = F.col("asr_text"), F.col("roundtrip_text")
-    word, char = View("word", keep_tone), View("char", keep_tone)
+    word = View(keep_tone=keep_tone)
+    rate, char = word._replace(parts=False), CHAR_RATE._replace(keep_tone=keep_tone)
     scored = with_edits(
         records.select(*keys, "ref_text", "asr_text", "roundtrip_text"),
         ref,
-        {"_aw": (asr, word), "_ac": (asr, char), "_rw": (rt, word), "_rc": (rt, char)},
+        {"_aw": (asr, word), "_ac": (asr, char), "_rw": (rt, rate), "_rc": (rt, char)},
     )
     table = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),

@@ -8,6 +8,7 @@ are seeded by the seed, the group and the replicate block or value, so a lost ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from statistics import NormalDist
 
@@ -62,14 +63,14 @@ def _resampler(statistic: Callable, n_resamples: int) -> Callable:
     share = -(-n_resamples // REPLICATE_BLOCKS)
 
     def one(values: np.ndarray, seed: int, block: int) -> np.ndarray:
-        rng = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), block]))
-        wanted = max(0, min(share, n_resamples - block * share))
-        rows = max(1, _DRAWS_AT_ONCE // len(values))
-        parts = [
-            statistic(values[rng.integers(0, len(values), (min(rows, wanted - done), len(values)))], axis=-1)
-            for done in range(0, wanted, rows)
-        ]
-        return np.concatenate(parts) if parts else np.empty(0)
+        rng = np.random.Generator(np.random.SFC64([seed & (2**64 - 1), block]))
+        size, wanted = len(values), max(0, min(share, n_resamples - block * share))
+        rows = max(1, _DRAWS_AT_ONCE // size)
+        parts = [np.empty(0)]
+        for done in range(0, wanted, rows):
+            drawn = rng.integers(0, size, (min(rows, wanted - done), size), dtype=np.uint32)
+            parts.append(statistic(values.take(drawn), axis=-1))
+        return np.concatenate(parts)
 
     @F.pandas_udf(_ARRAY)
     def resample(values: pd.Series, seed: pd.Series, block: pd.Series) -> pd.Series:
@@ -78,16 +79,38 @@ def _resampler(statistic: Callable, n_resamples: int) -> Callable:
     return resample
 
 
+# A Poisson(1) weight is the number of these limits that a uniform 32-bit number reaches: the
+# distribution function at 0, 1, 2, ... up to the last value such a number can tell apart.
+_UNIT_LIMITS = [
+    round(2**32 * sum(math.exp(-1) / math.factorial(k) for k in range(top + 1))) for top in range(12)
+]
+
+
+def _weights(rng: np.random.Generator, count: int, size: int) -> np.ndarray:
+    """Poisson weights with mean ``count``; copies of one value are drawn together."""
+    if count > 1:
+        return rng.poisson(count, size).astype(np.float64)
+    uniform = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+    drawn = np.zeros(size, np.uint8)
+    for limit in _UNIT_LIMITS:
+        reached = uniform >= limit
+        if not reached.any():
+            break
+        drawn += reached
+    return drawn.astype(np.float64)
+
+
 def _poisson_sums(keys: Sequence[str], n_resamples: int) -> Callable:
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, rows in batch.groupby(list(keys), dropna=False, sort=False):
                 total, weight = np.zeros(n_resamples), np.zeros(n_resamples)
                 for value, count, seed in zip(rows["_v"], rows["_c"], rows["_seed"]):
-                    rng = np.random.Generator(np.random.Philox(key=seed & (2**64 - 1)))
-                    drawn = rng.poisson(count, n_resamples)
-                    total += drawn * value
+                    rng = np.random.Generator(np.random.SFC64(seed & (2**64 - 1)))
+                    drawn = _weights(rng, count, n_resamples)
                     weight += drawn
+                    drawn *= value
+                    total += drawn
                 out = {name: [part] * n_resamples for name, part in zip(keys, key)}
                 yield pd.DataFrame(
                     {**out, "_b": np.arange(n_resamples), "_t": total, "_w": weight}

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tonemark.functions import text as tx
 from tonemark.operators.accuracy import (
+    CHAR_RATE,
+    RATE_ONLY,
     View,
     bad_row_pct,
     corpus_rate,
@@ -46,7 +48,7 @@ _CHARS = (
 
 def _row(unit: str, name: str):
     def run(spark, sf):
-        view = View(unit)
+        view = View(unit, parts=False)
         scored = with_edits(pairs(spark, sf), F.col("ref"), {"_e": (F.col("hyp"), view)})
         return scored.select("doc_id", "model", row_rate(F.col("_e")).alias(name))
 
@@ -125,7 +127,7 @@ damaged AS (
 
 
 def _acc11(spark, sf):
-    scored = with_edits(damaged(spark, sf), F.col("ref"), {"_e": (F.col("hyp"), View())})
+    scored = with_edits(damaged(spark, sf), F.col("ref"), {"_e": (F.col("hyp"), RATE_ONLY)})
     return scored.groupBy("lang").agg(F.round(bad_row_pct(F.col("_e")), 9).alias("bad_pct"))
 
 
@@ -143,7 +145,7 @@ def flagship(spark, sf):
     """Pooled WER and CER of both hypotheses by language, with the word breakdown, in one pass."""
     rows = pairs(spark, sf).select("lang", "model", "ref", "hyp")
     hyp = F.col("hyp")
-    scored = with_edits(rows, F.col("ref"), {"_w": (hyp, View()), "_c": (hyp, View("char"))})
+    scored = with_edits(rows, F.col("ref"), {"_w": (hyp, View()), "_c": (hyp, CHAR_RATE)})
     return scored.groupBy("lang", "model").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         *pooled_parts(F.col("_w")),

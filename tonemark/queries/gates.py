@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonemark.operators import gates as gt
-from tonemark.operators.accuracy import pooled_rate, with_edits, View
+from tonemark.operators.accuracy import RATE_ONLY, pooled_rate, with_edits
 from tonemark.operators.quality import TEXT_RULES, text_percentages
 from tonemark.queries.accuracy import SQL_DAMAGED, damaged
 from tonemark.queries.base import SQL_NOISY, SQL_PAIRS, Check, noisy, pairs, table
@@ -175,7 +175,7 @@ FROM scored JOIN speed USING (model) GROUP BY model
 def _cmp2(spark, sf):
     """Every source stands for one setting; its number is the order in which it was tried."""
     rows = timed_pairs(spark, sf).withColumnRenamed("source", "setting")
-    scored = with_edits(rows, F.col("ref"), {"_w": (F.col("hyp"), View())})
+    scored = with_edits(rows, F.col("ref"), {"_w": (F.col("hyp"), RATE_ONLY)})
     per_setting = scored.groupBy("setting").agg(
         pooled_rate(F.col("_w")).alias("wer"), (F.sum("n_chars") / 1000).alias("infer_s")
     )
