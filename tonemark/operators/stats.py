@@ -36,7 +36,10 @@ def bca_bounds(
 ) -> tuple[float, float]:
     """Ends of the interval, NaN where the correction is not finite."""
     normal = NormalDist()
-    below = np.count_nonzero(replicates < point) + np.count_nonzero(replicates <= point)
+    # sums come in any order, so a replicate equal to the point may differ in its last digits
+    slack = 1e-10 * np.ptp(replicates)
+    below = np.count_nonzero(replicates < point - slack)
+    below += np.count_nonzero(replicates <= point + slack)
     share = below / (2 * len(replicates))
     if not 0 < share < 1 or not np.isfinite(acceleration):
         return float("nan"), float("nan")
@@ -178,7 +181,9 @@ def bca_ci(
             ]
         )
         sums = big.mapInPandas(_poisson_sums(group, n_resamples), schema)
-        means = sums.groupBy(*group, "_b").agg((F.sum("_t") / F.sum("_w")).alias("_m"))
+        sums = sums.groupBy(*group, "_b").agg(F.sum("_t").alias("_t"), F.sum("_w").alias("_w"))
+        # a replicate that drew no row has no mean
+        means = sums.where(F.col("_w") > 0).withColumn("_m", F.col("_t") / F.col("_w"))
         poisson = means.groupBy(*group).agg(F.collect_list("_m").alias("_replicates"))
         replicates = replicates.drop("_values").unionByName(poisson)
 
