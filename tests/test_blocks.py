@@ -72,3 +72,23 @@ def test_running_max_and_neighbours(frame, rows, size):
             for i, r in enumerate(members)
         }
         assert {r.at: (r.m, r.before, r.after) for r in got if r.g == g} == want
+
+
+def test_groups_with_a_null_key_survive_a_shuffled_join(spark, frame, rows):
+    """Nothing small enough to broadcast: the carry comes by a sort-merge join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = blocks.running_total(frame, ["g"], "at", F.col("v"), "s", block_rows=7)
+        got = {(r.g, r.at): r.s for r in made.collect()}
+        plan = made._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    for g, members in groups(rows).items():
+        total = 0.0
+        for r in members:
+            assert got.pop((g, r[1])) == total
+            total += r[3]
+    assert not got

@@ -21,7 +21,8 @@ MAX_REPEAT = 5
 
 def text_digest(text: Column) -> Column:
     """Digest of the match key: equal for texts that differ in case, punctuation or spacing."""
-    return F.unhex(F.sha2(match_key(text), 256))
+    # never null, so that joins add no filter that would compute the key a second time
+    return F.coalesce(F.unhex(F.sha2(match_key(text), 256)), F.lit(b""))
 
 
 def content_digest(content: Column) -> Column:

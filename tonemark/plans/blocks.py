@@ -9,7 +9,7 @@ are whole numbers, unique within a group and close to dense, so that a block hol
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 18
 _BLOCK = "_block"
+_PART = "_part"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -32,23 +33,33 @@ def _before(keys: Sequence[str], order: Sequence[str]) -> Window:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _with_part(df: DataFrame, keys: Sequence[str], block: Column, lead: Sequence[str] = ()) -> DataFrame:
+    """Add the block and one struct that names group and block.
+
+    Grouping, join and window all use the struct, so rows are shuffled once. A struct is never null
+    and treats null fields as equal, so groups with a null key take part like any other.
+    """
+    df = df.withColumn(_BLOCK, block)
+    return df.withColumn(_PART, F.struct(*keys, *lead, _BLOCK))
+
+
 def _carry(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
     summary: Column,
-    combine: Callable[[Column], Column],
-    out: str = "_carry",
+    combined: Mapping[str, Column],
+    lead: Sequence[str] = (),
 ) -> DataFrame:
-    """Add to every row what ``combine`` makes of the summaries of the blocks before its own."""
-    parts = [*keys, *order]
-    blocks = df.groupBy(*parts).agg(summary.alias("_summary"))
-    blocks = blocks.withColumn(out, combine(F.col("_summary"))).drop("_summary")
-    return null_safe_join(df, blocks, parts, "left")
+    """Add to every row columns made of the summaries of all blocks of its group.
 
+    ``combined`` holds window expressions over ``_summary``; one row per block is all they see.
+    """
+    blocks = df.groupBy(_PART, *keys, *lead, _BLOCK).agg(summary.alias("_summary"))
+    return df.join(blocks.select(_PART, *[c.alias(n) for n, c in combined.items()]), _PART)
 
-def with_block(df: DataFrame, order: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return df.withColumn(_BLOCK, F.floor(F.col(order) / block_rows))
+
+def _restore(df: DataFrame, columns: Sequence[str], out: Mapping[str, Column]) -> DataFrame:
+    return df.select(*columns, *[c.alias(name) for name, c in out.items()])
 
 
 def number_rows(
@@ -64,19 +75,17 @@ def number_rows(
 
     ``lead`` names columns with few values that sort before ``order``.
     """
-    df = with_block(df, order, block_rows)
-    steps = [*lead, _BLOCK]
-    parts = [*keys, *steps]
-    group = Window.partitionBy(*keys)
-    blocks = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"))
-    blocks = blocks.withColumn(
-        "_carry", F.coalesce(F.sum("_rows").over(_before(keys, steps)), F.lit(0))
-    )
+    blocked = _with_part(df, keys, F.floor(F.col(order) / block_rows), lead)
+    earlier = F.sum("_summary").over(_before(keys, [*lead, _BLOCK]))
+    combined = {"_carry": F.coalesce(earlier, F.lit(0))}
+    if total:
+        combined["_total"] = F.sum("_summary").over(Window.partitionBy(*keys))
+    carried = _carry(blocked, keys, F.count(F.lit(1)), combined, lead)
+    inside = F.row_number().over(Window.partitionBy(_PART).orderBy(order))
+    made = {out: F.col("_carry") + inside - 1}
     if total:
-        blocks = blocks.withColumn(total, F.sum("_rows").over(group))
-    numbered = null_safe_join(df, blocks.drop("_rows"), parts, "left")
-    inside = F.row_number().over(Window.partitionBy(*parts).orderBy(order))
-    return numbered.withColumn(out, F.col("_carry") + inside - 1).drop("_carry", _BLOCK)
+        made[total] = F.col("_total")
+    return _restore(carried, df.columns, made)
 
 
 def running_total(
@@ -88,14 +97,14 @@ def running_total(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the group before this one, 0 for the first."""
-    df = with_block(df.withColumn("_value", value), order, block_rows)
-    df = _carry(
-        df, keys, [_BLOCK], F.sum("_value"), lambda s: F.sum(s).over(_before(keys, [_BLOCK]))
-    )
-    inside = F.sum("_value").over(_before([*keys, _BLOCK], [order]))
+    blocked = _with_part(df.withColumn("_value", value), keys, F.floor(F.col(order) / block_rows))
+    earlier = F.sum("_summary").over(_before(keys, [_BLOCK]))
+    carried = _carry(blocked, keys, F.sum("_value"), {"_carry": earlier})
+    inside = F.sum("_value").over(_before([_PART], [order]))
     zero = F.lit(0)
-    df = df.withColumn(out, F.coalesce(F.col("_carry"), zero) + F.coalesce(inside, zero))
-    return df.drop("_carry", "_value", _BLOCK)
+    return _restore(
+        carried, df.columns, {out: F.coalesce("_carry", zero) + F.coalesce(inside, zero)}
+    )
 
 
 def running_max(
@@ -107,12 +116,11 @@ def running_max(
     block: Column,
 ) -> DataFrame:
     """Largest ``value`` over the rows of the group before this one, null for the first."""
-    df = df.withColumn("_value", value).withColumn(_BLOCK, block)
-    df = _carry(
-        df, keys, [_BLOCK], F.max("_value"), lambda s: F.max(s).over(_before(keys, [_BLOCK]))
-    )
-    inside = F.max("_value").over(_before([*keys, _BLOCK], order))
-    return df.withColumn(out, F.greatest("_carry", inside)).drop("_carry", "_value", _BLOCK)
+    blocked = _with_part(df.withColumn("_value", value), keys, block)
+    earlier = F.max("_summary").over(_before(keys, [_BLOCK]))
+    carried = _carry(blocked, keys, F.max("_value"), {"_carry": earlier})
+    inside = F.max("_value").over(_before([_PART], order))
+    return _restore(carried, df.columns, {out: F.greatest("_carry", inside)})
 
 
 def neighbour(
@@ -125,17 +133,12 @@ def neighbour(
     ahead: bool = False,
 ) -> DataFrame:
     """``value`` of the row before this one in the group, or after it with ``ahead``."""
-    df = df.withColumn("_value", value).withColumn(_BLOCK, block)
-    rank = F.struct(*order)
-    blocks = Window.partitionBy(*keys).orderBy(_BLOCK)
-    rows = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    if ahead:
-        edge, shift = F.min_by("_value", rank), F.lead
-        at_edge = F.lead(F.lit(1)).over(rows).isNull()
-    else:
-        edge, shift = F.max_by("_value", rank), F.lag
-        at_edge = F.lag(F.lit(1)).over(rows).isNull()
-    df = _carry(df, keys, [_BLOCK], edge, lambda s: shift(s).over(blocks))
+    blocked = _with_part(df.withColumn("_value", value), keys, block)
+    shift = F.lead if ahead else F.lag
+    edge = (F.min_by if ahead else F.max_by)("_value", F.struct(*order))
+    across = shift("_summary").over(Window.partitionBy(*keys).orderBy(_BLOCK))
+    carried = _carry(blocked, keys, edge, {"_carry": across})
+    rows = Window.partitionBy(_PART).orderBy(*order)
+    at_edge = shift(F.lit(1)).over(rows).isNull()
     inside = shift(F.col("_value")).over(rows)
-    df = df.withColumn(out, F.when(at_edge, F.col("_carry")).otherwise(inside))
-    return df.drop("_carry", "_value", _BLOCK)
+    return _restore(carried, df.columns, {out: F.when(at_edge, F.col("_carry")).otherwise(inside)})

@@ -14,8 +14,6 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonemark.plans.blocks import null_safe_join
-
 CELLS_PER_OCTAVE = 256
 SMALLEST = 2.0**20
 WIDTHS = 4096
@@ -61,42 +59,41 @@ def order_statistics(
     ``ranks`` maps an output name to a function from the number of usable values to a rank counted
     from 0. Null and NaN are dropped first; a group without other values has no row.
     """
-    group = list(keys) or ["_all"]
-    if not keys:
-        df = df.withColumn("_all", F.lit(0))
+    # one struct names the group: joins and groupings on it treat null keys as equal
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
     counts = (
-        df.select(*group, value.cast("double").alias("_v"))
+        df.select(group.alias("_g"), value.cast("double").alias("_v"))
         .where(usable(F.col("_v")))
-        .groupBy(*group, "_v")
+        .groupBy("_g", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_cell", _log_cell(F.col("_v")))
     )
-    ends = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
-    coarse = counts.groupBy(*group, "_cell").agg(F.sum("_c").alias("_c"), *ends)
-    coarse = coarse.withColumn("_before", _running(group, "_cell"))
-    total = F.sum("_c").over(Window.partitionBy(*group))
+    coarse = counts.groupBy("_g", "_cell").agg(
+        F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
+    coarse = coarse.withColumn("_before", _running(["_g"], "_cell"))
+    coarse = coarse.withColumn("_n", F.sum("_c").over(Window.partitionBy("_g")))
     wants = F.array(
         *[
             F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("at"))
             for name, rank in ranks.items()
         ]
     )
-    coarse = coarse.withColumn("_n", total).withColumn("_w", _held(wants)).where(F.size("_w") > 0)
+    coarse = coarse.withColumn("_w", _held(wants)).where(F.size("_w") > 0)
 
-    parts = [*group, "_cell"]
-    near = null_safe_join(counts, coarse.select(*parts, "_lo", "_hi", "_w"), parts, "inner")
+    parts = ["_g", "_cell"]
+    near = counts.join(coarse.select(*parts, "_lo", "_hi", "_w"), parts)
     near = near.withColumn("_sub", _width_cell(F.col("_v"), F.col("_lo"), F.col("_hi")))
     fine = near.groupBy(*parts, "_sub").agg(F.sum("_c").alias("_c"), F.first("_w").alias("_w"))
     fine = fine.withColumn("_before", _running(parts, "_sub"))
     fine = fine.withColumn("_w", _held(F.col("_w"))).where(F.size("_w") > 0)
 
     parts = [*parts, "_sub"]
-    last = near.select(*parts, "_v", "_c")
-    last = null_safe_join(last, fine.select(*parts, "_w"), parts, "inner")
+    last = near.select(*parts, "_v", "_c").join(fine.select(*parts, "_w"), parts)
     last = last.withColumn("_before", _running(parts, "_v"))
-    found = last.select(*group, "_v", F.explode(_held(F.col("_w"))).alias("_hit"))
-    result = found.groupBy(*group).agg(
+    found = last.select("_g", "_v", F.explode(_held(F.col("_w"))).alias("_hit"))
+    result = found.groupBy("_g").agg(
         *[F.max(F.when(F.col("_hit.name") == name, F.col("_v"))).alias(name) for name in ranks]
     )
-    return result if keys else result.drop("_all")
+    return result.select("_g.*", *ranks) if keys else result.select(*ranks)
