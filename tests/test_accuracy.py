@@ -71,6 +71,20 @@ def test_edit_cost_of_unrelated_and_long_texts():
     assert ed.edit_cost(a, "".join(changed)) == 30
 
 
+@pytest.mark.parametrize("table_bytes", [1, 1 << 24])
+def test_costs_of_many_pairs_equal_single_ones(monkeypatch, table_bytes):
+    monkeypatch.setattr(ed, "_TABLE_BYTES", table_bytes)
+    rng = random.Random(8)
+    refs, hyps = [], []
+    for size in (0, 1, 5, 63, 64, 65, 128, 200, 256, 257, 400):
+        for _ in range(12):
+            refs.append("".join(rng.choice("abc đ") for _ in range(size)))
+            hyps.append("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 2 * size + 3))))
+            refs.append([rng.choice(["x", "y", "zz"]) for _ in range(size)])
+            hyps.append([c for c in refs[-1] if rng.random() > 0.1])
+    assert ed.edit_costs(refs, hyps) == [ed.edit_cost(r, h) for r, h in zip(refs, hyps)]
+
+
 @pytest.fixture
 def score(spark):
     def run(rows, view=View()):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ COST = ["errors", "units"]
 COUNTS = ["subs", "dels", "ins", "hits", *COST]
 _FIRST_MARGIN = 64
 _KEPT_BITS = 1 << 28
+_SHORT = 256
+_TABLE_BYTES = 1 << 24
 
 
 class _Band:
@@ -101,6 +104,68 @@ def edit_cost(ref: Sequence, hyp: Sequence) -> int:
     return _sweep(ref, hyp, keep=False)[0] if ref and hyp else len(ref) + len(hyp)
 
 
+def _together(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
+    """Edit costs of many short pairs at once: the same recurrence with one 64-bit word per 64 rows
+    and one numpy lane per pair. All references need the same number of words."""
+    words = -(-max(map(len, refs)) // 64)
+    rows, cols = np.array(list(map(len, refs))), np.array(list(map(len, hyps)))
+    ref = np.full((len(refs), words * 64), -1, np.int32)
+    hyp = np.full((len(hyps), cols.max()), -2, np.int32)
+    for lane, (r, h) in enumerate(zip(refs, hyps)):
+        ref[lane, : len(r)], hyp[lane, : len(h)] = r, h
+    equal = np.packbits(ref[:, None, :] == hyp[:, :, None], axis=2, bitorder="little")
+    equal = np.ascontiguousarray(equal.view(np.uint64).transpose(1, 2, 0))
+
+    one, top = np.uint64(1), np.uint64(63)
+    last_row = one << ((rows - 1) % 64).astype(np.uint64)
+    rise = np.full((words, len(refs)), ~np.uint64(0))
+    fall = np.zeros_like(rise)
+    cost = rows.copy()
+    for j, column in enumerate(equal):
+        up_in, down_in = one, np.uint64(0)
+        for w, same in enumerate(column):
+            vertical = same | fall[w]
+            same = same | down_in
+            flat = (((same & rise[w]) + rise[w]) ^ rise[w]) | same
+            up, down = fall[w] | ~(flat | rise[w]), flat & rise[w]
+            if w == words - 1:
+                step = ((up & last_row) != 0).astype(np.int64) - ((down & last_row) != 0)
+                cost += np.where(j < cols, step, 0)
+            up_out, down_out = up >> top, down >> top
+            up, down = up << one | up_in, down << one | down_in
+            rise[w], fall[w] = down | ~(vertical | up), up & vertical
+            up_in, down_in = up_out, down_out
+    return cost
+
+
+def _codes(units: Sequence, known: dict) -> np.ndarray:
+    """Numbers that are equal where the units are."""
+    if isinstance(units, str):
+        return np.frombuffer(units.encode("utf-32-le"), np.int32)
+    return np.array([known.setdefault(unit, len(known)) for unit in units], np.int32)
+
+
+def edit_costs(refs: list[Sequence], hyps: list[Sequence]) -> list[int]:
+    """Edits of a shortest alignment for every pair; short pairs of like size go together."""
+    costs = [0] * len(refs)
+    short: dict[int, list[int]] = {}
+    for at, (ref, hyp) in enumerate(zip(refs, hyps)):
+        if 0 < len(ref) <= _SHORT and 0 < len(hyp) <= 2 * _SHORT:
+            short.setdefault(-(-len(ref) // 64), []).append(at)
+        else:
+            costs[at] = edit_cost(ref, hyp)
+    known: dict = {}
+    for words, lanes in short.items():
+        lanes.sort(key=lambda at: len(hyps[at]))
+        while lanes:
+            room = max(1, _TABLE_BYTES // (words * 64 * len(hyps[lanes[-1]])))
+            lanes, batch = lanes[:-room], lanes[-room:]
+            coded = ([_codes(side[at], known) for at in batch] for side in (refs, hyps))
+            for at, cost in zip(batch, _together(*coded)):
+                costs[at] = int(cost)
+    return costs
+
+
 def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
     """Substitutions, deletions, insertions and hits of one shortest alignment.
 
@@ -140,19 +205,19 @@ def _struct(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.LongType()) for name in names])
 
 
-def _counts(ref: Sequence, hyp: Sequence) -> tuple[int, ...]:
-    subs, dels, ins, hits = count_edits(ref, hyp)
-    return subs, dels, ins, hits, subs + dels + ins, subs + dels + hits
+def _counts(refs: list[Sequence], hyps: list[Sequence]) -> list[tuple[int, ...]]:
+    rows = [count_edits(ref, hyp) for ref, hyp in zip(refs, hyps)]
+    return [(*row, sum(row[:3]), row[0] + row[1] + row[3]) for row in rows]
 
 
-def _cost(ref: Sequence, hyp: Sequence) -> tuple[int, ...]:
-    return edit_cost(ref, hyp), len(ref)
+def _costs(refs: list[Sequence], hyps: list[Sequence]) -> list[tuple[int, ...]]:
+    return list(zip(edit_costs(refs, hyps), map(len, refs)))
 
 
 def _udf(score, split, names: list[str]):
     @F.pandas_udf(_struct(names))
     def scored(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-        rows = [score(split(r), split(h)) for r, h in zip(ref, hyp)]
+        rows = score([split(r) for r in ref], [split(h) for h in hyp])
         return pd.DataFrame(rows, columns=names, dtype="int64")
 
     return scored
@@ -160,9 +225,9 @@ def _udf(score, split, names: list[str]):
 
 _UDFS = {
     ("word", True): _udf(_counts, str.split, COUNTS),
-    ("word", False): _udf(_cost, str.split, COST),
+    ("word", False): _udf(_costs, str.split, COST),
     ("char", True): _udf(_counts, str, COUNTS),
-    ("char", False): _udf(_cost, str, COST),
+    ("char", False): _udf(_costs, str, COST),
 }
 
 
