@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonemark.functions.vectors import clip_ratio, cosine, rms
 from tonemark.operators import latency as lat
-from tonemark.operators.stats import bca_bounds, bca_ci, intervals, jackknife_acceleration
+from tonemark.operators.stats import _weights, bca_bounds, bca_ci, intervals, jackknife_acceleration
 from tonemark.plans.order_stats import order_statistics
 
 NAN = float("nan")
@@ -156,3 +156,11 @@ def test_vectors(spark):
     ).first()
     assert row.c == pytest.approx(1 / math.sqrt(2)) and row.z == 0
     assert row.r == pytest.approx(math.sqrt(12.5)) and row.k == 0.5 and row.e is None
+
+
+@pytest.mark.parametrize("count", [1, 2, 7, 16, 40])
+def test_weights_are_poisson(count):
+    drawn = _weights(np.random.Generator(np.random.SFC64(1)), count, 200_000)
+    assert drawn.mean() == pytest.approx(count, rel=0.01)
+    assert drawn.var() == pytest.approx(count, rel=0.03)
+    assert np.mean(drawn == 0) == pytest.approx(math.exp(-count), abs=0.004)

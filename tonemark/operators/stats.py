@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -22,9 +23,10 @@ from tonemark.plans.blocks import null_safe_join
 from tonemark.plans.melt import MEASURE, VALUE, melt, widen
 from tonemark.plans.order_stats import usable
 
-EXACT_ROWS = 20_000
+EXACT_ROWS = 2_000
 REPLICATE_BLOCKS = 16
 _DRAWS_AT_ONCE = 1 << 20
+_SMALL_COUNT = 16
 _BOUNDS = T.StructType(
     [T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]
 )
@@ -82,20 +84,27 @@ def _resampler(statistic: Callable, n_resamples: int) -> Callable:
     return resample
 
 
-# A Poisson(1) weight is the number of these limits that a uniform 32-bit number reaches: the
-# distribution function at 0, 1, 2, ... up to the last value such a number can tell apart.
-_UNIT_LIMITS = [
-    round(2**32 * sum(math.exp(-1) / math.factorial(k) for k in range(top + 1))) for top in range(12)
-]
+@lru_cache(maxsize=None)
+def _limits(mean: int) -> list[int]:
+    """Distribution function of a Poisson variable on the scale of a uniform 32-bit number, up to
+    the last value such a number can tell apart: a weight is the number of limits it reaches."""
+    limits, term, total = [], math.exp(-mean), 0.0
+    for value in range(1, 200):
+        total += term
+        if round(2**32 * total) >= 2**32:
+            break
+        limits.append(round(2**32 * total))
+        term *= mean / value
+    return limits
 
 
 def _weights(rng: np.random.Generator, count: int, size: int) -> np.ndarray:
-    """Poisson weights with mean ``count``; copies of one value are drawn together."""
-    if count > 1:
+    """Poisson weights with mean ``count``; the copies of one value are drawn together."""
+    if count > _SMALL_COUNT:
         return rng.poisson(count, size).astype(np.float64)
     uniform = rng.integers(0, 1 << 32, size, dtype=np.uint32)
     drawn = np.zeros(size, np.uint8)
-    for limit in _UNIT_LIMITS:
+    for limit in _limits(count):
         reached = uniform >= limit
         if not reached.any():
             break

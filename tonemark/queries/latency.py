@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonemark.functions.vectors import cosine
 from tonemark.operators import latency as lat
-from tonemark.operators.stats import bca_ci, intervals
+from tonemark.operators.stats import EXACT_ROWS, bca_ci, intervals
 from tonemark.queries.base import SQL_LATENCY, Check, latency, table
 
 _STATS = ["median_s", "p90_s", "p99_s", "mean_s", "min_s", "max_s"]
@@ -228,7 +228,7 @@ QUERIES = {
         "2.5::DOUBLE AS model_load_s, "
         "round((total_s + media_s) - (total_s + media_s / 4), 6) AS overhead_s FROM latency",
     ),
-    "STAT1": Check(_bootstrap(20_000), _SQL_STAT1),
+    "STAT1": Check(_bootstrap(EXACT_ROWS), _SQL_STAT1),
     "STAT1_large": Check(_bootstrap(100), _SQL_STAT1),
     "STAT1_median": Check(
         _stat1_median,
