@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from tonemark.plans.blocks import null_safe_join
 from tonemark.plans.melt import MEASURE, VALUE, melt, widen
 from tonemark.plans.order_stats import usable
+from tonemark.plans.session import spread_by
 
 EXACT_ROWS = 2_000
 REPLICATE_BLOCKS = 16
@@ -105,10 +106,10 @@ def _weights(rng: np.random.Generator, count: int, size: int) -> np.ndarray:
     uniform = rng.integers(0, 1 << 32, size, dtype=np.uint32)
     drawn = np.zeros(size, np.uint8)
     for limit in _limits(count):
-        reached = uniform >= limit
+        reached = uniform >= np.uint32(limit)
         if not reached.any():
             break
-        drawn += reached
+        drawn += reached.view(np.uint8)
     return drawn.astype(np.float64)
 
 
@@ -170,7 +171,7 @@ def bca_ci(
     whole = whole.groupBy(*group).agg(F.array_sort(copies).alias("_values"))
     blocks = F.explode(F.sequence(F.lit(0), F.lit(REPLICATE_BLOCKS - 1))).alias("_block")
     drawn = whole.select(*group, "_values", F.xxhash64(F.lit(seed), *group).alias("_seed"), blocks)
-    drawn = drawn.repartition(*group, "_block")
+    drawn = spread_by(drawn, *group, "_block")
     resample = _resampler(statistic, n_resamples)
     drawn = drawn.withColumn("_part", resample("_values", "_seed", "_block"))
     replicates = drawn.groupBy(*group).agg(
@@ -180,6 +181,7 @@ def bca_ci(
     if is_mean:
         big = null_safe_join(counts, large, group, "left_semi")
         big = big.withColumn("_seed", F.xxhash64(F.lit(seed), *group, "_v"))
+        big = spread_by(big, *group, "_v")
         fields = [big.schema[name] for name in group]
         schema = T.StructType(
             [

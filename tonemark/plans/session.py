@@ -52,3 +52,11 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def spread_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Shuffle few but costly rows over all cores; adaptive execution would merge them again
+    because they are small, unless the number of partitions is given."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
