@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -85,7 +84,6 @@ def _resampler(statistic: Callable, n_resamples: int) -> Callable:
     return resample
 
 
-@lru_cache(maxsize=None)
 def _limits(mean: int) -> list[int]:
     """Distribution function of a Poisson variable on the scale of a uniform 32-bit number, up to
     the last value such a number can tell apart: a weight is the number of limits it reaches."""
@@ -99,13 +97,17 @@ def _limits(mean: int) -> list[int]:
     return limits
 
 
+# a plain table: tasks take it along, which a cached function does not allow
+_LIMITS = {count: _limits(count) for count in range(1, _SMALL_COUNT + 1)}
+
+
 def _weights(rng: np.random.Generator, count: int, size: int) -> np.ndarray:
     """Poisson weights with mean ``count``; the copies of one value are drawn together."""
     if count > _SMALL_COUNT:
         return rng.poisson(count, size).astype(np.float64)
     uniform = rng.integers(0, 1 << 32, size, dtype=np.uint32)
     drawn = np.zeros(size, np.uint8)
-    for limit in _limits(count):
+    for limit in _LIMITS[count]:
         reached = uniform >= np.uint32(limit)
         if not reached.any():
             break
@@ -181,7 +183,8 @@ def bca_ci(
     if is_mean:
         big = null_safe_join(counts, large, group, "left_semi")
         big = big.withColumn("_seed", F.xxhash64(F.lit(seed), *group, "_v"))
-        big = spread_by(big, *group, "_v")
+        # by the seed: a shuffle on the grouping's own columns would be optimised away
+        big = spread_by(big, "_seed")
         fields = [big.schema[name] for name in group]
         schema = T.StructType(
             [
