@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemark.llm import bpe, secrets
-from tonemark.llm.shared import documents
+from tonemark.llm import bpe, quality_rules, secrets, simhash
+from tonemark.llm.shared import cut, documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,9 +28,25 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    counted = quality_rules.with_statistics(docs).select("doc_id", "lang", "source", *quality_rules.STATISTICS)
+    counted = cut(counted, "statistics")
+    judged = quality_rules.judged(counted, quality_rules.fit(counted))
+    return judged.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "distance")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    digits = F.lower(F.lpad(F.hex("simhash"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_simhash": op9_simhash,
 }
 
 SQL: dict[str, str] = {}
