@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemark.llm import bpe, quality_rules, secrets, simhash
-from tonemark.llm.shared import cut, documents
+from tonemark.llm import bpe, language_id, mixing, quality_rules, secrets, simhash
+from tonemark.llm.shared import cut, documents, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,26 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    docs = cut(docs, "sizes")
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    wanted = cut(mixing.targets(sizes), "targets")
+    taken = mixing.mix(docs, wanted, "doc_id", "size", F.array("source"))
+    named = wanted.withColumnRenamed("source", "_source")
+    joined = taken.join(named, F.col("source").eqNullSafe(F.col("_source")))
+    return joined.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    named = language_id.predict(docs.drop("lang"), model)
+    return named.select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted"
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     counted = quality_rules.with_statistics(docs).select("doc_id", "lang", "source", *quality_rules.STATISTICS)
@@ -45,6 +65,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op4_mixing": op4_mixing,
+    "op6_language_id": op6_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
 }
