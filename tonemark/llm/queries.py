@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemark.llm import bpe, language_id, mixing, quality_rules, secrets, simhash
+from tonemark.llm import bpe, embedding_dedup, language_id, mixing, quality_rules, secrets, simhash, warc
 from tonemark.llm.shared import cut, documents, table
+from tonemark.plans.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +49,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     counted = quality_rules.with_statistics(docs).select("doc_id", "lang", "source", *quality_rules.STATISTICS)
@@ -62,13 +68,51 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives, index = scratch_path(spark, "archives"), scratch_path(spark, "capture_index")
+    _, directory = warc.archive(table(spark, sf_dir, "pages"), archives, index)
+    return warc.read_records(warc.read_index(directory, index), archives)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op6_language_id": op6_language_id,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
+    "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_embedding_dedup": """
+        WITH RECURSIVE usable AS (
+          SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+          ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+        ),
+        reach AS (
+          SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION
+          SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ),
+        parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM parts LEFT JOIN counts USING (vec_id)""",
+    "op10_warc": """
+        WITH pay AS (
+          SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+          FROM pages
+        ),
+        best AS (SELECT payload_digest, max(page_id) AS first FROM pay WHERE payload_bytes >= 1000 GROUP BY ALL)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM pay LEFT JOIN best USING (payload_digest)""",
+}
