@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemark.llm import bpe, embedding_dedup, language_id, mixing, quality_rules, secrets, simhash, warc
+from tonemark.llm import bpe, embedding_dedup, exact_substrings, language_id, mixing, quality_rules, secrets, simhash, warc
 from tonemark.llm.shared import cut, documents, table
 from tonemark.plans.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir, "doc_id", "text")), ["doc_id"])
 
@@ -75,6 +79,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_substrings": op1_exact_substrings,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
