@@ -37,6 +37,7 @@ VECTOR = list(FLOORS)
 _D = len(VECTOR)
 _PAIRS = [(i, j) for i in range(_D) for j in range(i + 1)]
 _GROUP = "_group"
+_SALTS = 32
 
 
 def _repeat_words(words: Column) -> Column:
@@ -156,11 +157,19 @@ def _factored(moments: DataFrame) -> DataFrame:
     return moments.select(_GROUP, *[f"_m_{i}" for i in range(_D)], *[f"_l_{i}_{j}" for i, j in _PAIRS])
 
 
+def _with_model(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Join rows with what is known of their group, over several keys for each group: a group may
+    hold a large part of all rows, and the sums that follow start before the next shuffle."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c != _GROUP]), F.lit(_SALTS))
+    copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
+    return rows.withColumn("_salt", salt).join(copies, [_GROUP, "_salt"]).drop("_salt")
+
+
 def _start(used: DataFrame) -> DataFrame:
     """Medians and scaled median deviations as a first model."""
     values = used.select(_GROUP, *[x.alias(f"_x_{i}") for i, x in enumerate(vector())])
     middle = values.groupBy(_GROUP).agg(*[F.percentile_approx(f"_x_{i}", 0.5).alias(f"_m_{i}") for i in range(_D)])
-    apart = values.join(middle, _GROUP).select(
+    apart = _with_model(values, middle).select(
         _GROUP, *[f"_m_{i}" for i in range(_D)], *[F.abs(F.col(f"_x_{i}") - F.col(f"_m_{i}")).alias(f"_a_{i}") for i in range(_D)]
     )
     spread = apart.groupBy(_GROUP).agg(
@@ -176,10 +185,10 @@ def _start(used: DataFrame) -> DataFrame:
 
 def _step(used: DataFrame, model: DataFrame) -> DataFrame:
     """Mean and covariance of the closest rows of each group under the model before."""
-    near = used.join(model, _GROUP)
+    near = _with_model(used, model)
     near = near.select(_GROUP, _distance(near).alias("_d"), *[x.alias(f"_x_{i}") for i, x in enumerate(vector())])
     limits = near.groupBy(_GROUP).agg(F.percentile_approx("_d", CORE).alias("_limit"))
-    core = near.join(limits, _GROUP).where(F.col("_d") <= F.col("_limit"))
+    core = _with_model(near, limits).where(F.col("_d") <= F.col("_limit"))
     moments = core.groupBy(_GROUP).agg(
         *[F.avg(f"_x_{i}").alias(f"_m_{i}") for i in range(_D)],
         *[F.avg(F.col(f"_x_{i}") * F.col(f"_x_{j}")).alias(f"_s_{i}_{j}") for i, j in _PAIRS],

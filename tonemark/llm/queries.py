@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemark.llm import bpe, embedding_dedup, exact_substrings, language_id, mixing, quality_rules, secrets, simhash, warc
+from tonemark.llm import bpe, embedding_dedup, exact_substrings, fuzzy_passages, language_id, mixing, quality_rules, secrets, simhash, warc
 from tonemark.llm.shared import cut, documents, table
 from tonemark.plans.session import scratch_path
 
@@ -44,6 +44,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages.shared_passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     model = language_id.fit(docs)
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
+    "op5_fuzzy_passages": op5_fuzzy_passages,
     "op6_language_id": op6_language_id,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality_rules": op8_quality_rules,

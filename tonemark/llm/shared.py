@@ -66,25 +66,37 @@ def with_arrow(
     return df.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
-def sorted_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Groups of a partition that is sorted by ``key``; a group may run over several frames."""
+def sorted_groups(frames: Iterator[pd.DataFrame], *keys: str, least: int = 1) -> Iterator[pd.DataFrame]:
+    """Groups of a partition that is sorted by ``keys``; a group may run over several frames.
+
+    Groups with fewer than ``least`` rows are passed over.
+    """
     rest: list[pd.DataFrame] = []
+
+    def joined() -> Iterator[pd.DataFrame]:
+        if sum(map(len, rest)) >= least:
+            yield pd.concat(rest, ignore_index=True)
+        rest.clear()
+
     for frame in frames:
         if not len(frame):
             continue
-        values = frame[key].to_numpy()
-        if rest and rest[-1][key].iloc[-1] != values[0]:
-            yield pd.concat(rest, ignore_index=True)
-            rest = []
-        edges = np.flatnonzero(values[1:] != values[:-1]) + 1
-        starts = [0, *edges, len(frame)]
+        values = [frame[k].to_numpy() for k in keys]
+        if rest and any(rest[-1][k].iloc[-1] != v[0] for k, v in zip(keys, values)):
+            yield from joined()
+        new = np.zeros(len(frame) - 1, bool)
+        for v in values:
+            new |= v[1:] != v[:-1]
+        starts = [0, *(np.flatnonzero(new) + 1).tolist(), len(frame)]
         for a, b in zip(starts[:-2], starts[1:-1]):
-            part = frame.iloc[a:b]
-            yield pd.concat([*rest, part], ignore_index=True) if rest else part
-            rest = []
+            if rest:
+                rest.append(frame.iloc[a:b])
+                yield from joined()
+            elif b - a >= least:
+                yield frame.iloc[a:b]
         rest.append(frame.iloc[starts[-2] :])
     if rest:
-        yield pd.concat(rest, ignore_index=True)
+        yield from joined()
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
