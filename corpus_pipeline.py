@@ -1,12 +1,18 @@
-"""The corpus pipeline: documents in, encoded documents out, stage by stage."""
+"""The corpus pipeline: documents in, encoded documents out.
+
+Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of documents. Rows
+with null or repeated ids, null texts and null sources pass through the stages like others; each
+stage says below what it does with them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tonemark.llm import bpe, secrets
+from tonemark.llm import bpe, mixing, quality_rules, secrets, simhash
 from tonemark.llm.queries import VOCABULARY
 from tonemark.plans.session import scratch_path, ship_package, spread
 
@@ -15,22 +21,59 @@ ship_package()
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a fixed rule or the outlier rule rejects go; a null text has no words, so goes."""
+    return quality_rules.rate(spread(docs)).where("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id stays, one row of it; null is
+    the largest id. Rows that share an id should share a group: only one of them stays."""
+    digest = F.xxhash64("text").alias("_text")
+    found = simhash.near_duplicates(spread(docs.select("doc_id", "text", digest)), carry=["_text"])
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text")).alias("_key")).select("_key")
+    keyed = docs.withColumn("_key", F.struct("doc_id", digest))
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are taken out of the texts; every document stays."""
-    from pyspark.sql import functions as F
+    return secrets.redact(spread(docs)).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
 
-    return secrets.redact(spread(docs)).withColumn("n_chars", F.char_length("text").cast("long"))
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; those it does not take go."""
+    sized = docs.withColumn("_size", mixing.word_count(F.col("text"))).withColumn("_key", F.struct("doc_id"))
+    slim = sized.select("doc_id", "_key", "source", "_size")
+    sums = slim.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    taken = mixing.mix(slim, mixing.targets(sums), "doc_id", "_size", F.array("source"))
+    times = taken.where("taken > 0").select("_key", "_size", (F.col("taken") / F.col("_size")).cast("int").alias("_times"))
+    # rows with equal id and size are told apart by number, the most taken first
+    alike = Window.partitionBy("_key", "_size")
+    times = times.withColumn("_nth", F.row_number().over(alike.orderBy(F.desc("_times"))))
+    rows = sized.withColumn("_nth", F.row_number().over(alike.orderBy(F.xxhash64("text", "source"))))
+    used = rows.join(times, ["_key", "_size", "_nth"])
+    return used.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and a check that they decode to its text."""
+    """Token ids of each document as little-endian unsigned 32-bit integers, and whether they decode
+    to its text."""
     coded = bpe.encode_decode(spread(docs), VOCABULARY)
-    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", (coded.decoded == coded.text).alias("exact"))
+    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", exact.alias("exact"))
 
 
-STAGES: list[tuple[str, Stage]] = [("secrets", secret_scan), ("encode", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("simhash_near_dedup", near_copies),
+    ("secret_scan", secret_scan),
+    ("source_mixing", mix),
+    ("bpe", encode),
+]
 
-#: Ball hashing, the flow and the merges have no SQL form; tests compare with brute force.
+#: Outliers, ball hashing, the flow and the merges have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -161,7 +161,7 @@ def _with_model(rows: DataFrame, model: DataFrame) -> DataFrame:
     """Join rows with what is known of their group, over several keys for each group: a group may
     hold a large part of all rows, and the sums that follow start before the next shuffle."""
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c != _GROUP]), F.lit(_SALTS))
-    copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
+    copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
     return rows.withColumn("_salt", salt).join(copies, [_GROUP, "_salt"]).drop("_salt")
 
 

@@ -16,7 +16,7 @@ id in it, null only where all are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -137,9 +137,11 @@ def links(prints: DataFrame, count: int) -> DataFrame:
     return dealt.mapInPandas(_expand(low_bits), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, ``simhash`` and ``component_id``."""
-    marked = with_fingerprint(docs.select(doc_id, text), text).select(doc_id, "simhash")
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per document: id, ``carry`` columns, ``simhash`` and ``component_id``."""
+    marked = with_fingerprint(docs.select(doc_id, *carry, text), text).select(doc_id, *carry, "simhash")
     marked = cut(marked, "fingerprints")
     prints = cut(marked.groupBy("simhash").agg(F.min(doc_id).alias("_first")), "prints")
     roots = components(links(prints.select("simhash"), prints.count()))
@@ -149,4 +151,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = cut(named, "named")
     ids = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
     labels = named.join(ids, "_root").select("simhash", "component_id")
-    return marked.join(labels, "simhash").select(doc_id, "simhash", "component_id")
+    return marked.join(labels, "simhash").select(doc_id, *carry, "simhash", "component_id")
