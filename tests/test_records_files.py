@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonemark import schemas
 from tonemark.operators import gates as gt
 from tonemark.operators import records as rc
+from tonemark.operators.accuracy import pair_up
 from tonemark.operators.latency import latency_struct
 from tonemark.sources import manifests as mf
 from tonemark.sources import sinks
@@ -80,9 +81,11 @@ def test_gates_fail_on_nan_and_need_a_threshold(spark):
     rows = [("tts", "rtf_max", float("nan")), ("tts", "min_rms", 0.01), ("tts", "unknown", 1.0)]
     measured = spark.createDataFrame(rows, "grp string, name string, measured double")
     gates = gt.gate(measured, gt.threshold_table(spark, gt.TTS_GATES))
-    assert {r.name: r.passed for r in gates.collect()} == {"rtf_max": False, "min_rms": True}
+    # what was not measured fails like a bad value
+    passed = {r.name for r in gates.collect() if r.passed}
+    assert passed == {"min_rms"} and gates.count() == 4
     got = gt.verdict(gates).first()
-    assert (got.n_pass, got.n_gates, got.verdict) == (1, 2, "FAIL (1 gate)")
+    assert (got.n_pass, got.n_gates, got.verdict) == (1, 4, "FAIL (3 gate)")
 
 
 def test_reruns_and_settings(spark):
@@ -103,11 +106,11 @@ def test_reruns_and_settings(spark):
 def test_small_quality_sample_is_one_failing_gate(spark):
     df = spark.createDataFrame([("a b", "a b")] * 3, "ref string, hyp string").withColumn("k", F.lit(1))
     measured = gt.qc_measures(df, ["k"], F.col("ref"), F.col("hyp"))
-    gates = gt.gate(measured, gt.threshold_table(spark, gt.DATA_GATES)).collect()
+    gates = gt.gate(measured, gt.threshold_table(spark, gt.DATA_GATES), absent_fails=False).collect()
     assert [(g.name, g.passed) for g in gates] == [("DST-qc-n", False)]
     many = spark.createDataFrame([("a b", "a b")] * 300, "ref string, hyp string").withColumn("k", F.lit(1))
     measured = gt.qc_measures(many, ["k"], F.col("ref"), F.col("hyp"))
-    assert all(g.passed for g in gt.gate(measured, gt.threshold_table(spark, gt.DATA_GATES)).collect())
+    assert all(g.passed for g in gt.gate(measured, gt.threshold_table(spark, gt.DATA_GATES), absent_fails=False).collect())
 
 
 def test_manifest_forms(spark, tmp_path):
@@ -148,9 +151,33 @@ def test_checksums(spark, tmp_path):
     names = ["v1.jsonl", "dev.jsonl"]
     for name in names:
         (tmp_path / name).write_text(name)
-    got = sinks.checksums(spark, [str(tmp_path / n) for n in names], str(clips)).collect()
-    assert [r.path.rsplit("/", 1)[1] for r in got] == ["v1.jsonl", "dev.jsonl", "a.wav", "b.wav"]
-    assert got[2].line == f"{hashlib.sha256(b'a.wav').hexdigest()}  {got[2].path}"
+    got = sinks.checksums(spark, str(tmp_path), names, "clips").collect()
+    assert [r.path for r in got] == ["v1.jsonl", "dev.jsonl", "clips/a.wav", "clips/b.wav"]
+    assert got[2].line == f"{hashlib.sha256(b'a.wav').hexdigest()}  clips/a.wav"
+
+
+def test_broken_lines_and_mixed_folders(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.json").write_text('\n[{"id": "1", "audio": "x", "text_raw": "một"},\n {"id": "2", "audio": "x", "text": "hai"}]\n')
+    (folder / "b.jsonl").write_text('{"id": "3", "audio": "x", "text": "ba", "text_raw": "no"}\n\n{"id": "4", "audio": "x"}\n')
+    got = {r.id: r.text for r in mf.read_any_manifest(spark, str(folder)).collect()}
+    assert got == {"1": "một", "2": "hai", "3": "ba", "4": None}
+    broken = tmp_path / "broken.jsonl"
+    broken.write_text('{"id": "1", "audio": "x", "text": "t"}\n{"id": "2", "aud\n')
+    for read in (mf.read_manifest, mf.read_any_manifest, mf.read_sample_records):
+        with pytest.raises(Exception, match="MALFORMED|Malformed"):
+            read(spark, str(broken)).collect()
+
+
+def test_a_missing_rerun_and_an_unpaired_id_are_noticed(spark):
+    one = spark.createDataFrame([("x", "a"), ("y", "b")], "id string, text string")
+    assert [r.id for r in gt.rerun_mismatches(one, one.where("id = 'x'"), "id", "text").collect()] == ["y"]
+    measured = gt.determinism_measure(one, one.where("id = 'x'"), "id", "text", 1)
+    assert measured.first().measured == 0
+    hyps = one.where("id = 'x'").withColumnRenamed("text", "hyp")
+    with pytest.raises(Exception, match="do not pair up for id y"):
+        pair_up(one, hyps, "id", "text", "hyp").count()
 
 
 def test_followed_records_are_read_once(spark, tmp_path):

@@ -9,61 +9,62 @@ from tonemark.plans import blocks
 
 @pytest.fixture
 def entries(spark):
-    rng = random.Random(9)
-    rows = [
-        (i, rng.choice(["short", "medium", "long", "medium"]), rng.random() < 0.2, rng.randint(1, 300) / 10)
-        for i in range(700)
-    ]
-    return rows, spark.createDataFrame(rows, "ord bigint, bucket string, digits boolean, duration_s double")
+    """Places 1 to 12 in one bucket and 13 to 17 in another; every fifth place has digits."""
+    rows = [(i, "medium" if i <= 12 else "long", i % 5 == 0) for i in range(1, 18)]
+    return spark.createDataFrame(rows, "ord bigint, bucket string, digits boolean")
+
+
+def parts_of(df):
+    found = {}
+    for r in df.collect():
+        found.setdefault((r.bucket, r.part), set()).add(r.ord)
+    return found
 
 
 @pytest.mark.parametrize("size", [5, 1 << 18])
-def test_dev_split_equals_loop(entries, monkeypatch, size):
+def test_dev_split_by_hand(entries, monkeypatch, size):
     monkeypatch.setattr(blocks.number_rows, "__defaults__", ("row_no", (), None, size))
-    rows, df = entries
-    target = {"short": 50, "medium": 135, "long": 500}
-    got = {r.ord: r.part for r in st.split_dev(df, "ord", "digits", target=target).collect()}
-    want = {}
-    for bucket, limit in target.items():
-        members = sorted((r for r in rows if r[1] == bucket), key=lambda r: not r[2])
-        n_dev = min(10, len(members))
-        step = max(1, len(members) // n_dev)
-        chosen = set(range(0, step * n_dev, step))
-        want |= {members[i][0]: "dev" for i in chosen}
-        rest = [m for i, m in enumerate(members) if i not in chosen]
-        want |= {m[0]: "v1" for m in rest[:limit]}
-    assert got == want
-
-
-def test_quota_then_priority_fill_equals_loop(entries):
-    rows, df = entries
-    quotas = {"short": 40, "medium": 60, "long": 50}
-    first = st.first_come(df, "ord", {"short": 40, "medium": 45})
-    taken = {b: [r[0] for r in rows if r[1] == b][:n] for b, n in (("short", 40), ("medium", 45))}
-    assert {r.ord for r in first.collect()} == {o for os in taken.values() for o in os}
-    left = st.remaining_quota(first, quotas)
-    assert {r.bucket: r.remaining for r in left.collect()} == {"short": 0, "medium": 15, "long": 50}
-    filled = {r.ord for r in st.priority_fill(df, "ord", "digits", left).collect()}
-    want = set()
-    for bucket, n in (("long", 50), ("medium", 15)):
-        ranked = sorted((r for r in rows if r[1] == bucket), key=lambda r: (not r[2], r[0]))
-        want |= {r[0] for r in ranked[:n]}
-        if bucket == "medium":
-            want |= {r[0] for r in [m for m in ranked[n:] if m[2]][:8]}
-    assert filled == want
-
-
-def test_stride_sample_wraps_and_skips(spark):
-    rows = [(i, "" if i % 5 == 0 else f"t{i}", 0.5 if i % 7 == 0 else 5.0) for i in range(100)]
+    # medium in order: 5 10 1 2 3 4 6 7 8 9 11 12, a step of 4; long: 15 13 14 16 17, a step of 2
+    split = st.split_dev(entries, "ord", "digits", dev={"medium": 3, "long": 2}, target={"medium": 4, "long": 9})
+    assert parts_of(split) == {
+        ("medium", "dev"): {5, 3, 8},
+        ("medium", "v1"): {10, 1, 2, 4},
+        ("long", "dev"): {15, 14},
+        ("long", "v1"): {13, 16, 17},
+    }
+
+
+def test_dev_split_without_a_dev_quota(entries):
+    split = st.split_dev(entries, "ord", "digits", dev={"medium": 0, "long": 9}, target={"medium": 2, "long": 2})
+    assert parts_of(split) == {("medium", "v1"): {5, 10}, ("long", "dev"): {13, 14, 15, 16, 17}}
+
+
+def test_quota_then_priority_fill_by_hand(entries):
+    first = st.first_come(entries, "ord", {"medium": 4})
+    assert {r.ord for r in first.collect()} == {1, 2, 3, 4}
+    left = st.remaining_quota(first, {"medium": 5, "long": 3, "short": 2})
+    assert {r.bucket: r.remaining for r in left.collect()} == {"medium": 1, "long": 3, "short": 2}
+    # one of medium by quota, one more with digits; three of long, the one with digits first
+    filled = {r.ord for r in st.priority_fill(entries, "ord", "digits", left).collect()}
+    assert filled == {5, 10, 15, 13, 14}
+
+
+def test_priority_fill_takes_all_that_is_left(spark):
+    rows = spark.range(1000).select(F.col("id").alias("ord"), F.lit("long").alias("bucket"), F.lit(False).alias("digits"))
+    left = spark.createDataFrame([("long", 400)], "bucket string, remaining long")
+    assert st.priority_fill(rows, "ord", "digits", left).count() == 400
+
+
+def test_stride_sample_by_hand(spark):
+    # ten places, three wanted: a stride of 3 gives 0 3 6 9 2 5
+    rows = [(0, "a", 5.0), (2, "b", 5.0), (3, "", 5.0), (5, "c", 5.0), (6, "d", 0.5), (9, "e", 29.0)]
     df = spark.createDataFrame(rows, "off bigint, text string, dur double")
-    got = [r.off for r in st.stride_sample(df, "off", 100, 30, F.col("text"), F.col("dur")).orderBy("pick").collect()]
-    want, i = [], 0
-    while len(want) < 30 and i < 60:
-        off = i * 3 % 100
-        i += 1
-        if rows[off][1] and 1 <= rows[off][2] <= 29:
-            want.append(off)
-    assert got == want
+    picked = st.stride_sample(df, "off", 10, 3, F.col("text"), F.col("dur")).orderBy("pick").collect()
+    assert [(r.pick, r.off) for r in picked] == [(0, 0), (3, 9), (4, 2)]
+    # two places, three draws of four: an offset that comes up again is taken again
+    df = spark.createDataFrame([(0, "a", 5.0), (1, "b", 5.0)], "off bigint, text string, dur double")
+    picked = st.stride_sample(df, "off", 2, 2, F.col("text"), F.col("dur")).orderBy("pick").collect()
+    assert [r.off for r in picked] == [0, 1]
 
 
 def test_block_sample_and_target(spark):
@@ -93,6 +94,8 @@ def test_review_drop_and_validation(spark):
     qc = spark.createDataFrame([(1, 0.9), (2, 0.6), (3, 0.59)], "id int, qc_wer double")
     kept = {r.id: r.qc_flagged for r in st.drop_mismatched(rows, qc, "id", "digits").collect()}
     assert kept == {1: True, 3: False}
+    with pytest.raises(Exception, match="no check result for 3"):
+        st.drop_mismatched(rows, qc.where("id < 3"), "id", "digits").count()
     split = st.validation_split(df, F.col("ord") % 10, 0.3)
     flags = split.groupBy(F.col("ord") % 10).agg(F.count_distinct("is_validation").alias("n")).collect()
     assert all(r.n == 1 for r in flags)

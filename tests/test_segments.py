@@ -37,43 +37,52 @@ def test_overlap_clamp_blank_and_metrics(absolute):
     assert (got[0].avg_logprob, got[0].no_speech_prob, got[0].compression_ratio) == (-0.7, 0.3, 2.1)
 
 
-def fold(windows):
-    """The timeline as one loop over windows."""
-    out, reached = [], 0.0
-    for w0, w1, members in windows:
-        floor, placed = max(w0, reached), []
-        for start, text in members:
-            if text.strip():
-                floor = min(max(w0 + start, floor), w1)
-                placed.append([floor, None, text.strip()])
-        for i, s in enumerate(placed):
-            s[1] = max(placed[i + 1][0] if i + 1 < len(placed) else w1, s[0])
-        if placed:
-            reached = placed[-1][1]
-        out += [tuple(s) for s in placed]
-    return out
-
-
-@pytest.mark.parametrize("block", [1, 3, 4096])
-def test_timeline_equals_loop(absolute, monkeypatch, block):
+WORKED = [
+    # a window that reaches back behind the one before starts where that one ended
+    ([(0, 4, [(1.0, "a"), (2.5, "b")]), (3, 9, [(0.0, "c"), (4.0, "d")])],
+     [(1, 2.5, "a"), (2.5, 4, "b"), (4, 7, "c"), (7, 9, "d")]),
+    # starts that fall back are held, starts behind the window end at it
+    ([(10, 14, [(3.0, "a"), (1.0, "b"), (9.0, "c")])], [(13, 13, "a"), (13, 14, "b"), (14, 14, "c")]),
+    # a window of blank texts does not count as reached
+    ([(0, 2, [(0.5, "a")]), (1, 6, [(0.0, "  ")]), (5, 8, [(0.5, " b ")])], [(0.5, 2, "a"), (5.5, 8, "b")]),
+    # a window inside the one before has no room left
+    ([(0, 10, [(0.0, "a")]), (2, 6, [(1.0, "b")])], [(0, 10, "a"), (6, 6, "b")]),
+]
+
+
+@pytest.mark.parametrize("block", [1, 4096])
+@pytest.mark.parametrize("windows, want", WORKED)
+def test_worked_timelines(absolute, monkeypatch, block, windows, want):
     monkeypatch.setattr(sg, "WINDOW_BLOCK", block)
-    rng = random.Random(block)
-    rows, want = [], {}
+    rows = [seg(n, w0, w1, i, s, t) for n, (w0, w1, parts) in enumerate(windows) for i, (s, t) in enumerate(parts)]
+    assert [(r.start, r.end, r.text) for r in absolute(rows)] == want
+
+
+def test_timelines_keep_their_order_in_blocks_of_any_size(absolute, monkeypatch):
+    rng = random.Random(8)
+    rows = []
     for n in range(25):
-        at, windows = 0.0, []
+        at = 0
         for win in range(rng.randint(1, 8)):
-            w0 = max(0.0, at + rng.choice([-3.0, 0.0, 1.5]))
-            w1 = w0 + rng.randint(1, 10)
-            members = [(rng.randint(0, 12) / 2, rng.choice(["a", "b c", " ", "d"])) for _ in range(rng.randint(0, 4))]
-            windows.append((w0, w1, members))
-            for i, (start, text) in enumerate(members):
-                rows.append(seg(win, w0, w1, i, start, text, audio=f"r{n:02d}"))
-            at = w1
-        want[f"r{n:02d}"] = fold(windows)
-    got = {}
-    for r in absolute(rows):
-        got.setdefault(r.audio_id, []).append((r.start, r.end, r.text))
-    assert got == {k: v for k, v in want.items() if v}
+            w0 = max(0, at - rng.choice([0, 0, 3]))
+            at = w0 + rng.randint(1, 10)
+            for i in range(rng.randint(0, 4)):
+                rows.append(seg(win, w0, at, i, rng.randint(0, 12) / 2, rng.choice(["a", "b c", " "]), audio=f"r{n:02d}"))
+    seen = []
+    for block in (1, 3, 4096):
+        monkeypatch.setattr(sg, "WINDOW_BLOCK", block)
+        seen.append([(r.audio_id, r.win_idx, r.seg_idx, r.start, r.end, r.text) for r in absolute(rows)])
+    assert seen[0] == seen[1] == seen[2]
+    bounds = {(r[0], r[1]): (r[2] / 16000, r[3] / 16000) for r in rows}
+    kept = {(r[0], r[1], r[4]) for r in rows if r[7].strip()}
+    assert {s[:3] for s in seen[0]} == kept
+    for s, after in zip(seen[0], [*seen[0][1:], None]):
+        w0, w1 = bounds[s[:2]]
+        assert w0 <= s[3] <= s[4] <= w1
+        if after and after[:2] == s[:2]:
+            assert s[3] <= after[3] and s[4] == max(after[3], s[3])
+        else:
+            assert s[4] == w1
 
 
 def test_repeats_transcript_and_routing(spark):

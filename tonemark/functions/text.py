@@ -124,7 +124,7 @@ def _with_tone(letter: str, mark: str) -> str:
 def fold_spelling(text: Column) -> Column:
     """TXT3: one form for accepted spelling variants. Takes text already in scoring form."""
     moved = text
-    for first, second in (("o", "a"), ("o", "e"), ("u", "y")):
+    for first, second in (("o", "a"), ("o", "e"), ("u", "y"), ("o", "ê"), ("o", "â"), ("o", "ă")):
         for mark in TONE_MARKS:
             moved = F.replace(
                 moved,
@@ -152,15 +152,17 @@ def ingest_form(text: Column) -> Column:
     return nfc(strip(text))
 
 
+# A capitalised word that starts no sentence, and letters of loan words.
+NAME_PATTERN = f"(?<![.!?][{SPACE}])(?<!^){_NOT_WORD_BEFORE}[A-ZĐÂĂÊÔƠƯ][a-zà-ỹđ]+"
+LOAN_LETTERS = "[fjwzFJWZ]"
+
+
 def content_tags(text: Column) -> Column:
     """TXT6: digits, proper_name, loanword, in this order."""
-    proper = (
-        f"(?<![.!?][{SPACE}])(?<!^){_NOT_WORD_BEFORE}[A-ZĐÂĂÊÔƠƯ][a-zà-ỹđ]+"
-    )
     tags = F.array(
         F.when(text.rlike("\\p{Nd}"), F.lit("digits")),
-        F.when(text.rlike(proper), F.lit("proper_name")),
-        F.when(text.rlike("[fjwzFJWZ]"), F.lit("loanword")),
+        F.when(text.rlike(NAME_PATTERN), F.lit("proper_name")),
+        F.when(text.rlike(LOAN_LETTERS), F.lit("loanword")),
     )
     return F.array_compact(tags)
 

@@ -42,8 +42,9 @@ def pair_up(refs: DataFrame, hyps: DataFrame, key: str, ref: str, hyp: str) -> D
         F.lit("reference and hypothesis do not pair up for id "),
         F.coalesce(F.col(key), F.col("_id")).cast("string"),
     )
-    checked = F.when(lost, F.raise_error(message).cast("string")).otherwise(F.col(ref))
-    return joined.select(F.coalesce(key, "_id").alias(key), checked.alias(ref), hyp)
+    # in a filter, which stays whatever columns are read
+    checked = joined.where(F.when(lost, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return checked.select(F.coalesce(key, "_id").alias(key), ref, hyp)
 
 
 def pairing_counts(refs: DataFrame, hyps: DataFrame, key: str) -> DataFrame:

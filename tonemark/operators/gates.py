@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonemark.functions.text import normalize
@@ -67,9 +67,17 @@ def measures(df: DataFrame, keys: Sequence[str], group: str, columns: Sequence[s
     return long.select(*keys, F.lit(group).alias("grp"), "name", "measured")
 
 
-def gate(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """GATE1, GATE3: one row per measured value that has a threshold; limits are inclusive."""
-    joined = measured.join(thresholds, ["grp", "name"])
+def gate(measured: DataFrame, thresholds: DataFrame, absent_fails: bool = True) -> DataFrame:
+    """GATE1, GATE3: one row per threshold of each group that was measured; limits are inclusive.
+
+    A threshold whose value is absent from a measured group fails, unless the measurement decides
+    by itself which rules apply. A group of which nothing was measured has no rows.
+    """
+    keys = [c for c in measured.columns if c not in ("grp", "name", "measured")]
+    groups = measured.select(*keys, "grp").distinct().join(thresholds, "grp")
+    how = "left" if absent_fails else "inner"
+    joined = null_safe_join(groups, measured, [*keys, "grp", "name"], how)
+    joined = joined.select(*keys, "grp", "name", "measured", *[c for c in thresholds.columns if c not in ("grp", "name")])
     value, limit = F.col("measured"), F.col("threshold")
     passed = F.when(F.col("op") == "<=", value <= limit).otherwise(value >= limit)
     # NaN sorts above every number in Spark but fails every comparison as a measurement
@@ -114,12 +122,23 @@ def longform_measures(
 
 
 def rerun_mismatches(first: DataFrame, second: DataFrame, key: str, text: str) -> DataFrame:
-    """GATE5: ids whose second run differs from the first in scoring form."""
+    """GATE5: ids whose second run differs from the first in scoring form, or is missing."""
     left = first.select(key, F.col(text).alias("run1"))
-    right = second.select(key, F.col(text).alias("run2"))
-    both = left.join(right, key)
+    right = second.select(key, F.col(text).alias("run2"), F.lit(True).alias("_rerun"))
+    both = left.join(right, key, "left")
     both = both.withColumn("_n1", normalize(F.col("run1"))).withColumn("_n2", normalize(F.col("run2")))
-    return both.where(F.col("_n1") != F.col("_n2")).drop("_n1", "_n2")
+    differs = F.col("_rerun").isNull() | (F.col("_n1") != F.col("_n2"))
+    return both.where(differs).drop("_n1", "_n2", "_rerun")
+
+
+def determinism_measure(
+    first: DataFrame, second: DataFrame, key: str, text: str, repeat_n: int | None = None
+) -> DataFrame:
+    """GATE5: the number of mismatches as a gate's measurement, over the first ``repeat_n`` ids."""
+    if repeat_n is not None:
+        first = first.orderBy(key).limit(repeat_n)
+    flat = rerun_mismatches(first, second, key, text).agg(F.count(F.lit(1)).alias("mismatches_max"))
+    return measures(flat, [], "determinism", ["mismatches_max"])
 
 
 def unstable_runs(runs: DataFrame, key: str, run: str, text: str) -> DataFrame:
@@ -168,14 +187,13 @@ def compare_settings(table: DataFrame, setting: str, order: str) -> DataFrame:
 
     The best has the lowest WER, then the lowest time. The table has one row per setting.
     """
-    best = table.agg(
-        F.min_by(setting, F.struct("wer", "infer_s", order)).alias("_best"),
-        F.min_by("wer", order).alias("_base_wer"),
-        F.min_by("infer_s", order).alias("_base_s"),
-    )
-    one = F.lit(0)
-    joined = null_safe_join(
-        table.withColumn("_all", one), best.withColumn("_all", one), ["_all"], "left"
+    # one row per setting, so one window over all of them is small; the table is scored once
+    everything = Window.partitionBy()
+    joined = table.select(
+        "*",
+        F.min_by(setting, F.struct("wer", "infer_s", order)).over(everything).alias("_best"),
+        F.min_by("wer", order).over(everything).alias("_base_wer"),
+        F.min_by("infer_s", order).over(everything).alias("_base_s"),
     )
     return joined.select(
         *table.columns,

@@ -127,15 +127,16 @@ def priority_fill(
     buckets: Sequence[str] = ("long", "medium"),
     extra_bucket: str = "medium",
     extra: int = 8,
-    most: int = max(full_quota().values()),
     bucket: str = "bucket",
 ) -> DataFrame:
     """SET5: fill what is left of each quota, rows with digits first.
 
     The extra bucket also takes its next few rows with digits. As those come first in the order,
-    both slices are one rank limit.
+    both slices are one rank limit: that of the largest quota left, so that ranking stops early in
+    every task. The quotas are one row per bucket and are read once.
     """
     wanted = df.where(F.col(bucket).isin(*buckets))
+    most = remaining.where(F.col(bucket).isin(*buckets)).agg(F.max("remaining")).first()[0] or 0
     late = F.when(F.col(has_digits), 0).otherwise(1)
     place = F.row_number().over(Window.partitionBy(bucket).orderBy(late, order))
     ranked = wanted.withColumn("_place", place).where(F.col("_place") <= most + extra)
@@ -152,8 +153,15 @@ def priority_fill(
 def drop_mismatched(
     df: DataFrame, qc: DataFrame, key: str, has_digits: str, max_wer: float = QC_WER_DROP
 ) -> DataFrame:
-    """SET6: drop rows whose check transcript is far off; rows with digits are only flagged."""
-    checked = df.join(qc, key)
+    """SET6: drop rows whose check transcript is far off; rows with digits are only flagged.
+
+    A row without a check result is an error.
+    """
+    checked = df.join(qc.withColumn("_checked", F.lit(True)), key, "left")
+    message = F.concat(F.lit("no check result for "), F.col(key).cast("string"))
+    # a filter is never pruned, whatever columns are read
+    checked = checked.where(F.when(F.col("_checked"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    checked = checked.drop("_checked")
     off = F.col("qc_wer") >= max_wer
     kept = checked.where(~(~F.col(has_digits) & off))
     return kept.withColumn("qc_flagged", off)
@@ -175,7 +183,7 @@ def split_dev(
     rows = rows.withColumn("_late", F.when(F.col(has_digits), 0).otherwise(1))
     rows = number_rows(rows, [bucket], order, "_i", lead=["_late"], total="_n")
     rows = rows.withColumn("_n_dev", F.least(_by_bucket(dev, bucket), F.col("_n")))
-    rows = rows.withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / F.col("_n_dev"))))
+    rows = rows.withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_n") / F.nullif("_n_dev", F.lit(0)))))
     i, step, n_dev = F.col("_i"), F.col("_step"), F.col("_n_dev")
     in_dev = (i % step == 0) & (i / step < n_dev)
     dev_before = F.least(n_dev, F.ceil(i / step))

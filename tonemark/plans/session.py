@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +42,24 @@ def ship_package() -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder of ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when the session names none, as in tests.
+    A session on one machine that names none, as in tests, gets a temporary folder that goes with
+    the process; on a cluster its absence is an error.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not str(spark.conf.get("spark.master", "local")).startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Give a file scan at least one partition per core before CPU-heavy work.
 

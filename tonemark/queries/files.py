@@ -50,8 +50,16 @@ def _src1(spark, sf):
 
 
 def _src2(spark, sf):
+    """One folder with files of both forms: arrays of 500 documents, and a row per line."""
     path = scratch_path(spark, "raw-manifest")
-    _manifest_rows(spark, sf, "text_raw").write.json(path)
+    rows = _manifest_rows(spark, sf, "text_raw").withColumn("_n", F.col("id").cast("bigint"))
+    even = F.col("_n") % 2 == 0
+    fields = F.struct("id", "audio", "text_raw")
+    arrays = rows.where(even).groupBy(F.floor(F.col("_n") / 1000).alias("part")).agg(F.collect_list(fields).alias("r"))
+    arrays = arrays.select("part", F.lit("array").alias("form"), F.to_json("r").alias("value"))
+    arrays.write.partitionBy("form", "part").text(path)
+    lines = rows.where(~even).select(F.lit(0).alias("part"), F.lit("lines").alias("form"), F.to_json(fields).alias("value"))
+    lines.write.mode("append").partitionBy("form", "part").text(path)
     return mf.read_any_manifest(spark, path)
 
 
@@ -106,15 +114,14 @@ def _src3(spark, sf):
 
 
 def _write_transcripts(spark, sf) -> str:
-    """One text file per conversation, a line per turn."""
-    path = scratch_path(spark, "transcripts")
+    """One text file per conversation, a line per turn; the folder they are in is ``transcripts``."""
+    path = f"{scratch_path(spark, 'set')}/transcripts"
     rows = table(spark, sf, "conversations").repartition("conv_id")
     ordered = rows.sortWithinPartitions("conv_id", "turn").select("conv_id", "text")
     ordered.write.partitionBy("conv_id").text(path)
     return path
 
 
-
 def _src4(spark, sf):
     files = mf.read_transcripts(spark, _write_transcripts(spark, sf))
     conv = F.regexp_extract("path", "conv_id=(\\d+)", 1).cast("bigint")
@@ -122,9 +129,14 @@ def _src4(spark, sf):
 
 
 def _snk4(spark, sf):
-    listed = sinks.checksums(spark, [], _write_transcripts(spark, sf), glob="*.txt")
-    conv = F.regexp_extract("path", "conv_id=(\\d+)", 1).cast("bigint")
-    return listed.select(conv.alias("conv_id"), F.substring_index("line", "  ", 1).alias("sha256"))
+    """Transcripts as clips, and the regions' names as the manifest before them."""
+    root = _write_transcripts(spark, sf).removesuffix("/transcripts")
+    names = table(spark, sf, "region").orderBy("r_regionkey").select("r_name")
+    names.coalesce(1).write.text(f"{root}/manifest")
+    listed = sinks.checksums(spark, root, ["manifest"], "transcripts", glob="*.txt")
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    digest = F.substring_index("line", "  ", 1)
+    return listed.select("ord", folder.alias("folder"), digest.alias("sha256"))
 
 
 def _src6(spark, sf):
@@ -250,8 +262,9 @@ QUERIES = {
     ),
     "SNK4": Check(
         _snk4,
-        "SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn) || chr(10)) AS sha256 "
-        "FROM conversations GROUP BY conv_id",
+        "SELECT 1::INTEGER AS ord, 'transcripts/conv_id=' || conv_id AS folder, "
+        "sha256(string_agg(text, chr(10) ORDER BY turn) || chr(10)) AS sha256 FROM conversations GROUP BY conv_id "
+        "UNION ALL SELECT 0, 'manifest', sha256(string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10)) FROM region",
     ),
     "SNK5": Check(_snk5, sql_pooled("lang, model", _WORDS)),
 }

@@ -207,7 +207,7 @@ _SQL_SET9 = f"""
 WITH {SQL_SPLIT},
 t AS (
   SELECT bucket, regexp_matches(text, '\\p{{Nd}}') AS digits,
-         regexp_matches(text, '[fjwzFJWZ]')
+         regexp_matches(text, '{tx.LOAN_LETTERS}')
          OR regexp_matches(text, '(^|[^.!?])[{tx.SPACE}][A-ZĐÂĂÊÔƠƯ][a-zà-ỹđ]+')
          OR regexp_matches(text, '[^\\p{{L}}\\p{{N}}_{tx.SPACE}][A-ZĐÂĂÊÔƠƯ][a-zà-ỹđ]+') AS named
   FROM split WHERE part = 'v1'

@@ -85,7 +85,7 @@ SELECT doc_id, array_to_string(list_filter([
   CASE WHEN regexp_matches(text, '(^|[^.!?])[{tx.SPACE}][A-ZĐÂĂÊÔƠƯ][a-zà-ỹđ]+')
          OR regexp_matches(text, '[^\\p{{L}}\\p{{N}}_{tx.SPACE}][A-ZĐÂĂÊÔƠƯ][a-zà-ỹđ]+')
        THEN 'proper_name' END,
-  CASE WHEN regexp_matches(text, '[fjwzFJWZ]') THEN 'loanword' END],
+  CASE WHEN regexp_matches(text, '{tx.LOAN_LETTERS}') THEN 'loanword' END],
   lambda t: t IS NOT NULL), ',') AS out
 FROM documents
 """

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tonemark import schemas
@@ -26,19 +27,31 @@ __all__ = [
 ]
 
 
+def _strict(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("mode", "FAILFAST")
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str = schemas.MANIFEST) -> DataFrame:
-    """SRC1: one JSON object per line; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """SRC1: one JSON object per line; blank lines are skipped, a broken line is an error."""
+    return _strict(spark).schema(schema).json(path)
 
 
 def read_any_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2: a JSON array or one object per line, told apart by the first character.
+    """SRC2: a JSON array or one object per line, told apart by each file's first character.
 
-    ``text_raw`` stands in for a missing ``text``.
+    ``text_raw`` stands in for a missing ``text``. A folder may hold files of both forms; broken
+    JSON is an error.
     """
-    first = spark.read.text(path).select(F.substring("value", 1, 1)).first()
-    is_array = first is not None and first[0] == "["
-    rows = spark.read.schema(schemas.RAW_MANIFEST).option("multiLine", is_array).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    # an array starts in a file's first line, and no row of a file of rows starts with a bracket
+    starts = F.max(F.ltrim("value").startswith("["))
+    forms = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(starts.alias("is_array")).collect()
+    rows = spark.createDataFrame([], schemas.RAW_MANIFEST)
+    for is_array in (True, False):
+        files = [unquote(r["file"]) for r in forms if r["is_array"] == is_array]
+        if files:
+            reader = _strict(spark).schema(schemas.RAW_MANIFEST).option("multiLine", is_array)
+            rows = rows.unionByName(reader.json(files))
     return rows.select("id", "audio", F.coalesce("text", "text_raw").alias("text"))
 
 
@@ -58,8 +71,8 @@ def read_unnamed_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sample_records(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3: sample records with their latency structs; NaN tokens become NaN."""
-    return spark.read.schema(schemas.SAMPLE_RECORD).json(path)
+    """SRC3: sample records with their latency structs; NaN tokens become NaN, broken lines fail."""
+    return _strict(spark).schema(schemas.SAMPLE_RECORD).json(path)
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

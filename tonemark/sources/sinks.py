@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,21 +25,22 @@ def write_pairs(pairs: DataFrame, path: str, run: str = "run_id") -> None:
 
 
 def checksums(
-    spark: SparkSession, manifests: Sequence[str], clips: str, glob: str = "*.wav"
+    spark: SparkSession, root: str, manifests: Sequence[str], clips: str, glob: str = "*.wav"
 ) -> DataFrame:
-    """SNK4: ``sha256  path`` lines, manifests in the given order, then clips by path."""
-    digest = F.sha2("content", 256)
-
-    def hashed(path: str | list[str]) -> DataFrame:
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        if isinstance(path, str):
-            reader = reader.option("pathGlobFilter", glob)
-        return reader.load(path).select("path", digest.alias("sha256"))
-
-    rank = F.lit(len(manifests))
-    for i, name in reversed(list(enumerate(manifests))):
-        rank = F.when(F.col("path").endswith(name), F.lit(i)).otherwise(rank)
-    both = hashed(clips).withColumn("ord", F.lit(len(manifests)))
-    if manifests:
-        both = hashed(list(manifests)).withColumn("ord", rank).unionByName(both)
-    return both.orderBy("ord", "path").select("ord", "path", "sha256", F.concat_ws("  ", "sha256", "path").alias("line"))
+    """SNK4: ``sha256  path`` lines, manifests in the given order, then clips by path.
+
+    ``manifests`` and ``clips`` are relative to the set's root, and so are the listed paths.
+    """
+    base = root.rstrip("/")
+
+    def hashed(reader: DataFrameReader, path: str) -> DataFrame:
+        content = reader.format("binaryFile").load(f"{base}/{path}")
+        # what follows the root, wherever the file system's own prefix ends
+        relative = F.substring_index("path", f"{urlsplit(base).path}/", -1)
+        return content.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"))
+
+    below = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    rows = hashed(below, clips).withColumn("ord", F.lit(len(manifests)))
+    for i, name in enumerate(manifests):
+        rows = rows.unionByName(hashed(spark.read, name).withColumn("ord", F.lit(i)))
+    return rows.orderBy("ord", "path").select("ord", "path", "sha256", F.concat_ws("  ", "sha256", "path").alias("line"))
