@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tonemark.functions.vectors import clip_ratio, cosine, rms
 from tonemark.operators import latency as lat
-from tonemark.operators.stats import _weights, bca_bounds, bca_ci, intervals, jackknife_acceleration
+from tonemark.operators import stats
+from tonemark.operators.stats import bca_bounds, bca_ci, intervals, median_acceleration
 from tonemark.plans.order_stats import order_statistics
 
 NAN = float("nan")
@@ -95,14 +96,61 @@ def test_interval_around_the_mean(values):
     assert (a.high - a.low) / 2 == pytest.approx(1.96 * np.std(drawn) / math.sqrt(200), rel=0.1)
 
 
-def test_interval_of_skewed_values_leans_right(values):
-    vs = (np.random.default_rng(1).exponential(1, 300)).tolist()
-    exact = bca_ci(values({"a": vs}), ["g"], F.col("v"), n_resamples=4000).first()
-    weighted = bca_ci(values({"a": vs}), ["g"], F.col("v"), n_resamples=4000, exact_rows=10).first()
-    for ci in (exact, weighted):
+def plain_interval(vs, statistic, speed, n_resamples=20_000):
+    vs = np.asarray(vs)
+    drawn = vs[np.random.default_rng(11).integers(0, len(vs), (n_resamples, len(vs)))]
+    return bca_bounds(statistic(drawn, axis=1), statistic(vs), speed, 0.95)
+
+
+@pytest.mark.parametrize("n", [15, 300, 2001])
+def test_interval_of_skewed_values_is_that_of_whole_resamples(values, monkeypatch, n):
+    vs = np.random.default_rng(1).exponential(1, n)
+    m = vs - vs.mean()
+    speed = (m**3).sum() / (6 * (m**2).sum() ** 1.5)
+    low, high = plain_interval(vs, np.mean, speed)
+    error = vs.std() / math.sqrt(n)
+    for part_rows in (100_000, 100):
+        monkeypatch.setattr(stats, "PART_ROWS", part_rows)
+        ci = bca_ci(values({"a": vs.tolist()}), ["g"], F.col("v")).first()
         assert ci.high - ci.point > ci.point - ci.low
-    assert weighted.low == pytest.approx(exact.low, abs=0.03)
-    assert weighted.high == pytest.approx(exact.high, abs=0.03)
+        assert abs(ci.low - low) < 0.15 * error and abs(ci.high - high) < 0.15 * error
+
+
+@pytest.mark.parametrize("n", [14, 15, 600, 2001])
+def test_interval_of_the_median_is_that_of_whole_resamples(values, n):
+    vs = np.sort(np.random.default_rng(n).normal(0, 1, n))
+    low, high = plain_interval(vs, np.median, stats.median_acceleration(*vs[[(n - 1) // 2 - n % 2, n // 2, n // 2 + n % 2]], n), 4000)
+    ci = bca_ci(values({"a": vs.tolist(), "b": [1.0, 2.0]}), ["g"], F.col("v"), statistic="median").where("g = 'a'").first()
+    assert ci.point == pytest.approx(np.median(vs)) and not ci.degenerate and ci.n == n
+    near = 0.35 * math.sqrt(n) / 2 + 1
+    for got, want in ((ci.low, low), (ci.high, high)):
+        assert abs(np.searchsorted(vs, got) - np.searchsorted(vs, want)) <= near
+
+
+def test_drawn_numbers_add_up_and_follow_the_sizes():
+    leaves, rows = [3, 7, 200, 255], [10, 1, 500, 89]
+    tree = stats._Tree(5, leaves, rows, 4000)
+    drawn = []
+    for leaf, n in zip(leaves, rows):
+        size, got = tree.at(leaf)
+        assert size == n and got.mean() == pytest.approx(n, rel=0.1)
+        drawn.append(got)
+    assert (sum(drawn) == 600).all()
+    # a leaf asked for alone has the same draws
+    assert (stats._Tree(5, leaves, rows, 4000).at(200)[1] == drawn[2]).all()
+    assert drawn[2].var() == pytest.approx(600 * (500 / 600) * (100 / 600), rel=0.1)
+
+
+def test_both_ways_to_draw_a_chunk_have_one_distribution():
+    values, counts = np.array([0.0, 1.0, 5.0]), np.array([4, 3, 2])
+    drawn = np.full(40_000, 30)
+    by_place = stats.chunk_sums(np.random.default_rng(1), values, counts, drawn)
+    by_value = stats.chunk_sums(np.random.default_rng(2), values, counts * 100, drawn)
+    for got in (by_place, by_value):
+        assert got.mean() == pytest.approx(30 * 13 / 9, rel=0.01)
+        assert got.var() == pytest.approx(30 * (53 / 9 - (13 / 9) ** 2), rel=0.04)
+    none = stats.chunk_sums(np.random.default_rng(1), values, counts, np.array([0, 2, 0]))
+    assert none[0] == none[2] == 0
 
 
 def test_degenerate_groups(values):
@@ -113,31 +161,33 @@ def test_degenerate_groups(values):
 
 def test_degenerate_jackknife_of_the_median(values):
     df = values({"a": [0.0] * 6 + [1.0]})
-    got = bca_ci(df, ["g"], F.col("v"), statistic=np.median, n_resamples=500).first()
+    got = bca_ci(df, ["g"], F.col("v"), statistic="median", n_resamples=500).first()
     assert got.degenerate and got.low == got.high == got.point == 0
 
 
 def test_same_seed_same_interval(values):
     df = values({"a": [1.0, 2.0, 3.5, 4.2, 5.9, 2.1, 3.3]})
-    for exact_rows in (1000, 3):
-        options = dict(seed=123, n_resamples=1000, exact_rows=exact_rows)
+    for statistic in ("mean", "median"):
+        options = dict(seed=123, n_resamples=1000, statistic=statistic)
         one = bca_ci(df, ["g"], F.col("v"), **options).first()
         two = bca_ci(df.repartition(3), ["g"], F.col("v"), **options).first()
         assert (one.low, one.high) == pytest.approx((two.low, two.high), rel=1e-9)
-        other = bca_ci(df, ["g"], F.col("v"), **{**options, "seed": 7}).first()
-        assert (one.low, one.high) != (other.low, other.high)
-
-
-def test_large_group_of_another_statistic_is_an_error(values):
-    with pytest.raises(Exception, match="too large"):
-        bca_ci(values({"a": [1.0, 2.0, 3.0]}), ["g"], F.col("v"), statistic=np.median, exact_rows=2).collect()
-
-
-def test_acceleration_of_the_mean_is_its_skewness():
-    v = np.random.default_rng(2).exponential(1, 50)
-    m = v - v.mean()
-    skew = (m**3).mean() / (m**2).mean() ** 1.5
-    assert jackknife_acceleration(v, np.mean) == pytest.approx(skew / (6 * math.sqrt(50)))
+    other = bca_ci(df, ["g"], F.col("v"), seed=7, n_resamples=1000).first()
+    one = bca_ci(df, ["g"], F.col("v"), seed=123, n_resamples=1000).first()
+    assert (one.low, one.high) != (other.low, other.high)
+    with pytest.raises(ValueError):
+        bca_ci(df, ["g"], F.col("v"), statistic="mode")
+
+
+def test_acceleration_of_the_median_is_that_of_leaving_rows_out():
+    for vs in ([1.0, 2.0, 4.0, 9.0, 10.0], [1.0, 2.0, 4.0, 9.0], [1.0, 1.0, 1.0, 5.0], [3.0, 4.0, 8.0]):
+        n = len(vs)
+        left = np.array([np.median(np.delete(vs, i)) for i in range(n)])
+        d = left.mean() - left
+        spread = (d**2).sum()
+        want = (d**3).sum() / (6 * spread**1.5) if spread else math.nan
+        got = median_acceleration(*[vs[i] for i in ((n - 1) // 2 - n % 2, n // 2, n // 2 + n % 2)], n)
+        assert got == pytest.approx(want, nan_ok=True, abs=1e-12)
     assert all(map(math.isnan, bca_bounds(np.ones(10), 0.0, 0.1, 0.95)))
 
 
@@ -156,11 +206,3 @@ def test_vectors(spark):
     ).first()
     assert row.c == pytest.approx(1 / math.sqrt(2)) and row.z == 0
     assert row.r == pytest.approx(math.sqrt(12.5)) and row.k == 0.5 and row.e is None
-
-
-@pytest.mark.parametrize("count", [1, 2, 7, 16, 40])
-def test_weights_are_poisson(count):
-    drawn = _weights(np.random.Generator(np.random.SFC64(1)), count, 200_000)
-    assert drawn.mean() == pytest.approx(count, rel=0.01)
-    assert drawn.var() == pytest.approx(count, rel=0.03)
-    assert np.mean(drawn == 0) == pytest.approx(math.exp(-count), abs=0.004)

@@ -1,15 +1,22 @@
 """Bootstrap confidence intervals per group (bias-corrected and accelerated, Efron 1987).
 
-Groups up to ``exact_rows`` rows are resampled with replacement as a whole, the replicates split
-over tasks. Larger groups keep their rows where they are: every distinct value draws a Poisson
-weight per replicate (its count is the mean), and the weighted sums are added up by Spark. All draws
-are seeded by the seed, the group and the replicate block or value, so a lost task repeats itself.
+A resample draws as many rows as the group has, with replacement. No group is gathered for it.
+
+*Mean.* Equal values are counted, and values are dealt to leaves by their digest. How many of a
+resample's rows fall into each leaf comes from splitting the number in two, again and again, by
+binomial draws; inside a leaf the rows are drawn chunk by chunk. A task keeps one sum per resample
+and group, and the sums of all tasks are added.
+
+*Median.* The middle of a resample is an order statistic of uniform draws, so its rank has a Beta
+distribution. Only the values between the smallest and largest rank that came up are looked at.
+
+Every draw is seeded by the seed, the group and the place in the tree, whatever the layout, so a
+lost task repeats itself. The way is the same for groups of any size.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -18,19 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonemark.plans.blocks import null_safe_join
 from tonemark.plans.melt import MEASURE, VALUE, melt, widen
-from tonemark.plans.order_stats import usable
-from tonemark.plans.session import spread_by
+from tonemark.plans.order_stats import order_statistics, usable
 
-EXACT_ROWS = 2_000
-REPLICATE_BLOCKS = 16
-_DRAWS_AT_ONCE = 1 << 20
-_SMALL_COUNT = 16
-_BOUNDS = T.StructType(
-    [T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]
-)
-_ARRAY = T.ArrayType(T.DoubleType())
+LEAVES = 256
+CHUNK = 512
+#: Rows of a group that one task should draw from, and the most tasks for a group.
+PART_ROWS = 100_000
+MOST_PARTS = 64
+#: A binomial draw costs about as much as this many draws of an index.
+_BINOMIAL_COST = 8
+_BOUNDS = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+_RANKS = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+_MASK = (1 << 64) - 1
 
 
 def bca_bounds(
@@ -56,201 +63,256 @@ def bca_bounds(
     return ends[0], ends[1]
 
 
-def jackknife_acceleration(values: np.ndarray, statistic: Callable) -> float:
-    """Skewness of the leave-one-out statistics, NaN when they are all equal."""
-    left_out = np.array([statistic(np.delete(values, i), axis=-1) for i in range(len(values))])
-    deviation = left_out.mean() - left_out
-    spread = np.sum(deviation**2)
-    return float(np.sum(deviation**3) / (6 * spread**1.5)) if spread > 0 else float("nan")
-
-
-def _resampler(statistic: Callable, n_resamples: int) -> Callable:
-    share = -(-n_resamples // REPLICATE_BLOCKS)
-
-    def one(values: np.ndarray, seed: int, block: int) -> np.ndarray:
-        rng = np.random.Generator(np.random.SFC64([seed & (2**64 - 1), block]))
-        size, wanted = len(values), max(0, min(share, n_resamples - block * share))
-        rows = max(1, _DRAWS_AT_ONCE // size)
-        parts = [np.empty(0)]
-        for done in range(0, wanted, rows):
-            drawn = rng.integers(0, size, (min(rows, wanted - done), size), dtype=np.uint32)
-            parts.append(statistic(values.take(drawn), axis=-1))
-        return np.concatenate(parts)
-
-    @F.pandas_udf(_ARRAY)
-    def resample(values: pd.Series, seed: pd.Series, block: pd.Series) -> pd.Series:
-        return pd.Series([one(np.asarray(v), s, b) for v, s, b in zip(values, seed, block)])
-
-    return resample
-
-
-def _limits(mean: int) -> list[int]:
-    """Distribution function of a Poisson variable on the scale of a uniform 32-bit number, up to
-    the last value such a number can tell apart: a weight is the number of limits it reaches."""
-    limits, term, total = [], math.exp(-mean), 0.0
-    for value in range(1, 200):
-        total += term
-        if round(2**32 * total) >= 2**32:
-            break
-        limits.append(round(2**32 * total))
-        term *= mean / value
-    return limits
-
-
-# a plain table: tasks take it along, which a cached function does not allow
-_LIMITS = {count: _limits(count) for count in range(1, _SMALL_COUNT + 1)}
-
-
-def _weights(rng: np.random.Generator, count: int, size: int) -> np.ndarray:
-    """Poisson weights with mean ``count``; the copies of one value are drawn together."""
-    if count > _SMALL_COUNT:
-        return rng.poisson(count, size).astype(np.float64)
-    uniform = rng.integers(0, 1 << 32, size, dtype=np.uint32)
-    drawn = np.zeros(size, np.uint8)
-    for limit in _LIMITS[count]:
-        reached = uniform >= np.uint32(limit)
-        if not reached.any():
-            break
-        drawn += reached.view(np.uint8)
-    return drawn.astype(np.float64)
-
-
-def _poisson_sums(keys: Sequence[str], n_resamples: int) -> Callable:
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, rows in batch.groupby(list(keys), dropna=False, sort=False):
-                total, weight = np.zeros(n_resamples), np.zeros(n_resamples)
-                for value, count, seed in zip(rows["_v"], rows["_c"], rows["_seed"]):
-                    rng = np.random.Generator(np.random.SFC64(seed & (2**64 - 1)))
-                    drawn = _weights(rng, count, n_resamples)
-                    weight += drawn
-                    drawn *= value
-                    total += drawn
-                out = {name: [part] * n_resamples for name, part in zip(keys, key)}
-                yield pd.DataFrame(
-                    {**out, "_b": np.arange(n_resamples), "_t": total, "_w": weight}
-                )
-
-    return sums
+def median_acceleration(before: float, middle: float, after: float, n: int) -> float:
+    """Skewness of the medians that leave one row out; NaN when they are all equal.
+
+    For an even number these are the two middle values, half of the times each. For an odd one they
+    are the middles between neighbours of the median, and once the middle of both neighbours.
+    """
+    if n % 2 == 0:
+        return 0.0 if after > before else float("nan")
+    half = (n - 1) // 2
+    left_out = np.array([(middle + after) / 2, (before + after) / 2, (before + middle) / 2])
+    times = np.array([half, 1, half])
+    deviation = (times @ left_out) / n - left_out
+    spread = times @ deviation**2
+    return float((times @ deviation**3) / (6 * spread**1.5)) if spread > 0 else float("nan")
+
+
+def _rng(*seeds: int) -> np.random.Generator:
+    return np.random.Generator(np.random.SFC64([s & _MASK for s in seeds]))
+
+
+class _Tree:
+    """How many rows of each resample fall into each leaf of one group."""
+
+    def __init__(self, group: int, leaves: Sequence[int], rows: Sequence[int], n_resamples: int):
+        totals = np.zeros(LEAVES + 1, np.int64)
+        totals[np.asarray(leaves) + 1] = rows
+        self.group, self.upto = group, np.cumsum(totals)
+        whole = np.full(n_resamples, self.upto[-1], np.int64)
+        self.path = [(0, LEAVES, whole)]
+
+    def at(self, leaf: int) -> tuple[int, np.ndarray]:
+        """Rows of the leaf, and the number drawn from it; leaves are asked for in order."""
+        while not self.path[-1][0] <= leaf < self.path[-1][1]:
+            self.path.pop()
+        while self.path[-1][1] - self.path[-1][0] > 1:
+            lo, hi, drawn = self.path[-1]
+            mid = (lo + hi) // 2
+            left, both = self.upto[mid] - self.upto[lo], self.upto[hi] - self.upto[lo]
+            first = _rng(self.group, lo, hi).binomial(drawn, left / both)
+            self.path.append((lo, mid, first) if leaf < mid else (mid, hi, drawn - first))
+        return int(self.upto[leaf + 1] - self.upto[leaf]), self.path[-1][2]
+
+
+def chunk_sums(rng: np.random.Generator, values: np.ndarray, counts: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """Sum of ``drawn`` rows per resample, each value as likely as it is frequent.
+
+    Drawn by place or by value, whichever is less work; the distribution is the same.
+    """
+    n = int(counts.sum())
+    if n > _BINOMIAL_COST * len(values):
+        return rng.multinomial(drawn, counts / n) @ values
+    rows = np.repeat(values, counts)
+    ends = np.cumsum(drawn)
+    sums = np.concatenate([[0.0], np.cumsum(rows[rng.integers(0, n, int(ends[-1]), dtype=np.uint32)])])
+    return sums[ends] - sums[ends - drawn]
+
+
+def _task_sums(n_resamples: int):
+    """Sums over a partition sorted by group, part, leaf and value; each part is led by a row with
+    the sizes of its group's leaves."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = leaf = tree = rng = None
+        total = np.zeros(n_resamples)
+        left_rows, left_draws, values, counts = 0, np.zeros(0), [], []
+
+        def flush() -> None:
+            nonlocal left_rows, left_draws, total
+            if values:
+                n = sum(counts)
+                share = min(1.0, n / left_rows)
+                drawn = left_draws if n == left_rows else rng.binomial(left_draws, share)
+                total += chunk_sums(rng, np.array(values), np.array(counts), drawn)
+                left_rows, left_draws = left_rows - n, left_draws - drawn
+                values.clear()
+                counts.clear()
+
+        for frame in frames:
+            for gid, at, value, count, leaves, sizes in zip(
+                frame["_gid"], frame["_leaf"], frame["_v"], frame["_c"], frame["_leaves"], frame["_sizes"]
+            ):
+                if at < 0:
+                    flush()
+                    if group is not None and gid != group:
+                        yield pd.DataFrame({"_gid": [group], "_sums": [total.tobytes()]})
+                        total = np.zeros(n_resamples)
+                    group, leaf, tree = gid, None, _Tree(gid, leaves, sizes, n_resamples)
+                    continue
+                if at != leaf:
+                    flush()
+                    leaf, rng = at, _rng(gid, at, LEAVES)
+                    left_rows, left_draws = tree.at(at)
+                elif len(values) == CHUNK:
+                    flush()
+                values.append(value)
+                counts.append(count)
+        flush()
+        if group is not None:
+            yield pd.DataFrame({"_gid": [group], "_sums": [total.tobytes()]})
+
+    return run
+
+
+def _mean_ends(counts: DataFrame, base: DataFrame, n_resamples: int, level: float) -> DataFrame:
+    """``_gid``, ``_point`` and ``_ends`` for groups with spread."""
+    leafed = counts.withColumn("_leaf", F.pmod(F.xxhash64("_v"), F.lit(LEAVES)).cast("int"))
+    sizes = leafed.groupBy("_gid", "_leaf").agg(F.sum("_c").alias("_c"))
+    sizes = sizes.groupBy("_gid").agg(F.collect_list("_leaf").alias("_leaves"), F.collect_list("_c").alias("_sizes"))
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART_ROWS)).cast("int").alias("_parts")
+    varied = base.where((F.col("n") >= 2) & (F.col("_hi") > F.col("_lo")))
+    wanted = varied.select("_gid", parts)
+
+    def part_of(leaf: Column) -> Column:
+        return F.floor(leaf * F.col("_parts") / LEAVES).cast("int").alias("_part")
+
+    rows = leafed.join(wanted, "_gid").select(
+        "_gid", part_of(F.col("_leaf")), "_leaf", "_v", "_c",
+        F.lit(None).cast("array<int>").alias("_leaves"), F.lit(None).cast("array<bigint>").alias("_sizes"),
+    )
+    heads = sizes.join(wanted, "_gid").select(
+        "_gid", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(-1).alias("_leaf"),
+        F.lit(0.0).alias("_v"), F.lit(0).cast("bigint").alias("_c"), "_leaves", "_sizes",
+    )
+    spark = counts.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.unionByName(heads).repartition(cores, "_gid", "_part")
+    dealt = dealt.sortWithinPartitions("_gid", "_part", "_leaf", "_v")
+    sums = dealt.mapInPandas(_task_sums(n_resamples), "_gid long, _sums binary")
+    gathered = sums.groupBy("_gid").agg(F.collect_list("_sums").alias("_all"))
+
+    @F.pandas_udf(_BOUNDS)
+    def bounds(parts: pd.Series, point: pd.Series, skew: pd.Series, n: pd.Series) -> pd.DataFrame:
+        ends = []
+        for p, x, s, k in zip(parts, point, skew, n):
+            means = sum(np.frombuffer(b) for b in p) / k
+            ends.append(bca_bounds(means, x, s / (6 * np.sqrt(k)), level))
+        return pd.DataFrame(ends, columns=["low", "high"], dtype="float64")
+
+    joined = gathered.join(varied, "_gid")
+    return joined.select("_gid", F.col("_mean").alias("_point"), bounds("_all", "_mean", "_skew", "n").alias("_ends"))
+
+
+def middle_ranks(seed: int, group: int, n: int, n_resamples: int) -> np.ndarray:
+    """Ranks from 0 of the middle rows of each resample, two columns, equal for an odd number."""
+    rng = _rng(seed, group)
+    k = (n + 1) // 2
+    first = rng.beta(k, n - k + 1, n_resamples)
+    second = first
+    if n % 2 == 0:
+        # the next one is the least of those above
+        second = first + (1 - first) * (1 - rng.random(n_resamples) ** (1 / (n - k)))
+    return np.minimum((np.stack([first, second], axis=1) * n).astype(np.int64), n - 1)
+
+
+def _median_ends(clean: DataFrame, base: DataFrame, n_resamples: int, level: float, seed: int) -> DataFrame:
+    """``_gid``, ``_point`` and ``_ends`` for groups with spread."""
+
+    @F.pandas_udf(_RANKS)
+    def reach(gid: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for g, k in zip(gid, n):
+            ranks = middle_ranks(seed, g, k, n_resamples)
+            # with the middle itself and its neighbours
+            out.append((max(0, min(ranks.min(), k // 2 - 1)), min(k - 1, max(ranks.max(), k // 2 + 1))))
+        return pd.DataFrame(out, columns=["first", "last"])
+
+    varied = base.where((F.col("n") >= 2) & (F.col("_hi") > F.col("_lo")))
+    wanted = varied.select("_gid", "n", reach("_gid", "n").alias("_r")).select("_gid", "n", "_r.first", "_r.last")
+    rows = clean.join(wanted, "_gid")
+
+    ends = order_statistics(
+        rows, ["_gid", "n", "first", "last"], F.col("_v"),
+        {"_from": lambda n: F.col("_g.first"), "_to": lambda n: F.col("_g.last")},
+    )
+    near = rows.select("_gid", "_v").join(ends, "_gid")
+    counted = near.groupBy("_gid", "n", "_from", "_to").agg(F.count_if(F.col("_v") < F.col("_from")).alias("_before"))
+    inside = near.where(F.col("_v").between(F.col("_from"), F.col("_to"))).groupBy("_gid", "_v")
+    inside = inside.agg(F.count(F.lit(1)).alias("_c")).groupBy("_gid")
+    inside = inside.agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_near"))
+    schema = T.StructType([T.StructField("point", T.DoubleType()), *_BOUNDS.fields])
+
+    @F.pandas_udf(schema)
+    def solve(gid: pd.Series, n: pd.Series, before: pd.Series, values: pd.Series, times: pd.Series) -> pd.DataFrame:
+        out = []
+        for g, k, b, v, c in zip(gid, n, before, values, times):
+            v, upto = np.asarray(v), b + np.cumsum(c)
+
+            def at(ranks: np.ndarray) -> np.ndarray:
+                return v[np.searchsorted(upto, ranks, "right")]
+
+            medians = at(middle_ranks(seed, g, k, n_resamples)).mean(axis=1)
+            low, mid, high = at(np.clip(np.array([(k - 1) // 2 - (k % 2), k // 2, k // 2 + (k % 2)]), 0, k - 1))
+            point = mid if k % 2 else (low + mid) / 2
+            speed = median_acceleration(low, mid, high, k)
+            out.append((point, *bca_bounds(medians, point, speed, level)))
+        return pd.DataFrame(out, columns=["point", "low", "high"], dtype="float64")
+
+    solved = counted.join(inside, "_gid").select(
+        "_gid", solve("_gid", "n", "_before", F.col("_near._v"), F.col("_near._c")).alias("_s")
+    )
+    return solved.select("_gid", F.col("_s.point").alias("_point"), F.struct("_s.low", "_s.high").alias("_ends"))
 
 
 def bca_ci(
     df: DataFrame,
     keys: Sequence[str],
     value: Column,
-    statistic: Callable = np.mean,
+    statistic: str = "mean",
     n_resamples: int = 10_000,
     level: float = 0.95,
     seed: int = 42,
-    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """STAT1, STAT2: point, low, high, cl, n, degenerate for every group.
 
-    ``statistic`` is a numpy reduction with an ``axis`` argument. The mean has an interval for
-    groups of any size; another statistic needs all values of a group at once, so a group above
-    ``exact_rows`` is an error then, never a sample.
+    ``statistic`` is ``mean`` or ``median``. Null and NaN are dropped first.
     """
-    is_mean = statistic is np.mean
-    group = list(keys) or ["_all"]
-    if not keys:
-        df = df.withColumn("_all", F.lit(0))
-    clean = df.select(*group, value.cast("double").alias("_v")).where(usable(F.col("_v")))
-    base = clean.groupBy(*group).agg(
+    if statistic not in ("mean", "median"):
+        raise ValueError("the statistic is mean or median")
+    # one struct names the group: joins and groupings on it treat null keys as equal
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    clean = df.select(group.alias("_g"), value.cast("double").alias("_v")).where(usable(F.col("_v")))
+    clean = clean.withColumn("_gid", F.xxhash64(F.lit(seed), "_g"))
+    base = clean.groupBy("_gid", "_g").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("_v").alias("_mean"),
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
         F.skewness("_v").alias("_skew"),
     )
-    varied = base.where((F.col("n") >= 2) & (F.col("_hi") > F.col("_lo")))
-    counts = clean.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    small = varied.where(F.col("n") <= exact_rows).select(*group)
-    large = varied.where(F.col("n") > exact_rows).select(*group)
-
-    # whole resamples of bounded groups
-    copies = F.flatten(F.collect_list(F.array_repeat("_v", F.col("_c").cast("int"))))
-    whole = null_safe_join(counts, small, group, "left_semi")
-    whole = whole.groupBy(*group).agg(F.array_sort(copies).alias("_values"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(REPLICATE_BLOCKS - 1))).alias("_block")
-    drawn = whole.select(*group, "_values", F.xxhash64(F.lit(seed), *group).alias("_seed"), blocks)
-    drawn = spread_by(drawn, *group, "_block")
-    resample = _resampler(statistic, n_resamples)
-    drawn = drawn.withColumn("_part", resample("_values", "_seed", "_block"))
-    replicates = drawn.groupBy(*group).agg(
-        F.flatten(F.collect_list("_part")).alias("_replicates"), F.first("_values").alias("_values")
-    )
-
-    if is_mean:
-        big = null_safe_join(counts, large, group, "left_semi")
-        big = big.withColumn("_seed", F.xxhash64(F.lit(seed), *group, "_v"))
-        # by the seed: a shuffle on the grouping's own columns would be optimised away
-        big = spread_by(big, "_seed")
-        fields = [big.schema[name] for name in group]
-        schema = T.StructType(
-            [
-                *fields,
-                T.StructField("_b", T.LongType()),
-                T.StructField("_t", T.DoubleType()),
-                T.StructField("_w", T.DoubleType()),
-            ]
-        )
-        sums = big.mapInPandas(_poisson_sums(group, n_resamples), schema)
-        sums = sums.groupBy(*group, "_b").agg(F.sum("_t").alias("_t"), F.sum("_w").alias("_w"))
-        # a replicate that drew no row has no mean
-        means = sums.where(F.col("_w") > 0).withColumn("_m", F.col("_t") / F.col("_w"))
-        poisson = means.groupBy(*group).agg(F.collect_list("_m").alias("_replicates"))
-        replicates = replicates.drop("_values").unionByName(poisson)
-
-    joined = null_safe_join(base, replicates, group, "left")
-
-    @F.pandas_udf(_BOUNDS)
-    def mean_bounds(reps: pd.Series, point: pd.Series, skew: pd.Series, n: pd.Series) -> pd.DataFrame:
-        rows = [
-            (None, None)
-            if r is None
-            else bca_bounds(np.asarray(r), p, s / (6 * np.sqrt(k)), level)
-            for r, p, s, k in zip(reps, point, skew, n)
-        ]
-        return pd.DataFrame(rows, columns=["low", "high"], dtype="float64")
-
-    point_and_bounds = T.StructType([T.StructField("point", T.DoubleType()), *_BOUNDS.fields])
-
-    @F.pandas_udf(point_and_bounds)
-    def general_bounds(reps: pd.Series, values: pd.Series, lo: pd.Series) -> pd.DataFrame:
-        rows = []
-        for r, v, only in zip(reps, values, lo):
-            if v is None:
-                rows.append((only, None, None))
-                continue
-            v = np.asarray(v)
-            point = float(statistic(v, axis=-1))
-            bounds = bca_bounds(np.asarray(r), point, jackknife_acceleration(v, statistic), level)
-            rows.append((point, *bounds))
-        return pd.DataFrame(rows, columns=["point", "low", "high"], dtype="float64")
-
-    if is_mean:
-        exact_point = F.when(F.col("_hi") == F.col("_lo"), F.col("_lo")).otherwise(F.col("_mean"))
-        ends = mean_bounds("_replicates", exact_point, "_skew", "n")
-        solved = joined.withColumn("_point", exact_point).withColumn("_ends", ends)
+    if statistic == "mean":
+        counts = clean.groupBy("_gid", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        solved = _mean_ends(counts, base, n_resamples, level)
     else:
-        message = F.lit("a group is too large for a statistic other than the mean")
-        lost = (F.col("n") > exact_rows) & (F.col("_hi") > F.col("_lo"))
-        guarded = F.when(lost, F.raise_error(message).cast("double")).otherwise(F.col("_lo"))
-        solved = joined.withColumn("_ends", general_bounds("_replicates", "_values", guarded))
-        solved = solved.withColumn("_point", F.col("_ends.point"))
-
+        solved = _median_ends(clean.select("_gid", "_v"), base, n_resamples, level, seed)
+    # groups without spread have no draws; their point is the one value
+    joined = base.join(solved, "_gid", "left")
+    point = F.when(F.col("_hi") == F.col("_lo"), F.col("_lo")).otherwise(F.coalesce("_point", "_mean"))
     low, high = F.col("_ends.low"), F.col("_ends.high")
     finite = usable(low) & usable(high)
-    result = solved.select(
-        *group,
-        F.col("_point").alias("point"),
-        F.when(finite, low).otherwise(F.col("_point")).alias("low"),
-        F.when(finite, high).otherwise(F.col("_point")).alias("high"),
+    result = joined.select(
+        "_g",
+        point.alias("point"),
+        F.when(finite, low).otherwise(point).alias("low"),
+        F.when(finite, high).otherwise(point).alias("high"),
         F.lit(level).alias("cl"),
         "n",
         (~finite).alias("degenerate"),
     )
-    return result if keys else result.drop("_all")
+    names = ["point", "low", "high", "cl", "n", "degenerate"]
+    return result.select("_g.*", *names) if keys else result.select(*names)
 
 
 def intervals(

@@ -218,3 +218,43 @@ latency AS (
               THEN value / CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS rtf
   FROM events
 )"""
+
+
+# --- ends of bootstrap intervals of a mean ----------------------------------------------------------
+#
+# The draws have no SQL form, but the ends have one to second order: with standard error e, skewness g
+# and normal quantile z they are m + e (z + g (2 z^2 + 1) / (6 sqrt(n))). An end that lies within a few
+# Monte Carlo errors of this value, and only that, is shown as this value, so that SQL can compare it.
+
+_Z = 1.959963984540054
+
+
+def spread_of(value: Column) -> list[Column]:
+    """Aggregates that ``shown_ends`` needs next to an interval."""
+    return [F.avg(value).alias("_m"), F.stddev_pop(value).alias("_sd"), F.skewness(value).alias("_g")]
+
+
+def shown_ends(low: Column, high: Column, n: Column, slack: float = 0.2) -> list[Column]:
+    error = F.col("_sd") / F.sqrt(n)
+    lean = F.col("_g") * (2 * _Z * _Z + 1) / (6 * F.sqrt(n))
+
+    def shown(end: Column, z: float) -> Column:
+        want = F.col("_m") + error * (z + lean)
+        return F.round(F.when(F.abs(end - want) <= slack * error, want).otherwise(end), 7)
+
+    return [shown(low, -_Z).alias("low"), shown(high, _Z).alias("high")]
+
+
+def sql_ends(value: str, where: str = "true") -> str:
+    """The same two values as SQL aggregates named low and high."""
+
+    def of(power: int) -> str:
+        return f"avg(power({value}, {power})) FILTER ({where})"
+
+    m, n = f"avg({value}) FILTER ({where})", f"count({value}) FILTER ({where})"
+    sd = f"stddev_pop({value}) FILTER ({where})"
+    g = f"(({of(3)}) - 3 * ({m}) * ({of(2)}) + 2 * power({m}, 3)) / power({sd}, 3)"
+    lean = f"({g}) * {2 * _Z * _Z + 1} / (6 * sqrt({n}))"
+    return ", ".join(
+        f"round(({m}) + ({sd}) / sqrt({n}) * ({z} + {lean}), 7) AS {name}" for name, z in (("low", -_Z), ("high", _Z))
+    )

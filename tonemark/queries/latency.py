@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tonemark.functions.vectors import cosine
 from tonemark.operators import latency as lat
-from tonemark.operators.stats import EXACT_ROWS, bca_ci, intervals
-from tonemark.queries.base import SQL_LATENCY, Check, latency, table
+from tonemark.operators.stats import bca_ci, intervals
+from tonemark.plans.order_stats import order_statistics
+from tonemark.queries.base import SQL_LATENCY, Check, latency, shown_ends, spread_of, sql_ends, table
 
 _STATS = ["median_s", "p90_s", "p99_s", "mean_s", "min_s", "max_s"]
 
@@ -91,44 +91,42 @@ def _lat8(spark, sf):
     return rows.select("event_id", "_layers.*").withColumn("overhead_s", F.round("overhead_s", 6))
 
 
-def _interval_check(ci):
-    """The interval has no SQL form; its place and width do. The width follows the standard error."""
-    width = (F.col("high") - F.col("low")) / (2 * 1.959964 * F.col("se"))
-    return ci.select(
-        "model",
-        F.round("point", 9).alias("point"),
-        "n",
-        "degenerate",
-        ((F.col("low") < F.col("point")) & (F.col("point") < F.col("high"))).alias("around_point"),
-        width.between(0.9, 1.1).alias("width_ok"),
-    )
-
-
-def _bootstrap(exact_rows: int):
+def _stat1(keys: list[str]):
     def run(spark, sf):
-        rows = latency(spark, sf)
-        ci = bca_ci(rows, ["model"], F.col("total_s"), exact_rows=exact_rows)
-        spread = rows.groupBy("model").agg(
-            (F.stddev_pop("total_s") / F.sqrt(F.count(F.lit(1)))).alias("se")
+        rows = latency(spark, sf).withColumn("every", F.lit("all"))
+        ci = bca_ci(rows, keys, F.col("total_s"))
+        spread = rows.groupBy(*keys).agg(*spread_of(F.col("total_s")))
+        return ci.join(spread, keys).select(
+            *keys, F.round("point", 9).alias("point"), "n", "degenerate", *shown_ends(F.col("low"), F.col("high"), F.col("n"))
         )
-        return _interval_check(ci.join(spread, "model"))
 
     return run
 
 
-_SQL_STAT1 = f"""
-WITH {SQL_LATENCY}
-SELECT model, round(avg(total_s), 9) AS point, count(*) AS n, false AS degenerate,
-       true AS around_point, true AS width_ok
-FROM latency GROUP BY model
+def _sql_stat1(key: str) -> str:
+    return f"""
+WITH {SQL_LATENCY}, v AS (SELECT *, 'all' AS every FROM latency)
+SELECT {key}, round(avg(total_s), 9) AS point, count(*) AS n, false AS degenerate, {sql_ends('total_s')}
+FROM v GROUP BY {key}
 """
 
 
 def _stat1_median(spark, sf):
-    rows = table(spark, sf, "embeddings").select("label", F.col("embedding")[0].alias("v"))
-    ci = bca_ci(rows, ["label"], F.col("v"), statistic=np.median, n_resamples=2000)
-    inside = (F.col("low") <= F.col("point")) & (F.col("point") <= F.col("high"))
-    return ci.select("label", F.round("point", 9).alias("point"), "n", inside.alias("inside"))
+    """All components of each label's vectors. The ends are those of a binomial rank, within a share
+    of its deviation."""
+    rows = table(spark, sf, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("v"))
+    ci = bca_ci(rows, ["label"], F.col("v"), statistic="median", n_resamples=2000)
+
+    def rank(z: float):
+        return lambda n: F.greatest(F.floor(n / 2 + z * F.sqrt(n) / 2), F.lit(0))
+
+    bounds = {"a": rank(-2.31), "b": rank(-1.61), "c": rank(1.61), "d": rank(2.31)}
+    ranks = order_statistics(rows, ["label"], F.col("v"), bounds)
+    return ci.join(ranks, "label").select(
+        "label", F.round("point", 9).alias("point"), "n", "degenerate",
+        F.col("low").between(F.col("a"), F.col("b")).alias("low_ok"),
+        F.col("high").between(F.col("c"), F.col("d")).alias("high_ok"),
+    )
 
 
 def _stat2(spark, sf):
@@ -172,13 +170,16 @@ def _stat4(spark, sf):
     """Similarity is null for the engines under labels 3 and 6, so they have no block."""
     sim = F.when(~F.col("label").isin(3, 6), cosine(F.col("embedding"), F.col("other")))
     rows = neighbours(spark, sf).select("label", sim.alias("sim"))
-    groups = rows.select("label").distinct()
-    joined = groups.join(intervals(rows, ["label"], {"ci": F.col("sim")}, n_resamples=2000), "label", "left")
+    groups = rows.groupBy("label").agg(*spread_of(F.col("sim")))
+    joined = groups.join(intervals(rows, ["label"], {"ci": F.col("sim")}), "label", "left")
+    low, high = shown_ends(F.col("ci.low"), F.col("ci.high"), F.col("ci.n"), 0.35)
     return joined.select(
         "label",
         F.col("ci").isNotNull().alias("has_block"),
         F.round(F.coalesce("ci.point", F.lit(0.0)), 9).alias("point"),
         F.coalesce("ci.n", F.lit(0)).alias("n"),
+        F.coalesce(low, F.lit(0.0)).alias("low"),
+        F.coalesce(high, F.lit(0.0)).alias("high"),
     )
 
 
@@ -186,9 +187,13 @@ _SQL_STAT4 = f"""
 WITH s AS (
   SELECT a.label, CASE WHEN a.label NOT IN (3, 6) THEN {SQL_COSINE} END AS sim
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+),
+e AS (
+  SELECT label, count(sim) > 0 AS has_block, round(coalesce(avg(sim), 0), 9) AS point, count(sim) AS n, {sql_ends('sim')}
+  FROM s WHERE sim IS NOT NULL GROUP BY label
+  UNION ALL SELECT label, false, 0, 0, 0, 0 FROM s GROUP BY label HAVING count(sim) = 0
 )
-SELECT label, count(sim) > 0 AS has_block, round(coalesce(avg(sim), 0), 9) AS point, count(sim) AS n
-FROM s GROUP BY label
+SELECT * FROM e
 """
 
 QUERIES = {
@@ -228,12 +233,12 @@ QUERIES = {
         "2.5::DOUBLE AS model_load_s, "
         "round((total_s + media_s) - (total_s + media_s / 4), 6) AS overhead_s FROM latency",
     ),
-    "STAT1": Check(_bootstrap(EXACT_ROWS), _SQL_STAT1),
-    "STAT1_large": Check(_bootstrap(100), _SQL_STAT1),
+    "STAT1": Check(_stat1(["model"]), _sql_stat1("model")),
+    "STAT1_large": Check(_stat1(["every"]), _sql_stat1("every")),
     "STAT1_median": Check(
         _stat1_median,
-        "SELECT label, round(median(embedding[1]::DOUBLE), 9) AS point, count(*) AS n, true AS inside "
-        "FROM embeddings GROUP BY label",
+        "WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT label, round(median(v), 9) AS point, "
+        "count(*) AS n, false AS degenerate, true AS low_ok, true AS high_ok FROM v GROUP BY label",
     ),
     "STAT2": Check(_stat2, _SQL_STAT2),
     "STAT3": Check(

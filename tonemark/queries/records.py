@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tonemark.operators import records as rc
 from tonemark.operators.latency import latency_struct
-from tonemark.queries.base import SQL_PAIRS, Check, table, triples
+from tonemark.queries.base import SQL_PAIRS, Check, shown_ends, spread_of, sql_ends, table, triples
 from tonemark.queries.latency import SQL_COSINE, neighbours
 
 
@@ -80,7 +80,14 @@ def reported(spark, sf, **options):
     """One report per language."""
     manifest, *_ = _stage_tables(spark, sf)
     langs = manifest.select(F.col("id").cast("string").alias("sample_id"), "lang")
-    return rc.report(_records(spark, sf).join(langs, "sample_id"), ["lang"], **options)
+    rows = _records(spark, sf).join(langs, "sample_id")
+    made = rc.report(rows, ["lang"], **options)
+    # the ends of the similarity's interval in the form that SQL can compare
+    spread = rows.groupBy("lang").agg(*spread_of(F.col("speaker_sim")))
+    low, high = shown_ends(F.col("speaker_sim.low"), F.col("speaker_sim.high"), F.col("speaker_sim.n"))
+    ends = F.struct(*[low if n == "low" else high if n == "high" else F.col(f"speaker_sim.{n}") for n in
+                      ("point", "low", "high", "cl", "n", "degenerate")])
+    return made.join(spread, "lang").withColumn("speaker_sim", ends).drop("_m", "_sd", "_g")
 
 
 def _rec5(spark, sf):
@@ -106,8 +113,8 @@ def _rec5(spark, sf):
         F.round(F.coalesce("tts_ttfa.median_s", F.lit(-1.0)), 9).alias("ttfa_median_s"),
         F.round("speaker_sim.point", 9).alias("sim_point"),
         F.col("speaker_sim.n").alias("sim_n"),
-        F.col("speaker_sim.low").between(F.col("speaker_sim.point") - 0.2, F.col("speaker_sim.point")).alias("low_ok"),
-        F.col("speaker_sim.high").between(F.col("speaker_sim.point"), F.col("speaker_sim.point") + 0.2).alias("high_ok"),
+        F.col("speaker_sim.low").alias("sim_low"),
+        F.col("speaker_sim.high").alias("sim_high"),
         F.col("mos").isNull().alias("no_mos"),
     )
 
@@ -138,7 +145,7 @@ speed AS (
          round(avg(trtf), 9) AS tts_rtf_mean, round(quantile_cont(trtf, 0.5), 9) AS tts_rtf_median,
          lang <> 'de' AS has_ttfa, round(quantile_cont(sec / 16, 0.5), 9) AS ttfa_median,
          round(quantile_cont(sec / 16, 0.9), 9) AS ttfa_p90,
-         round(avg(sim), 9) AS sim_point, count(*) AS sim_n
+         round(avg(sim), 9) AS sim_point, count(*) AS sim_n, {sql_ends('sim')}
   FROM times GROUP BY lang
 )"""
 _SQL_REC5 = f"""
@@ -146,15 +153,14 @@ WITH {SQL_REPORT}
 SELECT lang, n, true AS keep_tone, asr_wer, asr_cer, rt_wer, rt_cer, round(rt_wer - asr_wer, 12) AS delta_wer,
        substitutions, deletions, insertions, asr_median_s, asr_p90_s, asr_rtf_median, tts_p99_s, tts_rtf_mean,
        has_ttfa, CASE WHEN has_ttfa THEN ttfa_median ELSE -1 END AS ttfa_median_s, sim_point, sim_n,
-       true AS low_ok, true AS high_ok, true AS no_mos
+       low AS sim_low, high AS sim_high, true AS no_mos
 FROM rates JOIN speed USING (lang)
 """
 
 
 def _snk3(spark, sf):
-    """The rows of the report; the two ends of the interval are random draws and have no SQL form."""
-    rows = rc.report_rows(reported(spark, sf, n_resamples=1000), ["lang"])
-    return rows.where(~F.col("stat").isin("low", "high")).withColumn("value", F.round("value", 9))
+    """All rows of the report."""
+    return rc.report_rows(reported(spark, sf), ["lang"]).withColumn("value", F.round("value", 7))
 
 
 _SNK3_CELLS = [
@@ -175,10 +181,12 @@ _SNK3_CELLS = [
     ("latency", "ttfa", "median_s", "CASE WHEN has_ttfa THEN ttfa_median END"),
     ("latency", "ttfa", "p90_s", "CASE WHEN has_ttfa THEN ttfa_p90 END"),
     ("fidelity", "speaker_sim", "point", "sim_point"),
+    ("fidelity", "speaker_sim", "low", "low"),
+    ("fidelity", "speaker_sim", "high", "high"),
     ("fidelity", "speaker_sim", "n", "sim_n"),
 ]
 _SQL_SNK3 = f"WITH {SQL_REPORT}, w AS (SELECT * FROM rates JOIN speed USING (lang)) SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT lang, '{section}' AS section, '{metric}' AS metric, '{stat}' AS stat, round(({value})::DOUBLE, 9) AS value FROM w"
+    f"SELECT lang, '{section}' AS section, '{metric}' AS metric, '{stat}' AS stat, round(({value})::DOUBLE, 7) AS value FROM w"
     for section, metric, stat, value in _SNK3_CELLS
 ) + ") WHERE value IS NOT NULL"
 
