@@ -6,7 +6,9 @@ from importlib import import_module
 
 from tonemark.queries.base import Check
 
-_PARTS = ["text", "quality", "accuracy", "latency", "sets", "segments", "gates", "records", "files"]
+_PARTS = [
+    "text", "quality", "accuracy", "latency", "sets", "segments", "gates", "records", "files", "verification"
+]
 
 
 def all_checks() -> dict[str, Check]:
