@@ -121,6 +121,33 @@ def longform_measures(
     )
 
 
+def product_measures(
+    results: DataFrame, keys: Sequence[str], ref: Column, hyp: Column, infer_s: Column, is_long: Column, rtf: Column
+) -> DataFrame:
+    """GATE4 over one table of short and long recordings, scored once: rows of (grp, name, measured)."""
+    scored = with_edits(results.withColumn("_long", is_long), ref, {"_w": (hyp, RATE_ONLY), "_c": (hyp, CHAR_RATE)})
+    long, short = F.col("_long"), ~F.col("_long")
+    rates = scored.groupBy(*keys).agg(
+        pooled_rate(F.when(short, F.col("_w"))).alias("wer_max"),
+        pooled_rate(F.when(short, F.col("_c"))).alias("cer_max"),
+        empty_count(F.when(short, F.coalesce(hyp, F.lit(""))).otherwise("-")).alias("empty_hyp_max"),
+        pooled_rate(F.when(long, F.col("_w"))).alias("long_wer"),
+        F.max(F.when(long, rtf)).alias("rtf_max"),
+    )
+    speed = floor_rank(results.where(~is_long), keys, infer_s, "infer_p50_max_s", "infer_p90_max_s")
+    brief = measures(null_safe_join(rates, speed, keys, "left"), keys, "per_utterance",
+                     ["wer_max", "cer_max", "infer_p50_max_s", "infer_p90_max_s", "empty_hyp_max"])
+    whole = rates.select(*keys, F.col("long_wer").alias("wer_max"), "rtf_max")
+    return brief.unionByName(measures(whole, keys, "longform", ["wer_max", "rtf_max"]))
+
+
+def roundtrip_measure(results: DataFrame, keys: Sequence[str], ref: Column, heard: Column) -> DataFrame:
+    """GATE4: WER of the transcript of synthesised speech against the text it was made from."""
+    scored = with_edits(results, ref, {"_w": (heard, RATE_ONLY)})
+    flat = scored.groupBy(*keys).agg(pooled_rate(F.col("_w")).alias("roundtrip_wer_max"))
+    return measures(flat, keys, "tts", ["roundtrip_wer_max"])
+
+
 def rerun_mismatches(first: DataFrame, second: DataFrame, key: str, text: str) -> DataFrame:
     """GATE5: ids whose second run differs from the first in scoring form, or is missing."""
     left = first.select(key, F.col(text).alias("run1"))
@@ -164,19 +191,31 @@ def qc_measures(checked: DataFrame, keys: Sequence[str], ref: Column, hyp: Colum
 
 
 def compare_models(
-    results: DataFrame, model: str, ref: Column, hyp: Column, infer_s: Column
+    results: DataFrame,
+    model: str,
+    ref: Column,
+    hyp: Column,
+    infer_s: Column,
+    media_s: Column,
+    long_s: float = 30.0,
 ) -> DataFrame:
-    """CMP1: accuracy, folded accuracy, edit breakdown, speed and blanks per model."""
+    """CMP1: accuracy, folded accuracy, edit breakdown, speed and blanks per model, and for recordings
+    of at least ``long_s`` seconds their WER, deletions, seconds and real-time factor."""
     scored = with_edits(
-        results,
+        results.withColumn("_long", media_s >= long_s),
         ref,
         {"_w": (hyp, View()), "_f": (hyp, RATE_ONLY._replace(fold=True)), "_c": (hyp, CHAR_RATE)},
     )
+    long = F.col("_long")
     table = scored.groupBy(model).agg(
         *pooled_parts(F.col("_w")),
         pooled_rate(F.col("_f")).alias("wer_folded"),
         pooled_rate(F.col("_c")).alias("cer"),
         empty_count(hyp).alias("empty_hyps"),
+        pooled_rate(F.when(long, F.col("_w"))).alias("long_wer"),
+        F.sum(F.when(long, F.col("_w.dels"))).alias("long_deletions"),
+        F.sum(F.when(long, infer_s)).alias("long_infer_s"),
+        (F.sum(F.when(long, infer_s)) / F.sum(F.when(long, media_s))).alias("long_rtf"),
     )
     speed = floor_rank(results, [model], infer_s, "infer_p50_s", "infer_p90_s")
     return null_safe_join(table, speed, [model], "left")

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonemark.functions.text import is_blank
 from tonemark.plans.blocks import null_safe_join, number_rows, running_total
 
 # Frozen-set quotas per bucket, and spare rows for those that quality control drops.
@@ -59,13 +60,21 @@ def draw_order(seed: int, key: Column) -> Column:
 def block_sample(
     df: DataFrame, index: str, seed: int = 42, block_rows: int = 100, per_block: int = 8
 ) -> DataFrame:
-    """SET2: the same number of random rows from each block of consecutive rows."""
+    """SET2: the same number of random rows from each block of consecutive rows.
+
+    Rows that cannot be used are passed over afterwards, with ``usable_rows``, and not drawn anew.
+    """
     drawn = df.withColumn("_block", F.floor(F.col(index) / block_rows))
     order = Window.partitionBy("_block").orderBy(draw_order(seed, F.col(index)))
     ranked = drawn.withColumn("_rank", F.row_number().over(order))
     return ranked.where(F.col("_rank") <= per_block).drop("_block", "_rank")
 
 
+def usable_rows(df: DataFrame, text: Column, sample_rate: Column, wanted_rate: int = 16_000) -> DataFrame:
+    """SET2: drawn rows with text and the wanted rate; others add no seconds."""
+    return df.where(~is_blank(text) & (sample_rate == wanted_rate))
+
+
 def until_seconds(
     df: DataFrame, index: str, duration_s: Column, target_s: float, keys: Sequence[str] = ()
 ) -> DataFrame:

@@ -80,25 +80,27 @@ speed AS (
 
 
 def _gate4(spark, sf):
+    """Documents of half a minute and more, at 100 characters a second, are the long recordings."""
     rows = timed_pairs(spark, sf)
-    ref, hyp = F.col("ref"), F.col("hyp")
-    short = gt.benchmark_measures(rows, ["model"], ref, hyp, F.col("infer_s"))
-    names = [name for group, name, _, _ in gt.ASR_GATES if group == "per_utterance"]
-    measured = gt.measures(short, ["model"], "per_utterance", names)
-    # documents of half a minute and more, at 100 characters a second, are the long recordings
-    long_rows = rows.where(F.col("n_chars") >= 3000).withColumn("media_s", F.col("n_chars") / 100)
-    rtf = (F.col("infer_s") + F.col("doc_id") % 7) / F.col("media_s")
-    long = gt.longform_measures(long_rows, ["model"], ref, hyp, rtf)
-    measured = measured.unionByName(gt.measures(long, ["model"], "longform", ["wer_max", "rtf_max"]))
+    rtf = (F.col("infer_s") + F.col("doc_id") % 7) / (F.col("n_chars") / 100)
+    measured = gt.product_measures(
+        rows, ["model"], F.col("ref"), F.col("hyp"), F.col("infer_s"), F.col("n_chars") >= 3000, rtf
+    )
     gates = gt.gate(measured, gt.threshold_table(spark, gt.ASR_GATES))
     return gates.select("model", "grp", "name", F.round("measured", 12).alias("measured"), "passed")
 
 
+def _gate4_roundtrip(spark, sf):
+    measured = gt.roundtrip_measure(damaged(spark, sf), ["lang"], F.col("ref"), F.col("hyp"))
+    gates = gt.gate(measured, gt.threshold_table(spark, gt.TTS_GATES), absent_fails=False)
+    return gates.select("lang", "name", F.round("measured", 9).alias("measured"), "passed")
+
+
 _SQL_GATE4 = f"""
-WITH {SQL_PAIRS}, {SQL_SPEED},
+WITH {SQL_PAIRS}, {SQL_SPEED.replace('FROM scored)', 'FROM scored WHERE n_chars < 3000)')},
 rates AS (
   SELECT model, sum(s + d + i) / sum(n)::DOUBLE AS wer, sum(cs + cd + ci) / sum(chars)::DOUBLE AS cer
-  FROM scored GROUP BY model
+  FROM scored WHERE n_chars < 3000 GROUP BY model
 ),
 m AS (
   SELECT model, 'per_utterance' AS grp, 'wer_max' AS name, wer AS measured FROM rates
@@ -179,7 +181,9 @@ UNION ALL SELECT lang, 'DST-qc-badrows', round(bad, 9), bad <= 1.5 FROM q WHERE
 
 
 def _cmp1(spark, sf):
-    return gt.compare_models(timed_pairs(spark, sf), "model", F.col("ref"), F.col("hyp"), F.col("infer_s"))
+    rows = timed_pairs(spark, sf)
+    table_ = gt.compare_models(rows, "model", F.col("ref"), F.col("hyp"), F.col("infer_s"), F.col("n_chars") / 100)
+    return table_.withColumns({c: F.round(c, 6) for c in ("long_infer_s", "long_rtf")})
 
 
 _SQL_CMP1 = f"""
@@ -188,6 +192,10 @@ SELECT model, sum(s + d + i) / sum(n)::DOUBLE AS wer, sum(s)::BIGINT AS substitu
        sum(d)::BIGINT AS deletions, sum(i)::BIGINT AS insertions, sum(n - s - d)::BIGINT AS hits,
        sum(n)::BIGINT AS ref_words, sum(s + d + i) / sum(n)::DOUBLE AS wer_folded,
        sum(cs + cd + ci) / sum(chars)::DOUBLE AS cer, 0::BIGINT AS empty_hyps,
+       sum(s + d + i) FILTER (n_chars >= 3000) / (sum(n) FILTER (n_chars >= 3000))::DOUBLE AS long_wer,
+       (sum(d) FILTER (n_chars >= 3000))::BIGINT AS long_deletions,
+       round(sum(n_chars / 1000.0::DOUBLE) FILTER (n_chars >= 3000), 6) AS long_infer_s,
+       round(sum(n_chars / 1000.0::DOUBLE) FILTER (n_chars >= 3000) / sum(n_chars / 100.0::DOUBLE) FILTER (n_chars >= 3000), 6) AS long_rtf,
        any_value(p50) AS infer_p50_s, any_value(p90) AS infer_p90_s
 FROM scored JOIN speed USING (model) GROUP BY model
 """
@@ -229,6 +237,11 @@ QUERIES = {
     ),
     "GATE3": Check(_gate3, f"WITH {SQL_MEASURED} SELECT grp, count(*) AS n FROM gates GROUP BY grp"),
     "GATE4": Check(_gate4, _SQL_GATE4),
+    "GATE4_roundtrip": Check(
+        _gate4_roundtrip,
+        f"WITH {SQL_DAMAGED} SELECT lang, 'roundtrip_wer_max' AS name, round(sum(e) / sum(n)::DOUBLE, 9) AS measured, "
+        "sum(e) / sum(n)::DOUBLE <= 0.35 AS passed FROM damaged GROUP BY lang",
+    ),
     "GATE5": Check(
         _gate5,
         "SELECT conv_id || '-' || turn AS id, 3::INTEGER AS run, text AS run1, text || ' thêm' AS run2 "

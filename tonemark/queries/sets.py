@@ -48,18 +48,22 @@ WHERE n_chars BETWEEN 100 AND 2900 AND source <> 'src3' ORDER BY pick LIMIT 50
 
 
 def _set2(spark, sf):
-    drawn = st.block_sample(timed(spark, sf), "doc_id")
+    """Source 3 is blank, every ninth document has another rate."""
+    rows = noisy(spark, sf).withColumn("duration_s", F.col("n_chars") / 100)
+    rows = rows.withColumn("rate", F.when(F.col("doc_id") % 9 == 4, 8000).otherwise(16000))
+    drawn = st.usable_rows(st.block_sample(rows, "doc_id"), F.col("text"), F.col("rate"))
     return st.until_seconds(drawn, "doc_id", F.col("duration_s"), 1500.0).select("doc_id", "duration_s")
 
 
 _SQL_SET2 = """
 WITH r AS (
-  SELECT doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 100
+  SELECT doc_id, n_chars, source, row_number() OVER (PARTITION BY doc_id // 100
          ORDER BY md5('42-' || doc_id)) AS rank FROM documents
 ),
 s AS (
   SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM r WHERE rank <= 8
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM r
+  WHERE rank <= 8 AND source <> 'src3' AND doc_id % 9 <> 4
 )
 SELECT doc_id, n_chars / 100.0::DOUBLE AS duration_s FROM s WHERE so_far < 150000
 """
