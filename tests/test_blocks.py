@@ -92,3 +92,14 @@ def test_groups_with_a_null_key_survive_a_shuffled_join(spark, frame, rows):
             assert got.pop((g, r[1])) == total
             total += r[3]
     assert not got
+
+
+@pytest.mark.parametrize("spaced", ["dense", "far", "hashed"])
+def test_blocks_are_few_and_small_for_ids_of_any_kind(spark, spaced):
+    ids = spark.range(3000).select(
+        {"dense": F.col("id"), "far": F.col("id") * (1 << 40), "hashed": F.xxhash64("id")}[spaced].alias("o")
+    )
+    sizes = [r["count"] for r in ids.groupBy(blocks.block_of(ids, "o", 100).alias("b")).count().collect()]
+    assert len(sizes) <= 32 and max(sizes) <= 200
+    numbered = blocks.number_rows(ids, [], "o", block_rows=100).collect()
+    assert [r["row_no"] for r in sorted(numbered, key=lambda r: r["o"])] == list(range(3000))

@@ -3,8 +3,9 @@
 A window partitioned by a group puts the whole group into one task. The functions here cut each
 group into blocks of its order column, scan inside the blocks in parallel, and add what the earlier
 blocks of the group carry over. The carry table has one row per block, not per row. Order columns
-are whole numbers, unique within a group and close to dense, so that a block holds at most
-``block_rows`` rows; for other orders pass the block column yourself.
+are whole numbers, unique within a group. Blocks are stretches of equal width between the smallest
+and the largest order, about as many as the number of rows asks for, so ids may be dense, far apart
+or hashed; for other orders pass the block column yourself.
 """
 
 from __future__ import annotations
@@ -28,6 +29,19 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"_right_{key}" for key in keys])
 
 
+def block_of(df: DataFrame, order: str, block_rows: int) -> Column:
+    """The block of an order column; its ends and the number of rows are looked up first."""
+    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
+    if not ends["n"]:
+        return F.lit(0).cast("long")
+    blocks = -(-ends["n"] // block_rows)
+    width = max(1, -(-(ends["hi"] - ends["lo"] + 1) // blocks))
+    if ends["hi"] - ends["lo"] < 1 << 62:
+        return F.floor((F.col(order) - F.lit(ends["lo"])) / F.lit(width))
+    # the difference itself may pass 64 bits
+    return F.floor(F.col(order) / F.lit(width))
+
+
 def _before(keys: Sequence[str], order: Sequence[str]) -> Window:
     window = Window.partitionBy(*keys).orderBy(*order)
     return window.rowsBetween(Window.unboundedPreceding, -1)
@@ -75,7 +89,7 @@ def number_rows(
 
     ``lead`` names columns with few values that sort before ``order``.
     """
-    blocked = _with_part(df, keys, F.floor(F.col(order) / block_rows), lead)
+    blocked = _with_part(df, keys, block_of(df, order, block_rows), lead)
     earlier = F.sum("_summary").over(_before(keys, [*lead, _BLOCK]))
     combined = {"_carry": F.coalesce(earlier, F.lit(0))}
     if total:
@@ -97,7 +111,7 @@ def running_total(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the group before this one, 0 for the first."""
-    blocked = _with_part(df.withColumn("_value", value), keys, F.floor(F.col(order) / block_rows))
+    blocked = _with_part(df.withColumn("_value", value), keys, block_of(df, order, block_rows))
     earlier = F.sum("_summary").over(_before(keys, [_BLOCK]))
     carried = _carry(blocked, keys, F.sum("_value"), {"_carry": earlier})
     inside = F.sum("_value").over(_before([_PART], [order]))
