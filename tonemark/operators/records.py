@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonemark.functions.text import normalize
 from tonemark.functions.vectors import cosine
 from tonemark.operators.accuracy import CHAR_RATE, View, pooled_rate, with_edits
 from tonemark.operators.latency import summaries
@@ -71,15 +72,28 @@ def run_counts(manifest: DataFrame, records: DataFrame, key: str = "id") -> Data
 
 
 def report(
-    records: DataFrame, keys: Sequence[str], keep_tone: bool = True, **ci_options
+    records: DataFrame, keys: Sequence[str], keep_tone: bool | Column = True, **ci_options
 ) -> DataFrame:
-    """REC5: accuracy, latency and fidelity of each run, one row per key."""
+    """REC5: accuracy, latency and fidelity of each run, one row per key.
+
+    ``keep_tone`` may be a column, the setting of each record's run (SRC6); the keys should not mix
+    runs of both kinds.
+    """
+    setting = F.lit(keep_tone) if isinstance(keep_tone, bool) else keep_tone
+    if not isinstance(keep_tone, bool):
+        # texts of runs without tone lose it here, so that all runs are scored together
+        texts = ("ref_text", "asr_text", "roundtrip_text")
+        forms = {t: F.when(setting, normalize(F.col(t))).otherwise(normalize(F.col(t), keep_tone=False)) for t in texts}
+        records = records.withColumn("_keep", setting).withColumns(forms)
+        setting, keep_tone = F.col("_keep"), True
+    else:
+        records = records.withColumn("_keep", setting)
     ref = F.col("ref_text")
     asr, rt = F.col("asr_text"), F.col("roundtrip_text")
     word = View(keep_tone=keep_tone)
     rate, char = word._replace(parts=False), CHAR_RATE._replace(keep_tone=keep_tone)
     scored = with_edits(
-        records.select(*keys, "ref_text", "asr_text", "roundtrip_text"),
+        records.select(*keys, "_keep", "ref_text", "asr_text", "roundtrip_text"),
         ref,
         {"_aw": (asr, word), "_ac": (asr, char), "_rw": (rt, rate), "_rc": (rt, char)},
     )
@@ -92,8 +106,8 @@ def report(
         F.sum("_aw.subs").alias("substitutions"),
         F.sum("_aw.dels").alias("deletions"),
         F.sum("_aw.ins").alias("insertions"),
+        F.bool_and("_keep").alias("keep_tone"),
     )
-    table = table.withColumn("keep_tone", F.lit(keep_tone))
     table = table.withColumn("delta_wer", F.col("rt_wer") - F.col("asr_wer"))
     speed = summaries(
         records,
