@@ -7,6 +7,7 @@ import wave
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,7 @@ from tonemark.queries.base import (
 )
 from tonemark.sources import manifests as mf
 from tonemark.sources import sinks
-from tonemark.sources.audio import audio_features
+from tonemark.sources.audio import read_audio_features
 from tonemark.streaming.records import follow_records
 
 
@@ -164,12 +165,30 @@ def _wav_bytes(samples: pd.Series) -> pd.Series:
     return samples.map(encode)
 
 
+def _write_clips(clips, folder: str):
+    """One file per clip below a shared folder; the number of files written comes back."""
+
+    def run(frames):
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"]):
+                with system.open_output_stream(f"{base}/{name}.wav") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return clips.mapInPandas(run, "n long").agg(F.sum("n")).first()[0]
+
+
 def _src7(spark, sf):
-    files = table(spark, sf, "embeddings").select(
-        F.col("vec_id").cast("string").alias("path"), _wav_bytes("embedding").alias("content")
+    """Clips written as files and scanned."""
+    clips = table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("name"), _wav_bytes("embedding").alias("content")
     )
-    return audio_features(files).select(
-        "path",
+    folder = scratch_path(spark, "clips")
+    _write_clips(clips, folder)
+    return read_audio_features(spark, folder).select(
+        F.regexp_extract("path", "([^/]+)\\.wav$", 1).alias("path"),
         F.col("sample_rate").cast("bigint").alias("sample_rate"),
         "n_samples",
         "duration_s",
