@@ -151,3 +151,22 @@ def test_tone_share_and_delta(spark):
     assert (tone.wer, tone.wer_no_tone, tone.tone_wer) == (1, 0, 1)
     delta = synthesis_delta(df, [], F.col("ref"), F.col("hyp"), F.col("rt")).first()
     assert (delta.asr_wer, delta.rt_wer, delta.delta_wer) == (1, 0, -1)
+
+
+def test_pairs_in_batches_have_the_counts_of_pairs_alone():
+    rng = random.Random(12)
+
+    def changed(units, rate):
+        out = []
+        for u in units:
+            at = rng.random()
+            out += [] if at < rate else [rng.choice("abcdef ")] if at < 2 * rate else [u, "x"] if at < 3 * rate else [u]
+        return "".join(out)
+
+    refs = ["".join(rng.choice("abcdefghij éđ ") for _ in range(rng.choice([1, 30, 200, 700, 1500]))) for _ in range(120)]
+    hyps = [changed(r, rng.choice([0, 0.01, 0.1, 0.3])) for r in refs]
+    refs, hyps = refs + ["", "a", "", "same"], hyps + ["", "", "b", "same"]
+    for split in (str, str.split):
+        left, right = [split(r) for r in refs], [split(h) for h in hyps]
+        assert ed.all_edits(left, right) == [ed.count_edits(r, h) for r, h in zip(left, right)]
+        assert ed.edit_costs(left, right) == [ed.edit_cost(r, h) for r, h in zip(left, right)]

@@ -23,6 +23,10 @@ _FIRST_MARGIN = 64
 _KEPT_BITS = 1 << 28
 _SHORT = 256
 _TABLE_BYTES = 1 << 24
+#: Widest band, fewest pairs and most memory of a batch of long pairs.
+_MOST_WORDS = 24
+_LEAST_LANES, _MOST_LANES = 8, 1024
+_LANE_BYTES = 1 << 26
 
 
 class _Band:
@@ -145,27 +149,183 @@ def _codes(units: Sequence, known: dict) -> np.ndarray:
     return np.array([known.setdefault(unit, len(known)) for unit in units], np.int32)
 
 
+class _Lanes:
+    """Bands of many pairs side by side: the recurrence of ``_Band`` with one numpy lane per pair and
+    ``words`` 64-bit words per column."""
+
+    def __init__(self, refs: list[np.ndarray], hyps: list[np.ndarray], words: int) -> None:
+        self.rows, self.cols = np.array(list(map(len, refs))), np.array(list(map(len, hyps)))
+        self.words, bits, n = words, 64 * words, len(refs)
+        skew = self.rows - self.cols
+        self.margin = (bits - 1 - np.abs(skew)) // 2
+        self.low = np.minimum(0, skew) - self.margin
+        self.corner = skew - self.low
+        # row i of a lane is at bit i - low, so the band of column j starts at bit j in every lane
+        span = -(-(int(self.cols.max()) + bits) // 64) + 1
+        self.ref = np.full((n, self.rows.max()), -1, np.int32)
+        self.hyp = np.full((n, self.cols.max()), -2, np.int32)
+        units = [np.unique(r, return_inverse=True) for r in refs]
+        deepest = max(len(u) for u, _ in units)
+        # where each unit of the reference is; the last row is for units that are not in it
+        self.where = np.zeros((n, deepest + 1, span), np.uint64)
+        self.unit = np.full((n, self.cols.max()), deepest, np.intp)
+        for lane, (r, h, (u, at)) in enumerate(zip(refs, hyps, units)):
+            self.ref[lane, : len(r)], self.hyp[lane, : len(h)] = r, h
+            place = np.arange(len(r)) - self.low[lane]
+            held = place < 64 * span
+            spots = np.zeros((len(u), 64 * span), bool)
+            spots[at[held], place[held]] = True
+            self.where[lane, : len(u)] = np.packbits(spots, axis=1, bitorder="little").view(np.uint64)
+            found = np.minimum(np.searchsorted(u, h), len(u) - 1)
+            self.unit[lane, : len(h)] = np.where(u[found] == h, found, deepest)
+
+    def run(self, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Cost of each lane, and with ``keep`` all columns as (column, rise or fall, word, lane)."""
+        words, n, bits = self.words, len(self.rows), 64 * self.words
+        one, top = np.uint64(1), np.uint64(63)
+        at = np.arange(bits)[:, None] >= -self.low[None, :]
+        packed = np.packbits(at, axis=0, bitorder="little").T
+        rise = np.ascontiguousarray(np.ascontiguousarray(packed).view(np.uint64).T)
+        fall = np.zeros_like(rise)
+        cost = np.maximum(self.rows - self.cols, 0)
+        corner_word, corner_bit = self.corner // 64, (self.corner % 64).astype(np.uint64)
+        lanes, seen = np.arange(n), None
+        if keep:
+            seen = np.empty((self.cols.max() + 1, 2, words, n), np.uint64)
+            seen[0, 0], seen[0, 1] = rise, fall
+        flat = np.empty_like(rise)
+        for j in range(self.cols.max()):
+            word, shift = j >> 6, np.uint64(j & 63)
+            held = self.where[:, :, word : word + words + 1][lanes, self.unit[:, j]].T
+            same = held[:-1] >> shift | held[1:] << (top - shift) << one
+            both = same & rise
+            carry = np.zeros(n, np.uint64)
+            for w in range(words):
+                total = both[w] + rise[w]
+                over = total < both[w]
+                np.add(total, carry, out=flat[w])
+                carry = (over | (flat[w] < total)).astype(np.uint64)
+            flat ^= rise
+            flat |= same
+            flat |= fall
+            right_up = fall | ~(flat | rise)
+            right_down = flat & rise
+            flat_corner = flat[corner_word, lanes] >> corner_bit & one
+            cost += (flat_corner == 0) & (j < self.cols)
+            lower = flat >> one
+            lower[:-1] |= flat[1:] << top
+            rise = right_down | ~(lower | right_up)
+            fall = lower & right_up
+            if keep:
+                seen[j + 1, 0], seen[j + 1, 1] = rise, fall
+        return cost, seen
+
+    def walk(self, seen: np.ndarray, proved: np.ndarray) -> np.ndarray:
+        """Substitutions, deletions, insertions and hits of the proved lanes, by the walk of
+        ``count_edits``."""
+        n, bits = len(self.rows), 64 * self.words
+        counts = np.zeros((4, n), np.int64)
+        i, j = self.rows * proved, self.cols * proved
+        live = np.flatnonzero((i > 0) & (j > 0))
+        while len(live):
+            a, b = i[live], j[live]
+            bit = a - b - 1 - self.low[live]
+            held = (bit >= 0) & (bit < bits)
+            here = np.where(held, bit, 0)
+            up = held & (seen[b, 0, here >> 6, live] >> (here & 63).astype(np.uint64) & np.uint64(1) != 0)
+            held = (bit + 1 >= 0) & (bit + 1 < bits)
+            here = np.where(held, bit + 1, 0)
+            left = held & (seen[b - 1, 1, here >> 6, live] >> (here & 63).astype(np.uint64) & np.uint64(1) != 0) & ~up
+            same = ~up & ~left & (self.ref[live, a - 1] == self.hyp[live, b - 1])
+            counts[0, live] += ~(up | left | same)
+            counts[1, live] += up
+            counts[2, live] += left
+            counts[3, live] += same
+            i[live], j[live] = a - ~left, b - ~up
+            live = live[(i[live] > 0) & (j[live] > 0)]
+        counts[1] += i
+        counts[2] += j
+        return counts.T
+
+
+def _banded(refs: list[Sequence], hyps: list[Sequence], keep: bool) -> dict[int, tuple[int, ...] | int]:
+    """Results of the pairs that fit into batches of like bands; no pair may be empty.
+
+    A cost that its band does not prove is an upper bound, which says how wide a band has to be.
+    """
+    found: dict[int, tuple[int, ...] | int] = {}
+    known: dict = {}
+    margins = dict.fromkeys(range(len(refs)), _FIRST_MARGIN)
+    while margins:
+        alike: dict[int, list[int]] = {}
+        for at, margin in margins.items():
+            words = -(-(abs(len(refs[at]) - len(hyps[at])) + 2 * margin + 1) // 64)
+            if words <= _MOST_WORDS:
+                alike.setdefault(words, []).append(at)
+        margins = {}
+        for words, lanes in alike.items():
+            lanes.sort(key=lambda at: len(hyps[at]))
+            while len(lanes) >= _LEAST_LANES:
+                last = lanes[-_MOST_LANES:]
+                cols, units = len(hyps[last[-1]]), max(len(set(refs[at])) for at in last)
+                room = _LANE_BYTES // ((units + 1) * (cols // 8 + 8 * words + 16) + keep * cols * words * 16)
+                room = max(_LEAST_LANES, min(room, _MOST_LANES))
+                lanes, batch = lanes[:-room], lanes[-room:]
+                band = _Lanes(*([_codes(side[at], known) for at in batch] for side in (refs, hyps)), words)
+                cost, seen = band.run(keep)
+                skew = np.abs(band.rows - band.cols)
+                proved = cost <= skew + 2 * band.margin + 1
+                results = band.walk(seen, proved).tolist() if keep else cost.tolist()
+                wider = np.minimum(4 * band.margin, (cost - skew + 1) // 2)
+                for at, sure, result, margin in zip(batch, proved.tolist(), results, wider.tolist()):
+                    if sure:
+                        found[at] = tuple(result) if keep else result
+                    else:
+                        margins[at] = margin
+    return found
+
+
 def edit_costs(refs: list[Sequence], hyps: list[Sequence]) -> list[int]:
-    """Edits of a shortest alignment for every pair; short pairs of like size go together."""
-    costs = [0] * len(refs)
+    """Edits of a shortest alignment for every pair; pairs of like size go together."""
+    trimmed = [_trim(ref, hyp)[:2] for ref, hyp in zip(refs, hyps)]
+    costs = [len(ref) + len(hyp) for ref, hyp in trimmed]
     short: dict[int, list[int]] = {}
-    for at, (ref, hyp) in enumerate(zip(refs, hyps)):
-        if 0 < len(ref) <= _SHORT and 0 < len(hyp) <= 2 * _SHORT:
+    long = []
+    for at, (ref, hyp) in enumerate(trimmed):
+        if not ref or not hyp:
+            continue
+        if len(ref) <= _SHORT and len(hyp) <= 2 * _SHORT:
             short.setdefault(-(-len(ref) // 64), []).append(at)
         else:
-            costs[at] = edit_cost(ref, hyp)
+            long.append(at)
+    found = _banded([trimmed[at][0] for at in long], [trimmed[at][1] for at in long], keep=False)
+    for place, at in enumerate(long):
+        costs[at] = found[place] if place in found else _sweep(*trimmed[at], keep=False)[0]
     known: dict = {}
     for words, lanes in short.items():
-        lanes.sort(key=lambda at: len(hyps[at]))
+        lanes.sort(key=lambda at: len(trimmed[at][1]))
         while lanes:
-            room = max(1, _TABLE_BYTES // (words * 64 * len(hyps[lanes[-1]])))
+            room = max(1, _TABLE_BYTES // (words * 64 * len(trimmed[lanes[-1]][1])))
             lanes, batch = lanes[:-room], lanes[-room:]
-            coded = ([_codes(side[at], known) for at in batch] for side in (refs, hyps))
+            coded = ([_codes(trimmed[at][side], known) for at in batch] for side in (0, 1))
             for at, cost in zip(batch, _together(*coded)):
                 costs[at] = int(cost)
     return costs
 
 
+def all_edits(refs: list[Sequence], hyps: list[Sequence]) -> list[tuple[int, int, int, int]]:
+    """The counts of ``count_edits`` for every pair; pairs of like size go together."""
+    trimmed = [_trim(ref, hyp) for ref, hyp in zip(refs, hyps)]
+    open_ = [at for at, (ref, hyp, _) in enumerate(trimmed) if ref and hyp]
+    found = _banded([trimmed[at][0] for at in open_], [trimmed[at][1] for at in open_], keep=True)
+    made = {at: found[place] for place, at in enumerate(open_) if place in found}
+    out = []
+    for at, (ref, hyp, kept) in enumerate(trimmed):
+        subs, dels, ins, hits = made[at] if at in made else count_edits(ref, hyp)
+        out.append((subs, dels, ins, hits + kept))
+    return out
+
+
 def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
     """Substitutions, deletions, insertions and hits of one shortest alignment.
 
@@ -206,7 +366,7 @@ def _struct(names: list[str]) -> T.StructType:
 
 
 def _counts(refs: list[Sequence], hyps: list[Sequence]) -> list[tuple[int, ...]]:
-    rows = [count_edits(ref, hyp) for ref, hyp in zip(refs, hyps)]
+    rows = all_edits(refs, hyps)
     return [(*row, sum(row[:3]), row[0] + row[1] + row[3]) for row in rows]
 
 

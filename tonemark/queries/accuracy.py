@@ -131,6 +131,25 @@ def _acc11(spark, sf):
     return scored.groupBy("lang").agg(F.round(bad_row_pct(F.col("_e")), 9).alias("bad_pct"))
 
 
+def _unrelated(spark, sf):
+    """Each turn against the next one of its conversation: real texts with nothing in common. Other
+    characters than plain ones become x, as the SQL side measures bytes."""
+    plain = F.regexp_replace(tx.normalize(F.col("text")), "[^a-z0-9_ ]", "x")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", plain.alias("ref"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
+    scored = with_edits(turns.join(after, ["conv_id", "turn"]), F.col("ref"), {"_c": (F.col("hyp"), CHAR_RATE)})
+    return scored.groupBy("role").agg(pooled_rate(F.col("_c")).alias("cer"), F.sum("_c.errors").alias("errors"))
+
+
+_SQL_UNRELATED = f"""
+WITH t AS (
+  SELECT conv_id, turn, role, regexp_replace({sql_norm('text')}, '[^a-z0-9_ ]', 'x', 'g') AS txt FROM conversations
+)
+SELECT a.role, sum(levenshtein(a.txt, b.txt)) / sum(length(a.txt))::DOUBLE AS cer, sum(levenshtein(a.txt, b.txt))::BIGINT AS errors
+FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY a.role
+"""
+
+
 def blanked(spark, sf):
     """Conversation turns whose system texts are white space only."""
     text = F.when(F.col("role") == "system", F.lit("  \t")).otherwise(F.col("text"))
@@ -221,6 +240,7 @@ QUERIES = {
         f"WITH {SQL_DAMAGED} SELECT lang, round(count(*) FILTER (e / n::DOUBLE > 0.5) * 100.0::DOUBLE "
         "/ count(*), 9) AS bad_pct FROM damaged GROUP BY lang",
     ),
+    "ACC4_unrelated": Check(_unrelated, _SQL_UNRELATED),
     "ACC12": Check(
         _acc12,
         "WITH t AS (SELECT role, CASE WHEN role = 'system' THEN ' ' ELSE text END AS text "
