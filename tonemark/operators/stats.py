@@ -31,7 +31,7 @@ from tonemark.plans.order_stats import order_statistics, usable
 LEAVES = 256
 CHUNK = 512
 #: Rows of a group that one task should draw from, and the most tasks for a group.
-PART_ROWS = 100_000
+PART_ROWS = 20_000
 MOST_PARTS = 64
 #: A binomial draw costs about as much as this many draws of an index.
 _BINOMIAL_COST = 8

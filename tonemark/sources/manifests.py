@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,10 +103,13 @@ def keep_tone_of(meta: Column) -> Column:
 
 def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     """The paths that exist; missing evaluation manifests are skipped, not an error."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found = []
     for path in paths:
-        location = jvm.org.apache.hadoop.fs.Path(path)
-        if location.getFileSystem(conf).exists(location):
+        try:
+            spark.read.text(path).schema  # noqa: B018
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
             found.append(path)
     return found
