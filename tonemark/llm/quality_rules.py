@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonemark.llm.shared import BLANKS, cut, let
+from tonemark.llm.shared import BLANKS, cut, join_spread, let
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -28,7 +28,7 @@ CORE = 0.75
 STEPS = 3
 LEAST_ROWS = 100
 #: A coordinate's deviation is never taken below its floor, as most texts have no symbols at all.
-FLOORS = {"log_words": 0.8, "word_length": 0.15, "symbols": 0.05, "repeats": 0.08, "lines": 0.08}
+FLOORS = {"log_words": 0.8, "word_length": 0.15, "symbols": 0.05, "repeats": 0.1, "lines": 0.1}
 #: Largest distance of a kept document, in deviations.
 CUT = 6.0
 
@@ -37,7 +37,6 @@ VECTOR = list(FLOORS)
 _D = len(VECTOR)
 _PAIRS = [(i, j) for i in range(_D) for j in range(i + 1)]
 _GROUP = "_group"
-_SALTS = 32
 
 
 def _repeat_words(words: Column) -> Column:
@@ -78,22 +77,17 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     value = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(value, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     lines = F.filter(F.split(value, "\n", -1), lambda t: F.translate(t, BLANKS, "") != "")
-    counted = F.struct(
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"))).alias("w"),
-        F.char_length(F.translate(value, BLANKS, "")).cast("long").alias("chars"),
-        (F.char_length(value) - F.char_length(F.translate(value, SYMBOLS, ""))).cast("long").alias("symbols"),
-        let(lines, lambda t: F.size(t) - F.size(F.array_distinct(t))).cast("long").alias("lines"),
-    )
+    chars = F.char_length(F.translate(value, BLANKS, ""))
+    symbols = F.char_length(value) - F.char_length(F.translate(value, SYMBOLS, ""))
+    copies = let(lines, lambda t: F.size(t) - F.size(F.array_distinct(t)))
+
+    def counts(w: Column) -> Column:
+        made = [F.size(w), chars, symbols, copies, _repeat_words(w)]
+        return F.struct(*[m.cast("long").alias(name) for m, name in zip(made, STATISTICS)])
+
     kept = [c for c in docs.columns if c not in STATISTICS]
-    one = docs.select(*kept, let(counted, lambda c: c).alias("_counted"))
-    return one.select(
-        *kept,
-        F.col("_counted.w.n").alias("n_words"),
-        F.col("_counted.chars").alias("word_chars"),
-        F.col("_counted.symbols").alias("n_symbols"),
-        F.col("_counted.lines").alias("n_dup_lines"),
-        F.col("_counted.w.r").alias("n_repeat_words"),
-    )
+    # a generated row: filters on the counts stay behind it and do not make it count again
+    return docs.select(*kept, F.inline(F.transform(F.array(words), counts)))
 
 
 def base_failed() -> Column:
@@ -126,7 +120,7 @@ def _pooled(rows: DataFrame, lang: str, source: str) -> DataFrame:
     return joined.select(F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")).alias("_key"), group.alias(_GROUP))
 
 
-def _distance(with_model: DataFrame) -> Column:
+def _distance() -> Column:
     """Squared Mahalanobis distance by forward substitution in the Cholesky factor ``_l_i_j``."""
     done: list[Column] = []
     for i, x in enumerate(vector()):
@@ -157,19 +151,11 @@ def _factored(moments: DataFrame) -> DataFrame:
     return moments.select(_GROUP, *[f"_m_{i}" for i in range(_D)], *[f"_l_{i}_{j}" for i, j in _PAIRS])
 
 
-def _with_model(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Join rows with what is known of their group, over several keys for each group: a group may
-    hold a large part of all rows, and the sums that follow start before the next shuffle."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c != _GROUP]), F.lit(_SALTS))
-    copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-    return rows.withColumn("_salt", salt).join(copies, [_GROUP, "_salt"]).drop("_salt")
-
-
 def _start(used: DataFrame) -> DataFrame:
     """Medians and scaled median deviations as a first model."""
     values = used.select(_GROUP, *[x.alias(f"_x_{i}") for i, x in enumerate(vector())])
     middle = values.groupBy(_GROUP).agg(*[F.percentile_approx(f"_x_{i}", 0.5).alias(f"_m_{i}") for i in range(_D)])
-    apart = _with_model(values, middle).select(
+    apart = join_spread(values, middle, _GROUP).select(
         _GROUP, *[f"_m_{i}" for i in range(_D)], *[F.abs(F.col(f"_x_{i}") - F.col(f"_m_{i}")).alias(f"_a_{i}") for i in range(_D)]
     )
     spread = apart.groupBy(_GROUP).agg(
@@ -185,10 +171,10 @@ def _start(used: DataFrame) -> DataFrame:
 
 def _step(used: DataFrame, model: DataFrame) -> DataFrame:
     """Mean and covariance of the closest rows of each group under the model before."""
-    near = _with_model(used, model)
-    near = near.select(_GROUP, _distance(near).alias("_d"), *[x.alias(f"_x_{i}") for i, x in enumerate(vector())])
+    near = join_spread(used, model, _GROUP)
+    near = near.select(_GROUP, _distance().alias("_d"), *[x.alias(f"_x_{i}") for i, x in enumerate(vector())])
     limits = near.groupBy(_GROUP).agg(F.percentile_approx("_d", CORE).alias("_limit"))
-    core = _with_model(near, limits).where(F.col("_d") <= F.col("_limit"))
+    core = join_spread(near, limits, _GROUP).where(F.col("_d") <= F.col("_limit"))
     moments = core.groupBy(_GROUP).agg(
         *[F.avg(f"_x_{i}").alias(f"_m_{i}") for i in range(_D)],
         *[F.avg(F.col(f"_x_{i}") * F.col(f"_x_{j}")).alias(f"_s_{i}_{j}") for i, j in _PAIRS],
@@ -219,7 +205,7 @@ def judged(statistics: DataFrame, model: DataFrame, lang: str = "lang", source:
     columns = [c for c in statistics.columns if c not in ("base_failed", "distance", "kept")]
     rows = statistics.select(*columns, key.alias("_key")).join(model, "_key", "left")
     failed = base_failed()
-    return rows.select(*columns, failed.alias("base_failed"), F.sqrt(_distance(rows)).alias("distance")).withColumn(
+    return rows.select(*columns, failed.alias("base_failed"), F.sqrt(_distance()).alias("distance")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUT))
     )
 

@@ -99,6 +99,18 @@ def sorted_groups(frames: Iterator[pd.DataFrame], *keys: str, least: int = 1) ->
         yield from joined()
 
 
+def join_spread(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join rows with what is known of their group, over several keys for each group.
+
+    A group may hold a large part of all rows; its rows stay on many tasks, and sums that follow
+    start before the next shuffle. ``groups`` has one row per group.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c != key]), F.lit(salts))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    copies = groups.withColumn("_salt", F.explode(numbers))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
