@@ -22,14 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonemark.llm.shared import WORD, cut
+from tonemark.llm.shared import WORD, cut, join_spread
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Cost of a word's first, second and third use.
 REPEAT_COSTS = (0, 1, 3)
 SEED = 42
-_BIN_BITS = 16
+_BIN_BITS = 12
 _FILLERS = 4
 
 
@@ -168,7 +168,7 @@ def mix(docs: DataFrame, wanted: DataFrame, doc_id: str, size: str, sources: Col
     routed = route([(r["_pattern"], r["n"]) for r in sums], goals)
     spark = docs.sparkSession
     plan = spark.createDataFrame(routed, "_pattern string, _all long, _rest long")
-    rows = rows.join(plan, "_pattern")
+    rows = join_spread(rows, plan, "_pattern")
     used = rows.where((F.col("_size") > 0) & (F.col("_rest") > 0))
 
     # where the sum is reached: first among bins, then inside that bin
@@ -181,7 +181,7 @@ def mix(docs: DataFrame, wanted: DataFrame, doc_id: str, size: str, sources: Col
         F.min("_bin").alias("_edge"), F.min_by(F.col("_rest") - F.col("_upto") + F.col("_n"), "_bin").alias("_room")
     )
     edge = cut(edge, "edges")
-    inside = used.join(edge, "_pattern").where(F.col("_bin") == F.col("_edge"))
+    inside = join_spread(used, edge, "_pattern").where(F.col("_bin") == F.col("_edge"))
     order = Window.partitionBy("_pattern").orderBy("_u", "_size", "_nth")
     running = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside = inside.withColumn("_sum", running)
@@ -192,7 +192,7 @@ def mix(docs: DataFrame, wanted: DataFrame, doc_id: str, size: str, sources: Col
     )
     gaps = cut(gaps, "gaps")
 
-    joined = rows.withColumn("_bin", bin_of).join(gaps, "_pattern", "left")
+    joined = join_spread(rows.withColumn("_bin", bin_of), gaps, "_pattern", "left")
     here = F.struct("_u", "_size", "_nth")
     chosen = (F.col("_rest") > 0) & (
         F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge"))
