@@ -32,6 +32,7 @@ SIZES = (2, 3, 4)
 #: Share of right calibration predictions that may fall below the accepted score.
 REFUSED = 0.005
 _CHUNK = 1 << 20
+_PARTS = 64
 
 FIELDS = [
     T.StructField("lang_pred", T.StringType()),
@@ -139,10 +140,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """Train on the bounded sample. Only subword counts of the sampled texts reach the driver."""
     usable = docs.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     usable = usable.where(~held_out(F.col(doc_id)))
-    draw = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
     ranked = usable.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_label"))
-    ranked = ranked.withColumn("_rank", F.row_number().over(draw)).where(F.col("_rank") <= PER_LABEL)
-    picked = ranked.select("_id").distinct()
+    ranked = ranked.withColumn("_part", F.pmod(F.hash("_id"), F.lit(_PARTS)))
+    # a label may hold a large part of all rows, so it is thinned in parts first
+    for keys in (["_label", "_part"], ["_label"]):
+        draw = Window.partitionBy(*keys).orderBy(F.xxhash64("_id"), "_id")
+        ranked = ranked.withColumn("_rank", F.row_number().over(draw)).where(F.col("_rank") <= PER_LABEL)
+    # at most PER_LABEL ids for each label, so texts can stay where they are
+    picked = F.broadcast(ranked.select("_id").distinct())
     rows = usable.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_label"), F.col(text).alias("_text"))
     rows = rows.join(picked, "_id", "left_semi")
 
