@@ -114,14 +114,30 @@ class _Text:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self._inside(self.heads) == 0)
 
+    def bare_classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Bare windows by content: starts, the class of each, whether a class comes twice in this
+        text, and the place of each class's first member among the starts, with all digests.
+
+        Periodic texts have many bare windows and few classes, so only the first of each is sent on.
+        """
+        starts = self.bare()
+        h1, h2 = self.digests(starts, starts + LENGTH)
+        _, first, kind, n = np.unique(
+            np.stack([h1, h2.astype(np.uint64)], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True
+        )
+        return starts, kind.ravel(), n > 1, (first, h1, h2)
+
+    def spread_bare(self, marked: np.ndarray) -> np.ndarray:
+        """All bare starts whose window is that of a marked start, or comes twice in this text."""
+        starts, kind, again, (first, _, _) = self.bare_classes()
+        return starts[(again | np.isin(starts[first], marked))[kind]] if len(starts) else starts
+
     def possible(self, repeated: np.ndarray, bare: np.ndarray) -> np.ndarray:
         """Which windows have repeated heads only, or have none and were seen twice."""
         out = self._inside(np.setdiff1d(self.heads, repeated)) == 0
         none = self._inside(self.heads) == 0
         out &= ~none
-        # places of another text with the same id may lie outside
-        bare = bare[bare < self.n_windows]
-        out[bare] |= none[bare]
+        out[bare] = True
         return out
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
@@ -141,17 +157,20 @@ _ROWS = "h1 long, h2 int, owner long, place long, head long, known boolean"
 
 
 def _paired(
-    h1: np.ndarray, h2: np.ndarray, owner: np.ndarray, place: np.ndarray, head: np.ndarray, null_owner: np.ndarray
+    h1: np.ndarray, h2: np.ndarray, owner: np.ndarray, place: np.ndarray, head: np.ndarray, null_owner: np.ndarray,
+    known: np.ndarray,
 ) -> Iterator[pa.RecordBatch]:
     """Rows of one task. Digests met more than once here are known to repeat: their later rows get a
     key of their own, and the first stands for all of them against other tasks."""
     if not len(h1):
         return
     order = np.lexsort((place, owner, h2, h1))
-    h1, h2, owner, place, head, null_owner = (x[order] for x in (h1, h2, owner, place, head, null_owner))
+    h1, h2, owner, place, head, null_owner, known = (
+        x[order] for x in (h1, h2, owner, place, head, null_owner, known)
+    )
     same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
     later = np.concatenate([[False], same])
-    known = later | np.concatenate([same, [False]])
+    known = known | later | np.concatenate([same, [False]])
     salt = owner.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     h1, second = np.where(later, salt, h1), np.where(later, _LATER, h2).astype(np.int32)
     for a in range(0, len(h1), 1 << 16):
@@ -171,14 +190,23 @@ class _Rows:
     def __init__(self):
         self.parts: list[tuple] = []
 
-    def add(self, owner: int | None, h1: np.ndarray, h2: np.ndarray, place: np.ndarray, head: np.ndarray | None = None) -> None:
+    def add(
+        self, owner: int | None, h1: np.ndarray, h2: np.ndarray, place: np.ndarray,
+        head: np.ndarray | None = None, known: np.ndarray | None = None,
+    ) -> None:
         if len(h1):
             n = len(h1)
             self.parts.append(
                 (h1, h2, np.full(n, owner or 0, np.int64), place.astype(np.int64),
-                 np.zeros(n, np.int64) if head is None else _signed(head), np.full(n, owner is None))
+                 np.zeros(n, np.int64) if head is None else _signed(head), np.full(n, owner is None),
+                 np.zeros(n, bool) if known is None else known)
             )
 
+    def add_bare(self, owner: int | None, text: _Text, mark: int) -> None:
+        starts, _, again, (first, h1, h2) = text.bare_classes()
+        if len(starts):
+            self.add(owner, h1[first], h2[first], starts[first] + mark, known=again)
+
     def batches(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             yield from _paired(*[np.concatenate(x) for x in zip(*self.parts)])
@@ -199,10 +227,7 @@ def _head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if data and len(data) >= LENGTH:
                 text = _Text(hasher, data)
                 rows.add(owner, text.head_digests(), np.zeros(len(text.heads), np.int64), text.heads)
-                bare = text.bare()
-                if len(bare):
-                    h1, h2 = text.digests(bare, bare + LENGTH)
-                    rows.add(owner, h1, h2, bare + _BARE)
+                rows.add_bare(owner, text, _BARE)
     yield from rows.batches()
 
 
@@ -237,9 +262,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last = text.phrases()
             for k in phrases or []:
                 wanted[first[k] : last[k] + 1] = True
-            wanted[text.bare()] = True
             starts = np.flatnonzero(wanted & open_)
             rows.add(owner, *text.digests(starts, starts + LENGTH), starts)
+            rows.add_bare(owner, text, 0)
     yield from rows.batches()
 
 
@@ -273,7 +298,8 @@ def _sift(ids: list, texts: list, places: list) -> list:
         if flags:
             flags = np.array(flags, np.int64)
             text = _Text(hasher, raw)
-            possible = text.possible(np.unique(flags[flags < _BARE]), np.unique(flags[flags >= _BARE] - _BARE))
+            bare = text.spread_bare(flags[flags >= _BARE] - _BARE)
+            possible = text.possible(np.unique(flags[flags < _BARE]), bare)
             mask = possible if possible.any() else None
         packed.append(None if mask is None else data)
         bits.append(None if mask is None else np.packbits(mask).tobytes())
@@ -289,6 +315,7 @@ def _finish(packed: list, phrases: list, windows: list) -> list:
         covered = np.zeros(text.n + 1, np.int64)
         first, last = text.phrases()
         settled, starts = np.array(settled or [], np.int64), np.array(starts or [], np.int64)
+        starts = np.union1d(starts, text.spread_bare(starts)).astype(np.int64)
         np.add.at(covered, np.concatenate([first[settled], starts]), 1)
         np.add.at(covered, np.concatenate([last[settled], starts]) + LENGTH, -1)
         out.append(_result(raw, np.cumsum(covered)[:-1] > 0))
