@@ -122,10 +122,9 @@ class _Text:
         """
         starts = self.bare()
         h1, h2 = self.digests(starts, starts + LENGTH)
-        _, first, kind, n = np.unique(
-            np.stack([h1, h2.astype(np.uint64)], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True
-        )
-        return starts, kind.ravel(), n > 1, (first, h1, h2)
+        # inside one text 64 bits tell windows apart
+        _, first, kind, n = np.unique(h1, return_index=True, return_inverse=True, return_counts=True)
+        return starts, kind, n > 1, (first, h1, h2)
 
     def spread_bare(self, marked: np.ndarray) -> np.ndarray:
         """All bare starts whose window is that of a marked start, or comes twice in this text."""
