@@ -112,3 +112,23 @@ def test_word_count(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(ops.word_count(F.col("t"))).collect()]
     assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def test_a_giant_at_the_edge_leaves_no_gap(spark):
+    # the giant comes first in the order of digests, so the sum is reached on it
+    rng = random.Random(7)
+    docs = [(i, "a", rng.randint(20, 60)) for i in range(1500)] + [(10_000 + i, "b", 40) for i in range(500)]
+    giant = sum(n for _, s, n in docs if s == "a") // 2
+    places = spark.range(20_000, 30_000).select("id", F.xxhash64(F.lit(ops.SEED), "id", F.lit(giant).cast("long")).alias("u"))
+    lone = places.orderBy(F.shiftrightunsigned("u", 64 - ops._BIN_BITS), "u").first()["id"]
+    docs.append((lone, "a", giant))
+    sizes = {s: sum(n for _, t, n in docs if t == s) for s in "ab"}
+    df = spark.createDataFrame(docs, "doc_id long, source string, size long").repartition(3)
+    goals = {"a": giant * 0.9, "b": 8_000.0}
+    wanted = spark.createDataFrame(list(goals.items()), "source string, target double")
+    got = ops.mix(df, wanted, "doc_id", "size", F.array("source")).collect()
+    assert len(got) == len(docs) and sizes["a"] < 3.1 * giant
+    for source, goal in goals.items():
+        missing = goal - sum(r["taken"] for r in got if r["source"] == source)
+        spare = [r["size"] for r in got if r["source"] == source and not r["taken"]]
+        assert -1 <= missing < min(spare), source

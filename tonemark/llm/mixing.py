@@ -6,8 +6,9 @@ time, so nothing is repeated while unused words would do. What flows out of a pa
 each of its documents is taken: so many times all, and once more a seeded choice of documents.
 
 The flow runs on the driver over one node per pattern and source, never over documents. Documents
-are chosen by bins of a digest: whole bins first, then documents of the bin where the sum is reached,
-then small ones that fill what is still missing.
+are chosen by bins of a digest: whole bins first, then documents of the bin where the sum is reached.
+While more than an average document is missing, the same is done again with the unused ones that
+still fit; then the largest that fit follow, until no unused document of the pattern fits.
 
 A null source is a source of its own. A document without words, or without any source, is never
 taken. Rows with equal id and size are alike.
@@ -30,7 +31,7 @@ MOST_REPEATS = 3
 REPEAT_COSTS = (0, 1, 3)
 SEED = 42
 _BIN_BITS = 12
-_FILLERS = 4
+_KEY = ["_pattern", "_u", "_size", "_nth"]
 
 
 def word_count(text: Column) -> Column:
@@ -142,14 +143,65 @@ def route(patterns: list[tuple[str, int]], wanted: list[tuple[str | None, float]
     return out
 
 
-def _fill(frame: pd.DataFrame) -> pd.DataFrame:
-    """Fillers of one pattern, largest first, as long as they fit into what is missing."""
-    left, taken = int(frame["_gap"].iloc[0]), []
-    frame = frame.sort_values(["_size", "_u", "_nth"], ascending=[False, True, True])
-    for size in frame["_size"]:
-        taken.append(size <= left)
-        left -= size * taken[-1]
-    return frame[taken][["_pattern", "_u", "_size", "_nth"]]
+def _fill(sizes: pd.DataFrame) -> pd.DataFrame:
+    """How many spare documents of each size one pattern takes, largest first, as long as they fit."""
+    sizes = sizes.sort_values("_size", ascending=False)
+    left, many = int(sizes["_room"].iloc[0]), []
+    for size, n in zip(sizes["_size"].tolist(), sizes["_n"].tolist()):
+        many.append(min(n, left // size))
+        left -= size * many[-1]
+    return sizes.assign(_many=many)[["_pattern", "_size", "_many"]]
+
+
+def _reach(rows: DataFrame) -> DataFrame:
+    """Where the sum of sizes, in the order of digests, passes ``_room``: the bin ``_edge``, the last
+    row ``_last`` of it that still fits, and what is then missing, ``_gap``. No row if all fits."""
+    bins = rows.groupBy("_pattern", "_bin").agg(F.sum("_size").alias("_n"), F.first("_room").alias("_room"))
+    upto = Window.partitionBy("_pattern").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = bins.withColumn("_upto", F.sum("_n").over(upto)).where(F.col("_upto") > F.col("_room"))
+    edge = bins.groupBy("_pattern").agg(
+        F.min("_bin").alias("_edge"), F.min_by(F.col("_room") - F.col("_upto") + F.col("_n"), "_bin").alias("_left")
+    )
+    edge = cut(edge, "edges")
+    inside = join_spread(rows, edge, "_pattern").where(F.col("_bin") == F.col("_edge"))
+    order = Window.partitionBy("_pattern").orderBy("_u", "_size", "_nth")
+    running = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = inside.withColumn("_sum", running).where(F.col("_sum") <= F.col("_left"))
+    reached = fits.groupBy("_pattern").agg(F.max("_sum").alias("_sum"), F.max(F.struct("_u", "_size", "_nth")).alias("_last"))
+    gaps = edge.join(reached, "_pattern", "left").select(
+        "_pattern", "_edge", "_last", (F.col("_left") - F.coalesce("_sum", F.lit(0))).alias("_gap")
+    )
+    return cut(gaps, "gaps")
+
+
+def _within() -> Column:
+    """Whether a row comes before the place that ``_reach`` found."""
+    here = F.struct("_u", "_size", "_nth")
+    return (
+        F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge"))
+        | ((F.col("_bin") == F.col("_edge")) & F.coalesce(here <= F.col("_last"), F.lit(False)))
+    )
+
+
+def _fillers(spare: DataFrame) -> DataFrame:
+    """The documents of ``spare`` that fill ``_room`` until none of a pattern's fits."""
+    kept = [*_KEY, "_bin", "_mean", "_room"]
+    wide = F.col("_room") > F.col("_mean")
+    spare, parts = cut(spare.select(*kept), "spare"), []
+    while not (rows := spare.where(wide)).isEmpty():
+        met = join_spread(spare, _reach(rows), "_pattern", "left").withColumn("_in", wide & _within())
+        parts.append(cut(met.where("_in").select(*_KEY), "fillers"))
+        met = met.where(~F.col("_in")).withColumn("_room", F.when(wide, F.col("_gap")).otherwise(F.col("_room")))
+        spare = cut(met.where(F.col("_size") <= F.col("_room")).select(*kept), "spare")
+    sizes = spare.groupBy("_pattern", "_size").agg(F.count(F.lit(1)).alias("_n"), F.first("_room").alias("_room"))
+    many = sizes.groupBy("_pattern").applyInPandas(_fill, "_pattern string, _size long, _many long")
+    many = cut(many.where("_many > 0"), "many")
+    alike = Window.partitionBy("_pattern", "_size").orderBy("_u", "_nth")
+    last = spare.join(many, ["_pattern", "_size"]).withColumn("_rank", F.row_number().over(alike))
+    out = cut(last.where(F.col("_rank") <= F.col("_many")).select(*_KEY), "fillers")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 def mix(docs: DataFrame, wanted: DataFrame, doc_id: str, size: str, sources: Column) -> DataFrame:
@@ -163,50 +215,24 @@ def mix(docs: DataFrame, wanted: DataFrame, doc_id: str, size: str, sources: Col
     # equal rows get a number, so that each is taken or left by itself
     alike = Window.partitionBy("_pattern", "_u", "_size").orderBy("_u")
     rows = cut(rows.withColumn("_nth", F.row_number().over(alike)), "mix")
-    sums = rows.groupBy("_pattern").agg(F.sum("_size").alias("n")).orderBy("_pattern").collect()
+    sums = rows.groupBy("_pattern").agg(
+        F.sum("_size").alias("n"), F.avg(F.when(F.col("_size") > 0, F.col("_size"))).alias("mean")
+    ).orderBy("_pattern").collect()
     goals = [(r["source"], r["target"]) for r in wanted.select("source", "target").orderBy("source").collect()]
     routed = route([(r["_pattern"], r["n"]) for r in sums], goals)
     spark = docs.sparkSession
-    plan = spark.createDataFrame(routed, "_pattern string, _all long, _rest long")
+    plan = [(*row, r["mean"]) for row, r in zip(routed, sums)]
+    plan = spark.createDataFrame(plan, "_pattern string, _all long, _rest long, _mean double")
     rows = join_spread(rows, plan, "_pattern")
     used = rows.where((F.col("_size") > 0) & (F.col("_rest") > 0))
 
     # where the sum is reached: first among bins, then inside that bin
     bin_of = F.shiftrightunsigned("_u", 64 - _BIN_BITS)
-    used = used.withColumn("_bin", bin_of)
-    bins = used.groupBy("_pattern", "_bin").agg(F.sum("_size").alias("_n"), F.first("_rest").alias("_rest"))
-    upto = Window.partitionBy("_pattern").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("_upto", F.sum("_n").over(upto)).where(F.col("_upto") > F.col("_rest"))
-    edge = bins.groupBy("_pattern").agg(
-        F.min("_bin").alias("_edge"), F.min_by(F.col("_rest") - F.col("_upto") + F.col("_n"), "_bin").alias("_room")
-    )
-    edge = cut(edge, "edges")
-    inside = join_spread(used, edge, "_pattern").where(F.col("_bin") == F.col("_edge"))
-    order = Window.partitionBy("_pattern").orderBy("_u", "_size", "_nth")
-    running = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = inside.withColumn("_sum", running)
-    fits = inside.where(F.col("_sum") <= F.col("_room"))
-    reached = fits.groupBy("_pattern").agg(F.max("_sum").alias("_sum"), F.max(F.struct("_u", "_size", "_nth")).alias("_last"))
-    gaps = edge.join(reached, "_pattern", "left").select(
-        "_pattern", "_edge", "_last", (F.col("_room") - F.coalesce("_sum", F.lit(0))).alias("_gap")
-    )
-    gaps = cut(gaps, "gaps")
-
+    gaps = _reach(used.withColumn("_bin", bin_of).withColumn("_room", F.col("_rest")))
     joined = join_spread(rows.withColumn("_bin", bin_of), gaps, "_pattern", "left")
-    here = F.struct("_u", "_size", "_nth")
-    chosen = (F.col("_rest") > 0) & (
-        F.col("_edge").isNull() | (F.col("_bin") < F.col("_edge"))
-        | ((F.col("_bin") == F.col("_edge")) & F.coalesce(here <= F.col("_last"), F.lit(False)))
-    )
-    joined = joined.withColumn("_chosen", chosen)
-
-    # a few documents of each order of size, to fill what is missing
+    joined = joined.withColumn("_chosen", (F.col("_rest") > 0) & _within())
     spare = joined.where(~F.col("_chosen") & (F.col("_size") > 0) & (F.col("_size") <= F.col("_gap")))
-    spare = spare.select("_pattern", "_gap", "_size", "_u", "_nth", F.floor(F.log2("_size")).alias("_order"))
-    first = Window.partitionBy("_pattern", "_order").orderBy("_u", "_size", "_nth")
-    spare = spare.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= _FILLERS)
-    fillers = spare.groupBy("_pattern").applyInPandas(_fill, "_pattern string, _u long, _size long, _nth int")
-    fillers = cut(fillers.withColumn("_filler", F.lit(True)), "fillers")
+    fillers = _fillers(spare.withColumn("_room", F.col("_gap"))).withColumn("_filler", F.lit(True))
     joined = joined.join(fillers, ["_pattern", "_u", "_size", "_nth"], "left")
     times = F.col("_all") + (F.col("_chosen") | F.coalesce("_filler", F.lit(False))).cast("long")
     kept = [c for c in docs.columns if c != "taken"]
