@@ -28,11 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays, one row of it; null is
-    the largest id. Rows that share an id should share a group: only one of them stays."""
+    the largest id. Groups are told apart by their texts, so rows that share an id, or have none, go
+    only where their texts are near copies."""
     digest = F.xxhash64("text").alias("_text")
     found = simhash.near_duplicates(spread(docs.select("doc_id", "text", digest)), carry=["_text"])
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text")).alias("_key")).select("_key")
+    place = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_text")
+    first = found.groupBy("component_root").agg(F.min(place).alias("_first"))
+    first = first.select(F.struct("_first.doc_id", "_first._text").alias("_key"))
     keyed = docs.withColumn("_key", F.struct("doc_id", digest))
     return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 

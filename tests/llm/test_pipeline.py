@@ -72,3 +72,15 @@ def test_every_query_returns_its_table(spark, key):
         assert got.count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
     else:
         assert got.count() > 0
+
+
+def test_near_copies_keeps_unrelated_texts_without_or_with_equal_ids(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, 80) for _ in range(12)]
+    rows = [(None, t, "en", "a", 0) for t in texts[:6]] + [(7, t, "en", "a", 0) for t in texts[6:9]]
+    rows += [(8, texts[9], "en", "a", 0), (None, texts[9], "en", "a", 0), (7, texts[9], "en", "b", 0)]
+    rows += [(7, texts[6], "en", "a", 0), (None, texts[0], "en", "b", 0), (9, texts[10], "en", "a", 0), (9, texts[10], "en", "a", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, df, SF).collect()]
+    want = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[6:10]] + [(9, texts[10])]
+    assert sorted(map(str, got)) == sorted(map(str, want))

@@ -140,7 +140,8 @@ def links(prints: DataFrame, count: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per document: id, ``carry`` columns, ``simhash`` and ``component_id``."""
+    """One row per document: id, ``carry`` columns, ``simhash``, ``component_id`` and ``component_root``,
+    the smallest fingerprint of the component, which tells components apart whatever their ids are."""
     marked = with_fingerprint(docs.select(doc_id, *carry, text), text).select(doc_id, *carry, "simhash")
     marked = cut(marked, "fingerprints")
     prints = cut(marked.groupBy("simhash").agg(F.min(doc_id).alias("_first")), "prints")
@@ -150,5 +151,5 @@ def near_duplicates(
     )
     named = cut(named, "named")
     ids = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    labels = named.join(ids, "_root").select("simhash", "component_id")
-    return marked.join(labels, "simhash").select(doc_id, *carry, "simhash", "component_id")
+    labels = named.join(ids, "_root").select("simhash", "component_id", F.col("_root").alias("component_root"))
+    return marked.join(labels, "simhash").select(doc_id, *carry, "simhash", "component_id", "component_root")
