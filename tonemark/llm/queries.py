@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemark.llm import bpe, embedding_dedup, exact_substrings, fuzzy_passages, language_id, mixing, quality_rules, secrets, simhash, warc
+from tonemark.llm import bpe, embedding_dedup, exact_substrings, fuzzy_passages, importance, language_id, mixing, quality_rules, secrets, simhash, toxicity, warc
 from tonemark.llm.shared import cut, documents, table
 from tonemark.plans.session import scratch_path
 
@@ -82,6 +82,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.read_index(directory, index), archives)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "benchmark").select("text")
+    drawn = importance.resample(documents(spark, sf_dir, "doc_id", "text"), target)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_substrings": op1_exact_substrings,
     "op2_secret_scan": op2_secret_scan,
@@ -93,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op11_importance": op11_importance,
+    "op12_toxicity": op12_toxicity,
 }
 
 SQL: dict[str, str] = {
@@ -125,4 +138,61 @@ SQL: dict[str, str] = {
                CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM pay LEFT JOIN best USING (payload_digest)""",
+    "op11_importance": """
+        WITH RECURSIVE steps AS (
+          SELECT range AS b, range AS c, 0 AS k FROM range(256)
+          UNION ALL
+          SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+        ),
+        lut AS (SELECT list(c ORDER BY b) AS l FROM steps WHERE k = 8),
+        texts AS (
+          SELECT doc_id AS id, true AS doc, text FROM documents
+          UNION ALL SELECT NULL, false, text FROM benchmark
+        ),
+        split AS (
+          SELECT row_number() OVER () AS nr, id, doc, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+          FROM texts
+        ),
+        words AS (
+          SELECT nr, id, doc, coalesce(len(w), 0)::BIGINT AS n, list_concat(coalesce(w, []),
+            list_transform(range(1, coalesce(len(w), 0)), lambda i: w[i] || ' ' || w[i + 1])) AS f
+          FROM split
+        ),
+        uses AS (SELECT nr, doc, unnest(f) AS f FROM words),
+        kinds AS (SELECT f, hex(encode(f)) AS x FROM uses GROUP BY f),
+        cells AS (
+          SELECT f, xor(list_reduce(list_transform(range(0, len(x) // 2),
+              lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT),
+              lambda c, b: xor(c >> 8, l[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS cell
+          FROM kinds, lut
+        ),
+        counts AS (
+          SELECT cell, count(*) FILTER (doc) AS s, count(*) FILTER (NOT doc) AS t
+          FROM uses JOIN cells USING (f) GROUP BY cell
+        ),
+        totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM counts),
+        gains AS (
+          SELECT cell, floor(1000 * ln(((t + 1.0::DOUBLE) * (s_all + 10000)) / ((s + 1.0::DOUBLE) * (t_all + 10000))))::BIGINT AS g
+          FROM counts, totals
+        ),
+        sums AS (
+          SELECT nr, sum(g)::BIGINT AS g FROM uses JOIN cells USING (f) JOIN gains USING (cell) WHERE doc GROUP BY nr
+        ),
+        scored AS (
+          SELECT id AS doc_id, n, len(f)::BIGINT AS n_features,
+                 coalesce(floor(g::DOUBLE / nullif(len(f), 0))::BIGINT, 0) AS weight,
+                 floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                   / 4294967296.0::DOUBLE)))::BIGINT AS noise
+          FROM words LEFT JOIN sums USING (nr) WHERE doc
+        ),
+        placed AS (
+          SELECT *, weight + noise AS score, n >= 20 AS able,
+                 row_number() OVER (PARTITION BY n >= 20 ORDER BY weight + noise DESC, doc_id) AS r,
+                 count(*) FILTER (n >= 20) OVER () AS total
+          FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= 25 * total // 100 THEN r END AS rank
+        FROM placed""",
 }
