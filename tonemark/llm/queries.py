@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemark.llm import bpe, embedding_dedup, exact_substrings, fuzzy_passages, importance, language_id, mixing, quality_rules, secrets, simhash, toxicity, warc
+from tonemark.llm import (
+    bpe,
+    collocations,
+    embedding_dedup,
+    exact_substrings,
+    fuzzy_passages,
+    importance,
+    language_id,
+    mixing,
+    quality_rules,
+    secrets,
+    simhash,
+    toxicity,
+    warc,
+)
 from tonemark.llm.shared import cut, documents, table
 from tonemark.plans.session import scratch_path
 
@@ -93,6 +107,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir, "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_substrings": op1_exact_substrings,
     "op2_secret_scan": op2_secret_scan,
@@ -106,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_importance": op11_importance,
     "op12_toxicity": op12_toxicity,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -195,4 +214,48 @@ SQL: dict[str, str] = {
         )
         SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= 25 * total // 100 THEN r END AS rank
         FROM placed""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+          SELECT row_number() OVER () AS piece, lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+          FROM (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[.,;:!?\x0A-\x0D]')) AS p
+            FROM documents
+          )
+        ),
+        grams AS (
+          SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+          FROM pieces, (SELECT unnest(range(1, 6)) AS m)
+          WHERE len(w) >= m
+        ),
+        counts AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+        sizes AS (SELECT lang, sum(f)::HUGEINT AS n FROM counts WHERE m = 1 GROUP BY lang),
+        often AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 100),
+        held AS (
+          SELECT lang, array_to_string(w[i : j], ' ') AS phrase, max(f) AS most
+          FROM often, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(1, 6)) AS j)
+          WHERE m > 2 AND i < j AND j <= m AND j - i + 1 < m
+          GROUP BY ALL
+        ),
+        kept AS (
+          SELECT often.* FROM often LEFT JOIN held USING (lang, phrase)
+          WHERE m >= 2 AND (most IS NULL OR 100 * most < 100 * f)
+        ),
+        cuts AS (
+          SELECT lang, phrase, f, k, array_to_string(w[1 : k], ' ') AS a1, array_to_string(w[k + 1 : m], ' ') AS a2
+          FROM kept, (SELECT unnest(range(1, 5)) AS k)
+          WHERE k < m
+        ),
+        scores AS (
+          SELECT cuts.lang, cuts.phrase, cuts.f AS a, x.f AS l, y.f AS r, n, k, (1000 * cuts.f * n) // (x.f * y.f) AS score
+          FROM cuts JOIN often x ON x.lang = cuts.lang AND x.phrase = a1
+          JOIN often y ON y.lang = cuts.lang AND y.phrase = a2 JOIN sizes ON sizes.lang = cuts.lang
+        ),
+        best AS (
+          SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+               a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM best QUALIFY rank <= 2000""",
 }
