@@ -184,7 +184,8 @@ def fit(
     """The models of all labelled texts, and those that leave out the calibrating third."""
     rows = docs.where(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     rows = rows.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    known = rows.join(_one_label(labels, doc_id, toxic), "_id")
+    # labels grow with the documents, so both sides are dealt by id at any size
+    known = rows.join(_one_label(labels, doc_id, toxic).hint("shuffle_merge"), "_id")
     known = known.select("_text", "_toxic", (fold(F.col("_id")) == 3).alias("_cal"))
     counted = known.mapInArrow(count_windows, _SLOT).groupBy("slot")
     # at most SLOTS rows
