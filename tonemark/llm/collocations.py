@@ -1,12 +1,13 @@
 """Collocations: frequent phrases of two to five words, counted by vertically partitioned suffix trees.
 
 The scheme follows ERA (Mansour et al., 2011), with words for letters and suffixes cut off at five
-words, at the end of a piece, and before a word too rare for any phrase:
+words, at the end of a piece, and before what is too rare for any phrase:
 
-1. Words are counted. What may start a phrase is known from here on by a bitmap of fixed size, whose
-   false hits only cost work.
-2. Vertical partitioning: prefixes are counted in hashed cells, first of one word. A cell with more
-   suffixes than the budget is cut up by prefixes of two words, and so on to five. Cells within the
+1. Words are counted, then pairs of frequent words, then triples of frequent pairs. No phrase holds a
+   rare one, so suffixes end before it. The tasks know the frequent ones by bitmaps of fixed size,
+   whose false hits only cost work.
+2. Vertical partitioning: prefixes are counted in hashed cells, first of three words. A cell with more
+   suffixes than the budget is cut up by prefixes of four words, then of five. Cells within the
    budget are packed into groups.
 3. Every task counts the suffixes it sees and sends each, once, to the group of its prefix. A group's
    suffixes arrive sorted, so its tree is walked depth first with one path in memory; the total of a
@@ -23,29 +24,33 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tonemark.llm.shared import cut
 
 LONGEST = 5
+#: Words of the prefixes that vertical partitioning starts from; shorter phrases are counted whole.
+SHORTEST = 3
 LEAST = 100
 TOP = 2000
 UNKNOWN = "und"
 #: Most suffixes of a group, and how many groups there are at least for each shuffle partition.
 BUDGET = 4_000_000
 GROUPS_EACH = 4
-#: Bits of the bitmap of frequent words (4 MB), and most cells of each prefix length (16 MB).
+#: Bits of the bitmaps of frequent words, pairs and triples (4 MB each), and most cells of each prefix length (16 MB).
 BITS = 1 << 25
 MOST_CELLS = 1 << 22
-#: Distinct suffixes or words that a task holds before it sends them off.
+#: Distinct words, and places of a text, that a task holds before it sends them off.
 _HELD = 250_000
+_PLACES = 2_000_000
 _CHUNK = 1 << 20
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Breaks become '.', which no word holds. So do '!' and NUL get free, and NUL, the smallest byte,
@@ -58,7 +63,8 @@ _SEP = b"\x00"
 
 
 class Parts(NamedTuple):
-    """The vertical partition: the group of each cell by prefix length, -1 where it is cut up."""
+    """The vertical partition: the group of each cell for prefixes of three words, four and so on; -1
+    where it is cut up."""
 
     groups: list[np.ndarray]
     n_groups: int
@@ -107,172 +113,242 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _hash(lang: Column, phrase: Column) -> Column:
-    return F.crc32(F.concat(lang.cast("binary"), F.lit(bytearray(_SEP)), phrase.cast("binary")))
+def _bits(sums: list[np.ndarray]) -> np.ndarray:
+    """Bits of words, pairs or triples from the checksums of their words."""
+    mixed = sums[0].astype(np.uint64)
+    for value in sums[1:]:
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + value.astype(np.uint64)
+    return mixed % np.uint64(BITS) if len(sums) == 1 else (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS.bit_length() + 1)
 
 
-def frequent_bitmap(frequent: DataFrame) -> bytes:
-    """The set bits of all frequent words; blocks of 4 KB reach the driver."""
-    # the functions number bits and blocks from 1
-    bit = (_hash(F.col("lang"), F.col("phrase")) % BITS + 1).alias("bit")
-    blocks = frequent.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("block"))
+def frequent_bitmap(frequent: DataFrame) -> np.ndarray:
+    """Bytes with the set bits of phrases of one length; blocks of 4 KB reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2)))
+            sums = [[zlib.crc32(w, _seed(lang)) for w in phrase.encode().split(_SEP)] for lang, phrase in rows]
+            bits = _bits([np.array(column, np.uint64) for column in zip(*sums)]) if sums else []
+            # the functions below number bits and blocks from 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(bits, np.int64) + 1)], names=["bit"])
+
+    bits = frequent.select("lang", "phrase").mapInArrow(run, "bit long")
+    blocks = bits.groupBy(F.bitmap_bucket_number("bit").alias("block"))
     whole = bytearray(BITS // 8)
     for row in blocks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
         at = (row["block"] - 1) * len(row["bits"])
         whole[at : at + len(row["bits"])] = row["bits"]
-    return bytes(whole)
-
-
-class _Known(dict):
-    """What a word may start, looked up once per word and language: None for nothing, -1 for suffixes
-    that take a longer prefix, else their group."""
-
-    def __init__(self, lang: str, bitmap: bytes, groups: np.ndarray) -> None:
-        self.seed, self.bitmap, self.groups = _seed(lang), bitmap, groups
-        self[b"."] = None
-
-    def __missing__(self, word: bytes) -> int | None:
-        h = zlib.crc32(word, self.seed)
-        bit = h % BITS
-        value = int(self.groups[h % len(self.groups)]) if self.bitmap[bit >> 3] >> (bit & 7) & 1 else None
-        if len(self) > 4 * _HELD:
-            self.clear()
-            self[b"."] = None
-        self[word] = value
-        return value
-
-
-def _suffixes(words: list[bytes], known: _Known, stop: int, only: Callable[[int], bool] | None) -> list[bytes]:
-    """All suffixes of two words or more that start before ``stop``, cut off as said above."""
-    found: list[bytes] = []
-    run: list[bytes] = []
-    join = _SEP.join
-
-    def out(end: int) -> None:
-        first = end - len(run)
-        last = min(len(run) - 1, stop - first)
-        if only is None:
-            found.extend([join(run[i : i + LONGEST]) for i in range(last)])
-        else:
-            found.extend([join(run[i : i + LONGEST]) for i in range(last) if only(known[run[i]])])
-
-    for at, word in enumerate(words):
-        if known[word] is not None:
-            run.append(word)
-        elif run:
-            if len(run) > 1:
-                out(at)
-            run = []
-    if len(run) > 1:
-        out(len(words))
-    return found
-
-
-def _scan(docs: DataFrame, shared, schema: str, sink: Callable, only: Callable[[int], bool] | None) -> DataFrame:
-    """Count suffixes in the tasks; ``sink`` makes batches from (lang, its counts)."""
+    return np.frombuffer(bytes(whole), np.uint8)
+
+
+def _is_set(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bitmap[(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+class _Words(dict):
+    """Numbers of a language's frequent words in this task; breaks and rare words are 0."""
+
+    def __init__(self, lang: str, bitmap: np.ndarray) -> None:
+        self.lang, self.seed, self.bitmap = lang, _seed(lang), bitmap
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self[b"."] = 0
+        self.names, self.sums = [b""], np.zeros(1 << 10, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        checksum = zlib.crc32(word, self.seed)
+        bit = checksum % BITS
+        number = 0
+        if self.bitmap[bit >> 3] >> (bit & 7) & 1:
+            number = len(self.names)
+            self.names.append(word)
+            if number == len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.sums[number] = checksum
+        self[word] = number
+        return number
+
+
+def _scan(docs: DataFrame, shared, schema: str, places: Callable, sink: Callable) -> DataFrame:
+    """``places`` turns the word numbers of a text into rows of numbers, for the starts before
+    ``stop``; ``sink`` makes batches of all rows a task holds of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, groups = shared.value[0], shared.value[1]
-        known: dict[str, _Known] = {}
-        held: dict[str, Counter] = {}
+        known: dict[str, _Words] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, rows in held.items():
+                if rows:
+                    yield from sink(known[lang], np.concatenate(rows), shared.value)
+                rows.clear()
+                if len(known[lang]) > 2 * _HELD:
+                    known[lang].empty()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if lang not in known:
-                    known[lang], held[lang] = _Known(lang, bitmap, groups[0]), Counter()
-                carried: list[bytes] = []
+                    known[lang], held[lang] = _Words(lang, shared.value[0][0]), []
+                carried = np.zeros(0, np.int32)
                 for words, last in tokens(text):
-                    words = carried + words
-                    stop = len(words) if last else max(0, len(words) - LONGEST + 1)
-                    held[lang].update(_suffixes(words, known[lang], stop, only))
-                    carried = words[stop:]
-                    if sum(map(len, held.values())) > _HELD:
-                        yield from sink(held, known, shared.value)
-                        for count in held.values():
-                            count.clear()
-        yield from sink(held, known, shared.value)
+                    new = np.fromiter(map(known[lang].__getitem__, words), np.int32, len(words))
+                    numbers = np.concatenate([carried, new])
+                    stop = len(numbers) if last else max(0, len(numbers) - LONGEST + 1)
+                    rows = places(known[lang], numbers, stop, shared.value)
+                    if len(rows):
+                        held[lang].append(rows)
+                        size += len(rows)
+                    carried = numbers[stop:]
+                # texts are short on the whole, so a dictionary is looked at between them
+                if size > _PLACES or max(map(len, known.values())) > 4 * _HELD:
+                    yield from out()
+                    size = 0
+        yield from out()
 
     return docs.mapInArrow(run, schema)
 
 
+def _candidates(words: _Words, numbers: np.ndarray, bitmaps: Sequence[np.ndarray]) -> np.ndarray:
+    """Where phrases one word longer than the last bitmap's start, all of whose parts are frequent."""
+    found, sums = numbers > 0, words.sums[numbers]
+    for size, bitmap in enumerate(bitmaps[1:], 2):
+        found = found[:-1] & found[1:]
+        at = np.flatnonzero(found)
+        found[at] = _is_set(bitmap, _bits([sums[at + k] for k in range(size)]))
+    return found[:-1] & found[1:]
+
+
+def _grams(words: _Words, numbers: np.ndarray, stop: int, shared: tuple) -> np.ndarray:
+    """Rows of the numbers of each candidate."""
+    size = len(shared[0]) + 1
+    if len(numbers) < size:
+        return np.zeros((0, size), np.int32)
+    starts = np.flatnonzero(_candidates(words, numbers, shared[0])[:stop])
+    return numbers[starts[:, None] + np.arange(size)]
+
+
+def _suffixes(words: _Words, numbers: np.ndarray, stop: int, shared: tuple) -> np.ndarray:
+    """Rows of the five numbers of each suffix of three words or more, 0 where it is cut off."""
+    if len(numbers) < SHORTEST:
+        return np.zeros((0, LONGEST), np.int32)
+    found, sums = _candidates(words, numbers, shared[0][:-1]), words.sums[numbers]
+    at = np.flatnonzero(found)
+    found[at] = _is_set(shared[0][-1], _bits([sums[at + k] for k in range(SHORTEST)]))
+    starts = np.flatnonzero(found[:stop])
+    rows = np.zeros((len(starts), LONGEST), np.int32)
+    rows[:, :SHORTEST] = numbers[starts[:, None] + np.arange(SHORTEST)]
+    going, padded = np.ones(len(starts), bool), np.concatenate([found, np.zeros(LONGEST, bool)])
+    for k in range(SHORTEST, LONGEST):
+        going &= padded[starts + k - SHORTEST + 1]
+        rows[going, k] = numbers[starts[going] + k]
+    return rows
+
+
+def _distinct(words: _Words, rows: np.ndarray) -> Iterator[tuple[bytes, int]]:
+    """Phrases with their counts; two numbers at a time become one, so equal rows are told exactly."""
+    code = rows[:, 0].astype(np.int64)
+    for k in range(1, rows.shape[1]):
+        pair = code << 32 | rows[:, k]
+        code = np.unique(pair, return_inverse=True)[1] if k < rows.shape[1] - 1 else pair
+    _, first, counts = np.unique(code, return_index=True, return_counts=True)
+    names = words.names
+    for start in range(0, len(first), 1 << 16):
+        part = slice(start, start + (1 << 16))
+        for row, n in zip(rows[first[part]].tolist(), counts[part].tolist()):
+            yield _SEP.join([names[x] for x in row if x]), n
+
+
+def _send_grams(words: _Words, rows: np.ndarray, shared: tuple) -> Iterator[pa.RecordBatch]:
+    found = _distinct(words, rows)
+    while part := list(islice(found, 1 << 16)):
+        columns = [[words.lang] * len(part), *zip(*part)]
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "f"])
+
+
 def _prefix_ends(suffix: bytes) -> list[int]:
-    """Where the prefixes of one word, two words and so on end."""
-    ends, at = [], suffix.find(_SEP)
+    """Where the prefixes of three words, four words and so on end."""
+    ends, at = [], suffix.find(_SEP, suffix.find(_SEP) + 1)
     while at >= 0:
-        ends.append(at)
         at = suffix.find(_SEP, at + 1)
-    return [*ends, len(suffix)]
-
+        ends.append(at if at >= 0 else len(suffix))
+    return ends
 
-def _count_cells(held: dict, known: dict, shared: tuple) -> Iterator[pa.RecordBatch]:
-    """Suffixes by prefix length and cell, of those that one word does not place."""
-    cells = len(shared[1][0])
-    total = np.zeros((LONGEST, cells), np.int64)
-    for lang, count in held.items():
-        seed = _seed(lang)
-        for suffix, n in count.items():
-            for depth, end in enumerate(_prefix_ends(suffix)[1:], 1):
-                total[depth, zlib.crc32(suffix[:end], seed) % cells] += n
-    depth, cell = np.nonzero(total)
-    columns = [depth.astype(np.int32), cell.astype(np.int32), total[depth, cell]]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["depth", "cell", "n"])
 
-
-def _send(held: dict, known: dict, shared: tuple) -> Iterator[pa.RecordBatch]:
+def _count_cells(words: _Words, rows: np.ndarray, shared: tuple) -> Iterator[pa.RecordBatch]:
+    """Suffixes by prefix length and cell, of those that three words do not place."""
+    groups = shared[1]
+    cells = len(groups[0])
+    total = np.zeros((LONGEST - SHORTEST + 1, cells), np.int64)
+    for suffix, n in _distinct(words, rows):
+        ends = _prefix_ends(suffix)
+        if groups[0][zlib.crc32(suffix[: ends[0]], words.seed) % cells] < 0:
+            for at, end in enumerate(ends[1:], 1):
+                total[at, zlib.crc32(suffix[:end], words.seed) % cells] += n
+    at, cell = np.nonzero(total)
+    columns = [at.astype(np.int32), cell.astype(np.int32), total[at, cell]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["at", "cell", "n"])
+
+
+def _send(words: _Words, rows: np.ndarray, shared: tuple) -> Iterator[pa.RecordBatch]:
     """Each distinct suffix with its count, the group of its prefix and that prefix's length."""
     groups, n_groups = shared[1], shared[2]
     cells = len(groups[0])
-    for lang, count in held.items():
-        seed, first = _seed(lang), known[lang]
-        rows = []
-        for suffix, n in count.items():
-            group, depth = first[suffix[: suffix.index(_SEP)]], 1
-            if group is None or group < 0:
-                ends = _prefix_ends(suffix)
-                group = -1
-                while group < 0 and depth < len(ends):
-                    depth += 1
-                    group = int(groups[depth - 1][zlib.crc32(suffix[: ends[depth - 1]], seed) % cells])
-                if group < 0:
-                    # shorter than its prefix would be: a leaf of its own
-                    group, depth = zlib.crc32(suffix, seed) % n_groups, depth + 1
-            rows.append((group, depth, lang, suffix, n))
-        types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
-        yield _batch(rows, ["group", "depth", "lang", "suffix", "n"], types)
-
-
-def vertical_partition(docs: DataFrame, frequent: DataFrame, bitmap: bytes) -> Parts:
+    made: list[tuple] = []
+    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+    for suffix, n in _distinct(words, rows):
+        # a suffix shorter than its prefix would be is a leaf of its own
+        group, depth = zlib.crc32(suffix, words.seed) % n_groups, LONGEST + 1
+        for at, end in enumerate(_prefix_ends(suffix)):
+            placed = int(groups[at][zlib.crc32(suffix[:end], words.seed) % cells])
+            if placed >= 0:
+                group, depth = placed, SHORTEST + at
+                break
+        made.append((group, depth, words.lang, suffix, n))
+        if len(made) >= 1 << 16:
+            yield _batch(made, ["group", "depth", "lang", "suffix", "n"], types)
+            made.clear()
+    yield _batch(made, ["group", "depth", "lang", "suffix", "n"], types)
+
+
+def _partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def vertical_partition(docs: DataFrame, triples: DataFrame, bitmaps: list[np.ndarray]) -> Parts:
     """Count cells and pack them; only tables of cells reach the driver."""
     spark = docs.sparkSession
-    total = frequent.agg(F.sum("f")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    budget = max(1, min(BUDGET, total // (GROUPS_EACH * parts)))
+    total = triples.agg(F.sum("f")).first()[0] or 0
+    budget = max(1, min(BUDGET, total // (GROUPS_EACH * _partitions(spark))))
     cells = 1 << 12
     while cells < min(MOST_CELLS, 16 * total // budget):
         cells *= 2
-    counts = np.zeros((LONGEST, cells), np.int64)
-    cell = (_hash(F.col("lang"), F.col("phrase")) % cells).cast("int").alias("cell")
-    found = frequent.groupBy(cell).agg(F.sum("f").alias("n")).toArrow()
+    counts = np.zeros((LONGEST - SHORTEST + 1, cells), np.int64)
+    key = F.concat(F.col("lang").cast("binary"), F.lit(bytearray(_SEP)), F.col("phrase").cast("binary"))
+    found = triples.groupBy((F.crc32(key) % cells).cast("int").alias("cell")).agg(F.sum("f").alias("n")).toArrow()
     counts[0, found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    over = counts[0] > budget
-    if over.any():
-        first = np.where(over, -1, 0).astype(np.int32)
-        shared = spark.sparkContext.broadcast((bitmap, [first]))
-        deep = _scan(docs, shared, "depth int, cell int, n long", _count_cells, lambda group: group < 0)
-        deep = deep.groupBy("depth", "cell").agg(F.sum("n").alias("n")).toArrow()
-        counts[deep.column("depth").to_numpy(), deep.column("cell").to_numpy()] = deep.column("n").to_numpy()
+    if (counts[0] > budget).any():
+        first = np.where(counts[0] > budget, -1, 0).astype(np.int32)
+        shared = spark.sparkContext.broadcast((bitmaps, [first]))
+        deep = _scan(docs, shared, "at int, cell int, n long", _suffixes, _count_cells)
+        deep = deep.groupBy("at", "cell").agg(F.sum("n").alias("n")).toArrow()
+        counts[deep.column("at").to_numpy(), deep.column("cell").to_numpy()] = deep.column("n").to_numpy()
     # the longest prefix is never cut up: a task sends a suffix once, whatever its count
     sizes = counts.ravel()
-    placed = (sizes <= budget) | (np.arange(sizes.size) >= (LONGEST - 1) * cells)
+    placed = (sizes <= budget) | (np.arange(sizes.size) >= (LONGEST - SHORTEST) * cells)
     order = np.argsort(-np.where(placed, sizes, -1), kind="stable")
     load = np.cumsum(np.where(placed, np.minimum(sizes, budget), 0)[order])
     groups = np.empty(sizes.size, np.int32)
     groups[order] = np.maximum(load - 1, 0) // budget
     groups[~placed] = -1
-    return Parts(list(groups.reshape(LONGEST, cells)), int(groups.max()) + 1)
+    return Parts(list(groups.reshape(LONGEST - SHORTEST + 1, cells)), int(groups.max()) + 1)
 
 
 def tree_nodes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Walk the trees of sorted suffixes: rows (lang, phrase, f) of nodes of two words or more that
+    """Walk the trees of sorted suffixes: rows (lang, phrase, f) of nodes of three words or more that
     are frequent, or may be together with other groups."""
     key: tuple | None = None
     path: list[str] = []
@@ -283,7 +359,7 @@ def tree_nodes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
     def close(depth: int) -> None:
         for d in range(len(path), depth, -1):
             n = totals[d]
-            if d > 1 and (n >= least or d < partial):
+            if d >= SHORTEST and (n >= least or d < partial):
                 rows.append((key[1], "\x00".join(path[:d]), n))
             totals[d - 1] += n
             totals[d] = 0
@@ -311,15 +387,22 @@ def tree_nodes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
 def phrase_counts(docs: DataFrame, frequent: DataFrame, least: int) -> DataFrame:
     """Rows (lang, phrase, f) of all phrases of two to five words with ``least`` occurrences."""
     spark = docs.sparkSession
-    bitmap = frequent_bitmap(frequent)
-    parts = vertical_partition(docs, frequent, bitmap)
+    bitmaps, counted = [frequent_bitmap(frequent)], []
+    for size in range(2, SHORTEST + 1):
+        shared = spark.sparkContext.broadcast((bitmaps,))  # fixed size, see BITS
+        found = _scan(docs, shared, "lang string, phrase string, f long", _grams, _send_grams)
+        found = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        counted.append(cut(found, f"phrases_{size}"))
+        bitmaps = [*bitmaps, frequent_bitmap(counted[-1])]
+    parts = vertical_partition(docs, counted.pop(), bitmaps)
     # bounded by BITS and MOST_CELLS
-    shared = spark.sparkContext.broadcast((bitmap, parts.groups, parts.n_groups))
-    sent = _scan(docs, shared, "group int, depth int, lang string, suffix string, n long", _send, None)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    trees = sent.repartition(n, "group").sortWithinPartitions("group", "lang", "suffix")
+    shared = spark.sparkContext.broadcast((bitmaps, parts.groups, parts.n_groups))
+    schema = "group int, depth int, lang string, suffix string, n long"
+    trees = _scan(docs, shared, schema, _suffixes, _send).repartition(_partitions(spark), "group")
+    trees = trees.sortWithinPartitions("group", "lang", "suffix")
     nodes = trees.mapInArrow(lambda batches: tree_nodes(batches, least), "lang string, phrase string, f long")
-    return nodes.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    longer = nodes.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return reduce(DataFrame.unionByName, counted, longer)
 
 
 def scored(phrases: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -365,7 +448,7 @@ def collocations(
     frequent = words.where(F.col("f") >= least)
     phrases = cut(phrase_counts(rows, frequent, least), "phrases")
     kept = scored(without_parts(phrases), frequent.unionByName(phrases), sizes)
-    plain = F.translate("phrase", "\x00!", " \x00")
+    plain = F.replace(F.replace("phrase", F.lit("\x00"), F.lit(" ")), F.lit("!"), F.lit("\x00"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase"))
     named = kept.withColumn("phrase", plain).withColumn("rank", F.row_number().over(order).cast("long"))
     return named.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
