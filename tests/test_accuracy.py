@@ -44,13 +44,13 @@ def table_edits(a, b):
 
 
 @pytest.mark.parametrize("margin", [1, 64])
-@pytest.mark.parametrize("kept_bits", [64, 1 << 28])
-def test_edit_counts_equal_full_table(monkeypatch, margin, kept_bits):
+@pytest.mark.parametrize("kept", [1, 1 << 26])
+def test_edit_counts_equal_full_table(monkeypatch, margin, kept):
     monkeypatch.setattr(ed, "_FIRST_MARGIN", margin)
-    monkeypatch.setattr(ed, "_KEPT_BITS", kept_bits)
-    rng = random.Random(margin + kept_bits)
+    monkeypatch.setattr(ed, "_KEPT", kept)
+    rng = random.Random(margin + kept)
     for _ in range(400):
-        size = rng.choice([5, 15, 60])
+        size = rng.choice([5, 15, 60, 150])
         a = [rng.choice("abc") for _ in range(rng.randint(0, size))]
         b = [rng.choice("abcd") for _ in range(rng.randint(0, size))]
         counts = ed.count_edits(a, b)
@@ -71,9 +71,11 @@ def test_edit_cost_of_unrelated_and_long_texts():
     assert ed.edit_cost(a, "".join(changed)) == 30
 
 
-@pytest.mark.parametrize("table_bytes", [1, 1 << 24])
-def test_costs_of_many_pairs_equal_single_ones(monkeypatch, table_bytes):
-    monkeypatch.setattr(ed, "_TABLE_BYTES", table_bytes)
+@pytest.mark.parametrize("kept, compared, lanes", [(1, 1, 3), (1 << 26, 1 << 22, 512)])
+def test_many_pairs_side_by_side_equal_full_tables(monkeypatch, kept, compared, lanes):
+    monkeypatch.setattr(ed, "_KEPT", kept)
+    monkeypatch.setattr(ed, "_COMPARED", compared)
+    monkeypatch.setattr(ed, "_MOST_LANES", lanes)
     rng = random.Random(8)
     refs, hyps = [], []
     for size in (0, 1, 5, 63, 64, 65, 128, 200, 256, 257, 400):
@@ -82,7 +84,9 @@ def test_costs_of_many_pairs_equal_single_ones(monkeypatch, table_bytes):
             hyps.append("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 2 * size + 3))))
             refs.append([rng.choice(["x", "y", "zz"]) for _ in range(size)])
             hyps.append([c for c in refs[-1] if rng.random() > 0.1])
-    assert ed.edit_costs(refs, hyps) == [ed.edit_cost(r, h) for r, h in zip(refs, hyps)]
+    want = [table_edits(r, h) for r, h in zip(refs, hyps)]
+    assert ed.all_edits(refs, hyps) == want
+    assert ed.edit_costs(refs, hyps) == [sum(w[:3]) for w in want]
 
 
 @pytest.fixture

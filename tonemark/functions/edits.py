@@ -4,12 +4,16 @@ Spark's ``levenshtein`` gives a distance only, and it fills the whole table cell
 also needs substitutions, deletions, insertions and hits, so this is one Arrow UDF per unit. It
 runs the bit-vector recurrence of Myers (1999), in the banded form of Hyyrö (2003), on Python
 integers: one step per hypothesis unit, whatever the length of the reference, and only as many
-diagonals as the pair has edits. On long texts that is over ten times faster than the built-in.
+diagonals as the pair has edits. Bands of many pairs lie side by side in one integer, so a step of
+all of them costs little more than one of one pair; numpy compares the units of all steps at once.
+
+The walk back along an alignment looks only at the places where it leaves its diagonal. Costs of
+substitutions and hits on it follow from the total cost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,55 +23,15 @@ from pyspark.sql import types as T
 
 COST = ["errors", "units"]
 COUNTS = ["subs", "dels", "ins", "hits", *COST]
+#: Diagonals beside the straight way that a band starts with, at most.
 _FIRST_MARGIN = 64
-_KEPT_BITS = 1 << 28
-_SHORT = 256
-_TABLE_BYTES = 1 << 24
-#: Widest band, fewest pairs and most memory of a batch of long pairs.
-_MOST_WORDS = 24
-_LEAST_LANES, _MOST_LANES = 8, 1024
-_LANE_BYTES = 1 << 26
-
-
-class _Band:
-    """The diagonals ``low .. low + width - 1`` (row minus column) of the edit table.
-
-    A column is a pair of bit vectors, the rows where the cost rises and falls by one against the
-    row above. Bit 0 of the vectors after column ``j`` belongs to row ``j + 1 + low``.
-    """
-
-    def __init__(self, ref: Sequence, hyp: Sequence, margin: int) -> None:
-        self.hyp = hyp
-        skew = len(ref) - len(hyp)
-        self.low = min(0, skew) - margin
-        self.width = abs(skew) + 2 * margin + 1
-        self.full = (1 << self.width) - 1
-        self.corner = 1 << (skew - self.low)
-        self.first = (self.full >> -self.low << -self.low, 0)
-        self.where: dict = {}
-        for at, unit in enumerate(ref, -self.low):
-            self.where[unit] = self.where.get(unit, 0) | (1 << at)
-
-    def run(
-        self, start: int, stop: int, column: tuple[int, int], keep: bool
-    ) -> tuple[list, tuple[int, int], int]:
-        """The columns after ``start`` up to ``stop``, the last one, and the corner's added cost."""
-        full, corner, seen = self.full, self.corner, self.where.get
-        rise, fall = column
-        columns, cost = [], 0
-        for shift in range(start, stop):
-            same = seen(self.hyp[shift], 0) >> shift & full
-            flat = ((((same & rise) + rise) ^ rise) | same | fall) & full
-            right_up = fall | (full ^ (flat | rise))
-            right_down = flat & rise
-            if not flat & corner:
-                cost += 1
-            flat >>= 1
-            rise = right_down | (full ^ (flat | right_up))
-            fall = flat & right_up
-            if keep:
-                columns.append((rise, fall))
-        return columns, (rise, fall), cost
+#: Bits of an integer of bands, most bands in it, and least length of the shortest pair beside the longest.
+_WIDEST = 1 << 15
+_MOST_LANES = 512
+_ALIKE = 0.5
+#: Bytes of the comparisons made at once, and of the columns kept for the walk back.
+_COMPARED = 1 << 22
+_KEPT = 1 << 26
 
 
 def _trim(ref: Sequence, hyp: Sequence) -> tuple[Sequence, Sequence, int]:
@@ -81,284 +45,237 @@ def _trim(ref: Sequence, hyp: Sequence) -> tuple[Sequence, Sequence, int]:
     return ref[head : len(ref) - tail], hyp[head : len(hyp) - tail], head + tail
 
 
-def _sweep(ref: Sequence, hyp: Sequence, keep: bool) -> tuple[int, _Band, list, list, int]:
-    """The edit cost and the band that proves it; columns only with ``keep``.
-
-    An alignment that leaves the band has at least two more edits than |skew| + 2 margin, so a cost
-    up to one more is exact and all shortest alignments are inside. A higher cost is still an upper
-    bound and tells how wide the band has to be at most.
+def _codes(ref: Sequence, hyp: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 1 that are equal where the units are."""
+    if isinstance(ref, str):
+        coded = [np.frombuffer(side.encode("utf-32-le"), np.uint32) for side in (ref, hyp)]
+        used = np.zeros(int(max(c.max() for c in coded)) + 1, np.uint32)
+        used[coded[0]] = used[coded[1]] = 1
+        number = np.cumsum(used, dtype=np.uint32)
+        coded, most = [number[c] for c in coded], int(number[-1])
+    else:
+        known: dict = {}
+        number = known.setdefault
+        coded = [np.array([number(unit, len(known) + 1) for unit in side]) for side in (ref, hyp)]
+        most = len(known)
+    kind = np.min_scalar_type(most)
+    return coded[0].astype(kind), coded[1].astype(kind)
+
+
+class _Bands:
+    """Bands of pairs side by side in one integer, each in a lane of ``bits`` bits.
+
+    A band holds the diagonals ``low .. low + bits - 2`` (row minus column) of the edit table. A
+    column is a pair of bit vectors, the rows where the cost rises and falls by one against the row
+    above. Bit 0 of a lane after column ``j`` belongs to row ``j + 1 + low``; its top bit stays 0, so
+    that no carry reaches the next lane.
     """
-    cols, skew, margin = len(hyp), len(ref) - len(hyp), _FIRST_MARGIN
-    while True:
-        band = _Band(ref, hyp, margin)
-        stride = max(1, _KEPT_BITS // band.width)
-        saved, columns, cost, column = [], [], max(skew, 0), band.first
-        for start in range(0, cols, stride):
-            saved.append(column)
-            columns, column, added = band.run(start, min(start + stride, cols), column, keep)
-            cost += added
-        if cost <= abs(skew) + 2 * margin + 1:
-            return cost, band, saved, columns, stride
-        margin = min(4 * margin, (cost - abs(skew) + 1) // 2)
-
 
-def edit_cost(ref: Sequence, hyp: Sequence) -> int:
-    """Edits of a shortest alignment."""
-    ref, hyp, _ = _trim(ref, hyp)
-    return _sweep(ref, hyp, keep=False)[0] if ref and hyp else len(ref) + len(hyp)
-
-
-def _together(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
-    """Edit costs of many short pairs at once: the same recurrence with one 64-bit word per 64 rows
-    and one numpy lane per pair. All references need the same number of words."""
-    words = -(-max(map(len, refs)) // 64)
-    rows, cols = np.array(list(map(len, refs))), np.array(list(map(len, hyps)))
-    ref = np.full((len(refs), words * 64), -1, np.int32)
-    hyp = np.full((len(hyps), cols.max()), -2, np.int32)
-    for lane, (r, h) in enumerate(zip(refs, hyps)):
-        ref[lane, : len(r)], hyp[lane, : len(h)] = r, h
-    equal = np.packbits(ref[:, None, :] == hyp[:, :, None], axis=2, bitorder="little")
-    equal = np.ascontiguousarray(equal.view(np.uint64).transpose(1, 2, 0))
-
-    one, top = np.uint64(1), np.uint64(63)
-    last_row = one << ((rows - 1) % 64).astype(np.uint64)
-    rise = np.full((words, len(refs)), ~np.uint64(0))
-    fall = np.zeros_like(rise)
-    cost = rows.copy()
-    for j, column in enumerate(equal):
-        up_in, down_in = one, np.uint64(0)
-        for w, same in enumerate(column):
-            vertical = same | fall[w]
-            same = same | down_in
-            flat = (((same & rise[w]) + rise[w]) ^ rise[w]) | same
-            up, down = fall[w] | ~(flat | rise[w]), flat & rise[w]
-            if w == words - 1:
-                step = ((up & last_row) != 0).astype(np.int64) - ((down & last_row) != 0)
-                cost += np.where(j < cols, step, 0)
-            up_out, down_out = up >> top, down >> top
-            up, down = up << one | up_in, down << one | down_in
-            rise[w], fall[w] = down | ~(vertical | up), up & vertical
-            up_in, down_in = up_out, down_out
-    return cost
-
-
-def _codes(units: Sequence, known: dict) -> np.ndarray:
-    """Numbers that are equal where the units are."""
-    if isinstance(units, str):
-        return np.frombuffer(units.encode("utf-32-le"), np.int32)
-    return np.array([known.setdefault(unit, len(known)) for unit in units], np.int32)
-
-
-class _Lanes:
-    """Bands of many pairs side by side: the recurrence of ``_Band`` with one numpy lane per pair and
-    ``words`` 64-bit words per column."""
-
-    def __init__(self, refs: list[np.ndarray], hyps: list[np.ndarray], words: int) -> None:
-        self.rows, self.cols = np.array(list(map(len, refs))), np.array(list(map(len, hyps)))
-        self.words, bits, n = words, 64 * words, len(refs)
-        skew = self.rows - self.cols
-        self.margin = (bits - 1 - np.abs(skew)) // 2
-        self.low = np.minimum(0, skew) - self.margin
-        self.corner = skew - self.low
-        # row i of a lane is at bit i - low, so the band of column j starts at bit j in every lane
-        span = -(-(int(self.cols.max()) + bits) // 64) + 1
-        self.ref = np.full((n, self.rows.max()), -1, np.int32)
-        self.hyp = np.full((n, self.cols.max()), -2, np.int32)
-        units = [np.unique(r, return_inverse=True) for r in refs]
-        deepest = max(len(u) for u, _ in units)
-        # where each unit of the reference is; the last row is for units that are not in it
-        self.where = np.zeros((n, deepest + 1, span), np.uint64)
-        self.unit = np.full((n, self.cols.max()), deepest, np.intp)
-        for lane, (r, h, (u, at)) in enumerate(zip(refs, hyps, units)):
-            self.ref[lane, : len(r)], self.hyp[lane, : len(h)] = r, h
-            place = np.arange(len(r)) - self.low[lane]
-            held = place < 64 * span
-            spots = np.zeros((len(u), 64 * span), bool)
-            spots[at[held], place[held]] = True
-            self.where[lane, : len(u)] = np.packbits(spots, axis=1, bitorder="little").view(np.uint64)
-            found = np.minimum(np.searchsorted(u, h), len(u) - 1)
-            self.unit[lane, : len(h)] = np.where(u[found] == h, found, deepest)
-
-    def run(self, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Cost of each lane, and with ``keep`` all columns as (column, rise or fall, word, lane)."""
-        words, n, bits = self.words, len(self.rows), 64 * self.words
-        one, top = np.uint64(1), np.uint64(63)
-        at = np.arange(bits)[:, None] >= -self.low[None, :]
-        packed = np.packbits(at, axis=0, bitorder="little").T
-        rise = np.ascontiguousarray(np.ascontiguousarray(packed).view(np.uint64).T)
-        fall = np.zeros_like(rise)
-        cost = np.maximum(self.rows - self.cols, 0)
-        corner_word, corner_bit = self.corner // 64, (self.corner % 64).astype(np.uint64)
-        lanes, seen = np.arange(n), None
-        if keep:
-            seen = np.empty((self.cols.max() + 1, 2, words, n), np.uint64)
-            seen[0, 0], seen[0, 1] = rise, fall
-        flat = np.empty_like(rise)
-        for j in range(self.cols.max()):
-            word, shift = j >> 6, np.uint64(j & 63)
-            held = self.where[:, :, word : word + words + 1][lanes, self.unit[:, j]].T
-            same = held[:-1] >> shift | held[1:] << (top - shift) << one
-            both = same & rise
-            carry = np.zeros(n, np.uint64)
-            for w in range(words):
-                total = both[w] + rise[w]
-                over = total < both[w]
-                np.add(total, carry, out=flat[w])
-                carry = (over | (flat[w] < total)).astype(np.uint64)
-            flat ^= rise
-            flat |= same
-            flat |= fall
-            right_up = fall | ~(flat | rise)
+    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]], bits: int) -> None:
+        self.bits, self.lanes = bits, len(pairs)
+        self.bytes = bits // 8
+        self.rows, self.cols = [len(r) for r, _ in pairs], [len(h) for _, h in pairs]
+        self.longest = max(self.cols)
+        skew = [r - c for r, c in zip(self.rows, self.cols)]
+        self.margin = [(bits - 4 - abs(s)) // 2 for s in skew]
+        self.low = [min(0, s) - m - 1 for s, m in zip(skew, self.margin)]
+        self.corner = [s - low for s, low in zip(skew, self.low)]
+        one = (1 << bits - 1) - 1
+        self.full = sum(one << bits * lane for lane in range(self.lanes))
+        self.first = (sum((one >> -low << -low) << bits * lane for lane, low in enumerate(self.low)), 0)
+        # row x + low of the reference is at place x, so column c meets the places c .. c + bits - 1
+        kind = max((r.dtype for r, _ in pairs), key=lambda k: k.itemsize)
+        self.ref = np.zeros((self.lanes, self.longest + bits), kind)
+        self.hyp = np.zeros((self.lanes, self.longest), kind)
+        for lane, (r, h) in enumerate(pairs):
+            end = min(len(r), self.longest + bits + self.low[lane])
+            self.ref[lane, -self.low[lane] : end - self.low[lane]] = r[:end]
+            # no unit of a reference is 0, and past the last column nothing counts
+            self.hyp[lane, : len(h)] = h
+
+    def _same(self, start: int, stop: int) -> Iterator[int]:
+        """For each column, the bits of the places whose unit is the column's."""
+        stride = max(1, _COMPARED // (self.lanes * self.bits))
+        for a in range(start, stop, stride):
+            b = min(a + stride, stop)
+            seen = np.lib.stride_tricks.sliding_window_view(self.ref[:, a : b + self.bits - 1], self.bits, axis=1)
+            equal = np.packbits(seen == self.hyp[:, a:b, None], axis=2, bitorder="little")
+            data = np.ascontiguousarray(equal.transpose(1, 0, 2)).tobytes()
+            size = self.lanes * self.bytes
+            for at in range(0, len(data), size):
+                yield int.from_bytes(data[at : at + size], "little")
+
+    def run(self, start: int, stop: int, column: tuple[int, int], keep: bool) -> tuple[tuple[int, int], list, list, list]:
+        """The column after ``stop``; counters of the columns in which the corner's diagonal rose, a
+        binary digit of all lanes in each; and with ``keep`` the cells that an alignment leaves upwards
+        or to the left, and those that it leaves upwards."""
+        full, size = self.full, self.lanes * self.bytes
+        corners = sum(1 << self.bits * lane + c for lane, c in enumerate(self.corner) if self.cols[lane] > start)
+        ends = sorted({c for c in self.cols if start < c < stop})
+        end = ends[0] if ends else stop
+        rise, fall = column
+        digits, leaves, ups = [], [], []
+        for j, same in enumerate(self._same(start, stop), start):
+            if j == end:
+                corners = sum(1 << self.bits * lane + c for lane, c in enumerate(self.corner) if self.cols[lane] > j)
+                end = next((e for e in ends if e > j), stop)
+            same &= full
+            before = fall
+            flat = ((((same & rise) + rise) ^ rise) | same | fall) & full
+            rose, digit = flat & corners ^ corners, 0
+            while rose:
+                if digit == len(digits):
+                    digits.append(0)
+                was = digits[digit]
+                digits[digit], rose, digit = was ^ rose, was & rose, digit + 1
+            right_up = fall | (full ^ (flat | rise))
             right_down = flat & rise
-            flat_corner = flat[corner_word, lanes] >> corner_bit & one
-            cost += (flat_corner == 0) & (j < self.cols)
-            lower = flat >> one
-            lower[:-1] |= flat[1:] << top
-            rise = right_down | ~(lower | right_up)
-            fall = lower & right_up
+            flat = flat >> 1 & full
+            rise = right_down | (full ^ (flat | right_up))
+            fall = flat & right_up
             if keep:
-                seen[j + 1, 0], seen[j + 1, 1] = rise, fall
-        return cost, seen
-
-    def walk(self, seen: np.ndarray, proved: np.ndarray) -> np.ndarray:
-        """Substitutions, deletions, insertions and hits of the proved lanes, by the walk of
-        ``count_edits``."""
-        n, bits = len(self.rows), 64 * self.words
-        counts = np.zeros((4, n), np.int64)
-        i, j = self.rows * proved, self.cols * proved
-        live = np.flatnonzero((i > 0) & (j > 0))
-        while len(live):
-            a, b = i[live], j[live]
-            bit = a - b - 1 - self.low[live]
-            held = (bit >= 0) & (bit < bits)
-            here = np.where(held, bit, 0)
-            up = held & (seen[b, 0, here >> 6, live] >> (here & 63).astype(np.uint64) & np.uint64(1) != 0)
-            held = (bit + 1 >= 0) & (bit + 1 < bits)
-            here = np.where(held, bit + 1, 0)
-            left = held & (seen[b - 1, 1, here >> 6, live] >> (here & 63).astype(np.uint64) & np.uint64(1) != 0) & ~up
-            same = ~up & ~left & (self.ref[live, a - 1] == self.hyp[live, b - 1])
-            counts[0, live] += ~(up | left | same)
-            counts[1, live] += up
-            counts[2, live] += left
-            counts[3, live] += same
-            i[live], j[live] = a - ~left, b - ~up
-            live = live[(i[live] > 0) & (j[live] > 0)]
-        counts[1] += i
-        counts[2] += j
-        return counts.T
-
-
-def _banded(refs: list[Sequence], hyps: list[Sequence], keep: bool) -> dict[int, tuple[int, ...] | int]:
-    """Results of the pairs that fit into batches of like bands; no pair may be empty.
-
-    A cost that its band does not prove is an upper bound, which says how wide a band has to be.
-    """
-    found: dict[int, tuple[int, ...] | int] = {}
-    known: dict = {}
-    margins = dict.fromkeys(range(len(refs)), _FIRST_MARGIN)
+                leaves.append((rise | before >> 1 & full).to_bytes(size, "little"))
+                ups.append(rise.to_bytes(size, "little"))
+        return (rise, fall), digits, leaves, ups
+
+    def _read(self, digits: list[int]) -> list[int]:
+        """The counter of each lane."""
+        spots = [self.bits * lane + corner for lane, corner in enumerate(self.corner)]
+        return [sum((digit >> spot & 1) << k for k, digit in enumerate(digits)) for spot in spots]
+
+    def solve(self, keep: bool) -> list[tuple[int, int, int] | None]:
+        """Cost, deletions and insertions of each lane (0 without ``keep``); None if its band is too
+        narrow to prove the cost, which ``self.cost`` then bounds from above.
+
+        An alignment that leaves the band has at least two more edits than |skew| + 2 margin, so a cost
+        up to one more is exact and all shortest alignments are inside.
+        """
+        stride = max(64, _KEPT // (2 * self.lanes * self.bytes))
+        column, saved = self.first, []
+        self.cost = np.maximum(np.subtract(self.rows, self.cols), 0)
+        single = keep and self.longest <= stride
+        for start in range(0, self.longest, stride):
+            saved.append(column)
+            column, digits, *kept = self.run(start, min(start + stride, self.longest), column, single)
+            self.cost += self._read(digits)
+        room = [abs(r - c) + 2 * m + 1 for r, c, m in zip(self.rows, self.cols, self.margin)]
+        proved = [int(c) <= most for c, most in zip(self.cost, room)]
+        walks = [_Walk(self, lane) if keep and ok else None for lane, ok in enumerate(proved)]
+        for start in reversed(range(0, self.longest, stride) if keep and any(proved) else ()):
+            if not single:
+                _, _, *kept = self.run(start, min(start + stride, self.longest), saved[start // stride], True)
+            # a first row that stops every walk
+            leaves, ups = b"".join([b"\xff" * (self.lanes * self.bytes), *kept[0]]), b"".join([b"\0", *kept[1]])
+            for walk in walks:
+                if walk is not None:
+                    walk.back(leaves, ups, start)
+        found = [(w.i + w.dels, w.j + w.ins) if w is not None else (0, 0) for w in walks]
+        return [(int(c), *f) if ok else None for c, f, ok in zip(self.cost, found, proved)]
+
+
+class _Walk:
+    """The walk back through one lane: a deletion first, then an insertion where the cell to the left
+    is smaller than the diagonal one, else the diagonal."""
+
+    def __init__(self, bands: _Bands, lane: int) -> None:
+        self.i, self.j, self.dels, self.ins = bands.rows[lane], bands.cols[lane], 0, 0
+        self.low, self.lane, self.bytes, self.size = bands.low[lane], lane, bands.bytes, bands.bytes * bands.lanes
+
+    def back(self, leaves: bytes, ups: bytes, start: int) -> None:
+        """Walk to column ``start``. Row 0 of ``leaves`` is that column's and has all bits set; the row
+        of ``ups`` for it is one byte long."""
+        i, j, size, base = self.i, self.j, self.size, self.lane * self.bytes
+        while i and j > start:
+            bit = i - j - 1 - self.low
+            mask, byte = 1 << (bit & 7), base + (bit >> 3)
+            at = (j - start) * size + byte
+            end = at - min(i, j - start) * size
+            while at > end and not leaves[at] & mask:
+                at -= size
+            steps = j - start - (at - byte) // size
+            i, j = i - steps, j - steps
+            if not i or j <= start:
+                break
+            if ups[at - size + 1] & mask:
+                self.dels += 1
+                i -= 1
+            else:
+                self.ins += 1
+                j -= 1
+        self.i, self.j = i, j
+
+
+def _batches(pairs: dict[int, tuple[np.ndarray, np.ndarray]], margins: dict[int, int]) -> Iterator[tuple[int, list[int]]]:
+    """Pairs that are about as long, with the width of their lanes. A lane that ends early, or is wider
+    than it need be, costs less than the steps of a batch of its own."""
+    bits = {at: -(-(abs(len(pairs[at][0]) - len(pairs[at][1])) + 2 * m + 4) // 8) * 8 for at, m in margins.items()}
+    batch: list[int] = []
+    widest = 0
+    for at in sorted(margins, key=lambda at: (len(pairs[at][1]), bits[at]), reverse=True):
+        wide = max(widest, bits[at])
+        longest = len(pairs[batch[0]][1]) if batch else 0
+        room = min(_WIDEST, 4 * _KEPT // max(longest, 1))  # so that all columns can be kept at once
+        full = (len(batch) + 1) * wide > room or len(batch) >= _MOST_LANES
+        if batch and (full or len(pairs[at][1]) < _ALIKE * longest):
+            yield widest, batch
+            batch, wide = [], bits[at]
+        widest = wide
+        batch.append(at)
+    if batch:
+        yield widest, batch
+
+
+def _solve(refs: list[Sequence], hyps: list[Sequence], keep: bool) -> list[tuple[int, int, int, int]]:
+    """Cost, deletions, insertions and units in common head and tail of every pair."""
+    found: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)] * len(refs)
+    pairs, margins, same = {}, {}, {}
+    for at, (ref, hyp) in enumerate(zip(refs, hyps)):
+        ref, hyp, same[at] = _trim(ref, hyp)
+        if ref and hyp:
+            pairs[at] = _codes(ref, hyp)
+            margins[at] = min(_FIRST_MARGIN, 4 + min(len(ref), len(hyp)) // 4)
+        else:
+            found[at] = (len(ref) + len(hyp), len(ref), len(hyp), same[at])
     while margins:
-        alike: dict[int, list[int]] = {}
-        for at, margin in margins.items():
-            words = -(-(abs(len(refs[at]) - len(hyps[at])) + 2 * margin + 1) // 64)
-            if words <= _MOST_WORDS:
-                alike.setdefault(words, []).append(at)
-        margins = {}
-        for words, lanes in alike.items():
-            lanes.sort(key=lambda at: len(hyps[at]))
-            while len(lanes) >= _LEAST_LANES:
-                last = lanes[-_MOST_LANES:]
-                cols, units = len(hyps[last[-1]]), max(len(set(refs[at])) for at in last)
-                room = _LANE_BYTES // ((units + 1) * (cols // 8 + 8 * words + 16) + keep * cols * words * 16)
-                room = max(_LEAST_LANES, min(room, _MOST_LANES))
-                lanes, batch = lanes[:-room], lanes[-room:]
-                band = _Lanes(*([_codes(side[at], known) for at in batch] for side in (refs, hyps)), words)
-                cost, seen = band.run(keep)
-                skew = np.abs(band.rows - band.cols)
-                proved = cost <= skew + 2 * band.margin + 1
-                results = band.walk(seen, proved).tolist() if keep else cost.tolist()
-                wider = np.minimum(4 * band.margin, (cost - skew + 1) // 2)
-                for at, sure, result, margin in zip(batch, proved.tolist(), results, wider.tolist()):
-                    if sure:
-                        found[at] = tuple(result) if keep else result
-                    else:
-                        margins[at] = margin
+        wider = {}
+        for bits, batch in _batches(pairs, margins):
+            bands = _Bands([pairs[at] for at in batch], bits)
+            for lane, (at, result) in enumerate(zip(batch, bands.solve(keep))):
+                if result is not None:
+                    found[at] = (*result, same[at])
+                else:
+                    skew = abs(bands.rows[lane] - bands.cols[lane])
+                    wider[at] = min(4 * bands.margin[lane], (int(bands.cost[lane]) - skew + 1) // 2)
+        margins = wider
     return found
 
 
 def edit_costs(refs: list[Sequence], hyps: list[Sequence]) -> list[int]:
-    """Edits of a shortest alignment for every pair; pairs of like size go together."""
-    trimmed = [_trim(ref, hyp)[:2] for ref, hyp in zip(refs, hyps)]
-    costs = [len(ref) + len(hyp) for ref, hyp in trimmed]
-    short: dict[int, list[int]] = {}
-    long = []
-    for at, (ref, hyp) in enumerate(trimmed):
-        if not ref or not hyp:
-            continue
-        if len(ref) <= _SHORT and len(hyp) <= 2 * _SHORT:
-            short.setdefault(-(-len(ref) // 64), []).append(at)
-        else:
-            long.append(at)
-    found = _banded([trimmed[at][0] for at in long], [trimmed[at][1] for at in long], keep=False)
-    for place, at in enumerate(long):
-        costs[at] = found[place] if place in found else _sweep(*trimmed[at], keep=False)[0]
-    known: dict = {}
-    for words, lanes in short.items():
-        lanes.sort(key=lambda at: len(trimmed[at][1]))
-        while lanes:
-            room = max(1, _TABLE_BYTES // (words * 64 * len(trimmed[lanes[-1]][1])))
-            lanes, batch = lanes[:-room], lanes[-room:]
-            coded = ([_codes(trimmed[at][side], known) for at in batch] for side in (0, 1))
-            for at, cost in zip(batch, _together(*coded)):
-                costs[at] = int(cost)
-    return costs
+    """Edits of a shortest alignment for every pair."""
+    return [cost for cost, *_ in _solve(refs, hyps, keep=False)]
 
 
 def all_edits(refs: list[Sequence], hyps: list[Sequence]) -> list[tuple[int, int, int, int]]:
-    """The counts of ``count_edits`` for every pair; pairs of like size go together."""
-    trimmed = [_trim(ref, hyp) for ref, hyp in zip(refs, hyps)]
-    open_ = [at for at, (ref, hyp, _) in enumerate(trimmed) if ref and hyp]
-    found = _banded([trimmed[at][0] for at in open_], [trimmed[at][1] for at in open_], keep=True)
-    made = {at: found[place] for place, at in enumerate(open_) if place in found}
+    """Substitutions, deletions, insertions and hits of one shortest alignment for every pair.
+
+    Among equally short alignments the walk back takes a deletion first, then an insertion when the
+    cell to the left is smaller than the diagonal one, else the diagonal.
+    """
     out = []
-    for at, (ref, hyp, kept) in enumerate(trimmed):
-        subs, dels, ins, hits = made[at] if at in made else count_edits(ref, hyp)
-        out.append((subs, dels, ins, hits + kept))
+    for ref, (cost, dels, ins, _) in zip(refs, _solve(refs, hyps, keep=True)):
+        subs = cost - dels - ins
+        out.append((subs, dels, ins, len(ref) - dels - subs))
     return out
 
 
-def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
-    """Substitutions, deletions, insertions and hits of one shortest alignment.
+def edit_cost(ref: Sequence, hyp: Sequence) -> int:
+    """Edits of a shortest alignment of one pair."""
+    return edit_costs([ref], [hyp])[0]
 
-    Among equally short alignments the walk back takes a deletion first, then an insertion when the
-    cell to the left is smaller than the diagonal one, else the diagonal.
-    """
-    ref, hyp, kept = _trim(ref, hyp)
-    rows, cols = len(ref), len(hyp)
-    if not rows or not cols:
-        return 0, rows, cols, kept
-    _, band, saved, columns, stride = _sweep(ref, hyp, keep=True)
-    subs = dels = ins = hits = 0
-    i, j = rows, cols
-    for start in reversed(range(0, cols, stride)):
-        if start + stride < cols:
-            columns, _, _ = band.run(start, start + stride, saved[start // stride], keep=True)
-        while i and j > start:
-            bit = i - j - 1 - band.low
-            left = columns[j - start - 2] if j - start > 1 else saved[start // stride]
-            if bit >= 0 and columns[j - start - 1][0] >> bit & 1:
-                dels += 1
-                i -= 1
-            elif left[1] >> (bit + 1) & 1:
-                ins += 1
-                j -= 1
-            else:
-                if ref[i - 1] == hyp[j - 1]:
-                    hits += 1
-                else:
-                    subs += 1
-                i -= 1
-                j -= 1
-    return subs, dels + i, ins + j, hits + kept
+
+def count_edits(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
+    """The counts of ``all_edits`` for one pair."""
+    return all_edits([ref], [hyp])[0]
 
 
 def _struct(names: list[str]) -> T.StructType:
