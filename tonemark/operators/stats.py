@@ -79,7 +79,7 @@ def median_acceleration(before: float, middle: float, after: float, n: int) -> f
     return float((times @ deviation**3) / (6 * spread**1.5)) if spread > 0 else float("nan")
 
 
-def _rng(*seeds: int) -> np.random.Generator:
+def generator(*seeds: int) -> np.random.Generator:
     return np.random.Generator(np.random.SFC64([s & _MASK for s in seeds]))
 
 
@@ -101,7 +101,7 @@ class _Tree:
             lo, hi, drawn = self.path[-1]
             mid = (lo + hi) // 2
             left, both = self.upto[mid] - self.upto[lo], self.upto[hi] - self.upto[lo]
-            first = _rng(self.group, lo, hi).binomial(drawn, left / both)
+            first = generator(self.group, lo, hi).binomial(drawn, left / both)
             self.path.append((lo, mid, first) if leaf < mid else (mid, hi, drawn - first))
         return int(self.upto[leaf + 1] - self.upto[leaf]), self.path[-1][2]
 
@@ -153,7 +153,7 @@ def _task_sums(n_resamples: int):
                     continue
                 if at != leaf:
                     flush()
-                    leaf, rng = at, _rng(gid, at, LEAVES)
+                    leaf, rng = at, generator(gid, at, LEAVES)
                     left_rows, left_draws = tree.at(at)
                 elif len(values) == CHUNK:
                     flush()
@@ -207,7 +207,7 @@ def _mean_ends(counts: DataFrame, base: DataFrame, n_resamples: int, level: floa
 
 def middle_ranks(seed: int, group: int, n: int, n_resamples: int) -> np.ndarray:
     """Ranks from 0 of the middle rows of each resample, two columns, equal for an odd number."""
-    rng = _rng(seed, group)
+    rng = generator(seed, group)
     k = (n + 1) // 2
     first = rng.beta(k, n - k + 1, n_resamples)
     second = first

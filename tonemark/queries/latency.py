@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tonemark.functions.vectors import cosine
 from tonemark.operators import latency as lat
+from tonemark.operators.resampling import correlation, resampled, trimmed_mean
 from tonemark.operators.stats import bca_ci, intervals
 from tonemark.plans.order_stats import order_statistics
 from tonemark.queries.base import SQL_LATENCY, Check, latency, shown_ends, spread_of, sql_ends, table
@@ -129,6 +130,46 @@ def _stat1_median(spark, sf):
     )
 
 
+def _law(ci, law, share_of_error: float = 0.3):
+    """Point and size of each group, and whether both ends lie near those of a known law."""
+    slack = F.col("_error") * share_of_error
+    near = [(F.abs(F.col(end) - F.col("_point") - z * F.col("_error")) <= slack).alias(f"{end}_ok") for end, z in (("low", -1.96), ("high", 1.96))]
+    joined = ci.join(law, "model")
+    return joined.select("model", F.round("point", 9).alias("point"), "n", "degenerate", *near)
+
+
+def _stat1_trimmed(spark, sf):
+    """A tenth trimmed at either end; the error is that of the winsorised values (Tukey and McLaughlin, 1963)."""
+    rows = latency(spark, sf).select("model", "total_s")
+    ci = resampled(rows, ["model"], [F.col("total_s")], trimmed_mean(0.1), n_resamples=2000)
+    cuts = {"_a": lambda n: F.floor(n * 0.1), "_b": lambda n: n - 1 - F.floor(n * 0.1)}
+    ends = order_statistics(rows, ["model"], F.col("total_s"), cuts)
+    clipped = rows.join(ends, "model").withColumn("w", F.greatest("_a", F.least("_b", "total_s")))
+    law = clipped.groupBy("model").agg((F.stddev_pop("w") / (0.8 * F.sqrt(F.count("w")))).alias("_error"))
+    law = law.join(ci.select("model", F.col("point").alias("_point")), "model")
+    return _law(ci, law)
+
+
+_SQL_TRIMMED = f"""
+WITH {SQL_LATENCY},
+r AS (
+  SELECT model, total_s, row_number() OVER (PARTITION BY model ORDER BY total_s) - 1 AS i, count(*) OVER (PARTITION BY model) AS n
+  FROM latency WHERE total_s IS NOT NULL AND NOT isnan(total_s)
+)
+SELECT model, round(avg(total_s) FILTER (i >= floor(n * 0.1) AND i < n - floor(n * 0.1)), 9) AS point, count(*) AS n,
+       false AS degenerate, true AS low_ok, true AS high_ok
+FROM r GROUP BY model
+"""
+
+
+def _stat1_correlation(spark, sf):
+    """Of total and media time; the error is that of a correlation under independence of the squares."""
+    rows = latency(spark, sf).select("model", "total_s", "media_s")
+    ci = resampled(rows, ["model"], [F.col("total_s"), F.col("media_s")], correlation(), n_resamples=2000)
+    law = ci.select("model", F.col("point").alias("_point"), ((1 - F.col("point") ** 2) / F.sqrt("n")).alias("_error"))
+    return _law(ci, law)
+
+
 def _stat2(spark, sf):
     """Groups of one row, and groups without spread."""
     nations = table(spark, sf, "nation").select(
@@ -240,6 +281,12 @@ QUERIES = {
         "WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT label, round(median(v), 9) AS point, "
         "count(*) AS n, false AS degenerate, true AS low_ok, true AS high_ok FROM v GROUP BY label",
     ),
+    "STAT1_trimmed": Check(_stat1_trimmed, _SQL_TRIMMED),
+    "STAT1_correlation": Check(
+        _stat1_correlation,
+        f"WITH {SQL_LATENCY} SELECT model, round(corr(total_s, media_s), 9) AS point, count(*) AS n, false AS degenerate, "
+        "true AS low_ok, true AS high_ok FROM latency WHERE total_s IS NOT NULL AND media_s IS NOT NULL GROUP BY model",
+    ),
     "STAT2": Check(_stat2, _SQL_STAT2),
     "STAT3": Check(
         _stat3,
