@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonemark.functions.vectors import clip_ratio, cosine, rms
 from tonemark.operators import latency as lat
-from tonemark.operators import stats
+from tonemark.operators import resampling, stats
 from tonemark.operators.stats import bca_bounds, bca_ci, intervals, median_acceleration
 from tonemark.plans.order_stats import order_statistics
 
@@ -110,7 +110,7 @@ def test_interval_of_skewed_values_is_that_of_whole_resamples(values, monkeypatc
     low, high = plain_interval(vs, np.mean, speed)
     error = vs.std() / math.sqrt(n)
     for part_rows in (100_000, 100):
-        monkeypatch.setattr(stats, "PART_ROWS", part_rows)
+        monkeypatch.setattr(resampling, "PART_ROWS", part_rows)
         ci = bca_ci(values({"a": vs.tolist()}), ["g"], F.col("v")).first()
         assert ci.high - ci.point > ci.point - ci.low
         assert abs(ci.low - low) < 0.15 * error and abs(ci.high - high) < 0.15 * error
@@ -128,29 +128,70 @@ def test_interval_of_the_median_is_that_of_whole_resamples(values, n):
 
 
 def test_drawn_numbers_add_up_and_follow_the_sizes():
-    leaves, rows = [3, 7, 200, 255], [10, 1, 500, 89]
-    tree = stats._Tree(5, leaves, rows, 4000)
-    drawn = []
-    for leaf, n in zip(leaves, rows):
-        size, got = tree.at(leaf)
-        assert size == n and got.mean() == pytest.approx(n, rel=0.1)
-        drawn.append(got)
-    assert (sum(drawn) == 600).all()
-    # a leaf asked for alone has the same draws
-    assert (stats._Tree(5, leaves, rows, 4000).at(200)[1] == drawn[2]).all()
-    assert drawn[2].var() == pytest.approx(600 * (500 / 600) * (100 / 600), rel=0.1)
+    sizes = np.array([10, 0, 1, 500, 89])
+    drawn = [resampling.drawn_in_part(5, part, sizes, 4000) for part in range(5)]
+    assert (sum(drawn) == 600).all() and not drawn[1].any()
+    for n, got in zip(sizes, drawn):
+        assert got.mean() == pytest.approx(n, rel=0.1)
+    assert drawn[3].var() == pytest.approx(600 * (500 / 600) * (100 / 600), rel=0.1)
 
 
 def test_both_ways_to_draw_a_chunk_have_one_distribution():
     values, counts = np.array([0.0, 1.0, 5.0]), np.array([4, 3, 2])
     drawn = np.full(40_000, 30)
-    by_place = stats.chunk_sums(np.random.default_rng(1), values, counts, drawn)
-    by_value = stats.chunk_sums(np.random.default_rng(2), values, counts * 100, drawn)
-    for got in (by_place, by_value):
+    by_place = resampling.drawn_counts(np.random.default_rng(1), counts, drawn) @ values
+    by_row = resampling.drawn_counts(np.random.default_rng(2), counts * 100, drawn) @ values
+    for got in (by_place, by_row):
         assert got.mean() == pytest.approx(30 * 13 / 9, rel=0.01)
         assert got.var() == pytest.approx(30 * (53 / 9 - (13 / 9) ** 2), rel=0.04)
-    none = stats.chunk_sums(np.random.default_rng(1), values, counts, np.array([0, 2, 0]))
-    assert none[0] == none[2] == 0
+    none = resampling.drawn_counts(np.random.default_rng(1), counts, np.array([0, 2, 0]))
+    assert none.sum(axis=1).tolist() == [0, 2, 0]
+
+
+def trimmed(vs, share):
+    cut = int(len(vs) * share)
+    return np.sort(vs)[cut : len(vs) - cut].mean()
+
+
+def by_hand(rows, statistic, n_resamples=4000):
+    """The interval of whole resamples and of leaving each row out in turn."""
+    rng, n = np.random.default_rng(3), len(rows)
+    drawn = np.array([statistic(rows[rng.integers(0, n, n)]) for _ in range(n_resamples)])
+    left = np.array([statistic(np.delete(rows, i, axis=0)) for i in range(n)])
+    d = left.mean() - left
+    return statistic(rows), *bca_bounds(drawn, statistic(rows), (d**3).sum() / (6 * (d**2).sum() ** 1.5), 0.95)
+
+
+@pytest.mark.parametrize("part_rows", [40, 100_000])
+def test_any_mergeable_statistic_has_the_interval_of_whole_resamples(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(resampling, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.exponential(1, 240), 2)
+    y = np.round(x + rng.normal(0, 1, 240), 2)
+    rows = [("a", float(a), float(b)) for a, b in zip(x, y)] + [("a", None, 1.0), ("a", NAN, 1.0), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(3)
+    both = np.stack([x, y], axis=1)
+    cases = [
+        ([F.col("x"), F.col("y")], resampling.correlation(), both, lambda r: np.corrcoef(r.T)[0, 1]),
+        ([F.col("x")], resampling.trimmed_mean(0.15), x, lambda r: trimmed(r, 0.15)),
+    ]
+    for values, statistic, data, plain in cases:
+        point, low, high = by_hand(data, plain)
+        got = resampling.resampled(df, ["g"], values, statistic).collect()
+        a = next(r for r in got if r["g"] == "a")
+        slack = 0.08 * (high - low)
+        assert a["point"] == pytest.approx(point) and not a["degenerate"]
+        assert a["n"] == 240
+        assert abs(a["low"] - low) < slack and abs(a["high"] - high) < slack
+        lone = next(r for r in got if r["g"] is None)
+        assert lone["degenerate"] and lone["n"] == 1
+        assert lone["low"] == lone["high"] == lone["point"] == (None if len(values) == 2 else 1.0)
+
+
+def test_a_group_of_ten_thousand_parts_adds_up():
+    sizes = np.full(10_000, 3)
+    picked = [resampling.drawn_in_part(9, part, sizes, 50) for part in (0, 1, 4999, 9999)]
+    assert all(abs(p.mean() - 3) < 1.5 for p in picked)
 
 
 def test_degenerate_groups(values):

@@ -18,6 +18,7 @@ repeats itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
@@ -25,15 +26,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonemark.operators.stats import bca_bounds, generator
 from tonemark.plans.order_stats import order_statistics, usable
 
 #: Rows of a group for each part, distinct rows drawn from at once, and resamples of a block.
-PART_ROWS = 20_000
+PART_ROWS = 5_000
 CHUNK = 512
 BLOCK = 500
 #: A multinomial draw of a count costs about as much as this many draws of an index.
 _COUNT_COST = 8
+_MASK = (1 << 64) - 1
+
+
+def bca_bounds(
+    replicates: np.ndarray, point: float, acceleration: float, level: float
+) -> tuple[float, float]:
+    """Ends of the interval, NaN where the correction is not finite."""
+    normal = NormalDist()
+    # sums come in any order, so a replicate equal to the point may differ in its last digits
+    slack = 1e-10 * np.ptp(replicates)
+    below = np.count_nonzero(replicates < point - slack)
+    below += np.count_nonzero(replicates <= point + slack)
+    share = below / (2 * len(replicates))
+    if not 0 < share < 1 or not np.isfinite(acceleration):
+        return float("nan"), float("nan")
+    bias = normal.inv_cdf(share)
+    ends = []
+    for tail in ((1 - level) / 2, (1 + level) / 2):
+        shifted = bias + normal.inv_cdf(tail)
+        scale = 1 - acceleration * shifted
+        if scale == 0:
+            return float("nan"), float("nan")
+        ends.append(float(np.quantile(replicates, normal.cdf(bias + shifted / scale))))
+    return ends[0], ends[1]
+
+
+def generator(*seeds: int) -> np.random.Generator:
+    return np.random.Generator(np.random.SFC64([s & _MASK for s in seeds]))
 
 
 class Statistic(NamedTuple):
@@ -199,20 +227,28 @@ def resampled(
 
     def totals(frame: pd.DataFrame) -> pd.DataFrame:
         context = np.array(frame["_context"].iloc[0], float)
-        state = frame["_c"].to_numpy(float) @ statistic.lift(frame[names].to_numpy(float), context)
+        lifted = statistic.lift(frame[names].to_numpy(float), context)
+        # a group of one row many times is that row
+        state = frame["_c"].to_numpy(float) @ lifted if len(frame) > 1 else lifted[0]
+        weight = int(frame["_c"].sum()) if len(frame) == 1 else 1
         head = {"_gid": [frame["_gid"].iloc[0]], "_part": [frame["_part"].iloc[0]], "_size": [int(frame["_c"].sum())]}
-        return pd.DataFrame({**head, "_state": [state.tolist()]})
+        return pd.DataFrame({**head, "_kinds": [len(frame)], "_weight": [weight], "_state": [state.tolist()]})
 
-    by_part = rows.groupBy("_gid", "_part").applyInPandas(totals, "_gid long, _part int, _size long, _state array<double>")
+    by_part = rows.groupBy("_gid", "_part").applyInPandas(
+        totals, "_gid long, _part int, _size long, _kinds long, _weight long, _state array<double>"
+    )
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         sizes = np.zeros(int(frame["_part"].max()) + 1, np.int64)
         sizes[frame["_part"].to_numpy()] = frame["_size"].to_numpy()
-        state = np.sum([np.array(s) for s in frame.sort_values("_part")["_state"]], axis=0)
-        return pd.DataFrame({"_gid": [frame["_gid"].iloc[0]], "_sizes": [sizes.tolist()], "_total": [state.tolist()]})
+        frame, kinds = frame.sort_values("_part"), int(frame["_kinds"].sum())
+        weights = frame["_weight"] if kinds > 1 else [1]
+        state = np.sum([np.array(s) * w for s, w in zip(frame["_state"], weights)], axis=0)
+        made = {"_gid": [frame["_gid"].iloc[0]], "_kinds": [kinds], "_sizes": [sizes.tolist()], "_total": [state.tolist()]}
+        return pd.DataFrame(made)
 
     # one row for each part of a group: its rows over PART_ROWS
-    whole = by_part.groupBy("_gid").applyInPandas(merged, "_gid long, _sizes array<long>, _total array<double>")
+    whole = by_part.groupBy("_gid").applyInPandas(merged, "_gid long, _kinds long, _sizes array<long>, _total array<double>")
     heads = whole.join(known, "_gid").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     heads = heads.select("_gid", "_part", "_sizes", "_total", "_context")
 
@@ -257,17 +293,17 @@ def resampled(
     gathered = values_of.groupBy("_gid").agg(
         F.array_sort(F.collect_list(F.struct("_block", "_values"))).alias("_all"), F.any_value("_jack").alias("_jack")
     )
-    joined = gathered.join(whole.select("_gid", "_total"), "_gid").join(known.select("_gid", "n", "_context"), "_gid")
+    joined = gathered.join(whole.select("_gid", "_kinds", "_total"), "_gid").join(known.select("_gid", "n", "_context"), "_gid")
 
     @F.pandas_udf("point double, low double, high double")
-    def bounds(parts: pd.Series, total: pd.Series, jack: pd.Series, context: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def bounds(parts: pd.Series, total: pd.Series, jack: pd.Series, context: pd.Series, n: pd.Series, kinds: pd.Series) -> pd.DataFrame:
         out = []
-        for p, t, (one, two, three), c, k in zip(parts, total, jack, context, n):
+        for p, t, (one, two, three), c, k, m in zip(parts, total, jack, context, n, kinds):
             c = np.array(c, float)
             point = float(statistic.finish(np.array(t)[None], c)[0])
             ends = point, point
             replicates = np.concatenate([np.frombuffer(b) for b in p])
-            if k > 1 and np.isfinite(replicates).all() and np.ptp(replicates) > 0:
+            if m > 1 and np.isfinite(replicates).all() and np.ptp(replicates) > 0:
                 shift = one / k
                 spread = two - k * shift**2
                 lean = -(three - 3 * shift * two + 2 * k * shift**3)
@@ -276,7 +312,7 @@ def resampled(
             out.append((point, *ends))
         return pd.DataFrame(out, columns=["point", "low", "high"], dtype="float64")
 
-    solved = joined.select("_gid", bounds(F.col("_all._values"), "_total", "_jack", "_context", "n").alias("_s"))
+    solved = joined.select("_gid", bounds(F.col("_all._values"), "_total", "_jack", "_context", "n", "_kinds").alias("_s"))
     joined = base.join(solved, "_gid", "left")
     point, low, high = (F.col(f"_s.{c}") for c in ("point", "low", "high"))
     finite = F.coalesce(usable(low) & usable(high) & (low < high), F.lit(False))

@@ -2,10 +2,7 @@
 
 A resample draws as many rows as the group has, with replacement. No group is gathered for it.
 
-*Mean.* Equal values are counted, and values are dealt to leaves by their digest. How many of a
-resample's rows fall into each leaf comes from splitting the number in two, again and again, by
-binomial draws; inside a leaf the rows are drawn chunk by chunk. A task keeps one sum per resample
-and group, and the sums of all tasks are added.
+*Mean.* A statistic of sums, see ``resampling``.
 
 *Median.* The middle of a resample is an order statistic of uniform draws, so its rank has a Beta
 distribution. Only the values between the smallest and largest rank that came up are looked at.
@@ -16,8 +13,7 @@ lost task repeats itself. The way is the same for groups of any size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from statistics import NormalDist
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,42 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonemark.operators.resampling import bca_bounds, generator, mean, resampled
 from tonemark.plans.melt import MEASURE, VALUE, melt, widen
 from tonemark.plans.order_stats import order_statistics, usable
 
-LEAVES = 256
-CHUNK = 512
-#: Rows of a group that one task should draw from, and the most tasks for a group.
-PART_ROWS = 20_000
-MOST_PARTS = 64
-#: A binomial draw costs about as much as this many draws of an index.
-_BINOMIAL_COST = 8
 _BOUNDS = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
 _RANKS = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
-_MASK = (1 << 64) - 1
-
-
-def bca_bounds(
-    replicates: np.ndarray, point: float, acceleration: float, level: float
-) -> tuple[float, float]:
-    """Ends of the interval, NaN where the correction is not finite."""
-    normal = NormalDist()
-    # sums come in any order, so a replicate equal to the point may differ in its last digits
-    slack = 1e-10 * np.ptp(replicates)
-    below = np.count_nonzero(replicates < point - slack)
-    below += np.count_nonzero(replicates <= point + slack)
-    share = below / (2 * len(replicates))
-    if not 0 < share < 1 or not np.isfinite(acceleration):
-        return float("nan"), float("nan")
-    bias = normal.inv_cdf(share)
-    ends = []
-    for tail in ((1 - level) / 2, (1 + level) / 2):
-        shifted = bias + normal.inv_cdf(tail)
-        scale = 1 - acceleration * shifted
-        if scale == 0:
-            return float("nan"), float("nan")
-        ends.append(float(np.quantile(replicates, normal.cdf(bias + shifted / scale))))
-    return ends[0], ends[1]
 
 
 def median_acceleration(before: float, middle: float, after: float, n: int) -> float:
@@ -79,132 +45,6 @@ def median_acceleration(before: float, middle: float, after: float, n: int) -> f
     return float((times @ deviation**3) / (6 * spread**1.5)) if spread > 0 else float("nan")
 
 
-def generator(*seeds: int) -> np.random.Generator:
-    return np.random.Generator(np.random.SFC64([s & _MASK for s in seeds]))
-
-
-class _Tree:
-    """How many rows of each resample fall into each leaf of one group."""
-
-    def __init__(self, group: int, leaves: Sequence[int], rows: Sequence[int], n_resamples: int):
-        totals = np.zeros(LEAVES + 1, np.int64)
-        totals[np.asarray(leaves) + 1] = rows
-        self.group, self.upto = group, np.cumsum(totals)
-        whole = np.full(n_resamples, self.upto[-1], np.int64)
-        self.path = [(0, LEAVES, whole)]
-
-    def at(self, leaf: int) -> tuple[int, np.ndarray]:
-        """Rows of the leaf, and the number drawn from it; leaves are asked for in order."""
-        while not self.path[-1][0] <= leaf < self.path[-1][1]:
-            self.path.pop()
-        while self.path[-1][1] - self.path[-1][0] > 1:
-            lo, hi, drawn = self.path[-1]
-            mid = (lo + hi) // 2
-            left, both = self.upto[mid] - self.upto[lo], self.upto[hi] - self.upto[lo]
-            first = generator(self.group, lo, hi).binomial(drawn, left / both)
-            self.path.append((lo, mid, first) if leaf < mid else (mid, hi, drawn - first))
-        return int(self.upto[leaf + 1] - self.upto[leaf]), self.path[-1][2]
-
-
-def chunk_sums(rng: np.random.Generator, values: np.ndarray, counts: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """Sum of ``drawn`` rows per resample, each value as likely as it is frequent.
-
-    Drawn by place or by value, whichever is less work; the distribution is the same.
-    """
-    n = int(counts.sum())
-    if n > _BINOMIAL_COST * len(values):
-        return rng.multinomial(drawn, counts / n) @ values
-    rows = np.repeat(values, counts)
-    ends = np.cumsum(drawn)
-    sums = np.concatenate([[0.0], np.cumsum(rows[rng.integers(0, n, int(ends[-1]), dtype=np.uint32)])])
-    return sums[ends] - sums[ends - drawn]
-
-
-def _task_sums(n_resamples: int):
-    """Sums over a partition sorted by group, part, leaf and value; each part is led by a row with
-    the sizes of its group's leaves."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group = leaf = tree = rng = None
-        total = np.zeros(n_resamples)
-        left_rows, left_draws, values, counts = 0, np.zeros(0), [], []
-
-        def flush() -> None:
-            nonlocal left_rows, left_draws, total
-            if values:
-                n = sum(counts)
-                share = min(1.0, n / left_rows)
-                drawn = left_draws if n == left_rows else rng.binomial(left_draws, share)
-                total += chunk_sums(rng, np.array(values), np.array(counts), drawn)
-                left_rows, left_draws = left_rows - n, left_draws - drawn
-                values.clear()
-                counts.clear()
-
-        for frame in frames:
-            for gid, at, value, count, leaves, sizes in zip(
-                frame["_gid"], frame["_leaf"], frame["_v"], frame["_c"], frame["_leaves"], frame["_sizes"]
-            ):
-                if at < 0:
-                    flush()
-                    if group is not None and gid != group:
-                        yield pd.DataFrame({"_gid": [group], "_sums": [total.tobytes()]})
-                        total = np.zeros(n_resamples)
-                    group, leaf, tree = gid, None, _Tree(gid, leaves, sizes, n_resamples)
-                    continue
-                if at != leaf:
-                    flush()
-                    leaf, rng = at, generator(gid, at, LEAVES)
-                    left_rows, left_draws = tree.at(at)
-                elif len(values) == CHUNK:
-                    flush()
-                values.append(value)
-                counts.append(count)
-        flush()
-        if group is not None:
-            yield pd.DataFrame({"_gid": [group], "_sums": [total.tobytes()]})
-
-    return run
-
-
-def _mean_ends(counts: DataFrame, base: DataFrame, n_resamples: int, level: float) -> DataFrame:
-    """``_gid``, ``_point`` and ``_ends`` for groups with spread."""
-    leafed = counts.withColumn("_leaf", F.pmod(F.xxhash64("_v"), F.lit(LEAVES)).cast("int"))
-    sizes = leafed.groupBy("_gid", "_leaf").agg(F.sum("_c").alias("_c"))
-    sizes = sizes.groupBy("_gid").agg(F.collect_list("_leaf").alias("_leaves"), F.collect_list("_c").alias("_sizes"))
-    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / PART_ROWS)).cast("int").alias("_parts")
-    varied = base.where((F.col("n") >= 2) & (F.col("_hi") > F.col("_lo")))
-    wanted = varied.select("_gid", parts)
-
-    def part_of(leaf: Column) -> Column:
-        return F.floor(leaf * F.col("_parts") / LEAVES).cast("int").alias("_part")
-
-    rows = leafed.join(wanted, "_gid").select(
-        "_gid", part_of(F.col("_leaf")), "_leaf", "_v", "_c",
-        F.lit(None).cast("array<int>").alias("_leaves"), F.lit(None).cast("array<bigint>").alias("_sizes"),
-    )
-    heads = sizes.join(wanted, "_gid").select(
-        "_gid", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(-1).alias("_leaf"),
-        F.lit(0.0).alias("_v"), F.lit(0).cast("bigint").alias("_c"), "_leaves", "_sizes",
-    )
-    spark = counts.sparkSession
-    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.unionByName(heads).repartition(cores, "_gid", "_part")
-    dealt = dealt.sortWithinPartitions("_gid", "_part", "_leaf", "_v")
-    sums = dealt.mapInPandas(_task_sums(n_resamples), "_gid long, _sums binary")
-    gathered = sums.groupBy("_gid").agg(F.collect_list("_sums").alias("_all"))
-
-    @F.pandas_udf(_BOUNDS)
-    def bounds(parts: pd.Series, point: pd.Series, skew: pd.Series, n: pd.Series) -> pd.DataFrame:
-        ends = []
-        for p, x, s, k in zip(parts, point, skew, n):
-            means = sum(np.frombuffer(b) for b in p) / k
-            ends.append(bca_bounds(means, x, s / (6 * np.sqrt(k)), level))
-        return pd.DataFrame(ends, columns=["low", "high"], dtype="float64")
-
-    joined = gathered.join(varied, "_gid")
-    return joined.select("_gid", F.col("_mean").alias("_point"), bounds("_all", "_mean", "_skew", "n").alias("_ends"))
-
-
 def middle_ranks(seed: int, group: int, n: int, n_resamples: int) -> np.ndarray:
     """Ranks from 0 of the middle rows of each resample, two columns, equal for an odd number."""
     rng = generator(seed, group)
@@ -281,25 +121,17 @@ def bca_ci(
     """
     if statistic not in ("mean", "median"):
         raise ValueError("the statistic is mean or median")
+    if statistic == "mean":
+        return resampled(df, keys, [value], mean(), n_resamples, level, seed)
     # one struct names the group: joins and groupings on it treat null keys as equal
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
     clean = df.select(group.alias("_g"), value.cast("double").alias("_v")).where(usable(F.col("_v")))
     clean = clean.withColumn("_gid", F.xxhash64(F.lit(seed), "_g"))
-    base = clean.groupBy("_gid", "_g").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("_v").alias("_mean"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.skewness("_v").alias("_skew"),
-    )
-    if statistic == "mean":
-        counts = clean.groupBy("_gid", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        solved = _mean_ends(counts, base, n_resamples, level)
-    else:
-        solved = _median_ends(clean.select("_gid", "_v"), base, n_resamples, level, seed)
+    base = clean.groupBy("_gid", "_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    solved = _median_ends(clean.select("_gid", "_v"), base, n_resamples, level, seed)
     # groups without spread have no draws; their point is the one value
     joined = base.join(solved, "_gid", "left")
-    point = F.when(F.col("_hi") == F.col("_lo"), F.col("_lo")).otherwise(F.coalesce("_point", "_mean"))
+    point = F.when(F.col("_hi") == F.col("_lo"), F.col("_lo")).otherwise(F.col("_point"))
     low, high = F.col("_ends.low"), F.col("_ends.high")
     finite = usable(low) & usable(high)
     result = joined.select(
