@@ -6,13 +6,13 @@ words, at the end of a piece, and before what is too rare for any phrase:
 1. Words are counted, then pairs of frequent words, then triples of frequent pairs. No phrase holds a
    rare one, so suffixes end before it. The tasks know the frequent ones by bitmaps of fixed size,
    whose false hits only cost work.
-2. Vertical partitioning: prefixes are counted in hashed cells, first of three words. A cell with more
-   suffixes than the budget is cut up by prefixes of four words, then of five. Cells within the
-   budget are packed into groups.
-3. Every task counts the suffixes it sees and sends each, once, to the group of its prefix. A group's
-   suffixes arrive sorted, so its tree is walked depth first with one path in memory; the total of a
-   leaf is its count, that of a node the sum over its leaves. Nodes above the prefix of a group are
-   partial and are added up across groups.
+2. Every task counts the suffixes it sees and writes each once.
+3. Vertical partitioning: prefixes of what was written are counted in hashed cells, of three words, of
+   four and of five. A cell with more suffixes than the budget is cut up by the next longer prefixes.
+   Cells within the budget are packed into groups.
+4. A group's suffixes arrive sorted, so its tree is walked depth first with one path in memory; the
+   total of a leaf is its count, that of a node the sum over its leaves. Nodes above the prefix of a
+   group are partial and are added up across groups.
 
 Scores are exact: products are decimals of 38 digits. A null text is empty, a null language is
 ``und`` and one group with texts of that language. Repeated rows and ids count as often as they
@@ -26,7 +26,6 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -247,96 +246,61 @@ def _suffixes(words: _Words, numbers: np.ndarray, stop: int, shared: tuple) -> n
     return rows
 
 
-def _distinct(words: _Words, rows: np.ndarray) -> Iterator[tuple[bytes, int]]:
-    """Phrases with their counts; two numbers at a time become one, so equal rows are told exactly."""
+def _packed(rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns of the distinct rows, and their counts. Rows go into one number where they fit, else two
+    numbers at a time become one; either way equal rows are told exactly."""
+    size = rows.shape[1]
+    bits = 63 // size
+    if int(rows.max(initial=0)) < 1 << bits:
+        code = rows[:, 0].astype(np.int64)
+        for k in range(1, size):
+            code = code << bits | rows[:, k]
+        code, counts = np.unique(code, return_counts=True)
+        return [code >> bits * (size - 1 - k) & ((1 << bits) - 1) for k in range(size)], counts
     code = rows[:, 0].astype(np.int64)
-    for k in range(1, rows.shape[1]):
-        pair = code << 32 | rows[:, k]
-        code = np.unique(pair, return_inverse=True)[1] if k < rows.shape[1] - 1 else pair
+    for k in range(1, size):
+        code = np.unique(code << 32 | rows[:, k], return_inverse=True)[1]
     _, first, counts = np.unique(code, return_index=True, return_counts=True)
-    names = words.names
-    for start in range(0, len(first), 1 << 16):
-        part = slice(start, start + (1 << 16))
-        for row, n in zip(rows[first[part]].tolist(), counts[part].tolist()):
-            yield _SEP.join([names[x] for x in row if x]), n
-
-
-def _send_grams(words: _Words, rows: np.ndarray, shared: tuple) -> Iterator[pa.RecordBatch]:
-    found = _distinct(words, rows)
-    while part := list(islice(found, 1 << 16)):
-        columns = [[words.lang] * len(part), *zip(*part)]
-        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "f"])
-
-
-def _prefix_ends(suffix: bytes) -> list[int]:
-    """Where the prefixes of three words, four words and so on end."""
-    ends, at = [], suffix.find(_SEP, suffix.find(_SEP) + 1)
-    while at >= 0:
-        at = suffix.find(_SEP, at + 1)
-        ends.append(at if at >= 0 else len(suffix))
-    return ends
-
-
-def _count_cells(words: _Words, rows: np.ndarray, shared: tuple) -> Iterator[pa.RecordBatch]:
-    """Suffixes by prefix length and cell, of those that three words do not place."""
-    groups = shared[1]
-    cells = len(groups[0])
-    total = np.zeros((LONGEST - SHORTEST + 1, cells), np.int64)
-    for suffix, n in _distinct(words, rows):
-        ends = _prefix_ends(suffix)
-        if groups[0][zlib.crc32(suffix[: ends[0]], words.seed) % cells] < 0:
-            for at, end in enumerate(ends[1:], 1):
-                total[at, zlib.crc32(suffix[:end], words.seed) % cells] += n
-    at, cell = np.nonzero(total)
-    columns = [at.astype(np.int32), cell.astype(np.int32), total[at, cell]]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["at", "cell", "n"])
+    return list(rows[first].T), counts
 
 
 def _send(words: _Words, rows: np.ndarray, shared: tuple) -> Iterator[pa.RecordBatch]:
-    """Each distinct suffix with its count, the group of its prefix and that prefix's length."""
-    groups, n_groups = shared[1], shared[2]
-    cells = len(groups[0])
-    made: list[tuple] = []
-    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
-    for suffix, n in _distinct(words, rows):
-        # a suffix shorter than its prefix would be is a leaf of its own
-        group, depth = zlib.crc32(suffix, words.seed) % n_groups, LONGEST + 1
-        for at, end in enumerate(_prefix_ends(suffix)):
-            placed = int(groups[at][zlib.crc32(suffix[:end], words.seed) % cells])
-            if placed >= 0:
-                group, depth = placed, SHORTEST + at
-                break
-        made.append((group, depth, words.lang, suffix, n))
-        if len(made) >= 1 << 16:
-            yield _batch(made, ["group", "depth", "lang", "suffix", "n"], types)
-            made.clear()
-    yield _batch(made, ["group", "depth", "lang", "suffix", "n"], types)
+    """Each distinct row as a phrase, with its count."""
+    columns, counts = _packed(rows)
+    name = words.names.__getitem__
+    for start in range(0, len(counts), 1 << 16):
+        part = slice(start, start + (1 << 16))
+        phrases = map(_SEP.join, zip(*[map(name, c[part].tolist()) for c in columns]))
+        if rows.shape[1] == LONGEST:
+            # numbers of 0 stand at the end, and the word 0 is empty
+            phrases = (p.rstrip(_SEP) for p in phrases)
+        made = pa.array(list(phrases), pa.string())
+        langs = pa.array([words.lang] * len(made), pa.string())
+        yield pa.RecordBatch.from_arrays([langs, made, pa.array(counts[part])], names=["lang", "phrase", "f"])
 
 
 def _partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def vertical_partition(docs: DataFrame, triples: DataFrame, bitmaps: list[np.ndarray]) -> Parts:
+def vertical_partition(suffixes: DataFrame) -> Parts:
     """Count cells and pack them; only tables of cells reach the driver."""
-    spark = docs.sparkSession
-    total = triples.agg(F.sum("f")).first()[0] or 0
-    budget = max(1, min(BUDGET, total // (GROUPS_EACH * _partitions(spark))))
+    total = suffixes.agg(F.sum("f")).first()[0] or 0
+    budget = max(1, min(BUDGET, total // (GROUPS_EACH * _partitions(suffixes.sparkSession))))
     cells = 1 << 12
     while cells < min(MOST_CELLS, 16 * total // budget):
         cells *= 2
+    depths = F.explode(F.sequence(F.lit(SHORTEST), F.size(F.split("phrase", "\\x00")))).alias("depth")
+    prefixes = suffixes.select("lang", "phrase", "f", depths)
+    prefix = F.substring_index("phrase", "\x00", SHORTEST)
+    for depth in range(SHORTEST + 1, LONGEST + 1):
+        prefix = F.when(F.col("depth") == depth, F.substring_index("phrase", "\x00", depth)).otherwise(prefix)
+    key = F.concat(F.col("lang").cast("binary"), F.lit(bytearray(_SEP)), prefix.cast("binary"))
+    cell = (F.crc32(key) % cells).cast("int").alias("cell")
+    found = prefixes.groupBy((F.col("depth") - SHORTEST).alias("at"), cell).agg(F.sum("f").alias("n")).toArrow()
     counts = np.zeros((LONGEST - SHORTEST + 1, cells), np.int64)
-    key = F.concat(F.col("lang").cast("binary"), F.lit(bytearray(_SEP)), F.col("phrase").cast("binary"))
-    found = triples.groupBy((F.crc32(key) % cells).cast("int").alias("cell")).agg(F.sum("f").alias("n")).toArrow()
-    counts[0, found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    if (counts[0] > budget).any():
-        first = np.where(counts[0] > budget, -1, 0).astype(np.int32)
-        shared = spark.sparkContext.broadcast((bitmaps, [first]))
-        deep = _scan(docs, shared, "at int, cell int, n long", _suffixes, _count_cells)
-        deep = deep.groupBy("at", "cell").agg(F.sum("n").alias("n")).toArrow()
-        counts[deep.column("at").to_numpy(), deep.column("cell").to_numpy()] = deep.column("n").to_numpy()
-    # the longest prefix is never cut up: a task sends a suffix once, whatever its count
+    counts[found.column("at").to_numpy(), found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    # the longest prefix is never cut up: a task writes a suffix once, whatever its count
     sizes = counts.ravel()
     placed = (sizes <= budget) | (np.arange(sizes.size) >= (LONGEST - SHORTEST) * cells)
     order = np.argsort(-np.where(placed, sizes, -1), kind="stable")
@@ -347,6 +311,42 @@ def vertical_partition(docs: DataFrame, triples: DataFrame, bitmaps: list[np.nda
     return Parts(list(groups.reshape(LONGEST - SHORTEST + 1, cells)), int(groups.max()) + 1)
 
 
+def _prefix_ends(suffix: bytes) -> list[int]:
+    """Where the prefixes of three words, four words and so on end."""
+    ends, at = [], suffix.find(_SEP, suffix.find(_SEP) + 1)
+    while at >= 0:
+        at = suffix.find(_SEP, at + 1)
+        ends.append(at if at >= 0 else len(suffix))
+    return ends
+
+
+def with_group(suffixes: DataFrame, parts: Parts) -> DataFrame:
+    """Rows (group, depth, lang, suffix, n): the group of each suffix's prefix, and its length."""
+    # bounded by MOST_CELLS
+    shared = suffixes.sparkSession.sparkContext.broadcast(tuple(parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, n_groups = shared.value
+        cells = len(groups[0])
+        for batch in batches:
+            lang, phrase, n = (batch.column(batch.schema.get_field_index(c)) for c in ("lang", "phrase", "f"))
+            made = []
+            for of, suffix in zip(lang.to_pylist(), phrase.to_pylist()):
+                seed, data = _seed(of), suffix.encode()
+                # a suffix shorter than its prefix would be is a leaf of its own
+                group, depth = zlib.crc32(data, seed) % n_groups, LONGEST + 1
+                for at, end in enumerate(_prefix_ends(data)):
+                    placed = int(groups[at][zlib.crc32(data[:end], seed) % cells])
+                    if placed >= 0:
+                        group, depth = placed, SHORTEST + at
+                        break
+                made.append((group, depth))
+            columns = [pa.array(c, pa.int32()) for c in (zip(*made) if made else ([], []))]
+            yield pa.RecordBatch.from_arrays([*columns, lang, phrase, n], names=["group", "depth", "lang", "suffix", "n"])
+
+    return suffixes.mapInArrow(run, "group int, depth int, lang string, suffix string, n long")
+
+
 def tree_nodes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Walk the trees of sorted suffixes: rows (lang, phrase, f) of nodes of three words or more that
     are frequent, or may be together with other groups."""
@@ -386,20 +386,17 @@ def tree_nodes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
 
 def phrase_counts(docs: DataFrame, frequent: DataFrame, least: int) -> DataFrame:
     """Rows (lang, phrase, f) of all phrases of two to five words with ``least`` occurrences."""
-    spark = docs.sparkSession
+    spark, schema = docs.sparkSession, "lang string, phrase string, f long"
     bitmaps, counted = [frequent_bitmap(frequent)], []
     for size in range(2, SHORTEST + 1):
         shared = spark.sparkContext.broadcast((bitmaps,))  # fixed size, see BITS
-        found = _scan(docs, shared, "lang string, phrase string, f long", _grams, _send_grams)
-        found = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-        counted.append(cut(found, f"phrases_{size}"))
+        found = _scan(docs, shared, schema, _grams, _send).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        counted.append(cut(found.where(F.col("f") >= least), f"phrases_{size}"))
         bitmaps = [*bitmaps, frequent_bitmap(counted[-1])]
-    parts = vertical_partition(docs, counted.pop(), bitmaps)
-    # bounded by BITS and MOST_CELLS
-    shared = spark.sparkContext.broadcast((bitmaps, parts.groups, parts.n_groups))
-    schema = "group int, depth int, lang string, suffix string, n long"
-    trees = _scan(docs, shared, schema, _suffixes, _send).repartition(_partitions(spark), "group")
-    trees = trees.sortWithinPartitions("group", "lang", "suffix")
+    counted.pop()
+    suffixes = cut(_scan(docs, spark.sparkContext.broadcast((bitmaps,)), schema, _suffixes, _send), "suffixes")
+    grouped = with_group(suffixes, vertical_partition(suffixes))
+    trees = grouped.repartition(_partitions(spark), "group").sortWithinPartitions("group", "lang", "suffix")
     nodes = trees.mapInArrow(lambda batches: tree_nodes(batches, least), "lang string, phrase string, f long")
     longer = nodes.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return reduce(DataFrame.unionByName, counted, longer)
