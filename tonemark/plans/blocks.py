@@ -3,9 +3,9 @@
 A window partitioned by a group puts the whole group into one task. The functions here cut each
 group into blocks of its order column, scan inside the blocks in parallel, and add what the earlier
 blocks of the group carry over. The carry table has one row per block, not per row. Order columns
-are whole numbers, unique within a group. Blocks are stretches of equal width between the smallest
-and the largest order, about as many as the number of rows asks for, so ids may be dense, far apart
-or hashed; for other orders pass the block column yourself.
+are whole numbers, unique within a group. Blocks lie between quantiles of the order, about as many as
+the number of rows asks for, so ids may be dense, far apart, hashed or have outliers; for other orders
+pass the block column yourself.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 18
+#: Sampled values for each block.
+SAMPLED = 16
 _BLOCK = "_block"
 _PART = "_part"
 
@@ -30,16 +33,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def block_of(df: DataFrame, order: str, block_rows: int) -> Column:
-    """The block of an order column; its ends and the number of rows are looked up first."""
-    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
-    if not ends["n"]:
+    """The block of an order column, between quantiles of a sample of its values.
+
+    The sample is what a digest picks, some ``SAMPLED`` values for each block, so it is the same
+    whenever it is looked up; the quantiles, one for each block, are part of the plan.
+    """
+    picked = F.pmod(F.xxhash64(order), F.lit(max(1, block_rows // SAMPLED))) == 0
+    rows = df.where(picked).select(order).distinct().toArrow()
+    edges = np.sort(rows.column(0).drop_null().to_numpy())[SAMPLED - 1 :: SAMPLED].tolist()
+    if not edges:
         return F.lit(0).cast("long")
-    blocks = -(-ends["n"] // block_rows)
-    width = max(1, -(-(ends["hi"] - ends["lo"] + 1) // blocks))
-    if ends["hi"] - ends["lo"] < 1 << 62:
-        return F.floor((F.col(order) - F.lit(ends["lo"])) / F.lit(width))
-    # the difference itself may pass 64 bits
-    return F.floor(F.col(order) / F.lit(width))
+    ladder, steps = F.lit(edges), [1 << k for k in reversed(range(len(edges).bit_length()))]
+
+    def climb(at: Column, step: Column) -> Column:
+        return F.when(F.get(ladder, (at + step - 1).cast("int")) <= F.col(order), at + step).otherwise(at)
+
+    return F.aggregate(F.lit(steps).cast("array<long>"), F.lit(0).cast("long"), climb)
 
 
 def _before(keys: Sequence[str], order: Sequence[str]) -> Window:
