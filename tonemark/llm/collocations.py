@@ -290,14 +290,16 @@ def vertical_partition(suffixes: DataFrame) -> Parts:
     cells = 1 << 12
     while cells < min(MOST_CELLS, 16 * total // budget):
         cells *= 2
-    depths = F.explode(F.sequence(F.lit(SHORTEST), F.size(F.split("phrase", "\\x00")))).alias("depth")
-    prefixes = suffixes.select("lang", "phrase", "f", depths)
-    prefix = F.substring_index("phrase", "\x00", SHORTEST)
-    for depth in range(SHORTEST + 1, LONGEST + 1):
-        prefix = F.when(F.col("depth") == depth, F.substring_index("phrase", "\x00", depth)).otherwise(prefix)
-    key = F.concat(F.col("lang").cast("binary"), F.lit(bytearray(_SEP)), prefix.cast("binary"))
-    cell = (F.crc32(key) % cells).cast("int").alias("cell")
-    found = prefixes.groupBy((F.col("depth") - SHORTEST).alias("at"), cell).agg(F.sum("f").alias("n")).toArrow()
+    length = F.size(F.split("phrase", "\\x00"))
+
+    def counted(depth: int) -> DataFrame:
+        prefix = F.substring_index("phrase", "\x00", depth).cast("binary")
+        key = F.concat(F.col("lang").cast("binary"), F.lit(bytearray(_SEP)), prefix)
+        cell = (F.crc32(key) % cells).cast("int").alias("cell")
+        rows = suffixes.where(length >= depth).groupBy(F.lit(depth - SHORTEST).alias("at"), cell)
+        return rows.agg(F.sum("f").alias("n"))
+
+    found = reduce(DataFrame.unionAll, map(counted, range(SHORTEST, LONGEST + 1))).toArrow()
     counts = np.zeros((LONGEST - SHORTEST + 1, cells), np.int64)
     counts[found.column("at").to_numpy(), found.column("cell").to_numpy()] = found.column("n").to_numpy()
     # the longest prefix is never cut up: a task writes a suffix once, whatever its count
