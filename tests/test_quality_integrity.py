@@ -151,3 +151,34 @@ def test_set_operations(spark):
     assert sorted((r.id, r.score) for r in fresh.collect()) == [(1, 1), (2, 9), (3, 1)]
     assert integ.only_chosen(rows, cache, "id").first().t == "b"
     assert integ.without(rows, cache, "id").count() == 2
+
+
+def test_bloom_filter_lets_every_key_pass_and_few_others(spark):
+    from tonemark.plans.bloom import bloom_filter, may_hold
+
+    keys = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    keys = keys.unionByName(spark.createDataFrame([(None,)], "k string"))
+    others = spark.range(5000, 25000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    bloom = bloom_filter(keys, "k")
+    assert keys.where(~may_hold(bloom, F.col("k"))).count() == 0
+    assert others.where(may_hold(bloom, F.col("k"))).count() < 20
+    none = bloom_filter(keys.limit(0), "k")
+    assert others.where(may_hold(none, F.col("k"))).count() == 0
+
+
+def test_rows_of_one_repeated_evaluation_text_spread_over_tasks(spark):
+    """All rows are one text that is in the evaluation set; no task may get them all."""
+    from tonemark.operators.integrity import contaminated_rows, evaluation_keys
+
+    train = spark.range(0, 4000, 1, 4).select("id", F.when(F.col("id") % 10 == 0, F.lit("other")).otherwise(F.lit("The Same!")).alias("text"))
+    keys = evaluation_keys([spark.createDataFrame([("the same",), ("not here",), (None,)], "text string")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hit = contaminated_rows(train, keys, F.col("text"))
+        rows = hit.withColumn("_task", F.spark_partition_id()).groupBy("_task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["count"] for r in rows) == 3600 and hit.columns == ["id", "text"]
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 2000

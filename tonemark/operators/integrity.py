@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemark.functions.text import match_key
+from tonemark.plans.bloom import bloom_filter, may_hold
 
 MAX_DUP_PCT = 2.0
 MAX_REPEAT = 5
+#: Tasks over which the rows of one evaluation key are dealt.
+SALTS = 32
 
 
 def text_digest(text: Column) -> Column:
@@ -63,11 +66,20 @@ def evaluation_keys(eval_sets: Sequence[DataFrame], text: str = "text") -> DataF
     return reduce(DataFrame.unionByName, keyed).distinct()
 
 
-def contaminated_rows(train: DataFrame, eval_keys: DataFrame, text: Column) -> DataFrame:
-    """INT4: the training rows whose match key is in an evaluation set."""
+def contaminated_rows(train: DataFrame, eval_keys: DataFrame, text: Column, salts: int = SALTS) -> DataFrame:
+    """INT4: the training rows whose match key is in an evaluation set.
+
+    A Bloom filter of the evaluation keys holds back most other rows before the shuffle. One text may
+    make up a large part of what is left, so each evaluation key stands on several tasks and rows are
+    dealt over them.
+    """
     keyed = train.withColumn("_digest", text_digest(text))
-    hit = keyed.join(eval_keys, F.col("_digest") == eval_keys["digest"], "left_semi")
-    return hit.drop("_digest")
+    near = keyed.where(may_hold(bloom_filter(eval_keys, "digest"), F.col("_digest")))
+    near = near.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_number")
+    copies = eval_keys.select("digest", numbers)
+    same = (F.col("_digest") == F.col("digest")) & (F.col("_salt") == F.col("_number"))
+    return near.join(copies, same, "left_semi").drop("_digest", "_salt")
 
 
 def contamination_count(
