@@ -7,7 +7,8 @@ from importlib import import_module
 from tonemark.queries.base import Check
 
 _PARTS = [
-    "text", "quality", "accuracy", "latency", "sets", "segments", "gates", "records", "files", "verification"
+    "text", "quality", "accuracy", "latency", "sets", "segments", "gates", "records", "files", "verification",
+    "service",
 ]
 
 
