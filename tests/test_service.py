@@ -5,7 +5,7 @@ from tonemark.operators.service import repeat_report, request_report
 
 def test_requests_by_hand(spark):
     rows = [
-        ("a", "một hai", "mot hai", 1.0, 2.0, 0.1),
+        ("a", "má hai", "ma hai", 1.0, 2.0, 0.1),
         ("a", "ba", "ba", 3.0, None, 0.3),
         ("a", "bốn", "", 2.0, float("nan"), 0.2),
         (None, "x", "x", 5.0, 6.0, 0.5),
