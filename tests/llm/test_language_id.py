@@ -65,6 +65,17 @@ def test_mixtures_score_lower_than_clear_texts(frame):
     assert clear[0] > blurred[0] and clear[1] > 0.95 > blurred[1]
 
 
+def test_rows_of_one_id_stay_within_the_bound(frame, monkeypatch):
+    rng = random.Random(9)
+    rows = [(8, prose(rng, "xx", 5), "xx", "s") for _ in range(300)] + [(i, prose(rng, "yy", 5), "yy", "s") for i in range(100, 130)]
+    monkeypatch.setattr(ops, "PER_LABEL", 20)
+    seen = []
+    monkeypatch.setattr(ops, "train", lambda samples: seen.append([label for label, _, _ in samples]))
+    assert zlib.crc32(b"8") % 4 != 2
+    ops.fit(frame(rows))
+    assert seen[0].count("xx") == 20 and 0 < seen[0].count("yy") <= 20
+
+
 def test_nothing_to_learn_from(frame):
     df = frame([(1, "some text", None, None)])
     model = ops.fit(df)

@@ -150,6 +150,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     picked = F.broadcast(ranked.select("_id").distinct())
     rows = usable.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_label"), F.col(text).alias("_text"))
     rows = rows.join(picked, "_id", "left_semi")
+    # many rows may share an id; each task lets through no more than the bound of each label
+    draw = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"))
+    rows = rows.withColumn("_rank", F.row_number().over(draw)).where(F.col("_rank") <= PER_LABEL)
 
     def make(texts: list) -> list:
         pairs = [np.unique(subwords(t), return_counts=True) if has_letter(t) else ([], []) for t in texts]
