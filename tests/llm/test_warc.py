@@ -71,3 +71,46 @@ def test_damage_is_noticed():
         with pytest.raises(ValueError):
             ops.record_row(ops.gzip_member(bad))
     assert uuid.UUID(ops._record_id(1)[10:-1]).version == 5
+
+
+@pytest.mark.parametrize("block", [1000, 5, 1])
+def test_every_capture_is_found_by_its_key(spark, folders, monkeypatch, block):
+    monkeypatch.setattr(ops, "BLOCK_LINES", block)
+    # one address holds a third of all rows and fills blocks and files of its own
+    rows = ROWS + [(1000 + i, "http://hot.example/", f"{i}") for i in range(60)]
+    table = pages(spark, rows)
+    _, directory = ops.archive(table, *folders)
+    keys = ops.keys_of(table)
+    assert keys.count() == len({ops.url_key(url) for _, url, _ in rows})
+    read = ops.read_records(ops.find(keys, directory, folders[1]), folders[0])
+    assert sorted((tuple(r) for r in read.collect()), key=str) == want(rows)
+    some = spark.createDataFrame([("example,hot)/",), ("nowhere)/",), ("",)], "url_key string")
+    got = sorted((r["page_id"] for r in ops.find(some, directory, folders[1]).collect()))
+    assert got == [200, 201, *range(1000, 1060)]
+
+
+def test_search_relies_on_the_order_of_the_directory(spark, folders, monkeypatch):
+    monkeypatch.setattr(ops, "BLOCK_LINES", 5)
+    table = pages(spark, ROWS)
+    _, directory = ops.archive(table.coalesce(1), *folders)
+    plain = ops._IndexFile
+
+    class Shuffled(plain):
+        def __init__(self, system, path):
+            super().__init__(system, path)
+            self.blocks.reverse()
+            self.firsts, self.lasts = [b[0] for b in self.blocks], [b[1] for b in self.blocks]
+
+    file = directory.groupBy("file").count().orderBy("count", ascending=False).first()
+    assert file["count"] > 2
+    system, base = ops.open_folder(folders[1])
+    keys = sorted({ops.url_key(url) for _, url, _ in ROWS})
+    counts = [sum(len(x) for k in keys for x in kind(system, f"{base}/{file['file']}").find(k)) for kind in (plain, Shuffled)]
+    lines = sum(r["n_lines"] for r in directory.where(directory.file == file["file"]).collect())
+    assert counts[0] == lines and counts[1] < lines
+
+
+def test_find_in_an_empty_index(spark, folders):
+    _, directory = ops.archive(pages(spark, []), *folders)
+    some = spark.createDataFrame([("example,hot)/",)], "url_key string")
+    assert ops.find(some, directory, folders[1]).count() == 0

@@ -92,8 +92,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives, index = scratch_path(spark, "archives"), scratch_path(spark, "capture_index")
-    _, directory = warc.archive(table(spark, sf_dir, "pages"), archives, index)
-    return warc.read_records(warc.read_index(directory, index), archives)
+    pages = table(spark, sf_dir, "pages")
+    _, directory = warc.archive(pages, archives, index)
+    return warc.read_records(warc.find(warc.keys_of(pages), directory, index), archives)
 
 
 def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

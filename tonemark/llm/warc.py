@@ -4,8 +4,10 @@ Pages are written as WARC 1.1 records, one gzip member each, into archives of bo
 shared folder. A payload that occurs again is stored once; the other records are revisits that name
 the stored one. The index holds one line per record, sorted by the URL key with its host reversed,
 in compressed blocks of some thousand lines; a sparse directory keeps the first key and the place of
-each block. A lookup searches the directory, reads one block, searches it, and reads the record's
-bytes from the archive.
+each block, and stands behind the blocks of its index file. A lookup searches the key ranges of the
+index files, then the directory of a file, then a block, each by halves, and reads the record's bytes
+from the archive. ``find`` does so for a table of keys, in tasks that hold the keys of one index file
+in order; ``lookup`` for a few addresses.
 
 A null payload is empty, a null URL is an empty key. Files are named at random and known only through
 the tables written by the tasks that succeeded, so a repeated task leaves nothing that is read. The
@@ -19,7 +21,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -27,8 +29,9 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tonemark.llm.shared import cut, sorted_groups
+from tonemark.llm.shared import cut, sorted_groups, with_arrow
 
 #: Payloads below this size are always stored.
 LEAST_SHARED = 1000
@@ -37,6 +40,8 @@ BLOCK_LINES = 1000
 DATE = "1970-01-01T00:00:00Z"
 # Fixed value: the revisit profile of the standard.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes at the end of an index file that give the size of its directory.
+_TAIL = 8
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 CAPTURES = "url_key string, page_id long, archive string, offset long, length long"
@@ -170,7 +175,8 @@ def write_archives(decided: DataFrame, folder: str) -> DataFrame:
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sort the captures into compressed blocks; the sparse directory comes back as a stored table."""
+    """Sort the captures into compressed blocks, each file's directory behind them; the directory of
+    all files comes back as a stored table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = open_folder(folder)
@@ -195,6 +201,9 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
         if lines:
             close_block()
         if out is not None:
+            entries = "".join(json.dumps([first, last, at, n]) + "\n" for first, last, _, at, n, _ in rows)
+            data = gzip_member(entries.encode())
+            out.write(data + len(data).to_bytes(_TAIL, "little"))
             out.close()
         yield pd.DataFrame(rows, columns=["first_key", "last_key", "file", "offset", "length", "n_lines"])
 
@@ -223,6 +232,78 @@ def read_index(directory: DataFrame, folder: str) -> DataFrame:
     return directory.mapInPandas(run, CAPTURES)
 
 
+class _IndexFile:
+    """One index file: its directory, and the block read last."""
+
+    def __init__(self, system: fs.FileSystem, path: str):
+        self.file = system.open_input_file(path)
+        end = self.file.size() - _TAIL
+        size = int.from_bytes(self.file.read_at(_TAIL, end), "little")
+        self.blocks = self._lines(end - size, size)
+        self.firsts, self.lasts = [b[0] for b in self.blocks], [b[1] for b in self.blocks]
+        self.at, self.lines, self.keys = -1, [], []
+
+    def _lines(self, offset: int, length: int) -> list[list]:
+        return [json.loads(x) for x in zlib.decompress(self.file.read_at(length, offset), 31).decode().splitlines()]
+
+    def find(self, key: str) -> Iterator[list[list]]:
+        """The lines of a key, block by block."""
+        for at in range(bisect_left(self.lasts, key), bisect_right(self.firsts, key)):
+            if at != self.at:
+                self.at, self.lines = at, self._lines(*self.blocks[at][2:])
+                self.keys = [line[0] for line in self.lines]
+            yield self.lines[bisect_left(self.keys, key) : bisect_right(self.keys, key)]
+
+
+def keys_of(pages: DataFrame, url: str = "url") -> DataFrame:
+    """The different URL keys of a table, column ``url_key``."""
+    field = T.StructField("url_key", T.StringType())
+    named = with_arrow(pages.select(url), [url], lambda urls: [[url_key(u) for u in urls]], [field])
+    return named.select("url_key").distinct()
+
+
+def find(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """The capture lines of all ``url_key``; a key must occur once.
+
+    The driver holds one key range per index file, at most ``spark.sql.shuffle.partitions`` of them. A
+    key whose captures fill several files is looked up in each of them by another task.
+    """
+    tops = directory.groupBy("file").agg(F.min("first_key").alias("a"), F.max("last_key").alias("b"))
+    files = sorted((r["a"], r["b"], r["file"]) for r in tops.collect())
+    firsts, lasts = [f[0] for f in files], [f[1] for f in files]
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [
+                (files[i][2], key) for key in frame["url_key"]
+                for i in range(bisect_left(lasts, key), bisect_right(firsts, key))
+            ]
+            yield pd.DataFrame(rows, columns=["file", "url_key"])
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_folder(folder)
+        name, index, found = None, None, []
+
+        def made() -> pd.DataFrame:
+            frame = pd.DataFrame(found, columns=["url_key", "page_id", "archive", "offset", "length"])
+            found.clear()
+            return frame.astype({"page_id": "Int64"})
+
+        for frame in frames:
+            for file, key in zip(frame["file"], frame["url_key"]):
+                if file != name:
+                    name, index = file, _IndexFile(system, f"{base}/{file}")
+                for lines in index.find(key):
+                    found += lines
+                    if len(found) >= 10_000:
+                        yield made()
+        yield made()
+
+    placed = keys.select("url_key").mapInPandas(place, "file string, url_key string")
+    dealt = placed.repartition("file").sortWithinPartitions("file", "url_key")
+    return dealt.mapInPandas(search, CAPTURES)
+
+
 def record_row(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     """The checked content of a record: id, payload size and digest, type, and what it refers to."""
     fields, block = parse_record(zlib.decompress(data, 31))
