@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -21,8 +22,9 @@ def brute(docs):
             if seen[d[i : i + w]] > 1:
                 gone[i : i + w] = b"\1" * w
         kept = bytes(x for x, y in zip(d, gone) if not y)
-        spans = sum(1 for x in bytes(gone).split(b"\0") if x)
-        out.append((key, len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        spans = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+        digest = hashlib.sha256(kept).hexdigest()
+        out.append((key, len(d), sum(gone), len(spans), digest, spans, any(gone)))
     return ordered(out)
 
 
@@ -32,7 +34,8 @@ def ordered(rows):
 
 def run(spark, docs, parts=3):
     df = spark.createDataFrame(docs, SCHEMA).repartition(parts)
-    return ordered(tuple(r) for r in ops.remove_repeats(df).collect())
+    rows = ops.remove_repeats(df).collect()
+    return ordered((*r[:5], [tuple(s) for s in r["spans"]], r["has_repeats"]) for r in rows)
 
 
 def words(rng, n, letters="abcdefghijéü "):
@@ -70,3 +73,10 @@ def test_one_text_repeated_many_times_and_empty_table(spark):
     got = run(spark, [(i, text) for i in range(60)] + [(99, text[100:600])])
     assert [r[2] for r in got] == [1000] * 60 + [500]
     assert run(spark, []) == []
+
+
+def test_null_id_on_most_rows(spark):
+    rng = random.Random(5)
+    shared = words(rng, 450)
+    docs = [(None, words(rng, 30) + shared + words(rng, 20)) for _ in range(80)] + [(None, shared)] * 30
+    assert run(spark, docs) == brute(docs)

@@ -273,10 +273,12 @@ def _found(rows: DataFrame) -> DataFrame:
     return rows.withColumn("repeated", F.col("known") | ((n > 1) & (F.col("h2") != _ALONE)))
 
 
-def _result(text: bytes, removed: np.ndarray) -> tuple[int, int, int, str]:
-    edges = np.count_nonzero(np.diff(np.concatenate([[0], removed.astype(np.int8)])) == 1)
+def _result(text: bytes, removed: np.ndarray) -> tuple[int, int, int, str, list[dict[str, int]]]:
+    edges = np.diff(np.concatenate([[0], removed.astype(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
+    spans = [{"start": i, "end": j} for i, j in zip(starts, ends)]
     kept = np.frombuffer(text, np.uint8)[~removed].tobytes()
-    return len(text), int(removed.sum()), int(edges), hashlib.sha256(kept).hexdigest()
+    return len(text), int(removed.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans
 
 
 _OUT = [
@@ -284,10 +286,11 @@ _OUT = [
     T.StructField("n_removed", T.LongType()),
     T.StructField("n_spans", T.LongType()),
     T.StructField("kept_sha256", T.StringType()),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end")]))),
 ]
 
 
-def _sift(ids: list, texts: list, places: list) -> list:
+def _sift(texts: list, places: list) -> list:
     """Texts with a window that may repeat keep their bytes and a bit per window; others are done."""
     hasher = _Hasher()
     packed, bits, done = [], [], []
@@ -302,7 +305,7 @@ def _sift(ids: list, texts: list, places: list) -> list:
             mask = possible if possible.any() else None
         packed.append(None if mask is None else data)
         bits.append(None if mask is None else np.packbits(mask).tobytes())
-        done.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest() if mask is None else None))
+        done.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest() if mask is None else None, None if bits[-1] else []))
     return [packed, bits, *zip(*done)]
 
 
@@ -322,19 +325,19 @@ def _finish(packed: list, phrases: list, windows: list) -> list:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("owner"), F.col(text).alias("text"))
-    heads = _found(docs.mapInArrow(_head_rows, _ROWS)).where("repeated").select("owner", "place")
-    flags = heads.groupBy("owner").agg(F.collect_list("place").alias("places"))
+    """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (the
+    removed bytes, end exclusive) and ``has_repeats``."""
+    # rows with equal id and text share a key, so places of a repeated or null id never meet in one list
+    docs = docs.select(F.xxhash64(doc_id, text).alias("owner"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    heads = _found(docs.select("owner", "text").mapInArrow(_head_rows, _ROWS)).where("repeated")
+    flags = heads.groupBy("owner").agg(F.collect_set("place").alias("places"))
 
     binary = [T.StructField("packed", T.BinaryType())]
     pack = with_arrow(
         docs, ["text"], lambda texts: [[zstandard.compress((t or "").encode()) for t in texts]], binary
-    ).select("owner", "packed")
-    flags = flags.withColumnRenamed("owner", "_owner")
-    joined = pack.join(flags, F.col("owner").eqNullSafe(F.col("_owner")), "left").drop("_owner")
+    ).select("owner", "id", "packed")
     sifted = with_arrow(
-        joined, ["owner", "packed", "places"], _sift, [*binary, T.StructField("possible", T.BinaryType()), *_OUT]
+        pack.join(flags, "owner", "left").drop("owner"), ["packed", "places"], _sift, [*binary, T.StructField("possible", T.BinaryType()), *_OUT]
     )
     # rows get a number of their own when they are stored, so equal ids stay apart from here on
     sifted = sifted.drop("places").withColumn("row", F.monotonically_increasing_id())
@@ -361,6 +364,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     last = last.select("row", "packed", "settled", "windows")
     ended = with_arrow(last, ["packed", "settled", "windows"], _finish, _OUT)
     names = [f.name for f in _OUT]
-    ids = stored.select("row", "owner", *[F.col(c).alias(f"_{c}") for c in names])
+    ids = stored.select("row", "id", *[F.col(c).alias(f"_{c}") for c in names])
     joined = ids.join(ended.select("row", *names), "row", "left")
-    return joined.select(F.col("owner").alias(doc_id), *[F.coalesce(c, f"_{c}").alias(c) for c in names])
+    out = joined.select(F.col("id").alias(doc_id), *[F.coalesce(c, f"_{c}").alias(c) for c in names])
+    return out.withColumn("has_repeats", F.col("n_removed") > 0)
