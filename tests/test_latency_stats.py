@@ -41,6 +41,30 @@ def test_summary_without_keys(values):
     assert (got.n, got.median_s) == (2, 2.5)
 
 
+def test_summary_of_nothing_and_of_present_but_unusable_values(values):
+    got = lat.summarize(values({}), [], F.col("v")).collect()
+    assert [(r.n, r.n_present, r.median_s, r.mean_s) for r in got] == [(0, 0, None, None)]
+    assert lat.summarize(values({}), ["g"], F.col("v")).count() == 0
+    got = by_group(lat.summarize(values({"a": [NAN, None], "b": [None], None: [2.0, NAN, 4.0]}), ["g"], F.col("v")))
+    assert {g: (r.n, r.n_present, r.mean_s, r.max_s) for g, r in got.items()} == {
+        "a": (0, 1, None, None), "b": (0, 0, None, None), None: (2, 3, 3.0, 4.0),
+    }
+
+
+def test_all_ranks_and_facts_of_all_measures_take_three_scans(values, tmp_path):
+    values({"a": [1.0, 2.0], "b": [3.0]}).write.parquet(f"{tmp_path}/v")
+    df = values({}).sparkSession.read.parquet(f"{tmp_path}/v")
+    measures = {"x": F.col("v"), "y": F.col("v") * 2}
+    for made in (
+        lat.summaries(df, ["g"], measures, ["y"]),
+        lat.run_medians(df.withColumn("w", F.col("v") / 2), ["g"], ["v", "w"]),
+        lat.nearest_rank(df, ["g"], F.col("v"), {"p50": 0.5, "p90": 0.9}),
+        lat.floor_rank(df, ["g"], F.col("v")),
+    ):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert 1 <= plan.count("FileScan") <= 3
+
+
 def test_optional_block_is_null_without_values(values):
     got = by_group(lat.summaries(values({"a": [1.0], "b": [None, None]}), ["g"], {"x": F.col("v")}, ["x"]))
     assert got["a"].x.median_s == 1 and got["b"].x is None

@@ -12,9 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonemark.plans.blocks import null_safe_join
 from tonemark.plans.melt import MEASURE, VALUE, melt, widen
-from tonemark.plans.order_stats import order_statistics, usable
+from tonemark.plans.order_stats import FACTS, order_statistics, ordered_facts
 
 
 def rtf(total_s: Column, media_s: Column) -> Column:
@@ -41,15 +40,6 @@ def latency_struct(
     )
 
 
-def _join_back(base: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if keys:
-        return null_safe_join(base, stats, keys, "left")
-    one = F.lit(0)
-    return null_safe_join(
-        base.withColumn("_all", one), stats.withColumn("_all", one), ["_all"], "left"
-    ).drop("_all")
-
-
 def _at(q: float):
     return lambda n: (n - 1) * F.lit(q)
 
@@ -57,18 +47,17 @@ def _at(q: float):
 def interpolated(
     df: DataFrame, keys: Sequence[str], value: Column, quantiles: dict[str, float]
 ) -> DataFrame:
-    """Quantiles with linear interpolation between the two closest ranks, plus ``n``."""
+    """Quantiles with linear interpolation between the two closest ranks, plus ``n``, ``n_present``,
+    ``mean``, ``min`` and ``max``."""
     ranks = {}
     for name, q in quantiles.items():
         ranks[f"_lo_{name}"] = lambda n, q=q: F.floor(_at(q)(n))
         ranks[f"_hi_{name}"] = lambda n, q=q: F.ceil(_at(q)(n))
-    stats = order_statistics(df, keys, value, ranks)
-    base = df.groupBy(*keys).agg(F.count_if(usable(value)).alias("n"))
-    joined = _join_back(base, stats, keys)
-    position = {name: _at(q)(F.col("n")) for name, q in quantiles.items()}
-    return joined.select(
+    stats = ordered_facts(df, keys, value, ranks)
+    position = {name: _at(q)(F.col(FACTS)["n"]) for name, q in quantiles.items()}
+    return stats.select(
         *keys,
-        "n",
+        f"{FACTS}.*",
         *[
             (
                 F.col(f"_lo_{name}")
@@ -85,15 +74,9 @@ SUMMARY = ["n", "median_s", "p90_s", "p99_s", "mean_s", "min_s", "max_s"]
 
 def summarize(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """LAT2: n, median, p90, p99, mean, min, max. NaN is dropped; no values leave only ``n = 0``."""
-    quantiles = interpolated(df, keys, value, {"median_s": 0.5, "p90_s": 0.9, "p99_s": 0.99})
-    kept = F.when(usable(value), value)
-    plain = df.groupBy(*keys).agg(
-        F.avg(kept).alias("mean_s"),
-        F.min(kept).alias("min_s"),
-        F.max(kept).alias("max_s"),
-        F.count(value).alias("n_present"),
-    )
-    return _join_back(quantiles, plain, keys).select(*keys, *SUMMARY, "n_present")
+    found = interpolated(df, keys, value, {"median_s": 0.5, "p90_s": 0.9, "p99_s": 0.99})
+    found = found.withColumnsRenamed({name: f"{name}_s" for name in ("mean", "min", "max")})
+    return found.select(*keys, *SUMMARY, "n_present")
 
 
 def summaries(
