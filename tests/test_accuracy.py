@@ -89,6 +89,49 @@ def test_many_pairs_side_by_side_equal_full_tables(monkeypatch, kept, compared,
     assert ed.edit_costs(refs, hyps) == [sum(w[:3]) for w in want]
 
 
+def test_pairs_proved_without_a_band_equal_full_tables():
+    rng = random.Random(21)
+    proved = 0
+    for chars in (True, False):
+        for _ in range(300):
+            words = [rng.choice(["an", "ban", "cuu", "d", "em", "gi"]) + rng.choice("xyz") for _ in range(rng.randint(0, 40))]
+            other = [w for i, w in enumerate(words) if i % 11 != rng.choice([4, 5])]
+            other = [rng.choice(["ж" + w[1:], w, w, w + " ё"]) if i % 5 == 2 else w for i, w in enumerate(other)]
+            ref, hyp = (" ".join(words), " ".join(other)) if chars else (words, " ".join(other).split())
+            want = table_edits(ref, hyp)
+            cost, sure = ed._walked(ref, hyp)
+            assert cost is None or cost >= sum(want[:3])
+            if sure:
+                proved += 1
+                assert ed.count_edits(ref, hyp) == want and cost == sum(want[:3])
+            assert ed.all_edits([ref], [hyp]) == [want]
+    assert proved > 200
+
+
+def test_long_pairs_with_words_lost_and_changed_need_no_band(monkeypatch):
+    words = [f"w{i}x" for i in range(20_000)]
+    other = ["ж" + w[1:] if i % 13 == 5 else w for i, w in enumerate(words) if i % 11 != 4]
+    monkeypatch.setattr(ed, "_Bands", None)
+    lost = [i for i in range(20_000) if i % 11 == 4]
+    changed = sum(i % 13 == 5 and i % 11 != 4 for i in range(20_000))
+    assert ed.count_edits(words, other) == (changed, len(lost), 0, 20_000 - len(lost) - changed)
+    gone = sum(len(words[i]) + 1 for i in lost)
+    s, d, n, _ = ed.count_edits(" ".join(words), " ".join(other))
+    assert (s, d, n) == (changed, gone, 0)
+
+
+def test_batch_is_scored_in_slices_of_bounded_text(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ed, "_SCORED", 100)
+    refs = [None if i == 3 else "đa " * (i % 40) for i in range(200)]
+    hyps = ["a" * (i % 7) for i in range(200)]
+    parts = list(ed._slices(pa.array(refs), pa.array(hyps)))
+    assert [r for part, _ in parts for r in part] == refs and [h for _, part in parts for h in part] == hyps
+    assert all(len(r) == 1 or sum(len((t or "").encode()) for t in [*r[1:], *h[1:]]) <= 100 for r, h in parts)
+    assert list(ed._slices(pa.array([], pa.string()), pa.array([], pa.string()))) in ([], [([], [])])
+
+
 @pytest.fixture
 def score(spark):
     def run(rows, view=View()):
