@@ -44,8 +44,10 @@ NON_SPACE = (
     "\\x{2060}-\\x{2fff}\\x{3001}-\\x{10ffff}]"
 )
 # Only these can be in a string that is not composed: everything but Latin up to the spacing
-# modifiers, precomposed Vietnamese, and general punctuation. Such strings go to the UDF.
+# modifiers, precomposed Vietnamese, and general punctuation. Such strings go to the UDF, but for
+# those of which only Cyrillic letters, which stand alone in composition, are among these.
 _MAYBE_UNCOMPOSED = "[\\x{300}-\\x{1e9f}\\x{1efa}-\\x{200f}\\x{2028}-\\x{10ffff}]"
+_SUSPECT = _MAYBE_UNCOMPOSED + "(?<![\\x{400}-\\x{482}\\x{48a}-\\x{52f}])"
 _NOT_WORD_BEFORE = "(?<![\\p{L}\\p{N}_])"
 _NOT_WORD_AFTER = "(?![\\p{L}\\p{N}_])"
 
@@ -57,7 +59,7 @@ def _compose(text: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Canonical composition."""
-    suspect = text.rlike(_MAYBE_UNCOMPOSED)
+    suspect = text.rlike(_SUSPECT)
     return F.when(suspect, _compose(F.when(suspect, text))).otherwise(text)
 
 
