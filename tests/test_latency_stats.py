@@ -271,3 +271,16 @@ def test_vectors(spark):
     ).first()
     assert row.c == pytest.approx(1 / math.sqrt(2)) and row.z == 0
     assert row.r == pytest.approx(math.sqrt(12.5)) and row.k == 0.5 and row.e is None
+
+
+def test_large_groups_of_few_values_leave_parts_without_rows(spark):
+    rows = spark.range(20_500).select(
+        F.when(F.col("id") < 500, "few").when(F.col("id") < 8_500, "same").otherwise("two").alias("g"),
+        F.when(F.col("id") < 8_500, F.lit(3.0)).otherwise(F.col("id") % 2).cast("double").alias("v"),
+    )
+    got = {r.g: r for r in bca_ci(rows, ["g"], F.col("v"), n_resamples=500).collect()}
+    assert [(got[g].point, got[g].low, got[g].high, got[g].n, got[g].degenerate) for g in ("few", "same")] == [
+        (3.0, 3.0, 3.0, 500, True), (3.0, 3.0, 3.0, 8_000, True)]
+    two = got["two"]
+    assert two.n == 12_000 and two.point == 0.5 and not two.degenerate
+    assert abs(two.low - 0.49105) < 0.002 and abs(two.high - 0.50895) < 0.002

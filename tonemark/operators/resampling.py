@@ -60,6 +60,11 @@ def bca_bounds(
     return ends[0], ends[1]
 
 
+def _empty(*columns: str) -> pd.DataFrame:
+    """No rows, of a type that Arrow takes for any column, lists included."""
+    return pd.DataFrame({c: [] for c in columns}, dtype=object)
+
+
 def generator(*seeds: int) -> np.random.Generator:
     return np.random.Generator(np.random.SFC64([s & _MASK for s in seeds]))
 
@@ -254,7 +259,7 @@ def resampled(
 
     def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"_gid": [], "_block": [], "_state": [], "_jack": []})
+            return _empty("_gid", "_block", "_state", "_jack")
         head = right.iloc[0]
         gid, part = int(head["_gid"]), int(head["_part"])
         sizes, total, context = (np.array(head[c]) for c in ("_sizes", "_total", "_context"))
@@ -277,7 +282,7 @@ def resampled(
 
     def finished(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"_gid": [], "_block": [], "_values": [], "_jack": []})
+            return _empty("_gid", "_block", "_values", "_jack")
         context = np.array(right["_context"].iloc[0], float)
         # in a fixed order, so that the last digits do not depend on the layout
         parts = [np.frombuffer(s) for s in sorted(left["_state"])]
