@@ -192,3 +192,17 @@ def test_followed_records_are_read_once(spark, tmp_path):
 def test_aggregate_keeps_absent_blocks(spark, tmp_path):
     sinks.write_aggregate(spark.range(1).withColumn("mos", F.lit(None).cast("double")), str(tmp_path / "agg"))
     assert spark.read.text(str(tmp_path / "agg")).first()[0] == '{"id":0,"mos":null}'
+
+
+def test_product_gates_score_the_pairs_once(spark):
+    pairs = [("a", 10.0, "một hai", "một hai"), ("a", 50.0, "ba bốn", "ba"), (None, 10.0, "năm", "sáu")]
+    rows = spark.createDataFrame(pairs, "model string, s double, ref string, hyp string")
+    measured = gt.product_measures(
+        rows, ["model"], F.col("ref"), F.col("hyp"), F.col("s") / 10, F.col("s") >= 30, F.lit(0.1)
+    )
+    gates = gt.gate(measured, gt.threshold_table(spark, gt.ASR_GATES))
+    got = {(r.model, r.grp, r.name): r.measured for r in gates.collect()}
+    assert len(got) == 14 and got["a", "longform", "wer_max"] == 0.5 and got[None, "per_utterance", "wer_max"] == 1.0
+    assert got["a", "per_utterance", "infer_p50_max_s"] == 1.0 and got[None, "longform", "rtf_max"] is None
+    nodes = gates._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("EvalPython [scored" in x for x in nodes) == 1

@@ -74,10 +74,15 @@ def gate(measured: DataFrame, thresholds: DataFrame, absent_fails: bool = True)
     by itself which rules apply. A group of which nothing was measured has no rows.
     """
     keys = [c for c in measured.columns if c not in ("grp", "name", "measured")]
-    groups = measured.select(*keys, "grp").distinct().join(thresholds, "grp")
-    how = "left" if absent_fails else "inner"
-    joined = null_safe_join(groups, measured, [*keys, "grp", "name"], how)
-    joined = joined.select(*keys, "grp", "name", "measured", *[c for c in thresholds.columns if c not in ("grp", "name")])
+    # a group has a few measurements; gathered in one row they are read, and made, only once
+    groups = measured.groupBy(*keys, "grp").agg(F.collect_list(F.struct("name", "measured")).alias("_all"))
+    joined = groups.join(thresholds, "grp")
+    named = F.filter("_all", lambda m: m["name"] == F.col("name"))["measured"]
+    unfold = F.explode_outer if absent_fails else F.explode
+    joined = joined.select(
+        *keys, "grp", "name", unfold(named).alias("measured"),
+        *[c for c in thresholds.columns if c not in ("grp", "name")],
+    )
     value, limit = F.col("measured"), F.col("threshold")
     passed = F.when(F.col("op") == "<=", value <= limit).otherwise(value >= limit)
     # NaN sorts above every number in Spark but fails every comparison as a measurement
@@ -135,10 +140,15 @@ def product_measures(
         F.max(F.when(long, rtf)).alias("rtf_max"),
     )
     speed = floor_rank(results.where(~is_long), keys, infer_s, "infer_p50_max_s", "infer_p90_max_s")
-    brief = measures(null_safe_join(rates, speed, keys, "left"), keys, "per_utterance",
-                     ["wer_max", "cer_max", "infer_p50_max_s", "infer_p90_max_s", "empty_hyp_max"])
-    whole = rates.select(*keys, F.col("long_wer").alias("wer_max"), "rtf_max")
-    return brief.unionByName(measures(whole, keys, "longform", ["wer_max", "rtf_max"]))
+    both = null_safe_join(rates, speed, keys, "left")
+    found = [("per_utterance", c, c) for c in ("wer_max", "cer_max", "infer_p50_max_s", "infer_p90_max_s", "empty_hyp_max")]
+    found += [("longform", "wer_max", "long_wer"), ("longform", "rtf_max", "rtf_max")]
+    rows = [
+        F.struct(F.lit(g).alias("grp"), F.lit(n).alias("name"), F.col(c).cast("double").alias("measured"))
+        for g, n, c in found
+    ]
+    # in one go, so that both groups come from one scoring
+    return both.select(*keys, F.inline(F.array(*rows)))
 
 
 def roundtrip_measure(results: DataFrame, keys: Sequence[str], ref: Column, heard: Column) -> DataFrame:
