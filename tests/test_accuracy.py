@@ -217,3 +217,15 @@ def test_pairs_in_batches_have_the_counts_of_pairs_alone():
         left, right = [split(r) for r in refs], [split(h) for h in hyps]
         assert ed.all_edits(left, right) == [ed.count_edits(r, h) for r, h in zip(left, right)]
         assert ed.edit_costs(left, right) == [ed.edit_cost(r, h) for r, h in zip(left, right)]
+
+
+def test_folded_and_toneless_views_share_the_normal_form(spark):
+    rows = spark.createDataFrame([("Hóa, mà", "hoá ma")], "ref string, hyp string")
+    hyp = F.col("hyp")
+    targets = {"_w": (hyp, View()), "_f": (hyp, View(fold=True)), "_n": (hyp, View(keep_tone=False))}
+    scored = with_edits(rows, F.col("ref"), targets)
+    got = scored.first()
+    assert (got._w.errors, got._f.errors, got._n.errors) == (2, 1, 0)
+    # one composition for each side, asked for by name in the node that runs it
+    nodes = [x for x in scored._jdf.queryExecution().optimizedPlan().toString().splitlines() if "EvalPython [_compose" in x]
+    assert sum(x.split("], [")[0].count("_compose(") for x in nodes) == 2

@@ -48,6 +48,14 @@ NON_SPACE = (
 # those of which only Cyrillic letters, which stand alone in composition, are among these.
 _MAYBE_UNCOMPOSED = "[\\x{300}-\\x{1e9f}\\x{1efa}-\\x{200f}\\x{2028}-\\x{10ffff}]"
 _SUSPECT = _MAYBE_UNCOMPOSED + "(?<![\\x{400}-\\x{482}\\x{48a}-\\x{52f}])"
+# These too can hold a mark in lower case: a capital I with a dot becomes two characters.
+_MAYBE_MARKED = _SUSPECT.replace("[", "[\\x{130}", 1)
+# What separates words, but for a single space before a word, which is already what it becomes.
+_BETWEEN_WORDS = "(?![a-z])(?! [\\p{L}\\p{N}_])[^\\p{L}\\p{N}_]+"
+# Lower-case letters that stand alone in composition, digits and _; a text of these in words parted by
+# single spaces is in scoring form.
+_SETTLED = "[a-z0-9_[\\p{Ll}&&[\\x{df}-\\x{2af}\\x{430}-\\x{45f}\\x{1ea0}-\\x{1ef9}]]]"
+_UNSETTLED = f"(?s)(?! ?[a-z])(?! ?{_SETTLED})."
 _NOT_WORD_BEFORE = "(?<![\\p{L}\\p{N}_])"
 _NOT_WORD_AFTER = "(?![\\p{L}\\p{N}_])"
 
@@ -111,36 +119,53 @@ def strip_tone(text: Column) -> Column:
 
 def normalize(text: Column, keep_tone: bool = True, fold: bool = False) -> Column:
     """TXT1: scoring form. Null gives the empty string."""
-    lowered = F.lower(nfc(F.coalesce(text, F.lit(""))))
-    words = F.regexp_replace(F.regexp_replace(lowered, "\\p{Mn}+", ""), "[^\\p{L}\\p{N}_]+", " ")
+    given = F.coalesce(text, F.lit(""))
+    bare = F.when(given.rlike(_MAYBE_MARKED), F.regexp_replace(F.lower(nfc(given)), "\\p{Mn}+", ""))
+    words = F.trim(F.regexp_replace(bare.otherwise(F.lower(given)), _BETWEEN_WORDS, " "))
+    # transcripts often come in scoring form, and one look costs less than making it
+    words = F.when(given.rlike(_UNSETTLED) | given.startswith(" "), words).otherwise(given)
+    return refine(words, keep_tone, fold)
+
+
+def refine(words: Column, keep_tone: bool = True, fold: bool = False) -> Column:
+    """Text in scoring form without its tones, or in one spelling."""
     if not keep_tone:
         words = _drop_tones(words)
-    words = F.trim(words)
-    return fold_spelling(words) if fold else words
+    # as the element of an array, so that it is made once however often the fold looks at it
+    return F.transform(F.array(words), fold_spelling)[0] if fold else words
 
 
 def _with_tone(letter: str, mark: str) -> str:
     return unicodedata.normalize("NFC", letter + mark)
 
 
+def _moves() -> dict[str, str]:
+    """Vowel pairs with the tone on the first letter, and the same with it on the second."""
+    pairs = (("o", "a"), ("o", "e"), ("u", "y"), ("o", "ê"), ("o", "â"), ("o", "ă"))
+    return {_with_tone(a, mark) + b: a + _with_tone(b, mark) for a, b in pairs for mark in TONE_MARKS}
+
+
+def _lookup(entries: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for entry in entries.items() for x in entry]), key)
+
+
 def fold_spelling(text: Column) -> Column:
     """TXT3: one form for accepted spelling variants. Takes text already in scoring form."""
-    moved = text
-    for first, second in (("o", "a"), ("o", "e"), ("u", "y"), ("o", "ê"), ("o", "â"), ("o", "ă")):
-        for mark in TONE_MARKS:
-            moved = F.replace(
-                moved,
-                F.lit(_with_tone(first, mark) + second),
-                F.lit(first + _with_tone(second, mark)),
-            )
-    folded = moved
-    for mark in ("", *TONE_MARKS):
-        folded = F.regexp_replace(
-            folded,
-            f"{_NOT_WORD_BEFORE}(qu|[hklmst]){_with_tone('y', mark)}{_NOT_WORD_AFTER}",
-            "$1" + _with_tone("i", mark),
-        )
-    return F.when(text.rlike("[oòóỏõọuùúủũụyỳýỷỹỵ]"), folded).otherwise(text)
+    moves = _moves()
+    # one look finds the pairs that occur; only these are replaced, and no move makes a new pair
+    pairs = F.array_distinct(F.regexp_extract_all(text, F.lit("[òóỏõọ][aeêâă]|[ùúủũụ]y"), F.lit(0)))
+    moved = F.aggregate(pairs, text, lambda done, pair: F.replace(done, pair, _lookup(moves, pair)))
+
+    # likewise for a y that ends a short word; one that gets its tone by a move is rare
+    letters = {_with_tone("y", mark): _with_tone("i", mark) for mark in ("", *TONE_MARKS)}
+    every = "[" + "".join(letters) + "]"
+
+    def short_end(letter: Column) -> Column:
+        return F.concat(letter, F.lit(f"(?<={_NOT_WORD_BEFORE}(?:qu|[hklmst])"), letter, F.lit(f"){_NOT_WORD_AFTER}"))
+
+    ends = F.array_distinct(F.regexp_extract_all(text, short_end(F.lit(every)), F.lit(0)))
+    ends = F.when(text.rlike("q[ùúủũụ]y"), F.array(*map(F.lit, letters))).otherwise(ends)
+    return F.aggregate(ends, moved, lambda done, y: F.regexp_replace(done, short_end(y), _lookup(letters, y)))
 
 
 def match_key(text: Column) -> Column:

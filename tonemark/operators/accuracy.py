@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemark.functions.edits import edits
-from tonemark.functions.text import is_blank, normalize
+from tonemark.functions.text import is_blank, normalize, refine
 
 RATE = {"word": "wer", "char": "cer"}
 UNITS = {"word": "ref_words", "char": "ref_chars"}
@@ -64,19 +64,27 @@ def with_edits(
 ) -> DataFrame:
     """One struct of edit counts per target, a hypothesis and how to score it.
 
-    Every normal form is computed once per row and dropped after scoring.
+    Every normal form is computed once per row, those without tones or in one spelling from the plain
+    one, and dropped after scoring.
     """
     forms: dict[tuple, str] = {}
-    columns, scored = {}, {}
+    plain, refined, scored = {}, {}, {}
 
     def form(text: Column, view: View) -> Column:
+        base = forms.setdefault((str(text), True, False), f"_form{len(forms)}")
+        plain.setdefault(base, normalize(text))
+        if view.keep_tone and not view.fold:
+            return F.col(base)
         name = forms.setdefault((str(text), view.keep_tone, view.fold), f"_form{len(forms)}")
-        columns.setdefault(name, normalize(text, view.keep_tone, view.fold))
+        refined.setdefault(name, refine(F.col(base), view.keep_tone, view.fold))
         return F.col(name)
 
     for name, (hyp, view) in targets.items():
         scored[name] = edits(form(ref, view), form(hyp, view), view.unit, view.parts)
-    return pairs.withColumns(columns).withColumns(scored).drop(*columns)
+    made = pairs.withColumns(plain)
+    if refined:
+        made = made.withColumns(refined)
+    return made.withColumns(scored).drop(*plain, *refined)
 
 
 def row_rate(counts: Column) -> Column:
