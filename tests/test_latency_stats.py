@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +285,24 @@ def test_large_groups_of_few_values_leave_parts_without_rows(spark):
     two = got["two"]
     assert two.n == 12_000 and two.point == 0.5 and not two.degenerate
     assert abs(two.low - 0.49105) < 0.002 and abs(two.high - 0.50895) < 0.002
+
+
+def test_states_of_a_block_are_added_in_bunches(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "PART_ROWS", 5)
+    monkeypatch.setattr(resampling, "BUNCH", 3)
+    rows = spark.range(100).select((F.col("id") % 10).cast("double").alias("v"), F.lit("g").alias("g"))
+    found = resampling.resampled(rows, ["g"], [F.col("v")], resampling.mean(), n_resamples=600)
+    got = found.first()
+    assert got.n == 100 and got.point == pytest.approx(4.5) and got.low < 4.5 < got.high
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bunch_sum(" in plan
+
+
+def test_bunches_add_up_to_the_same_sums():
+    rng = np.random.default_rng(3)
+    states, jacks = rng.integers(0, 99, (10, 4)).astype(float), rng.integers(0, 99, (10, 3)).astype(float)
+    frame = pd.DataFrame({"_gid": 1, "_block": 0, "_state": [s.tobytes() for s in states], "_jack": jacks.tolist()})
+    parts = pd.concat([resampling.bunch_sum(frame[k : k + 4]) for k in range(0, 10, 4)])
+    whole = resampling.bunch_sum(parts)
+    assert np.frombuffer(whole["_state"][0]).tolist() == states.sum(axis=0).tolist()
+    assert whole["_jack"][0] == jacks.sum(axis=0).tolist()

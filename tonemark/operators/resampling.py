@@ -8,8 +8,8 @@ Equal rows are counted, and what is distinct is dealt to parts by its digest, as
 rows ask for. How many of a resample's rows fall into each part comes from splitting the number in
 two, again and again, by binomial draws; each part takes its own way down this tree. Inside a part
 rows are drawn a chunk at a time. The states of a part go on in blocks of resamples, which are added
-and finished block by block, so no task sees all states of a large group. Work grows with rows times
-resamples.
+bunch by bunch of parts and finished block by block, so no task sees all states of a large group. Work
+grows with rows times resamples.
 
 Draws are seeded by the seed, the group and the place in the tree, whatever the layout, so a lost task
 repeats itself.
@@ -32,6 +32,8 @@ from tonemark.plans.order_stats import order_statistics, usable
 PART_ROWS = 5_000
 CHUNK = 512
 BLOCK = 500
+#: Parts of a group whose states of a block are added at once; the sums of so many are added behind.
+BUNCH = 32
 #: A multinomial draw of a count costs about as much as this many draws of an index.
 _COUNT_COST = 8
 _MASK = (1 << 64) - 1
@@ -198,6 +200,22 @@ def part_states(
     return states
 
 
+def _sums(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of states and sum of powers, added in a fixed order and one by one, so that the last digits
+    do not depend on the layout."""
+    states = None
+    for state in sorted(frame["_state"]):
+        states = np.frombuffer(state).copy() if states is None else np.add(states, np.frombuffer(state), out=states)
+    return states, np.sum(np.sort(np.stack(frame["_jack"].to_list()), axis=0), axis=0)
+
+
+def bunch_sum(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row for the states of a bunch of parts."""
+    states, jack = _sums(frame)
+    head = {c: [frame[c].iloc[0]] for c in ("_gid", "_block")}
+    return pd.DataFrame({**head, "_state": [states.tobytes()], "_jack": [jack.tolist()]})
+
+
 def resampled(
     df: DataFrame,
     keys: Sequence[str],
@@ -259,7 +277,7 @@ def resampled(
 
     def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return _empty("_gid", "_block", "_state", "_jack")
+            return _empty("_gid", "_block", "_bunch", "_state", "_jack")
         head = right.iloc[0]
         gid, part = int(head["_gid"]), int(head["_part"])
         sizes, total, context = (np.array(head[c]) for c in ("_sizes", "_total", "_context"))
@@ -272,22 +290,24 @@ def resampled(
             without = statistic.finish(total - statistic.lift(values[start : start + CHUNK], context), context) - point
             power += [float(counts[start : start + CHUNK] @ without**k) for k in (1, 2, 3)]
         blocks = range(0, n_resamples, BLOCK)
-        made = {"_gid": [gid] * len(blocks), "_block": list(blocks)}
+        made = {"_gid": [gid] * len(blocks), "_block": list(blocks), "_bunch": [part // BUNCH] * len(blocks)}
         return pd.DataFrame(
             {**made, "_state": [states[b : b + BLOCK].tobytes() for b in blocks], "_jack": [power.tolist()] * len(blocks)}
         )
 
     pairs = rows.groupBy("_gid", "_part").cogroup(heads.repartition(cores, "_gid", "_part").groupBy("_gid", "_part"))
-    drawn = pairs.applyInPandas(draw, "_gid long, _block int, _state binary, _jack array<double>")
+    drawn = pairs.applyInPandas(draw, "_gid long, _block int, _bunch int, _state binary, _jack array<double>")
+    # of a block, a task holds the states of a bunch of parts, then one sum for each bunch
+    drawn = drawn.groupBy("_gid", "_block", "_bunch").applyInPandas(
+        bunch_sum, "_gid long, _block int, _state binary, _jack array<double>"
+    )
 
     def finished(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return _empty("_gid", "_block", "_values", "_jack")
         context = np.array(right["_context"].iloc[0], float)
-        # in a fixed order, so that the last digits do not depend on the layout
-        parts = [np.frombuffer(s) for s in sorted(left["_state"])]
-        states = np.sum(parts, axis=0).reshape(min(BLOCK, n_resamples - int(left["_block"].iloc[0])), -1)
-        jack = np.sum([np.array(j) for j in left["_jack"]], axis=0)
+        states, jack = _sums(left)
+        states = states.reshape(min(BLOCK, n_resamples - int(left["_block"].iloc[0])), -1)
         found = statistic.finish(states, context)
         made = {"_gid": [left["_gid"].iloc[0]], "_block": [left["_block"].iloc[0]], "_values": [found.tobytes()]}
         return pd.DataFrame({**made, "_jack": [jack.tolist()]})
