@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tonemark.operators import gates as gt
 from tonemark.operators import records as rc
 from tonemark.operators.accuracy import pair_up
 from tonemark.operators.latency import latency_struct
+from tonemark.queries import files
 from tonemark.sources import manifests as mf
 from tonemark.sources import sinks
 from tonemark.streaming.records import follow_records
@@ -206,3 +208,37 @@ def test_product_gates_score_the_pairs_once(spark):
     assert got["a", "per_utterance", "infer_p50_max_s"] == 1.0 and got[None, "longform", "rtf_max"] is None
     nodes = gates._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("EvalPython [scored" in x for x in nodes) == 1
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    for i in range(5 * cores + 40):
+        folder = tmp_path / "clips" / f"conv_id={i}"
+        folder.mkdir(parents=True)
+        (folder / "part.txt").write_text(f" text {i}\n")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, tracker = spark.conf.get(key), spark.sparkContext.statusTracker()
+    for name, read in (
+        ("texts", lambda: mf.read_transcripts(spark, str(tmp_path / "clips"))),
+        ("sums", lambda: sinks.checksums(spark, str(tmp_path), [], "clips", glob="*.txt")),
+    ):
+        spark.sparkContext.setJobGroup(name, name)
+        got = read()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(name)]
+        spark.sparkContext.setJobGroup("", "")
+        tasks = [tracker.getStageInfo(s).numTasks for job in jobs for s in job.stageIds]
+        assert tasks and max(tasks) <= 4 * cores
+        assert got.count() == 5 * cores + 40
+        assert spark.conf.get(key) == before
+
+
+def test_transcripts_are_written_one_file_each(spark, tmp_path):
+    rows = [(i % 7 if i % 9 else None, 100 - i, f"turn {i}" if i % 5 else None, "user") for i in range(60)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")
+    turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    folder = Path(files._write_transcripts(spark, str(tmp_path)).removeprefix("file://"))
+    want = {}
+    for conv, _, text, _ in sorted(rows, key=lambda r: r[1]):
+        name = "__HIVE_DEFAULT_PARTITION__" if conv is None else conv
+        want[f"conv_id={name}"] = want.get(f"conv_id={name}", "") + (text or "") + "\n"
+    assert {f.parent.name: f.read_text() for f in folder.rglob("*.txt")} == want

@@ -7,13 +7,14 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonemark.operators.accuracy import corpus_rate
 from tonemark.operators.latency import latency_struct
-from tonemark.plans.session import scratch_path
+from tonemark.plans.session import scratch_path, spread_by
 from tonemark.queries.accuracy import _WORDS
 from tonemark.queries.base import (
     SQL_LATENCY,
@@ -115,11 +116,34 @@ def _src3(spark, sf):
 
 
 def _write_transcripts(spark, sf) -> str:
-    """One text file per conversation, a line per turn; the folder they are in is ``transcripts``."""
+    """One text file per conversation, a line per turn; the folder they are in is ``transcripts``.
+
+    Each task opens the files of its conversations itself: a writer that sets up, moves and commits a
+    folder for each of them takes many times as long as the texts.
+    """
     path = f"{scratch_path(spark, 'set')}/transcripts"
-    rows = table(spark, sf, "conversations").repartition("conv_id")
+    system, base = fs.FileSystem.from_uri(path)
+    system.create_dir(base, recursive=True)
+    rows = spread_by(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id")
     ordered = rows.sortWithinPartitions("conv_id", "turn").select("conv_id", "text")
-    ordered.write.partitionBy("conv_id").text(path)
+
+    def run(batches):
+        system, base = fs.FileSystem.from_uri(path)
+        last, out, n = None, None, 0
+        for batch in batches:
+            for conv, text in zip(batch.column("conv_id").to_pylist(), batch.column("text").to_pylist()):
+                if out is None or conv != last:
+                    if out is not None:
+                        out.close()
+                    folder = f"{base}/conv_id={'__HIVE_DEFAULT_PARTITION__' if conv is None else conv}"
+                    system.create_dir(folder)
+                    last, out, n = conv, system.open_output_stream(f"{folder}/part.txt"), n + 1
+                out.write(((text or "") + "\n").encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    ordered.mapInArrow(run, "n long").agg(F.sum("n")).first()
     return path
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tonemark import schemas
 from tonemark.functions.text import strip
 from tonemark.operators.gates import threshold_table
+from tonemark.plans.session import listed_in_bunches
 
 __all__ = [
     "read_manifest",
@@ -78,7 +79,8 @@ def read_sample_records(spark: SparkSession, path: str) -> DataFrame:
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """SRC4: one trimmed text per file."""
-    files = spark.read.text(path, wholetext=True)
+    with listed_in_bunches(spark):
+        files = spark.read.text(path, wholetext=True)
     return files.select(F.input_file_name().alias("path"), strip(F.col("value")).alias("text"))
 
 

@@ -8,6 +8,8 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from tonemark.plans.session import listed_in_bunches
+
 
 def append_records(records: DataFrame, path: str, run: str = "run_id", form: str = "parquet") -> None:
     """SNK1: add sample records below one folder per run."""
@@ -34,7 +36,8 @@ def checksums(
     base = root.rstrip("/")
 
     def hashed(reader: DataFrameReader, path: str) -> DataFrame:
-        content = reader.format("binaryFile").load(f"{base}/{path}")
+        with listed_in_bunches(spark):
+            content = reader.format("binaryFile").load(f"{base}/{path}")
         # what follows the root, wherever the file system's own prefix ends
         relative = F.substring_index("path", f"{urlsplit(base).path}/", -1)
         return content.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"))
