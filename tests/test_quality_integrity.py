@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tonemark.functions import text as tx
 from tonemark.operators import integrity as integ
 from tonemark.operators import quality as ql
 from tonemark.operators.gates import DATA_GATES, gate, measures, threshold_table, verdict
@@ -182,3 +183,12 @@ def test_rows_of_one_repeated_evaluation_text_spread_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(r["count"] for r in rows) == 3600 and hit.columns == ["id", "text"]
     assert len(rows) == 4 and max(r["count"] for r in rows) < 2000
+
+
+def test_training_text_is_repaired_once_in_a_plan(spark):
+    rows = spark.createDataFrame([("  Một  HAI ",), (None,), ("ba",)], "raw string").withColumn("text", tx.normalize(F.col("raw")))
+    made = ql.training_text(rows, "text")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # the text's own normal form, its marks, and the repair; the optimizer made many copies of them before
+    assert plan.count("regexp_replace") <= 6
+    assert [(r["train_text"], r["kept"]) for r in made.collect()] == [("một hai", True), ("", False), ("ba", False)]

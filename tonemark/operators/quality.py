@@ -20,6 +20,7 @@ from tonemark.functions.text import (
     repair_for_training,
     word_count,
 )
+from tonemark.plans.session import made_once
 
 # Rule names in report order, the flag each one reads, and its limit in percent.
 TEXT_RULES = {
@@ -52,8 +53,8 @@ MAX_DROP_PCT = 5.0
 
 def text_flags(df: DataFrame, text: Column, min_words: int = MIN_WORDS) -> DataFrame:
     """TQ1-TQ8: one boolean column per text rule. Null counts as blank; blank rows raise one flag."""
-    df = df.withColumn("_text", F.coalesce(text, F.lit("")))
-    df = df.withColumn("_composed", nfc(F.col("_text")))
+    df = made_once(df, {"_text": F.coalesce(text, F.lit(""))})
+    df = made_once(df, {"_composed": nfc(F.col("_text"))})
     raw, composed = F.col("_text"), F.col("_composed")
     blank = is_blank(raw)
     flags = {
@@ -100,7 +101,8 @@ def training_text(
     df: DataFrame, text: str, min_words: int = MIN_WORDS, out: str = "train_text"
 ) -> DataFrame:
     """TXT11: the repaired text and whether the row may stay; other faults are never repaired."""
-    df = df.withColumn(out, repair_for_training(F.coalesce(F.col(text), F.lit(""))))
+    df = made_once(df, {"_given": F.coalesce(F.col(text), F.lit(""))})
+    df = made_once(df, {out: repair_for_training(F.col("_given"))}).drop("_given")
     flagged = text_flags(df, F.col(out), min_words)
     names = [flag for flag, _ in TEXT_RULES.values()]
     bad = F.lit(False)
