@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tonemark.functions.edits import edits
 from tonemark.functions.text import is_blank, normalize, refine
+from tonemark.plans.session import made_once
 
 RATE = {"word": "wer", "char": "cer"}
 UNITS = {"word": "ref_words", "char": "ref_chars"}
@@ -68,11 +69,12 @@ def with_edits(
     one, and dropped after scoring.
     """
     forms: dict[tuple, str] = {}
-    plain, refined, scored = {}, {}, {}
+    given, plain, refined, scored = {}, {}, {}, {}
 
     def form(text: Column, view: View) -> Column:
         base = forms.setdefault((str(text), True, False), f"_form{len(forms)}")
-        plain.setdefault(base, normalize(text))
+        given.setdefault(f"_given{base}", text)
+        plain.setdefault(base, normalize(F.col(f"_given{base}")))
         if view.keep_tone and not view.fold:
             return F.col(base)
         name = forms.setdefault((str(text), view.keep_tone, view.fold), f"_form{len(forms)}")
@@ -81,9 +83,9 @@ def with_edits(
 
     for name, (hyp, view) in targets.items():
         scored[name] = edits(form(ref, view), form(hyp, view), view.unit, view.parts)
-    made = pairs.withColumns(plain)
+    made = made_once(made_once(pairs, given), plain).drop(*given)
     if refined:
-        made = made.withColumns(refined)
+        made = made_once(made, refined)
     return made.withColumns(scored).drop(*plain, *refined)
 
 
