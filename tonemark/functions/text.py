@@ -81,6 +81,11 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(NON_SPACE), F.lit(False))
 
 
+def has_words(text: Column) -> Column:
+    """Whether the scoring form holds any word: composition, case and lost marks make and unmake none."""
+    return F.coalesce(text.rlike("[\\p{L}\\p{N}_]"), F.lit(False))
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 

@@ -11,9 +11,10 @@ from tonemark.queries.latency import SQL_COSINE, neighbours
 from tonemark.sources.manifests import keep_tone_of
 
 
-def _stage_tables(spark, sf):
-    """Manifest and stage tables from documents; synthesis failed for unlabelled documents."""
-    rows = triples(spark, sf).withColumn("id", F.col("doc_id"))
+def _stage_tables(spark, sf, blank=False):
+    """Manifest and stage tables from documents; synthesis failed for unlabelled documents. Documents
+    without words are left out but with ``blank``."""
+    rows = triples(spark, sf, blank).withColumn("id", F.col("doc_id"))
     seconds = F.col("n_chars") / 100
     manifest = rows.select("id", "lang", F.col("ref").alias("text"))
     first = rows.select("id", F.col("drop").alias("asr_text"), latency_struct(seconds / 8, seconds).alias("asr_latency"))
@@ -28,8 +29,8 @@ def _stage_tables(spark, sf):
     return manifest, first, synthesis, second
 
 
-def _records(spark, sf):
-    return rc.assemble(*_stage_tables(spark, sf))
+def _records(spark, sf, blank=False):
+    return rc.assemble(*_stage_tables(spark, sf, blank))
 
 
 def _rec1(spark, sf):
@@ -68,13 +69,13 @@ def _rec3(spark, sf):
 
 
 def _rec4(spark, sf):
-    manifest, *_ = _stage_tables(spark, sf)
-    return rc.failures(manifest, _records(spark, sf)).select("id", "lang")
+    manifest, *_ = _stage_tables(spark, sf, blank=True)
+    return rc.failures(manifest, _records(spark, sf, blank=True)).select("id", "lang")
 
 
 def _rec4_counts(spark, sf):
-    manifest, *_ = _stage_tables(spark, sf)
-    return rc.run_counts(manifest, _records(spark, sf))
+    manifest, *_ = _stage_tables(spark, sf, blank=True)
+    return rc.run_counts(manifest, _records(spark, sf, blank=True))
 
 
 def reported(spark, sf, **options):
