@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("key", ["ACC1", "ACC2", "ACC6", "flagship", "REC1", "REC4"])
+@pytest.mark.parametrize("key", ["ACC1", "ACC2", "ACC6", "flagship", "REC1", "REC4", "SERVICE"])
 def test_rows_equal_those_of_the_sql(spark, folder, key):
     db = duckdb.connect()
     for name in ("documents", "labels"):

@@ -12,13 +12,14 @@ _TIMES = ["infer_total_s", "server_total_s", "rtf"]
 
 def _requests(spark, sf):
     """Pairs with made-up times; every seventh document has no server time."""
-    infer = F.col("n_chars") / 1000 + F.col("doc_id") % 7
+    infer, speech = F.col("n_chars") / 1000 + F.col("doc_id") % 7, F.col("n_chars") / 16
     return pairs(spark, sf).withColumns(
         {
             "infer_total_s": infer,
             "server_total_s": F.when(F.col("doc_id") % 7 > 0, infer + 0.25),
-            "speech_s": F.col("n_chars") / 16,
-            "rtf": infer / (F.col("n_chars") / 16),
+            "speech_s": speech,
+            # no speech at all gives an infinite factor, as in SQL, where Spark's division is an error
+            "rtf": F.when(speech == 0, infer * float("inf")).otherwise(infer / speech),
         }
     )
 
