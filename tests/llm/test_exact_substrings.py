@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tonemark.llm import exact_substrings as ops
@@ -80,3 +81,19 @@ def test_null_id_on_most_rows(spark):
     shared = words(rng, 450)
     docs = [(None, words(rng, 30) + shared + words(rng, 20)) for _ in range(80)] + [(None, shared)] * 30
     assert run(spark, docs) == brute(docs)
+
+
+def test_a_task_gathers_bunches_of_a_fixed_size(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = words(rng, 700)
+    docs = [(i, words(rng, 300) + shared[: 500 + 10 * i] + words(rng, 300)) for i in range(20)]
+    sizes = []
+    paired = ops._paired
+    monkeypatch.setattr(ops, "GATHERED", 50)
+    monkeypatch.setattr(ops, "_paired", lambda *rows: sizes.append(len(rows[0])) or paired(*rows))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["owner", "text"])
+    assert sum(b.num_rows for b in ops._head_rows(iter([batch]))) == sum(sizes)
+    # a bunch ends with the text that fills it
+    assert len(sizes) > 3 and max(sizes) < 50 + max(len(t.encode()) for _, t in docs) / 20
+    monkeypatch.setattr(ops, "_paired", paired)
+    assert run(spark, docs, 1) == brute(docs)
