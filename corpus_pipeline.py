@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tonemark.llm import bpe, mixing, quality_rules, secrets, simhash
 from tonemark.llm.queries import VOCABULARY
+from tonemark.llm.shared import cut
 from tonemark.plans.session import scratch_path, ship_package, spread
 
 ship_package()
@@ -47,7 +48,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those it does not take go."""
     sized = docs.withColumn("_size", mixing.word_count(F.col("text"))).withColumn("_key", F.struct("doc_id"))
-    slim = sized.select("doc_id", "_key", "source", "_size")
+    # stored, as it is read for the sums and for the mix, and counting words takes the whole texts
+    slim = cut(sized.select("doc_id", "_key", "source", "_size"), "sizes")
     sums = slim.groupBy("source").agg(F.sum("_size").alias("source_size"))
     taken = mixing.mix(slim, mixing.targets(sums), "doc_id", "_size", F.array("source"))
     times = taken.where("taken > 0").select("_key", "_size", (F.col("taken") / F.col("_size")).cast("int").alias("_times"))

@@ -51,6 +51,19 @@ def test_stages_take_effect(spark, docs):
     assert sorted(bytes(r["ids"]) for r in got) == want and all(r["exact"] for r in got)
 
 
+def test_words_are_counted_once_for_the_mix(spark, docs, monkeypatch):
+    plans, mix = [], corpus_pipeline.mixing.mix
+    kept = docs.where("text IS NOT NULL")
+
+    def seen(rows, *rest):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return mix(rows, *rest)
+
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", seen)
+    assert corpus_pipeline.mix(spark, kept, SF).count() > 0
+    assert len(plans) == 1 and "regexp" not in plans[0]
+
+
 def test_stages_take_an_empty_table(spark, docs):
     rows = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -82,6 +82,15 @@ def test_distance_equals_the_matrix_form(spark):
         assert got[i] == pytest.approx(np.sqrt((row - centre) @ inverse @ (row - centre)), rel=1e-6)
 
 
+def test_texts_are_counted_once(frame):
+    rows = [(i, prose(random.Random(i), 40), "en", "s") for i in range(120)]
+    plan = ops.rate(frame(rows))._jdf.queryExecution().optimizedPlan().toString()
+    # what is rated comes from the stored counts, and words are looked for without deleting characters one by one
+    assert "regexp" not in plan and "n_repeat_words" in plan
+    counted = ops.with_statistics(frame(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in counted
+
+
 def test_empty_table_and_no_python_on_the_way(frame, capsys):
     df = frame([(1, "a b", "en", "s")])
     assert ops.rate(df.limit(0)).count() == 0
